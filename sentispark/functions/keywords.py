@@ -58,11 +58,12 @@ def extract_keywords(prompt: Column | str) -> Column:
 def word_list(text: Column | str) -> Column:
     """Lower-cased ASCII words of a text, in order, with repeats.
 
-    Non-word runs are cut out before lower-casing, so that letters whose lower case happens to
-    be ASCII (the Kelvin sign) never turn into words.
+    The Kelvin sign and the dotted capital I are no ASCII letters, but their lower case is or
+    starts with one; they are blanked first so that they keep separating words.
     """
     text = F.col(text) if isinstance(text, str) else text
-    return F.array_remove(F.split(F.lower(F.regexp_replace(text, _NON_WORD, " ")), " "), "")
+    lowered = F.lower(F.regexp_replace(text, r"[\x{212A}\x{130}]", " "))
+    return F.regexp_extract_all(lowered, F.lit("([a-z0-9_]+)"), F.lit(1))
 
 
 def token_set(text: Column | str) -> Column:
@@ -86,7 +87,7 @@ def anchor_token(keyword: Column) -> Column:
     the longest one is a full token of the text. A keyword without word characters needs a word
     character on both sides, hence is itself a full non-word run.
     """
-    words = F.array_remove(F.split(F.lower(F.regexp_replace(keyword, _NON_WORD, " ")), " "), "")
+    words = word_list(keyword)
     longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
     return F.coalesce(longest["w"], keyword)
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sentispark.functions.keywords import word_list
-
 _STRONG_POSITIVE = """
     love loved loves amazing excellent fantastic wonderful awesome outstanding perfect perfectly
     best brilliant superb exceptional incredible magnificent
@@ -35,20 +33,23 @@ WEIGHTS: dict[str, int] = {
 }
 
 
-def evidence(text: Column | str, weights: dict[str, int] | None = None) -> tuple[Column, Column]:
-    """Summed positive and negative weight of a text.
+def _is_one_of(members: list[str]):
+    return lambda word: word.isin(*members)
+
+
+def evidence(words: Column, weights: dict[str, int] | None = None) -> tuple[Column, Column]:
+    """Summed positive and negative weight of a list of words.
 
     The lexicon is a small fixed list, so it is compiled into hash-set tests on the tokens of
     the row itself: no join, no shuffle, no Python.
     """
     weights = WEIGHTS if weights is None else weights
-    words = word_list(text)
     positive, negative = F.lit(0), F.lit(0)
     for weight in sorted(set(weights.values())):
         if weight == 0:
             continue
         members = sorted(w for w, v in weights.items() if v == weight)
-        hits = F.size(F.filter(words, lambda w, m=members: w.isin(*m)))
+        hits = F.size(F.filter(words, _is_one_of(members)))
         if weight > 0:
             positive = positive + hits * F.lit(weight)
         else:

@@ -51,10 +51,8 @@ def resolve_unique(dids: DataFrame, cached: DataFrame, fresh: DataFrame) -> Data
 
 def resolve_handles(dids: DataFrame, cached: DataFrame, fresh: DataFrame) -> DataFrame:
     """One output row per input row: handle (null when unknown or malformed) and cache flag."""
-    resolved = resolve_unique(dids, cached, fresh).drop("valid")
-    return dids.join(resolved, dids["did"].eqNullSafe(resolved["did"]), "left").select(
-        *[dids[c] for c in dids.columns], "handle", "from_cache"
-    )
+    resolved = resolve_unique(dids, cached, fresh).drop("valid").withColumnRenamed("did", "_did")
+    return dids.join(resolved, F.col("did").eqNullSafe(F.col("_did")), "left").drop("_did")
 
 
 def lookup_coverage(resolved: DataFrame) -> DataFrame:

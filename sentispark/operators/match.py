@@ -46,58 +46,65 @@ def _in_interval(at: Column) -> Column:
     return (at >= F.col("started_at")) & (F.col("ends_at").isNull() | (at < F.col("ends_at")))
 
 
-def match_posts(
+def keyword_index(jobs: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per job and keyword."""
+    # explode_outer: explode would compute the keywords again in an inferred filter.
+    return jobs.select(
+        "job_id", *columns, F.explode_outer(F.array_distinct("keywords")).alias("_keyword")
+    ).filter(F.col("_keyword").isNotNull())
+
+
+def match_pairs(
     posts: DataFrame,
     jobs: DataFrame,
     key: str = "post_id",
     text: str = "text",
     event_time: str | None = None,
-    carry: tuple[str, ...] = (),
+    keep: tuple[str, ...] = (),
     strategy: str = "auto",
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """One row per (post, job) where any keyword of the job is a whole word of the post.
+    """One (key, *keep, job_id) row per post and job where any keyword is a whole word of the post.
 
     ``jobs`` has ``job_id`` and ``keywords`` ([a-z0-9_] only, as ``extract_keywords`` yields),
-    plus the interval columns when ``event_time`` is given. Every post is cut into its distinct
-    tokens, which meet the keywords in an equi-join.
-
-    * ``broadcast``: the measured keyword table is shipped to the tasks and the whole match is
-      map-only. A (post, job) pair met through several keywords is kept at the job's first
-      keyword found in the post, which the row can tell by itself.
-    * ``shuffle``: only (post key, token) is shuffled, salted so that a word found in a third of
-      the posts is spread over many tasks; pairs are made distinct and joined back to the posts.
+    plus the interval columns when ``event_time`` is given. ``keep`` names narrow columns of the
+    posts. Every post is cut into its distinct tokens, which meet the keywords in an equi-join.
+    The text itself is never shuffled.
+
+    * ``broadcast``: the measured keyword table goes to the tasks, so tokens never leave the task
+      that read the post; all keywords of a pair meet there too, so the distinct step has
+      removed the repeats before its shuffle.
+    * ``shuffle``: (key, token) rows are shuffled, salted so that a word found in a third of the
+      posts is spread over many tasks.
     """
     interval = ["started_at", "ends_at"] if event_time else []
-    index = jobs.select(
-        "job_id",
-        *interval,
-        *carry,
-        F.array_distinct("keywords").alias("_wanted"),
-    ).select("*", F.explode("_wanted").alias("_keyword"))
+    index = keyword_index(jobs, interval)
     if strategy == "auto":
         strategy = "broadcast" if fits_broadcast(index, broadcast_bytes) else "shuffle"
-
+    at = [event_time] if event_time and event_time not in keep else []
+    tokens = posts.select(key, *keep, *at, F.explode_outer(token_set(text)).alias("_token"))
+    on = F.col("_token") == F.col("_keyword")
     if strategy == "broadcast":
-        tokens = posts.withColumn("_tokens", token_set(text)).withColumn("_token", F.explode("_tokens"))
-        on = F.col("_token") == F.col("_keyword")
-        if event_time:
-            on = on & _in_interval(F.col(event_time))
-        joined = tokens.join(F.broadcast(index), on)
-        first_hit = F.get(F.array_intersect("_wanted", "_tokens"), F.lit(0))
-        return joined.filter(first_hit == F.col("_keyword")).select(*posts.columns, "job_id", *carry)
-
-    salted_posts = posts.select(
-        key, *([event_time] if event_time else []), F.explode(token_set(text)).alias("_token")
-    ).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
-    salted_index = index.drop("_wanted").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    )
-    on = (F.col("_token") == F.col("_keyword")) & (salted_posts["_salt"] == salted_index["_salt"])
+        index = F.broadcast(index)
+    else:
+        tokens, index, same_salt = _salted(tokens, index, key)
+        on = on & same_salt
     if event_time:
         on = on & _in_interval(F.col(event_time))
-    pairs = salted_posts.join(salted_index, on).select(key, "job_id", *carry).distinct()
-    return posts.join(pairs, key).select(*posts.columns, "job_id", *carry)
+    return tokens.join(index, on).select(key, *keep, "job_id").distinct()
+
+
+def _salted(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame, Column]:
+    """Spread equal join values of ``left`` over SALTS tasks by its key; ``right`` is repeated."""
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    right = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left, right, F.col("_salt") == F.col("_copy")
+
+
+def match_posts(posts: DataFrame, jobs: DataFrame, key: str = "post_id", **options) -> DataFrame:
+    """``match_pairs`` with all columns of the posts; ``key`` must be unique among the posts."""
+    pairs = match_pairs(posts, jobs, key, **options).select(key, "job_id")
+    return posts.join(pairs, key).select(*posts.columns, "job_id")
 
 
 def match_literals(
@@ -113,7 +120,7 @@ def match_literals(
     so an equi-join on the anchor proposes the pairs and the pattern decides them.
     """
     index = (
-        jobs.select("job_id", F.explode(F.array_distinct("keywords")).alias("_keyword"))
+        keyword_index(jobs, [])
         .filter(F.length("_keyword") > 0)
         .select(
             "job_id",
@@ -122,24 +129,18 @@ def match_literals(
             keyword_pattern(F.array("_keyword")).alias("_pattern"),
         )
     )
-    anchors = F.explode(F.array_union(token_set(text), gap_set(text))).alias("_token")
-    hit = F.col("_plain") | F.col(text).rlike(F.col("_pattern"))
+    anchors = F.explode_outer(F.array_union(token_set(text), gap_set(text))).alias("_token")
+    hit = F.col("_plain") | F.regexp_like(text, F.col("_pattern"))
+    on = F.col("_token") == F.col("_anchor")
     if strategy == "auto":
         strategy = "broadcast" if fits_broadcast(index) else "shuffle"
     if strategy == "broadcast":
-        pairs = posts.select(key, text, anchors).join(
-            F.broadcast(index), F.col("_token") == F.col("_anchor")
-        )
-        return pairs.filter(hit).select(key, "job_id").distinct()
-    salted_posts = posts.select(key, anchors).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
-    salted_index = index.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    )
-    proposed = salted_posts.join(
-        salted_index,
-        (F.col("_token") == F.col("_anchor")) & (salted_posts["_salt"] == salted_index["_salt"]),
-    ).select(key, "job_id", "_plain", "_pattern")
-    return proposed.join(posts.select(key, text), key).filter(hit).select(key, "job_id").distinct()
+        pairs = posts.select(key, text, anchors).join(F.broadcast(index), on)
+    else:
+        tokens, index, same_salt = _salted(posts.select(key, anchors), index, key)
+        proposed = tokens.join(index, on & same_salt).select(key, "job_id", "_plain", "_pattern")
+        pairs = proposed.join(posts.select(key, text), key)
+    return pairs.filter(hit).select(key, "job_id").distinct()
 
 
 def match_statistics(matches: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sentispark.functions.keywords import word_list
 from sentispark.functions.labels import blank_sentiment, class_to_sentiment, is_blank, top_class
 from sentispark.functions.lexicon import evidence
 from sentispark.functions.text import truncate_for_model
@@ -26,24 +27,32 @@ def lexicon_classes(positive: Column, negative: Column) -> Column:
     )
 
 
-def lexicon_sentiment(text: Column | str, weights: dict[str, int] | None = None) -> Column:
-    """struct(score, label, confidence) of the whole text; no evidence counts as blank."""
-    positive, negative = evidence(text, weights)
-    best = top_class(lexicon_classes(positive, negative))
-    return F.when(positive + negative == 0, blank_sentiment()).otherwise(
-        class_to_sentiment(best["label"], best["score"])
-    )
-
-
 def score_with_lexicon(
     posts: DataFrame, text: str = "text_content", weights: dict[str, int] | None = None
 ) -> DataFrame:
-    """Add the three sentiment columns; stays inside the JVM and needs no shuffle."""
-    return posts.withColumn("_s", lexicon_sentiment(text, weights)).select(
-        *posts.columns,
-        F.col("_s.score").alias("sentiment_score"),
-        F.col("_s.label").alias("sentiment_label"),
-        F.col("_s.confidence").alias("confidence"),
+    """Add the three sentiment columns over the whole text; a text without evidence counts as blank.
+
+    Stays inside the JVM and needs no shuffle. The steps are separate projections, as Spark
+    computes an expression used twice in one projection twice.
+    """
+    positive, negative = evidence(F.col("_words"), weights)
+    no_evidence = F.col("_positive") + F.col("_negative") == 0
+    return (
+        posts.withColumn("_words", word_list(text))
+        .withColumns({"_positive": positive, "_negative": negative})
+        .withColumn("_top", top_class(lexicon_classes(F.col("_positive"), F.col("_negative"))))
+        .withColumn(
+            "_s",
+            F.when(no_evidence, blank_sentiment()).otherwise(
+                class_to_sentiment(F.col("_top.label"), F.col("_top.score"))
+            ),
+        )
+        .select(
+            *posts.columns,
+            F.col("_s.score").alias("sentiment_score"),
+            F.col("_s.label").alias("sentiment_label"),
+            F.col("_s.confidence").alias("confidence"),
+        )
     )
 
 
