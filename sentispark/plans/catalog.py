@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from sentispark.plans import matching, results  # noqa: F401
+from sentispark.plans import ingest, matching, results  # noqa: F401
 from sentispark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
