@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentispark.functions.text import message_key
+from sentispark.schemas import TERMINAL_STATUSES
 
 COMPLETION_TIMEOUT_MS = 30_000
 COMPLETION_RATIO = 0.95
@@ -14,47 +15,48 @@ MAX_TTL_MS = 24 * 60 * 60 * 1000
 MAX_RETRIES = 3
 
 
-def fold_lifecycle(jobs: DataFrame, events: DataFrame) -> DataFrame:
-    """Job status after all events, ordered by (ts, seq).
+def fold_events(events: DataFrame) -> DataFrame:
+    """What the events of every job amount to; works on a table and on a stream.
 
     ``initial_batch`` starts a pending job only; ``completed`` and ``failed`` overwrite whatever
-    is there. The fold thus ends at the last terminal event, or at the first start if there is
-    none: two ordered maxima and a minimum, which combine before the shuffle and never gather
-    the events of a job.
+    is there. In the order of (ts, seq) the fold thus ends at the last terminal event, or at the
+    first start if there is none: a maximum and a minimum, which combine before the shuffle and
+    never gather the events of a job.
     """
     kind = F.col("type")
-    at = F.struct("ts", "seq")
-    terminal = kind.isin("completed", "failed")
-    last = F.max(
-        F.when(
-            terminal,
-            F.struct("ts", "seq", kind.alias("status"), F.col("error_message").alias("error_message")),
-        )
+    last = F.struct(
+        "ts", "seq", kind.alias("status"), F.col("error_message").alias("error_message")
     )
-    folded = events.groupBy("job_id").agg(
-        last.alias("_last"), F.min(F.when(kind == "initial_batch", at)).alias("_start")
+    return events.groupBy("job_id").agg(
+        F.max(F.when(kind.isin(*TERMINAL_STATUSES), last)).alias("last_terminal"),
+        F.min(F.when(kind == "initial_batch", F.struct("ts", "seq"))).alias("first_start"),
     )
-    joined = jobs.join(folded, "job_id", "left")
+
+
+def apply_lifecycle(jobs: DataFrame, folded: DataFrame) -> DataFrame:
+    """Job table after the folded events, with the end time and the error message filled in."""
+    last, start = F.col("last_terminal"), F.col("first_start")
+    starts = (F.col("status") == "pending") & start.isNotNull()
     status = (
-        F.when(F.col("_last").isNotNull(), F.col("_last.status"))
-        .when((F.col("status") == "pending") & F.col("_start").isNotNull(), "in_progress")
+        F.when(last.isNotNull(), last["status"])
+        .when(starts, "in_progress")
         .otherwise(F.col("status"))
     )
-    changed = F.when(F.col("_last").isNotNull(), F.col("_last.ts")).when(
-        F.col("status") == "pending", F.col("_start.ts")
-    )
-    kept = [c for c in jobs.columns if c not in ("status", "updated_at", "completed_at", "error_message")]
-    return joined.select(
-        *kept,
+    changed = F.when(last.isNotNull(), last["ts"]).when(starts, start["ts"])
+    set_here = ("status", "updated_at", "completed_at", "error_message")
+    return jobs.join(folded, "job_id", "left").select(
+        *[c for c in jobs.columns if c not in set_here],
         status.alias("status"),
-        (F.coalesce(changed, F.col("updated_at")) if "updated_at" in jobs.columns else changed).alias(
-            "updated_at"
-        ),
-        F.when(F.col("_last.status") == "completed", F.col("_last.ts")).alias("completed_at"),
-        F.when(F.col("_last.status") == "failed", F.col("_last.error_message")).alias("error_message"),
+        F.coalesce(changed, F.col("updated_at")).alias("updated_at"),
+        F.when(last["status"] == "completed", last["ts"]).alias("completed_at"),
+        F.when(last["status"] == "failed", last["error_message"]).alias("error_message"),
     )
 
 
+def fold_lifecycle(jobs: DataFrame, events: DataFrame) -> DataFrame:
+    return apply_lifecycle(jobs, fold_events(events))
+
+
 def update_status(jobs: DataFrame, updates: DataFrame, at: Column) -> DataFrame:
     """Set the status of the listed jobs; unknown ids change nothing.
 
