@@ -37,21 +37,25 @@ def _is_one_of(members: list[str]):
     return lambda word: word.isin(*members)
 
 
-def evidence(words: Column, weights: dict[str, int] | None = None) -> tuple[Column, Column]:
-    """Summed positive and negative weight of a list of words.
+def lexicon_hits(words: Column, weights: dict[str, int] | None = None) -> Column:
+    """The words that carry weight, repeats kept.
 
-    The lexicon is a small fixed list, so it is compiled into hash-set tests on the tokens of
+    The lexicon is a small fixed list, so it is compiled into one hash-set test on the tokens of
     the row itself: no join, no shuffle, no Python.
     """
     weights = WEIGHTS if weights is None else weights
+    return F.filter(words, _is_one_of(sorted(w for w, v in weights.items() if v)))
+
+
+def evidence(hits: Column, weights: dict[str, int] | None = None) -> tuple[Column, Column]:
+    """Summed positive and negative weight of a row's lexicon hits."""
+    weights = WEIGHTS if weights is None else weights
     positive, negative = F.lit(0), F.lit(0)
-    for weight in sorted(set(weights.values())):
-        if weight == 0:
-            continue
+    for weight in sorted(set(weights.values()) - {0}):
         members = sorted(w for w, v in weights.items() if v == weight)
-        hits = F.size(F.filter(words, _is_one_of(members)))
+        count = F.size(F.filter(hits, _is_one_of(members))) * F.lit(abs(weight))
         if weight > 0:
-            positive = positive + hits * F.lit(weight)
+            positive = positive + count
         else:
-            negative = negative + hits * F.lit(-weight)
+            negative = negative + count
     return positive, negative

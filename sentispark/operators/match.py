@@ -63,13 +63,14 @@ def match_pairs(
     keep: tuple[str, ...] = (),
     strategy: str = "auto",
     broadcast_bytes: int = BROADCAST_BYTES,
+    words: str | None = None,
 ) -> DataFrame:
     """One (key, *keep, job_id) row per post and job where any keyword is a whole word of the post.
 
     ``jobs`` has ``job_id`` and ``keywords`` ([a-z0-9_] only, as ``extract_keywords`` yields),
     plus the interval columns when ``event_time`` is given. ``keep`` names narrow columns of the
     posts. Every post is cut into its distinct tokens, which meet the keywords in an equi-join.
-    The text itself is never shuffled.
+    The text itself is never shuffled. ``words`` names a ready ``word_list`` column, if any.
 
     * ``broadcast``: the measured keyword table goes to the tasks, so tokens never leave the task
       that read the post; all keywords of a pair meet there too, so the distinct step has
@@ -82,7 +83,8 @@ def match_pairs(
     if strategy == "auto":
         strategy = "broadcast" if fits_broadcast(index, broadcast_bytes) else "shuffle"
     at = [event_time] if event_time and event_time not in keep else []
-    tokens = posts.select(key, *keep, *at, F.explode_outer(token_set(text)).alias("_token"))
+    distinct_words = F.array_distinct(words) if words else token_set(text)
+    tokens = posts.select(key, *keep, *at, F.explode_outer(distinct_words).alias("_token"))
     on = F.col("_token") == F.col("_keyword")
     if strategy == "broadcast":
         index = F.broadcast(index)

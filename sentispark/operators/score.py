@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from sentispark.functions.keywords import word_list
 from sentispark.functions.labels import blank_sentiment, class_to_sentiment, is_blank, top_class
-from sentispark.functions.lexicon import evidence
+from sentispark.functions.lexicon import evidence, lexicon_hits
 from sentispark.functions.text import truncate_for_model
 
 Scorer = Callable[[list[str]], list[tuple[str, float]]]
@@ -28,17 +28,21 @@ def lexicon_classes(positive: Column, negative: Column) -> Column:
 
 
 def score_with_lexicon(
-    posts: DataFrame, text: str = "text_content", weights: dict[str, int] | None = None
+    posts: DataFrame,
+    text: str = "text_content",
+    weights: dict[str, int] | None = None,
+    words: str | None = None,
 ) -> DataFrame:
     """Add the three sentiment columns over the whole text; a text without evidence counts as blank.
 
     Stays inside the JVM and needs no shuffle. The steps are separate projections, as Spark
-    computes an expression used twice in one projection twice.
+    computes an expression used twice in one projection twice. ``words`` names a ready
+    ``word_list`` column, if there is one.
     """
-    positive, negative = evidence(F.col("_words"), weights)
+    positive, negative = evidence(F.col("_hits"), weights)
     no_evidence = F.col("_positive") + F.col("_negative") == 0
     return (
-        posts.withColumn("_words", word_list(text))
+        posts.withColumn("_hits", lexicon_hits(F.col(words) if words else word_list(text), weights))
         .withColumns({"_positive": positive, "_negative": negative})
         .withColumn("_top", top_class(lexicon_classes(F.col("_positive"), F.col("_negative"))))
         .withColumn(

@@ -7,7 +7,7 @@ from sentispark.functions import text as X
 from sentispark.functions.keywords import token_set
 from sentispark.functions.numeric import clamp
 from sentispark.plans.registry import BY_TYPE, query
-from sentispark.sources.tables import events_as_scored, table
+from sentispark.sources.tables import events_as_scored, table, text_table
 
 
 @query(
@@ -127,7 +127,7 @@ def normalize_labels(spark, folder):
     "SELECT doc_id, regexp_full_match(text, '\\s*') AS blank, len(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[^A-Za-z0-9_]+'), lambda w: lower(w)), lambda w: w <> ''))) AS tokens FROM documents",
 )
 def blank_texts(spark, folder):
-    return table(spark, folder, "documents").select(
+    return text_table(spark, folder, "documents").select(
         "doc_id", L.is_blank("text").alias("blank"), F.size(token_set("text")).alias("tokens")
     )
 
@@ -138,7 +138,7 @@ def blank_texts(spark, folder):
       CASE WHEN length(text) > 120 THEN trim(substr(text, 1, 120), E' \\t\\r\\n') || '...' ELSE text END AS short FROM documents""",
 )
 def truncate_text(spark, folder):
-    return table(spark, folder, "documents").select(
+    return text_table(spark, folder, "documents").select(
         "doc_id",
         F.md5(X.truncate_for_model("text")).alias("model_md5"),
         X.truncate_text("text", 120).alias("short"),
@@ -153,7 +153,7 @@ _STRIPPED = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|s
     f"SELECT page_id, length({_STRIPPED}) AS n, md5({_STRIPPED}) AS text_md5 FROM pages",
 )
 def clean_html(spark, folder):
-    pages = table(spark, folder, "pages").select("page_id", X.strip_html("html").alias("plain"))
+    pages = text_table(spark, folder, "pages").select("page_id", X.strip_html("html").alias("plain"))
     return pages.select("page_id", F.length("plain").alias("n"), F.md5("plain").alias("text_md5"))
 
 
@@ -163,7 +163,7 @@ def clean_html(spark, folder):
 )
 def safe_urls(spark, folder):
     url = F.col("url")
-    return table(spark, folder, "pages").select(
+    return text_table(spark, folder, "pages").select(
         "page_id",
         X.safe_url(url).alias("plain"),
         X.safe_url(F.regexp_replace(url, "^https?:", "")).alias("no_scheme"),
@@ -178,7 +178,7 @@ def safe_urls(spark, folder):
     """SELECT doc_id, substr(trim(regexp_replace(regexp_replace(text, '[\\r\\n\\t]', ' ', 'g'), '[\\x00-\\x1f\\x7f]', '', 'g')), 1, 100) AS logged FROM documents""",
 )
 def log_safe_text(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", X.log_safe("text").alias("logged"))
+    return text_table(spark, folder, "documents").select("doc_id", X.log_safe("text").alias("logged"))
 
 
 _AS_OF = "TIMESTAMP '2024-01-20 12:00:00'"

@@ -7,7 +7,7 @@ from sentispark.plans.registry import BY_TYPE, query
 from sentispark.schemas import POST_COLLECTION
 from sentispark.sources import events as E
 from sentispark.sources import search as S
-from sentispark.sources.tables import events_as_scored, table
+from sentispark.sources.tables import events_as_scored, table, text_table
 
 
 def raw_lines(spark, folder):
@@ -17,7 +17,7 @@ def raw_lines(spark, folder):
     like, signup deletes a post, error is an account event. Spanish texts are cut in the middle
     of the line (malformed JSON), German posts have no content id and French ones are replies.
     """
-    docs = table(spark, folder, "documents").withColumnRenamed("doc_id", "event_id")
+    docs = text_table(spark, folder, "documents").withColumnRenamed("doc_id", "event_id")
     both = docs.join(table(spark, folder, "events"), "event_id")
     kind = F.when(F.col("event_type") == "error", "account").otherwise("commit")
     operation = F.when(F.col("event_type") == "signup", "delete").otherwise("create")
@@ -280,7 +280,7 @@ def published_fallback(spark, folder):
 
 
 def _search_posts(spark, folder):
-    docs = table(spark, folder, "documents").withColumnRenamed("doc_id", "event_id")
+    docs = text_table(spark, folder, "documents").withColumnRenamed("doc_id", "event_id")
     both = docs.join(table(spark, folder, "events"), "event_id")
     return both.select(
         F.concat(F.lit("at://did/app.bsky.feed.post/"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("uri"),
@@ -340,7 +340,7 @@ def search_since(spark, folder):
     FROM documents""",
 )
 def search_validation(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = text_table(spark, folder, "documents")
     text = F.to_json(F.struct("text"))
     body = F.expr("substring(_text, 2, length(_text) - 2)")
     rows = docs.withColumn("_text", text).select(
@@ -420,7 +420,7 @@ _SNIPPET = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|st
       length(t) > 200 AS expandable, 'anonymous' AS author, url AS link FROM p""",
 )
 def post_snippets(spark, folder):
-    rows = table(spark, folder, "pages").select(
+    rows = text_table(spark, folder, "pages").select(
         F.col("page_id").alias("id"),
         F.col("html").alias("text_content"),
         F.lit("").alias("author_name"),

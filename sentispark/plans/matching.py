@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from sentispark.functions.keywords import STOP_WORDS, extract_keywords, keyword_pattern
+from sentispark.functions.keywords import STOP_WORDS, extract_keywords, keyword_pattern, word_list
 from sentispark.functions.lexicon import WEIGHTS
 from sentispark.operators import enrich, match, score
 from sentispark.operators import results as R
@@ -256,12 +256,13 @@ _FLAGSHIP = """
 def job_sentiment(spark, folder):
     """Prompts -> keywords -> matched posts -> scores -> one result row per job.
 
-    Posts are scored before they are matched, so a post found by many jobs is scored once and
-    only its score travels on.
+    Posts are cut into words once, and scored before they are matched: a post found by many
+    jobs is scored once and only its score travels on.
     """
-    posts = score.score_with_lexicon(documents_as_posts(spark, folder), "text", SAMPLE_WEIGHTS)
+    posts = documents_as_posts(spark, folder).select("post_id", word_list("text").alias("words"))
+    posts = score.score_with_lexicon(posts, weights=SAMPLE_WEIGHTS, words="words")
     jobs = _jobs(spark, folder)
-    rows = match.match_pairs(posts, jobs, keep=("sentiment_score", "sentiment_label"))
+    rows = match.match_pairs(posts, jobs, keep=("sentiment_score", "sentiment_label"), words="words")
     heads = R.result_headers(jobs.select("job_id"), rows)
     return heads.select(
         "job_id",

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+# Functions of this package travel to the tasks by value, so the executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules["sentispark"])
+
 _DIR_KEY = "spark.checkpoint.dir"
 
 

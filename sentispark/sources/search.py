@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentispark.functions.keywords import token_set, word_list
+from sentispark.functions.keywords import keyword_pattern, word_list
 
 
 def validate_records(posts: DataFrame) -> DataFrame:
@@ -60,8 +60,7 @@ def search_posts(
     cursor is the (sort key, uri) of the last row of the page before, so a page never depends
     on how many rows came earlier. The page comes out of a top-k, not of a full sort.
     """
-    wanted = word_list(F.lit(query))
-    found = posts.filter(F.arrays_overlap(token_set("text"), wanted))
+    found = posts.filter(F.regexp_like("text", keyword_pattern(word_list(F.lit(query)))))
     if since is not None:
         found = found.filter(F.col("created_at") >= since)
     if until is not None:

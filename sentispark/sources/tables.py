@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sentispark.functions.labels import NEUTRAL_CONFIDENCE
 from sentispark.functions.numeric import clamp
+from sentispark.scale import spread
 
 BASE_TIME = "2024-01-01"
 
@@ -15,8 +16,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of long texts, spread out for per-row work."""
+    return spread(table(spark, folder, name))
+
+
 def documents_as_posts(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = text_table(spark, folder, "documents")
     return docs.select(F.col("doc_id").alias("post_id"), "text", "lang", "source")
 
 

@@ -1,0 +1,132 @@
+import pytest
+from conftest import FOLDER, seconds
+from pyspark.sql import functions as F
+
+from sentispark.plans import catalog
+from sentispark.session import fresh_dir
+from sentispark.streaming import live, position, tracking
+from sentispark.streaming.sinks import batch_folder, latest_state, read_batches, start
+
+ACTIVITY = "job_id string, ts timestamp, kind string, amount long"
+
+
+@pytest.fixture
+def rocksdb(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, tracking.ROCKSDB)
+    yield
+    spark.conf.set(key, before)
+
+
+def feed(spark, path, rows, schema=ACTIVITY):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def source(spark, path, schema=ACTIVITY):
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def run(query):
+    query.awaitTermination()
+    assert query.exception() is None
+
+
+def test_completion_over_several_batches(spark, rocksdb):
+    src, out, ckpt = (fresh_dir(spark, n) for n in ("src", "out", "ckpt"))
+    feed(
+        spark,
+        src,
+        [
+            ("all", seconds(0), "processed", 6),
+            ("most", seconds(0), "processed", 95),
+            ("few", seconds(0), "processed", 5),
+            ("silent", seconds(0), "processed", 5),
+            ("zero", seconds(3), "ingestion_complete", 0),
+            ("most", seconds(5), "ingestion_complete", 100),
+            ("few", seconds(5), "ingestion_complete", 100),
+        ],
+    )
+    go = lambda: run(start(tracking.completion(source(spark, src), "0 seconds"), batch_folder(out), ckpt))
+    go()
+    feed(spark, src, [("all", seconds(6), "ingestion_complete", 10), ("all", seconds(7), "processed", 4)])
+    go()
+    feed(spark, src, [("clock", seconds(100_000), "processed", 0)])
+    go()
+    got = {r["job_id"]: (r["decision"], r["processed"]) for r in read_batches(spark, out).collect()}
+    assert got == {
+        "all": ("complete", 10),
+        "zero": ("complete", 0),
+        "most": ("fallback", 95),
+        "few": ("expired", 5),
+        "silent": ("expired", 5),
+    }
+
+
+def test_job_expiry(spark, rocksdb):
+    src, out = fresh_dir(spark, "src"), fresh_dir(spark, "out")
+    feed(
+        spark,
+        src,
+        [
+            ("a", seconds(0), "start", 60_000),
+            ("a", seconds(1), "match", 3),
+            ("a", seconds(60), "match", 5),
+            ("open", seconds(0), "start", 0),
+            ("open", seconds(5), "match", 1),
+            ("stopped", seconds(0), "start", 60_000),
+            ("stopped", seconds(2), "match", 2),
+            ("stopped", seconds(3), "cancel", 0),
+            ("unknown", seconds(3), "match", 1),
+            ("clock", seconds(1000), "match", 0),
+        ],
+    )
+    stream = tracking.job_expiry(source(spark, src), "0 seconds")
+    run(start(stream, batch_folder(out), fresh_dir(spark, "ckpt")))
+    assert [(r["job_id"], r["total_items"]) for r in read_batches(spark, out).collect()] == [("a", 3)]
+
+
+def test_live_series_over_batches_equals_batch(spark):
+    schema = "job_id string, sentiment_score double, received_at timestamp"
+    src, out, ckpt = (fresh_dir(spark, n) for n in ("src", "out", "ckpt"))
+    for part in ([("j", 0.0, seconds(0)), ("j", 1.0, seconds(0.5))], [("j", 1.0, seconds(0.7)), ("j", -1.0, seconds(2))]):
+        feed(spark, src, part, schema)
+        run(live.run_live_series(source(spark, src, schema), out, ckpt, every=None))
+    got = live.read_live_series(spark, out).orderBy("time").collect()
+    assert [(r["post_count"], r["total_posts"], r["cumulative_average"]) for r in got] == [(3, 3, pytest.approx(2 / 3)), (1, 4, 0.25)]
+
+
+def test_retries_over_batches(spark):
+    schema = "content string, permanent boolean"
+    src, out, ckpt = (fresh_dir(spark, n) for n in ("src", "out", "ckpt"))
+    for _ in range(5):
+        feed(spark, src, [("m", False)], schema)
+        run(live.run_retries(source(spark, src, schema), out, ckpt))
+    got = read_batches(spark, out).orderBy("batch_id").collect()
+    assert [(r["retried"], r["discarded"]) for r in got] == [(1, 0), (1, 0), (1, 0), (0, 1), (1, 0)]
+
+
+def test_lifecycle_state_is_updated(spark):
+    schema = "job_id string, type string, ts timestamp, seq long, error_message string"
+    src, out, ckpt = (fresh_dir(spark, n) for n in ("src", "out", "ckpt"))
+    for kind, n in (("initial_batch", 1), ("failed", 2), ("completed", 3)):
+        feed(spark, src, [("j", kind, seconds(n), n, None)], schema)
+        run(live.run_lifecycle(source(spark, src, schema), out, ckpt))
+    row = latest_state(spark, out, ["job_id"]).first()
+    assert row["last_terminal"]["status"] == "completed" and row["first_start"]["seq"] == 1
+
+
+def test_position(spark):
+    path = fresh_dir(spark, "position")
+    assert position.load_position(spark, path) is None
+    assert position.save_position(spark, path, 5) is True
+    assert position.save_position(spark, path, 5) is False
+    assert position.load_position(spark, path) == 5
+    position.clear_position(spark, path)
+    assert position.load_position(spark, path) is None
+
+
+def test_pipeline_run_twice_stores_once(spark):
+    first = catalog.QUERIES["stream_match_pipeline"](spark, FOLDER)
+    assert first.count() == first.select("job_id", "source_url").distinct().count() > 0
+    assert first.filter(F.col("author_name").isNull()).count() == 0
