@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentispark.functions.numeric import round_half_up
+from sentispark.scale import join_per_key
+from sentispark.session import materialize
 
 
 def distinct_authors(posts: DataFrame, did: str = "did") -> DataFrame:
@@ -15,11 +17,11 @@ def distinct_authors(posts: DataFrame, did: str = "did") -> DataFrame:
 def attach_handles(posts: DataFrame, handles: DataFrame) -> DataFrame:
     """Fill ``handle`` from a (did, handle) table; the did stands in for an unknown one.
 
-    A plain left join: Spark broadcasts the handle table only below its size threshold, and a
-    very active author is split by the adaptive skew join otherwise.
+    The handle table is broadcast if it measures small; otherwise the join is salted, as one
+    very active author may have written a third of the posts.
     """
     known = handles.select("did", F.col("handle").alias("_handle"))
-    return posts.join(known, "did", "left").select(
+    return join_per_key(posts, known, "did", "left").select(
         *[
             F.coalesce("handle", "_handle", "did").alias("handle") if c == "handle" else c
             for c in posts.columns
@@ -51,8 +53,10 @@ def resolve_unique(dids: DataFrame, cached: DataFrame, fresh: DataFrame) -> Data
 
 def resolve_handles(dids: DataFrame, cached: DataFrame, fresh: DataFrame) -> DataFrame:
     """One output row per input row: handle (null when unknown or malformed) and cache flag."""
-    resolved = resolve_unique(dids, cached, fresh).drop("valid").withColumnRenamed("did", "_did")
-    return dids.join(resolved, F.col("did").eqNullSafe(F.col("_did")), "left").drop("_did")
+    resolved = materialize(
+        resolve_unique(dids, cached, fresh).filter(F.col("did").isNotNull()).drop("valid")
+    )
+    return join_per_key(dids, resolved, "did", "left").fillna(False, ["from_cache"])
 
 
 def lookup_coverage(resolved: DataFrame) -> DataFrame:
@@ -71,8 +75,8 @@ def lookup_coverage(resolved: DataFrame) -> DataFrame:
 
 
 def of_known_jobs(messages: DataFrame, jobs: DataFrame) -> DataFrame:
-    return messages.join(jobs.select("job_id"), "job_id", "left_semi")
+    return join_per_key(messages, jobs.select("job_id"), "job_id", "left_semi")
 
 
 def orphans(messages: DataFrame, jobs: DataFrame) -> DataFrame:
-    return messages.join(jobs.select("job_id"), "job_id", "left_anti")
+    return join_per_key(messages, jobs.select("job_id"), "job_id", "left_anti")

@@ -136,13 +136,9 @@ def route_failures(
     """
     permanent = F.col("permanent")
     counted = (
-        failures.withColumn("message_key", message_key("content"))
-        .groupBy("message_key")
-        .agg(
-            F.count_if(~permanent).alias("_transient"),
-            F.count_if(permanent).alias("_permanent"),
-            F.min("content").alias("content"),
-        )
+        failures.groupBy("content")
+        .agg(F.count_if(~permanent).alias("_transient"), F.count_if(permanent).alias("_permanent"))
+        .withColumn("message_key", message_key("content"))
     )
     known = attempts.select("message_key", F.col("retries").alias("_before"))
     start = F.coalesce("_before", F.lit(0))

@@ -15,7 +15,9 @@ from sentispark.functions.numeric import (
     score_units,
     units_mean,
 )
+from sentispark.scale import join_per_key
 from sentispark.schemas import LABELS
+from sentispark.session import materialize
 
 SCORE = "sentiment_score"
 LABEL = "sentiment_label"
@@ -178,8 +180,9 @@ def row_time() -> Column:
 def _trend_parts(rows: DataFrame, window_ms: int, as_of: Column | None, at: Column | None) -> DataFrame:
     """Per job: count, first and last time, and count and score units of both windows.
 
-    Two grouped passes joined on the job. A window over each job would be one pass, but would
-    move all rows of a job into one task.
+    Two grouped passes, the first one's table of one row per job joined to the rows of the
+    second. A window over each job would be one pass, but would move all rows of a job into one
+    task.
     """
     points = rows.select(
         "job_id", epoch_ms(at if at is not None else row_time()).alias("t"), score_units(SCORE).alias("u")
@@ -190,7 +193,8 @@ def _trend_parts(rows: DataFrame, window_ms: int, as_of: Column | None, at: Colu
     if as_of is not None:
         aged = points.withColumn("_age", epoch_ms(as_of) - F.col("t"))
     else:
-        aged = points.join(spans.select("job_id", "last_ms"), "job_id").withColumn(
+        spans = materialize(spans)
+        aged = join_per_key(points, spans.select("job_id", "last_ms"), "job_id").withColumn(
             "_age", F.col("last_ms") - F.col("t")
         )
     recent = F.col("_age") <= window_ms

@@ -33,6 +33,24 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return measured_bytes(df) <= limit
 
 
+def join_per_key(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` to a ``table`` of one row per key, whatever the skew of the rows.
+
+    A table that measures small is broadcast and the rows stay where they are. Otherwise both
+    sides are shuffled on (key, salt) with the table repeated per salt, so a key holding a third
+    of the rows is spread over many tasks. ``how`` may be inner, left, left_semi or left_anti.
+    ``table`` is read twice (measured, joined); pass stored or cheap data.
+    """
+    if fits_broadcast(table):
+        return rows.join(F.broadcast(table), key, how)
+    # From content and input split: a task that runs again salts its rows the same way, and even
+    # identical rows are spread as far as their splits.
+    row_hash = F.xxhash64(*rows.columns, F.spark_partition_id())
+    salted = rows.withColumn("_salt", F.pmod(row_hash, F.lit(SALTS)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str
 ) -> DataFrame:
@@ -44,29 +62,22 @@ def number_rows(
     slices before it. The slices are written once, since the boundaries come from a sample and
     must be the same for the numbering and for the sizes. ``order`` has to be total per key.
     """
-    keys = list(keys)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    # As one struct the key is never null, so rows without a key are numbered and joined too.
+    keyed = df.withColumn("_key", F.struct(*keys))
     sliced = materialize(
-        df.repartitionByRange(*[F.col(k).asc() for k in keys], *order_cols).withColumn(
-            "_slice", F.spark_partition_id()
-        )
+        keyed.repartitionByRange(F.col("_key"), *order_cols).withColumn("_slice", F.spark_partition_id())
     )
-    slice_keys = [*keys, "_slice"]
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sliced.groupBy(*slice_keys)
+        sliced.groupBy("_key", "_slice")
         .agg(F.count(F.lit(1)).alias("_size"))
-        .select(*slice_keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+        .select("_key", "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     )
-    within = Window.partitionBy(*slice_keys).orderBy(*order_cols)
+    within = Window.partitionBy("_key", "_slice").orderBy(*order_cols)
     numbered = sliced.withColumn("_position", F.row_number().over(within))
-    joined = numbered.alias("l").join(
-        offsets.alias("r"),
-        on=[F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in slice_keys],
-    )
-    return joined.select(
-        *[F.col(f"l.{c}").alias(c) for c in df.columns],
-        (F.col("r._offset") + F.col("l._position")).cast("long").alias(out),
+    return numbered.join(offsets, ["_key", "_slice"]).select(
+        *df.columns, (F.col("_offset") + F.col("_position")).cast("long").alias(out)
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentispark.scale import keep_first
+from sentispark.scale import join_per_key, keep_first
 from sentispark.session import materialize
 
 CHUNK_DAYS = 7
@@ -144,7 +144,7 @@ def insert_if_absent(batch: DataFrame, path: str, arrival: list[Column] | None =
 
 def without_jobs(rows: DataFrame, jobs: DataFrame) -> DataFrame:
     """Rows left after deleting ``jobs`` (and, by cascade, their rows)."""
-    return rows.join(jobs.select("job_id").distinct(), "job_id", "left_anti")
+    return join_per_key(rows, jobs.select("job_id").distinct(), "job_id", "left_anti")
 
 
 def deleted_counts(rows: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def delete_jobs(spark: SparkSession, path: str, jobs: DataFrame) -> int:
     stored = spark.read.parquet(path)
     doomed = jobs.select("job_id").distinct()
     per_chunk = (
-        stored.join(doomed, "job_id", "left_semi")
+        join_per_key(stored, doomed, "job_id", "left_semi")
         .groupBy("chunk_start")
         .agg(F.count(F.lit(1)).alias("n"))
         .collect()
@@ -172,7 +172,9 @@ def delete_jobs(spark: SparkSession, path: str, jobs: DataFrame) -> int:
         return 0
     touched = [r["chunk_start"] for r in per_chunk]
     kept = materialize(
-        stored.filter(F.col("chunk_start").isin(touched)).join(doomed, "job_id", "left_anti")
+        join_per_key(
+            stored.filter(F.col("chunk_start").isin(touched)), doomed, "job_id", "left_anti"
+        )
     )
     left = {r[0] for r in kept.select("chunk_start").distinct().collect()}
     if left:

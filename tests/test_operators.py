@@ -406,3 +406,12 @@ def test_builders(spark):
     row = results.distribution_pivot(rows).first()
     assert (row["positive"], row["neutral"], row["negative"]) == (5, 3, 2)
     assert datagen.message_batch(spark, 31).select("text_content").distinct().count() == 15
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_equals_broadcast_join(spark, monkeypatch, how):
+    rows = spark.range(500).select((F.col("id") % 7 * (F.col("id") % 3)).alias("k"), "id")
+    table = spark.createDataFrame([(0, "a"), (2, "b"), (12, "c"), (99, "d")], "k long, v string")
+    want = sorted(map(str, scale.join_per_key(rows, table, "k", how).collect()))
+    monkeypatch.setattr(scale, "fits_broadcast", lambda df: False)
+    assert sorted(map(str, scale.join_per_key(rows, table, "k", how).collect())) == want
