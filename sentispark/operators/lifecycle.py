@@ -77,7 +77,8 @@ def update_status(jobs: DataFrame, updates: DataFrame, at: Column) -> DataFrame:
 
 def updated_jobs(jobs: DataFrame, updates: DataFrame, at: Column) -> DataFrame:
     """Only the rows the update touched."""
-    return update_status(jobs, updates, at).join(updates.select("job_id"), "job_id", "left_semi")
+    touched = updates.select("job_id").distinct()
+    return update_status(jobs, updates, at).join(touched, "job_id", "left_semi")
 
 
 def completion_ratio(processed: Column, expected: Column) -> Column:

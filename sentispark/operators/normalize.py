@@ -41,8 +41,10 @@ def author_or_did() -> Column:
     return F.coalesce(F.when(_present(F.col("handle")), F.col("handle")), F.col("did"))
 
 
-def raw_records(matches: DataFrame, collected_at: Column | None = None) -> DataFrame:
-    """Matched posts (one row per post and job) as records to be scored."""
+def raw_records(
+    matches: DataFrame, collected_at: Column | None = None, keep: list[str] = ()
+) -> DataFrame:
+    """Matched posts (one row per post and job) as records to be scored; ``keep`` passes through."""
     return matches.select(
         "job_id",
         F.col("text").alias("text_content"),
@@ -53,6 +55,7 @@ def raw_records(matches: DataFrame, collected_at: Column | None = None) -> DataF
         F.lit(None).cast("int").alias("comment_count"),
         F.col("created_at").alias("published_at"),
         (collected_at if collected_at is not None else F.current_timestamp()).alias("collected_at"),
+        *keep,
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sentispark.scale import join_per_key
 from sentispark.schemas import POST_COLLECTION, RAW_EVENT
 
 
@@ -91,5 +92,5 @@ def restrict(
     if max_bytes > 0:
         out = out.filter(F.octet_length(raw) <= max_bytes)
     if authors is not None:
-        out = out.join(authors.select("did").distinct(), "did", "left_semi")
+        out = join_per_key(out, authors.select("did").distinct(), "did", "left_semi")
     return out

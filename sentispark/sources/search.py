@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentispark.functions.keywords import keyword_pattern, word_list
-
 
 def validate_records(posts: DataFrame) -> DataFrame:
     """Add ``reason`` (null when usable), ``text``, ``created_at`` and ``langs``.
@@ -44,6 +44,14 @@ def engagement() -> Column:
     return parts[0] + parts[1] + parts[2]
 
 
+def any_word_pattern(query: str) -> str:
+    """Pattern for any ASCII word of a query; compiled once, as it is a literal."""
+    words = re.findall("[A-Za-z0-9_]+", query)
+    if not words:
+        return "(?!)"
+    return f"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(words)})(?![A-Za-z0-9_])"
+
+
 def search_posts(
     posts: DataFrame,
     query: str,
@@ -60,7 +68,7 @@ def search_posts(
     cursor is the (sort key, uri) of the last row of the page before, so a page never depends
     on how many rows came earlier. The page comes out of a top-k, not of a full sort.
     """
-    found = posts.filter(F.regexp_like("text", keyword_pattern(word_list(F.lit(query)))))
+    found = posts.filter(F.col("text").rlike(any_word_pattern(query)))
     if since is not None:
         found = found.filter(F.col("created_at") >= since)
     if until is not None:

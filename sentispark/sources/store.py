@@ -116,11 +116,23 @@ def first_arrivals(batch: DataFrame, arrival: list[Column]) -> DataFrame:
 
 def absent_rows(batch: DataFrame, stored: DataFrame | None, arrival: list[Column]) -> DataFrame:
     """Rows of ``batch`` an insert-if-absent would store: first arrivals not stored yet."""
-    first = first_arrivals(batch, arrival)
+    return _not_stored(first_arrivals(batch, arrival), stored)
+
+
+def _not_stored(rows: DataFrame, stored: DataFrame | None) -> DataFrame:
     if stored is None:
-        return first
+        return rows
     # Null keys are unequal to everything in an anti join, which is the wanted meaning.
-    return first.join(stored.select(*_KEY), list(_KEY), "left_anti").select(*batch.columns)
+    return rows.join(stored.select(*_KEY), list(_KEY), "left_anti").select(*rows.columns)
+
+
+def _stored_chunks(batch: DataFrame, path: str) -> DataFrame | None:
+    """Stored rows of the chunks a batch touches, or None before the first write."""
+    stored = stored_rows(batch.sparkSession, path)
+    if stored is None:
+        return None
+    chunks = [r[0] for r in with_chunk(batch).select("chunk_start").distinct().limit(2001).collect()]
+    return stored.filter(F.col("chunk_start").isin(chunks)) if len(chunks) <= 2000 else stored
 
 
 def insert_if_absent(batch: DataFrame, path: str, arrival: list[Column] | None = None) -> DataFrame:
@@ -129,19 +141,18 @@ def insert_if_absent(batch: DataFrame, path: str, arrival: list[Column] | None =
     Written once before appending, so the returned rows do not change when read again; running
     the same batch twice stores nothing more.
     """
-    spark = batch.sparkSession
     order = arrival or [F.col("collected_at"), F.col("id")]
-    stored = stored_rows(spark, path)
-    if stored is not None:
-        chunks = [r[0] for r in with_chunk(batch).select("chunk_start").distinct().limit(2001).collect()]
-        if len(chunks) <= 2000:
-            stored = stored.filter(F.col("chunk_start").isin(chunks))
-    inserted = materialize(absent_rows(batch, stored, order))
+    inserted = materialize(absent_rows(batch, _stored_chunks(batch, path), order))
     if not inserted.isEmpty():
         write_rows(inserted, path)
     return inserted
 
 
+def store_absent(rows: DataFrame, path: str) -> None:
+    """``insert_if_absent`` for rows whose keys are known to differ, without returning them."""
+    write_rows(_not_stored(rows, _stored_chunks(rows, path)), path)
+
+
 def without_jobs(rows: DataFrame, jobs: DataFrame) -> DataFrame:
     """Rows left after deleting ``jobs`` (and, by cascade, their rows)."""
     return join_per_key(rows, jobs.select("job_id").distinct(), "job_id", "left_anti")

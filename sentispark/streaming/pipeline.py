@@ -4,32 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentispark.operators import enrich, match, normalize, validate
 from sentispark.operators.score import score_with_lexicon
+from sentispark.scale import keep_first
 from sentispark.session import materialize
 from sentispark.sources import store
 from sentispark.sources.events import parse_events
 from sentispark.streaming.sinks import start
 
+Score = Callable[[DataFrame], DataFrame]
 
-def score_batch(
-    lines: DataFrame,
-    jobs: DataFrame,
-    handles: DataFrame,
-    collected_at,
-    score: Callable[[DataFrame], DataFrame] = score_with_lexicon,
-    event_time: str | None = None,
-) -> DataFrame:
-    """Event lines -> posts -> matches -> records -> scored rows, all as one plan."""
+
+def valid_posts(lines: DataFrame, as_of: Column) -> DataFrame:
+    """Posts with a usable date, and ``post_key``: equal for copies of one post only."""
     posts = normalize.normalize_posts(parse_events(lines))
-    matches = match.match_posts(posts, jobs, key="uri", event_time=event_time)
-    records = normalize.raw_records(enrich.attach_handles(matches, handles), collected_at)
-    checked = validate.check_dates(validate.accepted(validate.check_raw_records(records)), collected_at)
-    scored = score(normalize.fill_defaults(validate.accepted(checked)))
-    return scored.withColumns({"id": store.row_id(), "analyzed_at": F.col("collected_at")})
+    dated = validate.accepted(validate.check_dates(posts, as_of, columns=("created_at",)))
+    return dated.withColumn(
+        "post_key", F.sha1(F.concat_ws(" ", "uri", F.col("created_at").cast("string")))
+    )
+
+
+def scored_rows(
+    posts: DataFrame, pairs: DataFrame, handles: DataFrame, collected_at: Column, score: Score
+) -> DataFrame:
+    """Storable rows of the matched posts, one per (post, job).
+
+    Copies of a post are dropped, its author looked up and its text scored before the post is
+    repeated for every job that matched it.
+    """
+    found = posts.join(pairs.select("post_key").distinct(), "post_key", "left_semi")
+    first = keep_first(found, [F.col("post_key")], [F.col("time_us"), F.col("text")])
+    scored = score(enrich.attach_handles(first, handles).withColumnRenamed("text", "text_content"))
+    sentiment = ["sentiment_score", "sentiment_label", "confidence"]
+    per_job = scored.join(pairs, "post_key").withColumnRenamed("text_content", "text")
+    records = normalize.raw_records(per_job, collected_at, keep=sentiment)
+    return normalize.fill_defaults(records).withColumns(
+        {
+            "id": store.row_id(),
+            "collected_at": F.col("collected_at").cast("timestamp_ntz"),
+            "analyzed_at": F.col("collected_at").cast("timestamp_ntz"),
+        }
+    )
+
+
+def processed_counts(posts: DataFrame, pairs: DataFrame, at: Column) -> DataFrame:
+    """One progress row per job; copies of a post count every time they arrive."""
+    arrivals = posts.groupBy("post_key").agg(F.count(F.lit(1)).alias("copies"))
+    return (
+        pairs.join(arrivals, "post_key")
+        .groupBy("job_id")
+        .agg(F.sum("copies").alias("amount"))
+        .withColumns({"ts": at, "kind": F.lit("processed")})
+    )
 
 
 def run_match_pipeline(
@@ -40,31 +69,29 @@ def run_match_pipeline(
     progress_path: str,
     checkpoint: str,
     event_time: str | None = None,
-    collected_at=None,
-    score: Callable[[DataFrame], DataFrame] = score_with_lexicon,
+    collected_at: Column | None = None,
+    score: Score = score_with_lexicon,
     every: str | None = None,
 ):
     """Match a stream of event lines against all active jobs.
 
     Job and handle tables are read again for every batch, so new and cancelled jobs take effect
     at the next one. Rows are stored once however often a batch runs, whatever their age: late
-    posts land in their own time chunk. Per batch and job, one progress row counts what was
+    posts land in their own time chunk. The narrow (post, job) pairs are written once per batch;
+    texts are written only to the store. Per batch and job, one progress row counts what was
     processed, duplicates included; the completion tracker reads those instead of single rows.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         now = collected_at if collected_at is not None else F.current_timestamp()
-        rows = materialize(
-            score_batch(batch, read_jobs(spark), read_handles(spark), now, score, event_time)
+        posts = valid_posts(batch, now)
+        pairs = materialize(
+            match.match_pairs(posts, read_jobs(spark), key="post_key", event_time=event_time)
         )
-        store.insert_if_absent(rows, rows_path, [F.col("collected_at"), F.col("id")])
-        (
-            rows.groupBy("job_id")
-            .agg(F.count(F.lit(1)).alias("amount"), F.max("collected_at").alias("ts"))
-            .withColumn("kind", F.lit("processed"))
-            .write.mode("overwrite")
-            .parquet(f"{progress_path}/batch_id={batch_id}")
+        store.store_absent(scored_rows(posts, pairs, read_handles(spark), now, score), rows_path)
+        processed_counts(posts, pairs, now).write.mode("overwrite").parquet(
+            f"{progress_path}/batch_id={batch_id}"
         )
 
     return start(lines, write, checkpoint, every=every)
