@@ -197,13 +197,13 @@ def stream_retries(spark, folder):
 
 
 @query(
-    "stream_match_pipeline",
+    "stream_match",
     f"""WITH {ingest._POSTS}, {matching._PAIRS}, {matching._lexicon_sql(matching.SAMPLE_WEIGHTS)}
     SELECT job_id, 'https://bsky.app/profile/' || coalesce(s_name, did) || '/post/r' || doc_id AS source_url,
       coalesce(s_name, did) AS author_name, label AS sentiment_label, CAST(round(score * 1e6) AS BIGINT) AS score_millionths
     FROM posts JOIN pairs ON post_id = doc_id JOIN sentiment ON k = doc_id LEFT JOIN supplier ON s_suppkey = user_id""",
 )
-def stream_match_pipeline(spark, folder):
+def stream_match(spark, folder):
     """Event lines as a text stream, matched, scored and stored; the stored rows come back."""
     source = fresh_dir(spark, "lines")
     ingest.raw_lines(spark, folder).select("value").write.text(source)

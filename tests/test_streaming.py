@@ -127,7 +127,7 @@ def test_position(spark):
 
 
 def test_pipeline_run_twice_stores_once(spark):
-    first = catalog.QUERIES["stream_match_pipeline"](spark, FOLDER)
+    first = catalog.QUERIES["stream_match"](spark, FOLDER)
     assert first.count() == first.select("job_id", "source_url").distinct().count() > 0
     assert first.filter(F.col("author_name").isNull()).count() == 0
 
