@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentispark.llm import byte_bpe, token_counts
+from sentispark.llm import byte_bpe, jaccard_join, token_counts
 from sentispark.session import fresh_dir, use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,9 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
         _table(spark, folder, "documents"), "json", _file("byte_bpe_50k.json"), fresh_dir(spark, "token-cache")
     )
     return counts.withColumnRenamed("id", "doc_id")
+
+
+@query("op9_ngram_jaccard")
+def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard_join.near_duplicates(_table(spark, folder, "documents"), words=5, percent=75)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
