@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentispark.llm import byte_bpe, jaccard_join, token_counts
+from sentispark.llm import byte_bpe, jaccard_join, suffix_dedup, token_counts
 from sentispark.session import fresh_dir, use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,15 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     found = jaccard_join.near_duplicates(_table(spark, folder, "documents"), words=5, percent=75)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@query("op8_suffix_array_dedup")
+def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_table(spark, folder, "documents"), span=50)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        "n_removed",
+        F.floor(F.octet_length("spans") / 16).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
