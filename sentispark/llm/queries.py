@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentispark.llm import byte_bpe, jaccard_join, suffix_dedup, token_counts
+from sentispark.llm import byte_bpe, jaccard_join, suffix_dedup, token_counts, warc
 from sentispark.session import fresh_dir, use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,25 @@ def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.floor(F.octet_length("spans") / 16).cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query(
+    "op1_warc",
+    """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+    SELECT page_id, payload_bytes, p.payload_digest,
+           CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN first <> page_id THEN first END AS refers_to
+    FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+    """,
+)
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    index = warc.write(_table(spark, folder, "pages"), fresh_dir(spark, "warc"), least=100)
+    return warc.lookup(spark, index).select(
+        F.col("id").alias("page_id"),
+        F.col("length").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.col("refers").alias("refers_to"),
+    )
