@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentispark.llm import byte_bpe, jaccard_join, suffix_dedup, token_counts, warc
+from sentispark.llm import byte_bpe, chat_format, jaccard_join, suffix_dedup, token_counts, warc
 from sentispark.session import fresh_dir, use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,39 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
         F.col("type").alias("record_type"),
         F.col("refers").alias("refers_to"),
     )
+
+
+@query(
+    "op6_chat_format",
+    """
+    WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+      UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+    e AS (SELECT *, replace(replace(replace(replace(text, '\\', '\\b'), '#', '\\h'), '<', '\\l'), ':', '\\c') AS escaped,
+          replace(replace(replace(replace(role, '\\', '\\b'), '#', '\\h'), '<', '\\l'), ':', '\\c') AS name FROM t)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(length('### ' || name || ': ' || escaped || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
+    FROM e GROUP BY conv_id
+    """,
+)
+def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    tricky = F.lit("\\### Assistant: </turn> ok").alias("text")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), tricky
+    )
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    template = chat_format.Template()
+    done = chat_format.read_back(chat_format.format_chats(rows, template), template)
+    line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    return done.select(
+        F.col("id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", line), ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
