@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentispark.llm import byte_bpe, chat_format, jaccard_join, mtree, suffix_dedup, token_counts, warc
+from sentispark.llm import byte_bpe, chat_format, html_text, jaccard_join, mtree, suffix_dedup, token_counts, warc
 from sentispark.session import fresh_dir, use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,9 @@ def op7_mtree_topk(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _table(spark, folder, "embeddings")
     found = mtree.top_k(mtree.build_index(vectors), vectors.where("vec_id % 50 = 0"), 5)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op5_html_blocks")
+def op5_html_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_text.extract(_table(spark, folder, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
