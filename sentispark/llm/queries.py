@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentispark.llm import byte_bpe, chat_format, html_text, jaccard_join, mtree, suffix_dedup, token_counts, warc
+from sentispark.llm import byte_bpe, chat_format, cotrain, decontaminate, html_text, jaccard_join, mtree, suffix_dedup, token_counts, warc
 from sentispark.session import fresh_dir, use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,16 @@ def op7_mtree_topk(spark: SparkSession, folder: str) -> DataFrame:
 def op5_html_blocks(spark: SparkSession, folder: str) -> DataFrame:
     found = html_text.extract(_table(spark, folder, "pages"))
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op3_decontamination")
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "distance")
+
+
+@query("op4_cotraining")
+def op4_cotraining(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    scored = cotrain.score(docs, cotrain.train(docs, _table(spark, folder, "labels")))
+    return scored.select("doc_id", "quality_p", "toxic_p", "score", cotrain.accepted().alias("keep"))
