@@ -254,35 +254,40 @@ def _receiver(span: int):
     return lambda batches: _grouped_rows(rows(batches), _SPANS)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.binary()), ("kept", pa.binary())])
-
-    def rows(piece: pa.RecordBatch) -> Iterator[tuple]:
-        for i, text, copy, found in zip(*(c.to_pylist() for c in piece.columns)):
-            data = text.encode()
-            if copy:
-                spans = np.array([[0, len(data)]], np.int64)
-            elif found:
-                spans = _united(np.frombuffer(b"".join(found), np.int64).reshape(-1, 2))
-            else:
-                yield i, len(data), 0, b"", data
-                continue
-            edges = [0, *spans.ravel().tolist(), len(data)]
-            kept = b"".join(data[b:e] for b, e in zip(edges[::2], edges[1::2]))
-            yield i, len(data), len(data) - len(kept), spans.tobytes(), kept
-
-    for piece in slices(batches, "text", 4 << 20):
-        yield from _grouped_rows(rows(piece), schema)
+def _cut(as_text: bool):
+    def cut(text: str, copy: bool | None, found: list[bytes] | None) -> tuple[int, int, bytes, bytes]:
+        data = text.encode()
+        if copy:
+            spans = np.array([[0, len(data)]], np.int64)
+        elif found:
+            spans = _united(np.frombuffer(b"".join(found), np.int64).reshape(-1, 2))
+        else:
+            return len(data), 0, b"", data
+        edges = [0, *spans.ravel().tolist(), len(data)]
+        kept = b"".join(data[b:e] for b, e in zip(edges[::2], edges[1::2]))
+        return len(data), len(data) - len(kept), spans.tobytes(), kept
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "text", 4 << 20):
+            sizes, removed, spans, kept = zip(*map(cut, *(piece.column(c).to_pylist() for c in ("text", "copy", "found"))))
+            kept = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.binary()), kept, piece.column("carried")],
+                ["id", "n_bytes", "n_removed", "spans", "kept", "carried"],
+            )
+
+    return run
 
 
 def _no_meta(docs: np.ndarray, keys: np.ndarray, count: int) -> list[bytes]:
     return [b""] * count
 
 
-def remove_repeats(docs: DataFrame, span: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, spans, kept) of every row of ``docs``.
+def remove_repeats(docs: DataFrame, span: int = 50, key: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
+    """(id, n_bytes, n_removed, spans, kept, carried) of every row of ``docs``.
 
-    ``spans``: packed pairs (begin, end) of the maximal removed runs; ``kept``: the remaining bytes. A null
+    ``spans``: packed pairs (begin, end) of the maximal removed runs; ``kept``: the remaining bytes, or as text
+    without the parts of cut characters; ``carried``: the other columns of ``docs``, as a struct. A null
     text is empty; texts under ``span`` bytes lose nothing. Rows without an id lose nothing and
     are never a source. Rows that repeat an id are one document: they remove nothing from each other
     when their texts are equal. ``span`` is at least 40.
@@ -306,7 +311,11 @@ def remove_repeats(docs: DataFrame, span: int = 50, key: str = "doc_id", text: s
     )
     lost = sent.repartitionById(parts, "part").mapInArrow(_receiver(span), "id long, spans binary")
     lost = lost.groupBy("id").agg(F.collect_list("spans").alias("found"))
-    marked = rows.join(copies.withColumn("copy", F.lit(True)), "id", "left").join(lost, "id", "left")
-    return marked.select("id", "text", "copy", "found").mapInArrow(
-        _cut, "id long, n_bytes long, n_removed long, spans binary, kept binary"
+    other = [F.col(c) for c in docs.columns if c != text] or [F.lit(None).cast("string").alias("none")]
+    whole = docs.select(
+        F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*other).alias("carried")
     )
+    marked = whole.join(copies.withColumn("copy", F.lit(True)), "id", "left").join(lost, "id", "left")
+    rows = marked.select("id", "text", "carried", "copy", "found")
+    schema = rows.select("id").schema.add("n_bytes", "long").add("n_removed", "long").add("spans", "binary").add("kept", "string" if as_text else "binary")
+    return rows.mapInArrow(_cut(as_text), schema.add(rows.schema["carried"]))
