@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MIN_KEYWORD_LENGTH = 2
+# Fixed value: keywords the original rule takes from a prompt.
 MAX_KEYWORDS = 20
 
 # Words never used as keywords.
@@ -35,14 +36,15 @@ STOP_WORDS = frozenset(
 # Fixed value: characters that separate words of a prompt. Java's \s is ASCII only, so the
 # Unicode spaces are listed with it.
 _SEPARATORS = r"""[\s\x{feff}\p{Z},.!?;:'"()\[\]{}<>/\\|@#$%^&*+=~`\-_]+"""
+# Hashtags, plain words and pattern characters.
 _HASHTAG = r"#([a-zA-Z0-9_]+)"
 _PLAIN_WORD = r"^[a-zA-Z0-9]+$"
 _NON_WORD = r"[^A-Za-z0-9_]+"
 _META = r"[.*+?^${}()|\[\]\\]"
 
 
-def extract_keywords(prompt: Column | str) -> Column:
-    """Hashtags first, then the plain words that are no stop words; at most twenty."""
+def extract_keywords(prompt: Column | str, max_keywords: int | None = None) -> Column:
+    """Hashtags first, then the plain words that are no stop words; all, or the first ``max_keywords``."""
     prompt = F.col(prompt) if isinstance(prompt, str) else prompt
     tags = F.transform(F.regexp_extract_all(prompt, F.lit(_HASHTAG), F.lit(1)), F.lower)
     words = F.filter(
@@ -52,7 +54,8 @@ def extract_keywords(prompt: Column | str) -> Column:
         & w.rlike(_PLAIN_WORD)
         & ~F.array_contains(tags, w),
     )
-    return F.slice(F.concat(tags, words), 1, MAX_KEYWORDS)
+    found = F.concat(tags, words)
+    return found if max_keywords is None else F.slice(found, 1, max_keywords)
 
 
 def word_list(text: Column | str) -> Column:

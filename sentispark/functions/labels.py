@@ -134,4 +134,4 @@ def score_percent(score: Column) -> Column:
 
 
 def capitalized(label: Column) -> Column:
-    return F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(label, 1, 1)), F.substr(label, F.lit(2)))

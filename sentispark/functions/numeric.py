@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Scores are summed as whole units of 1e-8: finer than the 32-bit scores at rest, and the sum
-# does not depend on the order in which tasks finish. A 64-bit sum holds 9e10 rows of one key.
+# does not depend on the order in which tasks finish. The units are decimals, whose sums have ten digits
+# more: a 64-bit sum would overflow at 9e10 rows of one key.
 SCORE_UNIT = 1e8
 
 
@@ -24,11 +25,11 @@ def clamp(value: Column | str, low: float = -1.0, high: float = 1.0) -> Column:
 
 
 def score_units(score: Column | str) -> Column:
-    return F.round(_as_column(score).cast("double") * F.lit(SCORE_UNIT)).cast("long")
+    return F.round(_as_column(score).cast("double") * F.lit(SCORE_UNIT)).cast("long").cast("decimal(18,0)")
 
 
 def units_mean(total_units: Column, count: Column) -> Column:
-    return F.when(count > 0, total_units / F.lit(SCORE_UNIT) / count)
+    return F.when(count > 0, total_units.cast("double") / F.lit(SCORE_UNIT) / count)
 
 
 def mean_score(score: Column | str, where: Column | None = None) -> Column:
@@ -36,7 +37,7 @@ def mean_score(score: Column | str, where: Column | None = None) -> Column:
     units = score_units(score)
     if where is not None:
         units = F.when(where, units)
-    return F.sum(units) / F.lit(SCORE_UNIT) / F.count(units)
+    return F.sum(units).cast("double") / F.lit(SCORE_UNIT) / F.count(units)
 
 
 def epoch_ms(ts: Column | str) -> Column:

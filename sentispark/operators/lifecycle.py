@@ -34,8 +34,13 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def apply_lifecycle(jobs: DataFrame, folded: DataFrame) -> DataFrame:
-    """Job table after the folded events, with the end time and the error message filled in."""
+    """Job table after the folded events, with the end time and the error message filled in.
+
+    A job without a terminal event keeps the outcome it has, so folding batch after batch ends
+    where folding all events at once does. Batches come in the order of their events.
+    """
     last, start = F.col("last_terminal"), F.col("first_start")
+    known = {c: F.col(c) if c in jobs.columns else F.lit(None) for c in ("completed_at", "error_message")}
     starts = (F.col("status") == "pending") & start.isNotNull()
     status = (
         F.when(last.isNotNull(), last["status"])
@@ -48,8 +53,12 @@ def apply_lifecycle(jobs: DataFrame, folded: DataFrame) -> DataFrame:
         *[c for c in jobs.columns if c not in set_here],
         status.alias("status"),
         F.coalesce(changed, F.col("updated_at")).alias("updated_at"),
-        F.when(last["status"] == "completed", last["ts"]).alias("completed_at"),
-        F.when(last["status"] == "failed", last["error_message"]).alias("error_message"),
+        F.when(last["status"] == "completed", last["ts"])
+        .when(last.isNull(), known["completed_at"].cast(folded.schema["last_terminal"].dataType["ts"].dataType))
+        .alias("completed_at"),
+        F.when(last["status"] == "failed", last["error_message"])
+        .when(last.isNull(), known["error_message"].cast("string"))
+        .alias("error_message"),
     )
 
 

@@ -24,12 +24,13 @@ def active_jobs(
     started_at: str | None = None,
     max_duration_ms: Column | int = DEFAULT_DURATION_MS,
     cancelled_at: Column | None = None,
+    max_keywords: int | None = None,
 ) -> DataFrame:
     """Jobs with their keywords and, if started, the interval in which they count posts.
 
-    The interval ends after ``max_duration_ms`` (0 = never) or at the cancellation.
+    All keywords of a prompt count unless ``max_keywords`` limits them. The interval ends after ``max_duration_ms`` (0 = never) or at the cancellation.
     """
-    out = jobs.withColumn("keywords", F.array_distinct(extract_keywords(prompt)))
+    out = jobs.withColumn("keywords", F.array_distinct(extract_keywords(prompt, max_keywords)))
     if started_at is None:
         return out
     duration = max_duration_ms if isinstance(max_duration_ms, Column) else F.lit(max_duration_ms)

@@ -294,7 +294,7 @@ def stats_bundle(
         score = _nss_columns()
     return heads.join(_trend_parts(rows, window_ms, as_of, at), "job_id").select(
         "job_id",
-        (F.col("_units") / F.lit(SCORE_UNIT) / F.col("total_posts")).alias("average_sentiment"),
+        units_mean(F.col("_units"), F.col("total_posts")).alias("average_sentiment"),
         score.alias("nss"),
         "total_posts",
         *LABELS,

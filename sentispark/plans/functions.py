@@ -204,12 +204,12 @@ def relative_times(spark, folder):
 @query(
     "relative_dates_with_year",
     """SELECT o_orderkey, CASE WHEN year(o_orderdate) = 2001 THEN strftime(o_orderdate, '%b %-d') ELSE strftime(o_orderdate, '%b %-d, %Y') END AS age
-    FROM orders WHERE o_orderdate < TIMESTAMP '2001-12-01'""",
+    FROM orders""",
 )
 def relative_dates_with_year(spark, folder):
     as_of = F.lit("2001-12-31").cast("timestamp_ntz")
-    orders = table(spark, folder, "orders").filter(F.col("o_orderdate") < F.lit("2001-12-01").cast("timestamp_ntz"))
-    return orders.select("o_orderkey", X.relative_time("o_orderdate", as_of, show_year=True).alias("age"))
+    # All orders are older than a week by then.
+    return table(spark, folder, "orders").select("o_orderkey", X.relative_time("o_orderdate", as_of, show_year=True).alias("age"))
 
 
 @query("message_keys", "SELECT conv_id, turn, sha1(text) AS message_key FROM conversations")

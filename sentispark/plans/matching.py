@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from sentispark.functions.keywords import STOP_WORDS, extract_keywords, keyword_pattern, word_list
+from sentispark.functions.keywords import MAX_KEYWORDS, STOP_WORDS, extract_keywords, keyword_pattern, word_list
 from sentispark.functions.lexicon import WEIGHTS
 from sentispark.operators import enrich, match, score
 from sentispark.operators import results as R
@@ -14,9 +14,9 @@ from sentispark.sources.tables import documents_as_posts, events_as_scored, prom
 _STOP = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
 _BOUNDARY = r"""[\s,.!?;:''"()\[\]{}<>/\\|@#$%^&*+=~`\-_]+"""
 _KEYWORDS = f"""
-  keys AS (SELECT item_id AS job_id, list_slice(list_concat(tags, list_filter(words, lambda w:
+  keys AS (SELECT item_id AS job_id, list_concat(tags, list_filter(words, lambda w:
       length(w) >= 2 AND NOT list_contains([{_STOP}], w) AND regexp_full_match(w, '[a-zA-Z0-9]+')
-      AND NOT list_contains(tags, w))), 1, 20) AS keywords
+      AND NOT list_contains(tags, w))) AS keywords
     FROM (SELECT item_id, text, list_transform(regexp_extract_all(text, '#([a-zA-Z0-9_]+)', 1), lambda t: lower(t)) AS tags,
                  regexp_split_to_array(lower(text), '{_BOUNDARY}') AS words FROM benchmark))"""
 _TOKENS = """
@@ -39,10 +39,22 @@ def _matches(spark, folder, strategy="auto"):
 
 @query(
     "extract_keywords",
-    f"WITH {_KEYWORDS} SELECT job_id, array_to_string(keywords, ' ') AS keywords, len(keywords) AS n FROM keys",
+    f"""WITH {_KEYWORDS} SELECT job_id, array_to_string(keywords[1:{MAX_KEYWORDS}], ' ') AS keywords,
+      len(keywords[1:{MAX_KEYWORDS}]) AS n FROM keys""",
 )
 def keywords(spark, folder):
-    words = extract_keywords("prompt")
+    return _listed(spark, folder, extract_keywords("prompt", MAX_KEYWORDS))
+
+
+@query(
+    "extract_keywords_all",
+    f"WITH {_KEYWORDS} SELECT job_id, array_to_string(keywords, ' ') AS keywords, len(keywords) AS n FROM keys",
+)
+def all_keywords(spark, folder):
+    return _listed(spark, folder, extract_keywords("prompt"))
+
+
+def _listed(spark, folder, words):
     return prompts_as_jobs(spark, folder).select(
         "job_id", F.array_join(words, " ").alias("keywords"), F.size(words).alias("n")
     )

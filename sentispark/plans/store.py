@@ -252,9 +252,19 @@ LIFECYCLE_SQL = f"""WITH {_JOBS}, {_EVENTS},
 
 @query("lifecycle_fold", LIFECYCLE_SQL)
 def lifecycle_fold(spark, folder):
-    jobs = lifecycle.fold_lifecycle(
-        orders_as_jobs(spark, folder), lifecycle_events(spark, folder)
-    )
+    return _outcomes(lifecycle.fold_lifecycle(orders_as_jobs(spark, folder), lifecycle_events(spark, folder)))
+
+
+@query("lifecycle_two_batches", LIFECYCLE_SQL)
+def lifecycle_two_batches(spark, folder):
+    """The events before and from a date on, folded one batch after the other."""
+    events = lifecycle_events(spark, folder)
+    early = F.col("ts") < _ntz("1998-06-01")
+    first = lifecycle.fold_lifecycle(orders_as_jobs(spark, folder), events.filter(early))
+    return _outcomes(lifecycle.fold_lifecycle(first, events.filter(~early)))
+
+
+def _outcomes(jobs):
     return jobs.select(
         "job_id",
         "status",

@@ -7,19 +7,33 @@ from sentispark.operators.lifecycle import apply_lifecycle
 from sentispark.plans import ingest, matching, store as stored
 from sentispark.plans.registry import BY_TYPE, BY_USER, query
 from sentispark.plans.results import _CHART, HOUR_MS, _bucket_sql
-from sentispark.session import fresh_dir
+from sentispark.session import fresh_dir, materialize
 from sentispark.sources.events import read_lines
 from sentispark.sources.tables import events_as_scored, orders_as_jobs, prompts_as_jobs, table
 from sentispark.streaming import live, pipeline, position, tracking
 from sentispark.streaming.sinks import batch_folder, latest_state, read_batches, start
 
 
-def as_stream(df, name):
-    """Write a table to the shared folder and read it back as a stream."""
+BATCHES = 4
+
+
+def as_stream(df, name, at=None):
+    """Write a table in several steps and read it back as a stream, a step per micro-batch.
+
+    Rows come in any order, so copies lie in different batches; with ``at`` each batch holds a
+    stretch of that time, rows inside it in any order.
+    """
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    df.write.parquet(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    df = materialize(df)
+    if at is None:
+        step = F.pmod(F.xxhash64(*df.columns, F.spark_partition_id()), F.lit(BATCHES))
+    else:
+        ends = df.select(F.unix_micros(at)).approxQuantile(f"unix_micros({at})", [k / BATCHES for k in range(1, BATCHES)], 0.01)
+        step = sum((F.when(F.unix_micros(at) > end, 1).otherwise(0) for end in ends), F.lit(0))
+    for k in range(BATCHES):
+        df.filter(step == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def finish(query):
@@ -69,8 +83,9 @@ def stream_dedupe(spark, folder):
     rows = stored._repeated(spark, folder).select(
         "id", "job_id", "source_url", "published_at", F.col("collected_at").cast("timestamp").alias("received_at")
     )
-    kept = live.dedupe_stream(as_stream(rows, "rows"), "60 days")
-    return _collected(kept, "kept").select(
+    out = fresh_dir(spark, "kept")
+    finish(live.run_dedupe(as_stream(rows, "rows"), out, fresh_dir(spark, "checkpoint")))
+    return read_batches(spark, out).select(
         "job_id", "source_url", F.unix_micros(F.col("published_at").cast("timestamp")).alias("day_us")
     )
 
@@ -82,8 +97,9 @@ def stream_dedupe_by_id(spark, folder):
     )
     # After a reconnect everything arrives a second time.
     twice = rows.unionByName(rows.withColumn("received_at", F.col("received_at") + F.expr("INTERVAL 1 HOUR")))
-    kept = live.dedupe_by_id(as_stream(twice, "rows"), "60 days")
-    return _collected(kept, "kept").select("id", "job_id")
+    out = fresh_dir(spark, "kept")
+    finish(live.run_dedupe(as_stream(twice, "rows"), out, fresh_dir(spark, "checkpoint"), ("id",), ("received_at", "job_id"), None))
+    return read_batches(spark, out).select("id", "job_id")
 
 
 @query("stream_lifecycle", stored.LIFECYCLE_SQL)
@@ -134,11 +150,14 @@ def stream_completion(spark, folder):
         F.lit("processed").alias("kind"),
         F.lit(0).cast("long").alias("amount"),
     )
-    activity = progress.unionByName(ends).unionByName(clock)
-    activity = activity.withColumn("ts", F.col("ts").cast("timestamp"))
+    # Weeks become minutes, as a job that is idle for an hour is given up.
+    begin = F.unix_millis(F.lit("2024-01-01").cast("timestamp"))
+    faster = F.timestamp_millis(begin + F.floor((F.unix_millis(F.col("ts").cast("timestamp")) - begin) / 10_000))
+    activity = progress.unionByName(ends).withColumn("ts", faster)
+    activity = activity.unionByName(clock.withColumn("ts", F.col("ts").cast("timestamp")))
     return _with_rocksdb(
         spark,
-        lambda: _collected(tracking.completion(as_stream(activity, "activity"), "0 seconds"), "decisions"),
+        lambda: _collected(tracking.completion(as_stream(activity, "activity", "ts"), "0 seconds"), "decisions"),
     )
 
 
@@ -178,7 +197,7 @@ def stream_job_expiry(spark, folder):
     activity = starts.unionByName(cancels).unionByName(matches).unionByName(clock)
     activity = activity.withColumn("ts", F.col("ts").cast("timestamp"))
     return _with_rocksdb(
-        spark, lambda: _collected(tracking.job_expiry(as_stream(activity, "activity"), "0 seconds"), "expired")
+        spark, lambda: _collected(tracking.job_expiry(as_stream(activity, "activity", "ts"), "0 seconds"), "expired")
     )
 
 
@@ -193,7 +212,12 @@ def stream_retries(spark, folder):
     )
     out = fresh_dir(spark, "routing")
     finish(live.run_retries(as_stream(failures, "failures"), out, fresh_dir(spark, "checkpoint")))
-    return read_batches(spark, out).select("content", "retried", "discarded", "retries")
+    routed = read_batches(spark, out).groupBy("content")
+    return routed.agg(
+        F.sum("retried").alias("retried"),
+        F.sum("discarded").alias("discarded"),
+        F.max_by("retries", "batch_id").alias("retries"),
+    )
 
 
 @query(
@@ -206,7 +230,11 @@ def stream_retries(spark, folder):
 def stream_match(spark, folder):
     """Event lines as a text stream, matched, scored and stored; the stored rows come back."""
     source = fresh_dir(spark, "lines")
-    ingest.raw_lines(spark, folder).select("value").write.text(source)
+    lines = materialize(ingest.raw_lines(spark, folder).select("value"))
+    for k in range(BATCHES):
+        # A step per micro-batch; every line comes again in the next one.
+        mine = F.pmod(F.xxhash64("value"), F.lit(BATCHES))
+        lines.filter(mine.isin(k, (k + 1) % BATCHES)).coalesce(1).write.mode("append").text(source)
     rows_path, progress_path = fresh_dir(spark, "scored"), fresh_dir(spark, "progress")
 
     def jobs(session):
@@ -222,7 +250,7 @@ def stream_match(spark, folder):
 
     finish(
         pipeline.run_match_pipeline(
-            read_lines(spark, source, streaming=True),
+            read_lines(spark, source, streaming=True, files_per_batch=1),
             jobs,
             handles,
             rows_path,

@@ -14,13 +14,13 @@ SALTS = 32
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a small table over all cores before work that is heavy per row.
+    """Deal the rows of a table that is one input split over all cores; any other passes unchanged.
 
-    A small file is often a single row group, which one task would process alone. Tables with
-    at least two input splits per core pass unchanged, so nothing large is ever shuffled.
+    A split holds ``spark.sql.files.maxPartitionBytes`` of the file, so what is dealt out is
+    bounded by that setting on a cluster of any size.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() == 1 else df
 
 
 def measured_bytes(df: DataFrame) -> int:

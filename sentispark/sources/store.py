@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentispark.scale import join_per_key, keep_first
+from sentispark.scale import fits_broadcast, join_per_key, keep_first
 from sentispark.session import materialize
 
 CHUNK_DAYS = 7
@@ -60,14 +60,16 @@ def duplicate_keys(rows: DataFrame) -> DataFrame:
 def write_rows(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Write rows chunk by chunk.
 
-    Every task sorts by chunk and keeps one file open; a chunk holding most rows stays spread
-    over all tasks, as no shuffle brings a chunk together.
+    Every task sorts by chunk, job and time and keeps one file open; a chunk holding most rows
+    stays spread over all tasks, as no shuffle brings a chunk together. Row groups thus hold
+    narrow ranges of jobs, and a bloom filter on the job lets readers of one job pass over others.
     """
     (
         with_chunk(rows)
-        .sortWithinPartitions("chunk_start")
+        .sortWithinPartitions("chunk_start", "job_id", "published_at")
         .write.mode(mode)
         .option("maxRecordsPerFile", 5_000_000)
+        .option("parquet.bloom.filter.enabled#job_id", "true")
         .partitionBy("chunk_start")
         .parquet(path)
     )
@@ -99,13 +101,22 @@ def stored_rows(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def in_range_of(stored: DataFrame, batch: DataFrame, at: str = "published_at") -> DataFrame:
+    """Stored rows from the batch's first to its last time, which prunes chunks and row groups.
+
+    The time is part of the key, so all rows that can equal one of the batch are among them.
+    """
+    span = batch.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
+    found = stored.filter(F.col(at).between(F.lit(span["low"]), F.lit(span["high"])))
+    if "chunk_start" in stored.columns:
+        found = found.filter(F.col("chunk_start").between(chunk_start(F.lit(span["low"])), chunk_start(F.lit(span["high"]))))
+    return found
+
+
 def matching_keys(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Batch keys present in the store, reading only the chunks the batch touches."""
-    keys = with_chunk(batch).select("chunk_start", *_KEY).filter(F.col("source_url").isNotNull())
-    chunks = [r[0] for r in keys.select("chunk_start").distinct().limit(2001).collect()]
-    if len(chunks) <= 2000:
-        stored = stored.filter(F.col("chunk_start").isin(chunks))
-    return keys.join(stored.select("chunk_start", *_KEY), ["chunk_start", *_KEY], "left_semi")
+    """Batch keys present in the store, reading only the time range the batch touches."""
+    keys = batch.select(*_KEY).filter(F.col("source_url").isNotNull())
+    return keys.join(in_range_of(stored, batch).select(*_KEY), list(_KEY), "left_semi")
 
 
 def first_arrivals(batch: DataFrame, arrival: list[Column]) -> DataFrame:
@@ -116,23 +127,25 @@ def first_arrivals(batch: DataFrame, arrival: list[Column]) -> DataFrame:
 
 def absent_rows(batch: DataFrame, stored: DataFrame | None, arrival: list[Column]) -> DataFrame:
     """Rows of ``batch`` an insert-if-absent would store: first arrivals not stored yet."""
-    return _not_stored(first_arrivals(batch, arrival), stored)
+    return not_stored(first_arrivals(batch, arrival), stored)
 
 
-def _not_stored(rows: DataFrame, stored: DataFrame | None) -> DataFrame:
+def not_stored(rows: DataFrame, stored: DataFrame | None, keys: tuple[str, ...] = _KEY) -> DataFrame:
     if stored is None:
         return rows
+    known = stored.select(*keys)
+    wanted = rows.select(*keys)
+    if fits_broadcast(wanted):
+        # A small batch goes to the store's tasks, so the store is not shuffled.
+        known = known.join(F.broadcast(wanted), list(keys), "left_semi")
     # Null keys are unequal to everything in an anti join, which is the wanted meaning.
-    return rows.join(stored.select(*_KEY), list(_KEY), "left_anti").select(*rows.columns)
+    return rows.join(known, list(keys), "left_anti").select(*rows.columns)
 
 
-def _stored_chunks(batch: DataFrame, path: str) -> DataFrame | None:
-    """Stored rows of the chunks a batch touches, or None before the first write."""
+def _stored_near(batch: DataFrame, path: str) -> DataFrame | None:
+    """Stored rows of the time range of a batch, or None before the first write."""
     stored = stored_rows(batch.sparkSession, path)
-    if stored is None:
-        return None
-    chunks = [r[0] for r in with_chunk(batch).select("chunk_start").distinct().limit(2001).collect()]
-    return stored.filter(F.col("chunk_start").isin(chunks)) if len(chunks) <= 2000 else stored
+    return None if stored is None else in_range_of(stored, batch)
 
 
 def insert_if_absent(batch: DataFrame, path: str, arrival: list[Column] | None = None) -> DataFrame:
@@ -142,7 +155,7 @@ def insert_if_absent(batch: DataFrame, path: str, arrival: list[Column] | None =
     the same batch twice stores nothing more.
     """
     order = arrival or [F.col("collected_at"), F.col("id")]
-    inserted = materialize(absent_rows(batch, _stored_chunks(batch, path), order))
+    inserted = materialize(absent_rows(batch, _stored_near(batch, path), order))
     if not inserted.isEmpty():
         write_rows(inserted, path)
     return inserted
@@ -150,7 +163,9 @@ def insert_if_absent(batch: DataFrame, path: str, arrival: list[Column] | None =
 
 def store_absent(rows: DataFrame, path: str) -> None:
     """``insert_if_absent`` for rows whose keys are known to differ, without returning them."""
-    write_rows(_not_stored(rows, _stored_chunks(rows, path)), path)
+    # Written once, as the range, the keys and the rows are read from it: a model runs once a row.
+    rows = materialize(rows)
+    write_rows(not_stored(rows, _stored_near(rows, path)), path)
 
 
 def without_jobs(rows: DataFrame, jobs: DataFrame) -> DataFrame:

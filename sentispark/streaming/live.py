@@ -8,38 +8,44 @@ from pyspark.sql import functions as F
 from sentispark.functions.numeric import clamp, epoch_ms, score_units
 from sentispark.operators.lifecycle import MAX_RETRIES, fold_events, route_failures
 from sentispark.operators.series import BUCKET_MS, accumulate
-from sentispark.scale import SALTS
+from sentispark.scale import keep_first
 from sentispark.session import materialize
+from sentispark.sources import store
 from sentispark.streaming.sinks import batch_folder, latest_state, start
 
 REFRESH = "250 milliseconds"
 
 
-def _first_within(rows: DataFrame, keys: list[str], watermark: str, at: str) -> DataFrame:
-    """First row per key within the watermark.
+def run_dedupe(
+    rows: DataFrame,
+    path: str,
+    checkpoint: str,
+    keys: tuple[str, ...] = ("job_id", "source_url", "published_at"),
+    order: tuple[str, ...] = ("received_at", "id"),
+    within: str | None = "published_at",
+    every: str | None = None,
+):
+    """Store the first row per key, however late it comes; a row with a null key always counts as new.
 
-    Twice over: per key and salt, then per key. A group of copies making up a third of the
-    stream thus meets in many tasks first, and only SALTS of its rows reach the last one.
+    Every batch keeps its first arrivals (an aggregate that combines before the shuffle, so copies
+    that make up a third of the stream cost a row per task), drops those of earlier batches and
+    writes the rest to a folder of its own. ``within`` names a time among the keys, which bounds
+    what is read of earlier batches; without one (None) only the keys are read.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(at, "id"), F.lit(SALTS)).cast("int"))
-    return (
-        salted.withWatermark(at, watermark)
-        .dropDuplicatesWithinWatermark([*keys, "_salt"])
-        .drop("_salt")
-        .dropDuplicatesWithinWatermark(keys)
-    )
 
-
-def dedupe_stream(rows: DataFrame, watermark: str, at: str = "received_at") -> DataFrame:
-    """First row per (job, address, time) within the watermark; rows without address all pass."""
-    marked = rows.withColumn("_no_url", F.when(F.col("source_url").isNull(), F.col("id")))
-    keys = ["job_id", "source_url", "published_at", "_no_url"]
-    return _first_within(marked, keys, watermark, at).drop("_no_url")
-
-
-def dedupe_by_id(rows: DataFrame, watermark: str, at: str = "received_at") -> DataFrame:
-    """First row per id within the watermark, as after a reconnect."""
-    return _first_within(rows, ["id"], watermark, at)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        missing = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+        alone = F.when(missing, F.struct(*order))
+        first = materialize(keep_first(batch, [*[F.col(k) for k in keys], alone], [F.col(c) for c in order]))
+        stored = store.stored_rows(spark, path)
+        if stored is not None:
+            stored = stored.filter(F.col("batch_id") < batch_id)
+            if within is not None:
+                stored = store.in_range_of(stored, first, within)
+        store.not_stored(first, stored, keys).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return start(rows, write, checkpoint, every=every)
 
 
 def live_buckets(rows: DataFrame, bucket_ms: int = BUCKET_MS, at: str = "received_at") -> DataFrame:

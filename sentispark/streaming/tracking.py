@@ -33,12 +33,14 @@ class JobExpiry(StatefulProcessor):
     """Emits the matched count of a job when its time is over; a cancelled job emits nothing.
 
     Kinds: ``start`` (amount = duration in ms, 0 = unbounded), ``match`` (amount = posts),
-    ``cancel``. Matches outside the job's time are not counted.
+    ``cancel``. Matches outside the job's time are not counted. Matches that arrive before the
+    job's start wait for it, summed per time, for up to a day.
     """
 
     def init(self, handle) -> None:
         self._handle = handle
         self._state = handle.getValueState("job", "started long, ends long, matched long")
+        self._waiting = handle.getMapState("waiting", "ms long", "amount long")
 
     def handleInputRows(self, key, rows, timerValues):
         batch = [frame.assign(ms=_millis(frame["ts"])) for frame in rows]
@@ -49,7 +51,16 @@ class JobExpiry(StatefulProcessor):
                 started, matched = int(row.ms), 0
                 ends = started + int(row.amount) if row.amount > 0 else None
         if started is None:
+            if any((frame["kind"] == "cancel").any() for frame in batch):
+                self._clear_timers()
+                self._waiting.clear()
+                return
+            self._keep_waiting(batch)
             return
+        for (ms,), (amount,) in list(self._waiting.iterator()):
+            if ms >= started and (ends is None or ms < ends):
+                matched += amount
+        self._waiting.clear()
         for frame in batch:
             active = (frame["kind"] == "match") & (frame["ms"] >= started)
             if ends is not None:
@@ -69,6 +80,20 @@ class JobExpiry(StatefulProcessor):
             _, ends, matched = self._state.get()
             self._state.clear()
             yield pd.DataFrame({"job_id": [key[0]], "total_items": [matched], "completed_ms": [ends]})
+        else:
+            self._waiting.clear()
+
+    def _keep_waiting(self, batch: list[pd.DataFrame]) -> None:
+        latest = None
+        for frame in batch:
+            found = frame[frame["kind"] == "match"].groupby("ms")["amount"].sum()
+            for ms, amount in found.items():
+                known = self._waiting.getValue((int(ms),)) if self._waiting.containsKey((int(ms),)) else (0,)
+                self._waiting.updateValue((int(ms),), (known[0] + int(amount),))
+                latest = max(latest or 0, int(ms))
+        if latest is not None:
+            self._clear_timers()
+            self._handle.registerTimer(latest + MAX_TTL_MS)
 
     def _clear_timers(self) -> None:
         for timer in list(self._handle.listTimers()):

@@ -22,7 +22,7 @@ from sentispark.functions.numeric import round_half_up
 )
 def test_extract_keywords(value, prompt, expected):
     # "_" separates words, so the hashtag the_day also leaves "the" and "day", both stop words.
-    assert value(K.extract_keywords("p"), p=("string", prompt)) == expected
+    assert value(K.extract_keywords("p", 20), p=("string", prompt)) == expected
 
 
 @pytest.mark.parametrize(
