@@ -71,37 +71,32 @@ def score_with_model(
     """Add the three sentiment columns from a user's model.
 
     ``factory(**options)`` loads the model once per task; the scorer it returns maps a list of
-    texts to their top (label, probability). Rows stream through in Arrow batches, so memory is
-    bounded by ``batch_size`` texts. Blank texts never reach the model. ``max_chars`` cuts the
+    texts to their top (label, probability), at most ``batch_size`` at a time; a task holds the texts
+    of one Arrow batch. Blank texts never reach the model. ``max_chars`` cuts the
     model's input (not the stored text) for models with an input limit.
     """
     model_input = truncate_for_model(text, max_chars) if max_chars else F.col(text)
-    prepared = posts.withColumn("_input", F.when(~is_blank(text), model_input))
-    out_schema = T.StructType(
-        [
-            *prepared.schema.fields,
-            T.StructField("_label", T.StringType()),
-            T.StructField("_probability", T.DoubleType()),
-        ]
-    )
+    result = T.StructType([T.StructField("label", T.StringType()), T.StructField("probability", T.DoubleType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = None
-        for frame in frames:
+        for texts in batches:
             scorer = scorer or factory(**options)
-            labels: list[str | None] = [None] * len(frame)
-            scores: list[float | None] = [None] * len(frame)
-            wanted = [i for i, value in enumerate(frame["_input"]) if value is not None]
-            texts = frame["_input"].tolist()
+            labels: list[str | None] = [None] * len(texts)
+            scores: list[float | None] = [None] * len(texts)
+            values = texts.tolist()
+            wanted = [i for i, value in enumerate(values) if value is not None]
             for start in range(0, len(wanted), batch_size):
                 part = wanted[start : start + batch_size]
-                for i, (label, probability) in zip(part, scorer([texts[i] for i in part])):
+                for i, (label, probability) in zip(part, scorer([values[i] for i in part])):
                     labels[i], scores[i] = label, float(probability)
-            yield frame.assign(_label=labels, _probability=pd.array(scores, dtype="Float64"))
+            yield pd.DataFrame({"label": labels, "probability": pd.array(scores, dtype="Float64")})
 
-    scored = prepared.mapInPandas(run, out_schema)
-    sentiment = F.when(F.col("_label").isNull(), blank_sentiment()).otherwise(
-        class_to_sentiment(F.col("_label"), F.col("_probability"))
+    # Only the text goes to Python; all other columns stay as they are.
+    model = F.pandas_udf(run, result)
+    scored = posts.withColumn("_m", model(F.when(~is_blank(text), model_input)))
+    sentiment = F.when(F.col("_m.label").isNull(), blank_sentiment()).otherwise(
+        class_to_sentiment(F.col("_m.label"), F.col("_m.probability"))
     )
     return scored.withColumn("_s", sentiment).select(
         *posts.columns,

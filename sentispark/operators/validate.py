@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,12 +80,11 @@ def accepted(df: DataFrame) -> DataFrame:
     return df.filter(F.col("reason").isNull()).drop("reason")
 
 
-def rejected(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("reason").isNotNull())
-
-
 def check_results(rows: DataFrame) -> DataFrame:
-    """Violations of the result contract, one row per rule."""
+    """Violations of the result contract, one row per rule.
+
+    A required column that is not there is violated by every row; so is a required null value.
+    """
     uuid = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
     rules = {
         "job_id is a uuid": ("job_id", lambda c: c.rlike(uuid)),
@@ -97,21 +94,20 @@ def check_results(rows: DataFrame) -> DataFrame:
         "average within -1..1": ("average_sentiment", lambda c: c.between(-1, 1)),
         "count is not negative": ("data_points_count", lambda c: c >= 0),
         "text present": ("text_content", lambda c: c.isNotNull()),
+        "id present": ("id", lambda c: c.isNotNull()),
+        "source present": ("source", lambda c: c.isNotNull()),
+        "prompt present": ("prompt", lambda c: c.isNotNull()),
+        "creation time present": ("created_at", lambda c: c.isNotNull()),
     }
     # Optional fields may be absent; all others must be there.
     optional = {"average_sentiment", "data_points_count"}
     counts, names = [], []
     for rule, (column, test) in rules.items():
-        if column not in rows.columns:
-            continue
-        ok = F.coalesce(test(F.col(column)), F.lit(column in optional))
+        found = test(F.col(column)) if column in rows.columns else F.lit(None)
+        ok = F.coalesce(found, F.lit(column in optional))
         counts.append(F.count_if(~ok))
         names.append(rule)
     pairs = F.array(
         *[F.struct(F.lit(n).alias("rule"), c.alias("violations")) for n, c in zip(names, counts)]
     )
     return rows.agg(pairs.alias("pairs")).select(F.inline("pairs"))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -335,8 +335,8 @@ def search_since(spark, folder):
 @query(
     "search_validation",
     """SELECT doc_id, CASE WHEN lang = 'es' THEN 'record absent' WHEN lang = 'de' THEN 'createdAt missing'
-      WHEN source = 'src3' THEN 'text not a string' END AS reason,
-      CASE WHEN lang IN ('es', 'de') OR source = 'src3' THEN NULL WHEN lang = 'fr' THEN md5('') ELSE md5(text) END AS text_md5
+      WHEN source IN ('src3', 'src4', 'src5') THEN 'text not a string' END AS reason,
+      CASE WHEN lang IN ('es', 'de') OR source IN ('src3', 'src4', 'src5') THEN NULL WHEN lang = 'fr' THEN md5('') ELSE md5(text) END AS text_md5
     FROM documents""",
 )
 def search_validation(spark, folder):
@@ -349,9 +349,12 @@ def search_validation(spark, folder):
             F.col("lang") != "es",
             F.concat(
                 F.lit("{"),
-                F.when(F.col("source") == "src3", F.lit('"text":17')).when(F.col("lang") == "fr", F.lit('"via":"app"')).otherwise(body),
-                F.when(F.col("lang") == "de", F.lit(',"createdAt":12}')).otherwise(
-                    F.lit(',"createdAt":"2024-01-01T00:00:00Z","langs":["en"]}')
+                F.when(F.col("source") == "src3", F.lit('"text":17'))
+                .when(F.col("source") == "src4", F.lit('"text":null'))
+                .when(F.col("source") == "src5", F.lit('"text":5,"embed":{"text":"x"}'))
+                .when(F.col("lang") == "fr", F.lit('"via":"app"')).otherwise(body),
+                F.when(F.col("lang") == "de", F.lit(',"createdAt":12,"reply":{"createdAt":"q"}}')).otherwise(
+                    F.lit(',"created\\u0041t":"2024-01-01T00:00:00Z","langs":["en"]}')
                 ),
             ),
         ).alias("record"),

@@ -193,7 +193,11 @@ def results_projected(spark, folder):
     SELECT 'job_id is a uuid' AS rule, count(*) AS violations FROM scored_u
     UNION ALL SELECT 'label is known', count(*) FILTER (event_type NOT IN ('positive', 'neutral', 'negative')) FROM scored_u
     UNION ALL SELECT 'score within -1..1', count(*) FILTER ((value - 50) / 50 > 1) FROM scored_u
-    UNION ALL SELECT 'text present', 0 FROM (SELECT 1)""",
+    UNION ALL SELECT 'status is known', count(*) FILTER (user_id % 5 = 0) FROM scored_u
+    UNION ALL SELECT 'average within -1..1', count(*) FILTER (value / 50 > 1 AND user_id % 2 = 0) FROM scored_u
+    UNION ALL SELECT 'count is not negative', count(*) FILTER (user_id < 5) FROM scored_u
+    UNION ALL SELECT unnest(['text present', 'id present', 'source present']), 0
+    UNION ALL SELECT unnest(['prompt present', 'creation time present']), count(*) FROM scored_u""",
 )
 def result_contract(spark, folder):
     # Raw values as scores and event types as labels: data that breaks the rules.
@@ -201,6 +205,9 @@ def result_contract(spark, folder):
         {
             "sentiment_label": F.col("event_type"),
             "sentiment_score": (F.col("value") - 50) / 50,
+            "status": F.when(F.col("user_id") % 5 == 0, "stopped").otherwise("completed"),
+            "average_sentiment": F.when(F.col("user_id") % 2 == 0, F.col("value") / 50),
+            "data_points_count": F.col("user_id") - 5,
         }
     )
     return check_results(rows)

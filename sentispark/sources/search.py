@@ -6,36 +6,35 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def validate_records(posts: DataFrame) -> DataFrame:
     """Add ``reason`` (null when usable), ``text``, ``created_at`` and ``langs``.
 
     ``record`` is the JSON of the post. It must be an object with a string ``createdAt`` and,
-    if present, a string ``text``; a missing text counts as ''.
+    if present, a string ``text``; a missing text counts as '', a null one is no string. Only the
+    record's own fields count, however their names are written; it is parsed once.
     """
-    as_strings = F.from_json("record", T.MapType(T.StringType(), T.StringType()))
-    record = F.col("_fields")
-    raw_text = F.get_json_object("record", "$.text")
-    # from_json renders numbers and objects as bare text; the quoted form tells strings apart.
-    text_is_string = F.col("record").rlike(r'"text"\s*:\s*"')
-    created_is_string = F.col("record").rlike(r'"createdAt"\s*:\s*"')
-    created = record["createdAt"]
+    record = F.col("_record")
+
+    def kind(path: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(record, path, "variant"))
+
+    created = F.try_variant_get(record, "$.createdAt", "string")
+    text = F.try_variant_get(record, "$.text", "string")
+    is_object = F.coalesce(F.startswith(kind("$"), F.lit("OBJECT")), F.lit(False))
+    has_created = F.coalesce((kind("$.createdAt") == "STRING") & (created != ""), F.lit(False))
     reason = (
-        F.when(F.col("record").isNull() | record.isNull(), "record absent")
-        .when(created.isNull() | (created == "") | ~created_is_string, "createdAt missing")
-        .when(raw_text.isNotNull() & ~text_is_string, "text not a string")
+        F.when(~is_object, "record absent")
+        .when(~has_created, "createdAt missing")
+        .when(kind("$.text") != "STRING", "text not a string")
     )
-    langs = F.from_json(
-        "record", T.StructType([T.StructField("langs", T.ArrayType(T.StringType()))])
-    )["langs"]
-    return posts.withColumn("_fields", as_strings).select(
+    return posts.withColumn("_record", F.try_parse_json("record")).select(
         *posts.columns,
         reason.alias("reason"),
-        F.coalesce(raw_text, F.lit("")).alias("text"),
+        F.coalesce(text, F.lit("")).alias("text"),
         created.alias("created_at"),
-        langs.alias("langs"),
+        F.try_variant_get(record, "$.langs", "array<string>").alias("langs"),
     )
 
 
