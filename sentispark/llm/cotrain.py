@@ -75,7 +75,7 @@ def meta_features(texts: list[str], langs: list, sources: list, sizes: list) ->
         sentences = text.split(". ")
         out[row, 2:] = (
             np.log1p(n),
-            np.log1p(size or 0) - np.log1p(n),
+            np.log1p(max(size or 0, 0)) - np.log1p(n),
             np.log1p(len(lines)),
             np.log1p(n / len(lines)),
             n / words / 10,

@@ -87,6 +87,7 @@ _TOKEN = re.compile(
     r"|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>",
     re.S,
 )
+_UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 _RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "noframes", "xmp", "template", "noembed"}
 _BREAKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -151,7 +152,8 @@ def text_blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
 
     while at < end:
         found = _TOKEN.search(page, at)
-        stop = found.start() if found else end
+        # A tag that the page ends in is no text.
+        stop = found.start() if found else at + len(_UNFINISHED.split(page[at:], maxsplit=1)[0])
         if stop > at:
             pieces.append((html.unescape(page[at:stop]), anchors > 0))
         if not found:
