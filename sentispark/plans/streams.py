@@ -7,11 +7,11 @@ from sentispark.operators.lifecycle import apply_lifecycle
 from sentispark.plans import ingest, matching, store as stored
 from sentispark.plans.registry import BY_TYPE, BY_USER, query
 from sentispark.plans.results import _CHART, HOUR_MS, _bucket_sql
-from sentispark.session import fresh_dir, materialize
+from sentispark.session import ROCKSDB, fresh_dir, materialize
 from sentispark.sources.events import read_lines
 from sentispark.sources.tables import events_as_scored, orders_as_jobs, prompts_as_jobs, table
 from sentispark.streaming import live, pipeline, position, tracking
-from sentispark.streaming.sinks import batch_folder, latest_state, read_batches, start
+from sentispark.streaming.sinks import batch_folder, latest_state, per_row, read_batches, start
 
 
 BATCHES = 4
@@ -53,7 +53,7 @@ def _collected(stream, name, mode="append"):
 def _with_rocksdb(spark, build):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
-    spark.conf.set(key, tracking.ROCKSDB)
+    spark.conf.set(key, ROCKSDB)
     try:
         return build()
     finally:
@@ -283,3 +283,16 @@ def resumed_events(spark, folder):
     position.save_position(spark, path, latest)
     fresh, _ = position.next_events(events, path)
     return fresh.select("event_id", "time_us")
+
+
+@query(
+    "stream_per_batch",
+    f"WITH {BY_TYPE} SELECT id, job_id, label AS sentiment_label FROM scored_t WHERE label <> 'neutral'",
+)
+def stream_per_batch(spark, folder):
+    """A function of one's own over every micro-batch, its result in a folder per batch."""
+    rows = events_as_scored(spark, folder).select("id", "job_id", "sentiment_label")
+    out = fresh_dir(spark, "handled")
+    handled = per_row(lambda batch: batch.filter("sentiment_label <> 'neutral'"), batch_folder(out))
+    finish(start(as_stream(rows, "rows"), handled, fresh_dir(spark, "checkpoint")))
+    return read_batches(spark, out).drop("batch_id")

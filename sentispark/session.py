@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 cloudpickle.register_pickle_by_value(sys.modules["sentispark"])
 
 _DIR_KEY = "spark.checkpoint.dir"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def build_session(master: str | None = None, app: str = "sentispark", **conf: str) -> SparkSession:
@@ -23,6 +24,9 @@ def build_session(master: str | None = None, app: str = "sentispark", **conf: st
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Checkpoint files go when nothing refers to them any more; a stream makes some per batch.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     )
     if master:
         builder = builder.master(master)
@@ -42,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
         folder = configured
     elif spark.sparkContext.getCheckpointDir():
         return spark.sparkContext.getCheckpointDir()
-    elif spark.sparkContext.master.startswith("local"):
+    elif spark.sparkContext.master.partition("[")[0] == "local":
         folder = tempfile.mkdtemp(prefix="sentispark-")
     else:
         raise ValueError(f"set {_DIR_KEY} to a folder shared by all executors")

@@ -43,10 +43,6 @@ def scan_rows(spark: SparkSession, path: str, job_id: str | None = None) -> Data
     return rows if job_id is None else rows.filter(F.col("job_id") == job_id)
 
 
-def scan_jobs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def duplicate_keys(rows: DataFrame) -> DataFrame:
     """Keys that occur more than once. Null addresses never equal one another."""
     return (

@@ -46,11 +46,11 @@ def latest_state(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     )
 
 
-def per_row(handle: Callable[[DataFrame, int], None], empty: bool = False) -> Callable:
-    """A ``foreachBatch`` callback that skips empty batches."""
+def per_row(handle: Callable[[DataFrame], DataFrame], out: Callable[[DataFrame, int], None]) -> Callable:
+    """A ``foreachBatch`` callback: ``handle`` maps the rows of a batch, ``out`` stores them; empty batches are passed over."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if empty or not batch.isEmpty():
-            handle(batch, batch_id)
+        if not batch.isEmpty():
+            out(handle(batch), batch_id)
 
     return write

@@ -2,9 +2,8 @@
 
 Input rows are (job_id, ts, kind, amount). The state is a handful of numbers per job; counts
 arrive already summed per batch (see ``pipeline``), so a job with a third of all posts brings no
-more rows than any other. Needs the RocksDB state store:
-``spark.sql.streaming.stateStore.providerClass =
-org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider``.
+more rows than any other. Needs the RocksDB state store, which ``build_session`` sets; a session
+made otherwise sets ``spark.sql.streaming.stateStore.providerClass`` to ``session.ROCKSDB``.
 """
 
 from __future__ import annotations
@@ -20,7 +19,6 @@ from sentispark.operators.lifecycle import (
     MAX_TTL_MS,
 )
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EXPIRY_SCHEMA = "job_id string, total_items long, completed_ms long"
 COMPLETION_SCHEMA = "job_id string, decision string, processed long, expected long"
 

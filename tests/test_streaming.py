@@ -3,7 +3,7 @@ from conftest import FOLDER, seconds
 from pyspark.sql import functions as F
 
 from sentispark.plans import catalog
-from sentispark.session import fresh_dir
+from sentispark.session import ROCKSDB, fresh_dir
 from sentispark.streaming import live, pipeline, position, tracking
 from sentispark.streaming.sinks import batch_folder, latest_state, read_batches, start
 
@@ -14,7 +14,7 @@ ACTIVITY = "job_id string, ts timestamp, kind string, amount long"
 def rocksdb(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
-    spark.conf.set(key, tracking.ROCKSDB)
+    spark.conf.set(key, ROCKSDB)
     yield
     spark.conf.set(key, before)
 
