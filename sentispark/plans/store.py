@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sentispark.operators import datagen, explore, feed, lifecycle
 from sentispark.plans.registry import BY_TYPE, BY_USER, query
 from sentispark.session import fresh_dir
+from sentispark.sources import jobs as job_table
 from sentispark.sources import store
 from sentispark.sources.tables import events_as_scored, orders_as_jobs, table
 
@@ -409,3 +410,73 @@ def built_rows(spark, folder):
     from sentispark.operators.results import distribution_pivot
 
     return datagen.sentiment_batch(distribution_pivot(events_as_scored(spark, folder, "user_id")))
+
+
+# --- tables as written -----------------------------------------------------------------------
+
+
+def _stored_events(spark, folder, part=None):
+    rows = events_as_scored(spark, folder)
+    return rows if part is None else rows.filter(F.col("seq") % 2 == part)
+
+
+@query("append_batch", f"WITH {BY_TYPE} SELECT job_id, count(*) AS n, sum(seq)::BIGINT AS seqs FROM scored_t GROUP BY 1")
+def append_batch(spark, folder):
+    """Two batches appended one after the other, counted in the store."""
+    path = fresh_dir(spark, "store")
+    for part in (0, 1):
+        store.append_rows(_stored_events(spark, folder, part), path)
+    return store.scan_rows(spark, path).groupBy("job_id").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
+@query("rows_of_job", f"WITH {BY_TYPE} SELECT id, job_id, label AS sentiment_label FROM scored_t WHERE job_id = 'click'")
+def rows_of_job(spark, folder):
+    path = fresh_dir(spark, "store")
+    store.write_rows(_stored_events(spark, folder), path)
+    return store.scan_rows(spark, path, "click").select("id", "job_id", "sentiment_label")
+
+
+@query(
+    "insert_if_absent_stored",
+    f"""WITH {_REPEATED}, old AS (SELECT DISTINCT job_id, url, day FROM repeated WHERE url IS NOT NULL AND seq % 2 = 0)
+    SELECT id, job_id, url AS source_url FROM repeated WHERE url IS NULL UNION ALL
+    SELECT id, job_id, url FROM repeated ANTI JOIN old USING (job_id, url, day) WHERE url IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY job_id, url, day ORDER BY collected_at, id) = 1""",
+)
+def insert_if_absent_stored(spark, folder):
+    """All rows against a store that has those of even numbers; the inserted ones come back."""
+    path = fresh_dir(spark, "store")
+    rows = _repeated(spark, folder)
+    store.insert_if_absent(rows.filter("seq % 2 = 0"), path, _arrival())
+    return store.insert_if_absent(rows, path, _arrival()).select("id", "job_id", "source_url")
+
+
+@query(
+    "delete_then_insert",
+    f"WITH {BY_TYPE} SELECT id, job_id FROM scored_t WHERE job_id <> 'click' OR seq % 2 = 1",
+)
+def delete_then_insert(spark, folder):
+    """Rows of a job stored after its deletion stay."""
+    path = fresh_dir(spark, "store")
+    store.append_rows(_stored_events(spark, folder, 0), path)
+    store.delete_jobs(spark, path, spark.createDataFrame([("click",)], "job_id string"))
+    store.append_rows(_stored_events(spark, folder, 1), path)
+    return store.scan_rows(spark, path).select("id", "job_id")
+
+
+@query(
+    "job_table_after_updates",
+    """WITH u AS (SELECT l_orderkey AS job_id, arg_max(CASE l_returnflag WHEN 'A' THEN 'failed' WHEN 'R' THEN 'completed' ELSE 'in_progress' END,
+        l_suppkey * 1000000 + l_partkey * 10 + l_linenumber) AS s FROM lineitem GROUP BY 1)
+    SELECT o_orderkey AS job_id, coalesce(s, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'in_progress' ELSE 'completed' END) AS status
+    FROM orders LEFT JOIN u ON o_orderkey = u.job_id WHERE o_orderkey % 7 <> 0""",
+)
+def job_table_after_updates(spark, folder):
+    """Jobs created in two calls, updated, and every seventh deleted."""
+    path = fresh_dir(spark, "jobs")
+    jobs = orders_as_jobs(spark, folder)
+    job_table.create_jobs(jobs.filter("job_id % 2 = 0"), path)
+    job_table.create_jobs(jobs.filter("job_id % 2 = 1"), path)
+    job_table.set_status(spark, path, _updates(spark, folder), _ntz("2024-02-01"))
+    job_table.delete_jobs(spark, path, jobs.filter("job_id % 7 = 0"))
+    return job_table.read_jobs(spark, path).select("job_id", "status")
