@@ -86,6 +86,33 @@ def test_job_expiry(spark, rocksdb):
     assert [(r["job_id"], r["total_items"]) for r in read_batches(spark, out).collect()] == [("a", 3)]
 
 
+def test_matches_that_arrive_before_their_start_count(spark, rocksdb):
+    src, out, ckpt = (fresh_dir(spark, n) for n in ("src", "out", "ckpt"))
+    go = lambda: run(start(tracking.job_expiry(source(spark, src), "200 seconds"), batch_folder(out), ckpt))
+    feed(spark, src, [("a", seconds(60), "match", 4), ("a", seconds(60), "match", 2), ("a", seconds(200), "match", 9)])
+    go()
+    feed(spark, src, [("a", seconds(50), "start", 60_000), ("b", seconds(91), "match", 1), ("a", seconds(95), "match", 3)])
+    go()
+    feed(spark, src, [("clock", seconds(100_000), "match", 0)])
+    go()
+    assert [(r["job_id"], r["total_items"]) for r in read_batches(spark, out).collect()] == [("a", 9)]
+
+
+def test_dedupe_keeps_late_rows_and_drops_late_copies(spark):
+    schema = "id string, job_id string, source_url string, published_at timestamp, received_at timestamp"
+    src, out, ckpt = (fresh_dir(spark, n) for n in ("src", "out", "ckpt"))
+    day = 86_400
+    parts = [
+        [("1", "j", "u", seconds(100 * day), seconds(100 * day)), ("2", "j", None, seconds(0), seconds(100 * day))],
+        [("3", "j", "u", seconds(100 * day), seconds(101 * day)), ("4", "j", "old", seconds(0), seconds(0)), ("2", "j", None, seconds(0), seconds(101 * day))],
+        [("5", "j", "old", seconds(0), seconds(1)), ("6", "k", "old", seconds(0), seconds(2))],
+    ]
+    for part in parts:
+        feed(spark, src, part, schema)
+        run(live.run_dedupe(source(spark, src, schema), out, ckpt))
+    assert sorted(r["id"] for r in read_batches(spark, out).collect()) == ["1", "2", "2", "4", "6"]
+
+
 def test_live_series_over_batches_equals_batch(spark):
     schema = "job_id string, sentiment_score double, received_at timestamp"
     src, out, ckpt = (fresh_dir(spark, n) for n in ("src", "out", "ckpt"))
