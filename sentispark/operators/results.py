@@ -177,40 +177,33 @@ def row_time() -> Column:
     return F.coalesce(F.col("analyzed_at"), F.col("published_at"))
 
 
-def _trend_parts(rows: DataFrame, window_ms: int, as_of: Column | None, at: Column | None) -> DataFrame:
-    """Per job: count, first and last time, and count and score units of both windows.
+def _trend_parts(
+    rows: DataFrame, window_ms: int, as_of: Column | None, at: Column | None, more: tuple[Column, ...] = ()
+) -> DataFrame:
+    """Per job: count, first and last time, count and score units of both windows, and ``more`` aggregates.
 
-    Two grouped passes, the first one's table of one row per job joined to the rows of the
-    second. A window over each job would be one pass, but would move all rows of a job into one
-    task.
+    Seen from a given time this is one pass. Seen from each job's last row it is two, the first
+    one's table of one row per job joined to the rows of the second; a window over each job would
+    be one, but would move all rows of a job into one task.
     """
-    points = rows.select(
-        "job_id", epoch_ms(at if at is not None else row_time()).alias("t"), score_units(SCORE).alias("u")
-    )
-    spans = points.groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("t").alias("first_ms"), F.max("t").alias("last_ms")
-    )
-    if as_of is not None:
-        aged = points.withColumn("_age", epoch_ms(as_of) - F.col("t"))
-    else:
-        spans = materialize(spans)
-        aged = join_per_key(points, spans.select("job_id", "last_ms"), "job_id").withColumn(
-            "_age", F.col("last_ms") - F.col("t")
-        )
+    points = rows.withColumns({"_t": epoch_ms(at if at is not None else row_time()), "_u": score_units(SCORE)})
+    spans = [F.count(F.lit(1)).alias("n"), F.min("_t").alias("first_ms"), F.max("_t").alias("last_ms"), *more]
     recent = F.col("_age") <= window_ms
     previous = (F.col("_age") > window_ms) & (F.col("_age") <= 2 * window_ms)
-    sides = (
-        aged.filter(F.col("_age") <= 2 * window_ms)
-        .groupBy("job_id")
-        .agg(
-            F.count_if(recent).alias("recent_n"),
-            F.sum(F.when(recent, F.col("u"))).alias("recent_u"),
-            F.count_if(previous).alias("previous_n"),
-            F.sum(F.when(previous, F.col("u"))).alias("previous_u"),
-        )
-    )
-    out = spans.join(sides, "job_id", "left").fillna(0, ["recent_n", "previous_n"])
-    return out if as_of is None else out.withColumn("last_ms", epoch_ms(as_of))
+    sides = [
+        F.count_if(recent).alias("recent_n"),
+        F.sum(F.when(recent, F.col("_u"))).alias("recent_u"),
+        F.count_if(previous).alias("previous_n"),
+        F.sum(F.when(previous, F.col("_u"))).alias("previous_u"),
+    ]
+    if as_of is not None:
+        aged = points.withColumn("_age", epoch_ms(as_of) - F.col("_t"))
+        return aged.groupBy("job_id").agg(*spans, *sides).withColumn("last_ms", epoch_ms(as_of))
+    heads = materialize(points.groupBy("job_id").agg(*spans))
+    narrow = points.select("job_id", "_t", "_u")
+    aged = join_per_key(narrow, heads.select("job_id", "last_ms"), "job_id").withColumn("_age", F.col("last_ms") - F.col("_t"))
+    windows = aged.filter(F.col("_age") <= 2 * window_ms).groupBy("job_id").agg(*sides)
+    return heads.join(windows, "job_id", "left").fillna(0, ["recent_n", "previous_n"])
 
 
 def _velocity() -> Column:
@@ -277,9 +270,8 @@ def stats_bundle(
     """
     by_label = _label_counts(score_label(SCORE) if live else F.col(LABEL))
     band = score_label(SCORE, LIVE_BAND)
-    heads = rows.groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("total_posts"),
-        F.sum(score_units(SCORE)).alias("_units"),
+    heads = (
+        F.sum("_u").alias("_units"),
         *by_label,
         F.count_if(band == "positive").alias("_live_pos"),
         F.count_if(band == "neutral").alias("_live_neu"),
@@ -292,11 +284,11 @@ def stats_bundle(
     else:
         percents = [percent_of(F.col(n), total) for n in LABELS]
         score = _nss_columns()
-    return heads.join(_trend_parts(rows, window_ms, as_of, at), "job_id").select(
+    return _trend_parts(rows, window_ms, as_of, at, heads).select(
         "job_id",
-        units_mean(F.col("_units"), F.col("total_posts")).alias("average_sentiment"),
+        units_mean(F.col("_units"), F.col("n")).alias("average_sentiment"),
         score.alias("nss"),
-        "total_posts",
+        F.col("n").alias("total_posts"),
         *LABELS,
         *[p.alias(f"{n}_percent") for n, p in zip(LABELS, percents)],
         _velocity().alias("velocity"),
