@@ -18,9 +18,10 @@ def attach_handles(posts: DataFrame, handles: DataFrame) -> DataFrame:
     """Fill ``handle`` from a (did, handle) table; the did stands in for an unknown one.
 
     The handle table is broadcast if it measures small; otherwise the join is salted, as one
-    very active author may have written a third of the posts.
+    very active author may have written a third of the posts. Of several handles of a did the
+    first in order counts, so a repeated did never multiplies posts.
     """
-    known = handles.select("did", F.col("handle").alias("_handle"))
+    known = _one_per_did(handles, "_handle")
     return join_per_key(posts, known, "did", "left").select(
         *[
             F.coalesce("handle", "_handle", "did").alias("handle") if c == "handle" else c
@@ -29,6 +30,10 @@ def attach_handles(posts: DataFrame, handles: DataFrame) -> DataFrame:
     )
 
 
+def _one_per_did(handles: DataFrame, name: str) -> DataFrame:
+    return handles.groupBy("did").agg(F.min("handle").alias(name))
+
+
 def resolve_unique(dids: DataFrame, cached: DataFrame, fresh: DataFrame) -> DataFrame:
     """Handle of every distinct id: from the cached table, else from the fresh one, else null.
 
@@ -36,8 +41,8 @@ def resolve_unique(dids: DataFrame, cached: DataFrame, fresh: DataFrame) -> Data
     """
     unique = dids.select("did").distinct()
     valid = F.coalesce(F.col("did").startswith("did:"), F.lit(False))
-    found_cached = cached.select("did", F.col("handle").alias("_cached"), F.lit(True).alias("_hit"))
-    found_fresh = fresh.select("did", F.col("handle").alias("_fresh"))
+    found_cached = _one_per_did(cached, "_cached").withColumn("_hit", F.lit(True))
+    found_fresh = _one_per_did(fresh, "_fresh")
     hit = valid & F.coalesce("_hit", F.lit(False))
     return (
         unique.join(found_cached, "did", "left")

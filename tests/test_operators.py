@@ -415,3 +415,11 @@ def test_salted_join_equals_broadcast_join(spark, monkeypatch, how):
     want = sorted(map(str, scale.join_per_key(rows, table, "k", how).collect()))
     monkeypatch.setattr(scale, "fits_broadcast", lambda df: False)
     assert sorted(map(str, scale.join_per_key(rows, table, "k", how).collect())) == want
+
+
+def test_repeated_handles_do_not_multiply_posts(spark):
+    posts = spark.createDataFrame([("a", None), ("b", None)], "did string, handle string")
+    handles = spark.createDataFrame([("a", "y"), ("a", "x")], "did string, handle string")
+    assert sorted(map(tuple, enrich.attach_handles(posts, handles).collect())) == [("a", "x"), ("b", "b")]
+    found = enrich.resolve_unique(posts, handles, handles)
+    assert sorted((r["did"], r["handle"]) for r in found.collect()) == [("a", None), ("b", None)]
