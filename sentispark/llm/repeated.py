@@ -16,13 +16,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from sentispark.llm.common import partitions, slices
 
 HOT = 16
 HOT_CLASS = np.uint16(65535)
-_BLOCK_KEYS = 2_000_000
+_BLOCK_KEYS = 1_500_000
 _BLOCK_DOCS = 60_000
 _ENTRY = "part int, kind byte, ids binary, docs binary, keys binary"
 _MARK = np.uint16(65535)
@@ -92,7 +93,16 @@ def _packed(where, parts: int, kind: int, ids, docs, keys) -> Iterator[tuple]:
         some = docs[at]
         used = np.unique(some[some != _MARK])
         local = np.where(some == _MARK, _MARK, np.searchsorted(used, some)).astype(np.uint16)
-        yield p, kind, ids[used].tobytes(), local.tobytes(), keys[at].tobytes()
+        yield p, kind, ids[used].tobytes(), local.tobytes(), _by_place(keys[at])
+
+
+def _by_place(keys: np.ndarray) -> bytes:
+    """Ascending keys with their first bytes together, then their second ...: the leading ones compress."""
+    return keys.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_places(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
 def _record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -115,7 +125,7 @@ def _grouped_rows(rows: Iterator[tuple], schema: pa.Schema, limit: int = 8 << 20
         yield _record(held, schema)
 
 
-def _sender(keys_of: KeysOf, meta_of: MetaOf, parts: int):
+def _sender(keys_of: KeysOf, meta_of: MetaOf, parts: int, wanted):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         ids, docs, keys, count = [], [], [], 0
 
@@ -123,7 +133,7 @@ def _sender(keys_of: KeysOf, meta_of: MetaOf, parts: int):
             salt = int(mix(ids[0][:1].astype(np.uint64))[0]) >> 1
             yield from _block(np.concatenate(ids), np.concatenate(docs), np.concatenate(keys), meta_of, parts, salt)
 
-        for piece in slices(batches, "text", 4 << 20):
+        for piece in slices((b.filter(wanted(b)).select(["id", "text"]) for b in batches), "text", 4 << 20):
             for begin in range(0, piece.num_rows, _BLOCK_DOCS):
                 some = piece.slice(begin, _BLOCK_DOCS)
                 if ids and (count + some.num_rows > _BLOCK_DOCS or sum(map(len, keys)) > _BLOCK_KEYS):
@@ -147,7 +157,7 @@ def _meet(rows: list[tuple], parts: int) -> Iterator[tuple]:
         table = np.append(np.frombuffer(table, np.int64), 0)
         local = np.frombuffer(docs, np.uint16)
         ids.append(np.where(local == _MARK, 0, table[np.minimum(local, len(table) - 1)]))
-        keys.append(np.frombuffer(packed, np.uint64))
+        keys.append(_from_places(packed))
         spread.append(np.where(local == _MARK, 2, int(kind == _SPREAD)).astype(np.int8))
     ids, keys, spread = np.concatenate(ids), np.concatenate(keys), np.concatenate(spread)
     listed = np.flatnonzero(spread != 1)
@@ -220,15 +230,20 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _grouped_rows(rows(), schema)
 
 
-def repeated_keys(rows: DataFrame, keys_of: KeysOf, meta_of: MetaOf) -> DataFrame:
+def repeated_keys(rows: DataFrame, keys_of: KeysOf, meta_of: MetaOf, skip: str | None = None) -> DataFrame:
     """(id, meta, keys, classes) of every id of ``rows`` (id long, text string).
 
     ``keys``: the keys of the row that another row has too, packed and ascending; ``classes``: for
     each, its number of rows up to 65534, or 65535 for a hot key, the same wherever the key occurs.
-    Rows without an id are left out; rows that repeat an id make one row.
+    Rows without an id, and rows that have a value in the column ``skip``, are left out; rows that repeat an id make one row.
     """
     parts = 2 * partitions(rows.sparkSession)
-    named = rows.select("id", "text").where("id IS NOT NULL")
-    sent = named.mapInArrow(_sender(keys_of, meta_of, parts), _ENTRY).repartitionById(parts, "part")
+
+    def wanted(batch: pa.RecordBatch) -> pa.Array:
+        # Here and not as a filter of the plan, which would change a shuffle below that others use too.
+        valid = pc.is_valid(batch.column("id"))
+        return pc.and_(valid, pc.is_null(batch.column(skip))) if skip else valid
+
+    sent = rows.mapInArrow(_sender(keys_of, meta_of, parts, wanted), _ENTRY).repartitionById(parts, "part")
     met = sent.sortWithinPartitions("part").mapInArrow(_receiver(parts), "bucket int, kind byte, ids binary, sizes binary, keys binary")
     return met.repartitionById(parts, "bucket").mapInArrow(_assemble, "id long, meta binary, keys binary, classes binary")

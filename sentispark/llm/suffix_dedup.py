@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,10 +97,14 @@ _SENT = pa.schema(
 _SPANS = pa.schema([("id", pa.int64()), ("spans", pa.binary())])
 
 
+def _candidates(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch.filter(pc.is_valid(batch.column("keys")))
+
+
 def _sender(span: int, parts: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         seen: dict[bytes, int] = {}
-        for piece in slices(batches, "text", 4 << 20):
+        for piece in slices(map(_candidates, batches), "text", 4 << 20):
             ids = piece.column(0).to_numpy()
             repeated = np.unique(np.frombuffer(b"".join(piece.column(2).to_pylist()), np.uint64))
             data, owner, first, last, value, offsets = _segments(piece.column(1), span)
@@ -196,6 +201,36 @@ def later_starts(segments: list[bytes], docs: np.ndarray, span: int) -> tuple[np
     return owner[later], offset[later]
 
 
+def _sharing(segments: list[bytes], docs: np.ndarray, span: int) -> np.ndarray:
+    """Segments that have the hash of a ``span``-byte string in common with one of another document.
+
+    Most segments with one value share no more than the 24 bytes that made it; they need no transform.
+    """
+    data = np.frombuffer(b"".join(segments), np.uint8)
+    sizes = np.array([len(s) for s in segments], np.int64)
+    odd = mix(np.arange(401, 433, dtype=np.uint64)) | np.uint64(1)
+    power, reach = mix(np.arange(1, 257, dtype=np.uint64))[data], 1
+    whole, done = None, 0
+    rest = span
+    while rest:
+        if rest & 1:
+            whole = power.copy() if whole is None else whole[: len(power) - done] * odd[reach.bit_length()] + power[done:][: len(whole)]
+            done += reach
+        rest >>= 1
+        if rest:
+            power, reach = power[:-reach] * odd[16 + reach.bit_length()] + power[reach:], 2 * reach
+    hashes = mix(whole)
+    counts = sizes - span + 1
+    begins = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(segments)), counts)
+    at = np.repeat(begins - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    order = np.argsort(hashes[at], kind="stable")
+    ordered, holder = hashes[at][order], docs[owner][order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    shared = np.minimum.reduceat(holder, first) < np.maximum.reduceat(holder, first)
+    return np.unique(owner[order][np.repeat(shared, np.diff(np.append(first, len(order))))])
+
+
 def _resolve(rows: list[tuple], span: int) -> Iterator[tuple]:
     """Spans that documents lose, from all segments of a part."""
     ids = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
@@ -221,6 +256,8 @@ def _resolve(rows: list[tuple], span: int) -> Iterator[tuple]:
     value[number] = values
     _, group, members = np.unique(value, return_inverse=True, return_counts=True)
     mixed = np.flatnonzero(members[group] > 1)
+    if len(mixed):
+        mixed = mixed[_sharing([segments[i] for i in mixed], first[mixed], span)]
     if len(mixed):
         which, offset = later_starts([segments[i] for i in mixed], first[mixed], span)
         order = np.argsort(which, kind="stable")
@@ -304,18 +341,19 @@ def remove_repeats(docs: DataFrame, span: int = 50, key: str = "doc_id", text: s
     digests = rows.where(F.octet_length("text") >= span).select("id", F.unhex(F.sha2("text", 256)).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     copies = written(digests.join(firsts, "digest").where("id > first").select("id").distinct(), "copies")
-    found = repeated_keys(rows, keys_of, _no_meta).where(F.octet_length("keys") > 0).select("id", "keys")
-    found = found.join(copies, "id", "left_anti")
-    sent = rows.join(found, "id").select("id", "text", "keys").mapInArrow(
-        _sender(span, parts), "part int, ids binary, values binary, begins binary, sizes binary, letters binary"
-    )
-    lost = sent.repartitionById(parts, "part").mapInArrow(_receiver(span), "id long, spans binary")
-    lost = lost.groupBy("id").agg(F.collect_list("spans").alias("found"))
     other = [F.col(c) for c in docs.columns if c != text] or [F.lit(None).cast("string").alias("none")]
     whole = docs.select(
         F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*other).alias("carried")
     )
-    marked = whole.join(copies.withColumn("copy", F.lit(True)), "id", "left").join(lost, "id", "left")
+    # The texts are shuffled by id once; all three uses below read that exchange.
+    base = whole.join(copies.withColumn("copy", F.lit(True)), "id", "left")
+    found = repeated_keys(base, keys_of, _no_meta, skip="copy").where(F.octet_length("keys") > 0).select("id", "keys")
+    sent = base.join(found, "id", "left").select("id", "text", "keys", "copy", "carried").mapInArrow(
+        _sender(span, parts), "part int, ids binary, values binary, begins binary, sizes binary, letters binary"
+    )
+    lost = sent.repartitionById(parts, "part").mapInArrow(_receiver(span), "id long, spans binary")
+    lost = lost.groupBy("id").agg(F.collect_list("spans").alias("found"))
+    marked = base.join(lost, "id", "left")
     rows = marked.select("id", "text", "carried", "copy", "found")
     schema = rows.select("id").schema.add("n_bytes", "long").add("n_removed", "long").add("spans", "binary").add("kept", "string" if as_text else "binary")
     return rows.mapInArrow(_cut(as_text), schema.add(rows.schema["carried"]))
