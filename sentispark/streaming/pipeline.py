@@ -12,7 +12,7 @@ from sentispark.operators.score import score_with_lexicon
 from sentispark.scale import keep_first
 from sentispark.session import materialize
 from sentispark.sources import store
-from sentispark.sources.events import parse_events
+from sentispark.sources.events import parse_events, quarantined
 from sentispark.streaming.sinks import start
 
 Score = Callable[[DataFrame], DataFrame]
@@ -27,6 +27,14 @@ def valid_posts(lines: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def rejected_lines(lines: DataFrame, as_of: Column) -> DataFrame:
+    """(raw, reason) of every line that ``valid_posts`` leaves out though it should have been a post."""
+    events = parse_events(lines)
+    posts = normalize.normalize_posts(events.filter(~F.col("corrupt")))
+    dated = validate.check_dates(posts, as_of, columns=("created_at",)).filter(F.col("reason").isNotNull())
+    return quarantined(events).unionByName(dated.select(F.col("uri").alias("raw"), "reason"))
+
+
 def scored_rows(
     posts: DataFrame, pairs: DataFrame, handles: DataFrame, collected_at: Column, score: Score
 ) -> DataFrame:
@@ -72,6 +80,7 @@ def run_match_pipeline(
     collected_at: Column | None = None,
     score: Score = score_with_lexicon,
     every: str | None = None,
+    rejected_path: str | None = None,
 ):
     """Match a stream of event lines against all active jobs.
 
@@ -80,6 +89,7 @@ def run_match_pipeline(
     posts land in their own time chunk. The narrow (post, job) pairs are written once per batch;
     texts are written only to the store. Per batch and job, one progress row counts what was
     processed, duplicates included; the completion tracker reads those instead of single rows.
+    With ``rejected_path`` unreadable lines and posts with unusable dates are stored with their reason.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -90,6 +100,8 @@ def run_match_pipeline(
             match.match_pairs(posts, read_jobs(spark), key="post_key", event_time=event_time)
         )
         store.store_absent(scored_rows(posts, pairs, read_handles(spark), now, score), rows_path)
+        if rejected_path is not None:
+            rejected_lines(batch, now).write.mode("overwrite").parquet(f"{rejected_path}/batch_id={batch_id}")
         processed_counts(posts, pairs, now).write.mode("overwrite").parquet(
             f"{progress_path}/batch_id={batch_id}"
         )
