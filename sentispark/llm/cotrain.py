@@ -26,6 +26,7 @@ from sentispark.llm.common import slices
 _BITS = 17
 _STEMS = (4, 5)  # letters of a word's beginning that are features too
 _STRIP = ".,;:!?\"'()[]{}|&$%#*<>~^_-=+/\\"
+_LEAST = 5  # rows a feature must be in
 _LANGS, _SOURCES, _DENSE = 64, 1024, 14
 _META = _LANGS + _SOURCES + _DENSE
 #: Held-out share of the labelled sample, by hash of its order.
@@ -130,31 +131,36 @@ class _Sample:
 
     def __init__(self, frame):
         self.count = len(frame)
-        parts = [np.frombuffer(w, np.uint32).astype(np.int64) for w in frame["words"]]
-        self.word_rows = np.repeat(np.arange(self.count), [len(p) for p in parts])
-        self.words = np.concatenate([np.empty(0, np.int64), *parts])
+        # Narrow, and without the features too rare to be used: the driver holds the whole sample.
+        parts = [np.frombuffer(w, np.uint32).astype(np.int32) for w in frame["words"]]
+        rows = np.repeat(np.arange(self.count, dtype=np.int32), [len(p) for p in parts])
+        words = np.concatenate([np.empty(0, np.int32), *parts])
+        common = (np.bincount(words, minlength=1 << _BITS) >= _LEAST)[words]
+        self.word_rows, self.words = rows[common], words[common]
         self.meta = np.array([np.frombuffer(m) for m in frame["meta"]]).reshape(self.count, 2 + _DENSE)
 
 
 def _word_fit(sample: _Sample, rows: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
     """Fit on the words whose share differs between the classes beyond chance."""
-    place = np.full(sample.count, -1)
-    place[rows] = np.arange(len(rows))
+    place = np.full(sample.count, -1, np.int32)
+    place[rows] = np.arange(len(rows), dtype=np.int32)
     used = place[sample.word_rows] >= 0
     at, words = place[sample.word_rows[used]], sample.words[used]
+    del used
     ones = max(labels.sum(), 1)
     zeros = max(len(labels) - ones, 1)
     inside = np.bincount(words, labels[at], 1 << _BITS)
-    outside = np.bincount(words, 1 - labels[at], 1 << _BITS)
+    outside = np.bincount(words, minlength=1 << _BITS) - inside
     share = (inside + outside) / len(labels)
     sure = np.abs(inside / ones - outside / zeros) / np.sqrt(share * (1 - share) * (1 / ones + 1 / zeros) + 1e-12)
-    sure[inside + outside < 5] = 0
+    sure[inside + outside < _LEAST] = 0
     kept = np.flatnonzero(sure > 4)
     weights = np.zeros(1 << _BITS)
-    slot = np.full(1 << _BITS, -1)
-    slot[kept] = np.arange(len(kept))
+    slot = np.full(1 << _BITS, -1, np.int32)
+    slot[kept] = np.arange(len(kept), dtype=np.int32)
     mine = slot[words] >= 0
-    found, bias = _fit(at[mine], slot[words[mine]], np.ones(int(mine.sum())), len(labels), len(kept), labels)
+    at, words = at[mine], slot[words[mine]]
+    found, bias = _fit(at, words, np.ones(len(at), np.float32), len(labels), len(kept), labels)
     weights[kept] = found
     return weights, bias
 
@@ -169,7 +175,8 @@ def _meta_fit(sample: _Sample, rows: np.ndarray, labels: np.ndarray, scale: np.n
 
 
 def _word_logits(rows, words, weights, bias, count) -> np.ndarray:
-    return np.bincount(rows, weights[words], count) + bias
+    used = weights[words] != 0
+    return np.bincount(rows[used], weights[words[used]], count) + bias
 
 
 def _meta_logits(meta: np.ndarray, weights: np.ndarray, bias: float, scale: np.ndarray) -> np.ndarray:
@@ -231,7 +238,7 @@ def _columns(docs: DataFrame) -> list:
     return [(F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()]
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = 12000, unlabelled: int = 6000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = 8000, unlabelled: int = 4000) -> Model:
     """Train on at most ``labelled`` labelled and ``unlabelled`` other rows, the first by hash of their ids.
 
     ``labels`` has doc_id, quality (1 good) and toxic (1 toxic); null labels are left out, of several the
@@ -256,6 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 12000, unlabelled:
     frame = _featured(chosen.select(columns).union(free.select(columns))).toPandas()
     frame = frame.sort_values(["order", "words", "meta"]).reset_index(drop=True)
     sample = _Sample(frame)
+    frame = frame[["quality", "toxic", "order"]].copy()
     held = (frame["order"].to_numpy().astype(np.int64) >> 7) % _HELD_OUT == 0
     dense = sample.meta[:, 2:] if sample.count else np.zeros((1, _DENSE))
     scale = np.stack([dense.mean(axis=0), dense.std(axis=0) + 1e-6])
