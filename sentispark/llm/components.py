@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentispark.llm.common import written
+from sentispark.llm.common import discard, written
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     sign = lambda e: e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
     before = sign(known)
     while before[0]:
-        known = written(_star(_star(known, True), False), "edges")
+        last, known = known, written(_star(_star(known, True), False), "edges")
+        discard(last)
         after = sign(known)
         if tuple(after) == tuple(before):
             break

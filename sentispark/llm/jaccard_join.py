@@ -5,10 +5,11 @@
    have no partner.
 2. Equal sets are one class with one representative.
 3. A representative's rarest shared shingles (enough that two partners must have one in common)
-   put it into tiles: one per shingle and band of set sizes, and the band above, as
-   partners differ in size by the threshold at most.
-4. Each representative is first checked with the smallest member of the tiles it shares most; the links so
-   found contract groups of near copies without looking at all their pairs.
+   put it into tiles: one per shingle and band of set sizes; a set near the upper border of its band is in
+   the band above too, as partners differ in size by the threshold at most.
+4. Each representative is first checked with one member of the tiles it shares most: the one with the fewest
+   shingles of its own, then, a few times, one of another component. The links so found contract groups
+   of near copies without looking at all their pairs.
 5. Pairs of a tile that are not linked yet must pass the bound by sizes and by hashed bitmaps
    (the bits in which two bitmaps differ bound the overlap from above), then the exact
    intersection of the sorted sets. Tiles of many rows are cut into blocks that meet pairwise.
@@ -27,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentispark.llm.common import id_and_text, written
+from sentispark.llm.common import discard, id_and_text, written
 from sentispark.llm.components import components
 from sentispark.llm.repeated import mix, repeated_keys
 
 _WORDS = 16  # 64-bit words of a bitmap
 _TILE = 256  # rows of a tile that meet in one group
+_WIDTH = 4  # a band spans this power of the largest ratio between the sizes of partners
+_ROUNDS = 6  # contractions before the pairs that are left are enumerated
 
 
 def shingles_of(size: int):
@@ -91,7 +94,7 @@ def profiles(docs: DataFrame, words: int, percent: int, key: str, text: str) ->
 
 def _entries(sets: DataFrame, percent: int) -> DataFrame:
     """(h, band, id, n, m): the tiles of each set; m counts its shared shingles."""
-    step = np.log(100 / percent)
+    step = _WIDTH * np.log(100 / percent)
     schema = pa.schema([("h", pa.int64()), ("band", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("m", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,8 +106,8 @@ def _entries(sets: DataFrame, percent: int) -> DataFrame:
                 if lead <= 0:
                     continue
                 chosen = keys[np.lexsort((keys, ranks))[:lead]].view(np.int64)
-                # Rounding may move a size across a border of bands; a little slack keeps partners together.
-                bands = range(int(np.floor(np.log(n) / step - 1e-9)), int(np.floor(np.log(n) / step + 1e-9)) + 2)
+                # The set's own band, and the next if partners may be there. The slack is for rounding.
+                bands = {int(np.log(n) / step), int(np.log(n) / step + 1 / _WIDTH + 1e-9)}
                 for b in bands:
                     row = np.empty((5, len(chosen)), np.int64)
                     row[:] = [[0], [b], [i], [n], [len(keys)]]
@@ -162,32 +165,43 @@ def _may_link(percent: int, a: str, b: str, bits: bool):
     return (100 + percent) * least >= 2 * percent * (F.col(f"{a}n") + F.col(f"{b}n"))
 
 
+def _best_partner(pairs: DataFrame) -> DataFrame:
+    """Of the tile mates (u, v) of each set, the one met in most tiles, ties to the smaller id."""
+    met = pairs.groupBy("u", "v").agg(F.count("*").alias("times"))
+    return met.groupBy("u").agg(F.max_by("v", F.struct("times", F.negative("v"))).alias("v"))
+
+
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """(id, component) of the distinct ``sets`` that have partners."""
     tiles_of = written(_entries(sets, percent), "tiles")
-    tiles = written(
-        tiles_of.groupBy("h", "band").agg(F.min(F.struct("n", "id")).alias("low"), F.count("*").alias("size")).where("size > 1"),
-        "tile-heads",
-    )
-    met = (
-        tiles_of.join(tiles, ["h", "band"])
-        .where(F.col("id") != F.col("low.id"))
-        .groupBy(F.col("id").alias("u"), F.col("low.id").alias("v"))
-        .agg(F.count("*").alias("times"))
-        .groupBy("u")
-        .agg(F.max_by("v", F.struct("times", F.negative("v"))).alias("v"))
-    )
-    first = written(_verified(met, sets, percent), "links")
-    label = written(components(first), "labels")
-    named = tiles_of.join(label, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    mixed = written(
-        named.groupBy("h", "band")
-        .agg(F.min("label").alias("a"), F.max("label").alias("z"), F.count("*").alias("size"))
-        .where("a <> z")
-        .select("h", "band", F.ceil(F.col("size") / _TILE).cast("int").alias("blocks")),
-        "mixed-tiles",
-    )
-    left = named.join(mixed, ["h", "band"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # The member with the fewest shingles of its own is most like what the others were copied from.
+    heads = tiles_of.groupBy("h", "band").agg(F.min(F.struct(F.col("n") - F.col("m"), "id")).alias("head"), F.count("*").alias("size"))
+    heads = written(heads.where("size > 1").select("h", "band", F.col("head.id").alias("v")), "tile-heads")
+    mates = tiles_of.join(heads, ["h", "band"]).where(F.col("id") != F.col("v")).select(F.col("id").alias("u"), "v")
+    edges = written(_verified(_best_partner(mates), sets, percent).select("u", "v"), "links")
+    used = [tiles_of, heads, edges]
+    for turn in range(_ROUNDS + 1):
+        label = written(components(edges), "labels")
+        named = tiles_of.join(label, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        # A member of the first and of the last component of a tile, others in each round.
+        member = F.struct("label", F.xxhash64("id", F.lit(turn)).alias("rank"), "id")
+        mixed = named.groupBy("h", "band").agg(F.min(member).alias("a"), F.max(member).alias("z"), F.count("*").alias("size"))
+        mixed = mixed.where("a.label <> z.label").select(
+            "h", "band", F.col("a.label").alias("a_label"), F.col("a.id").alias("a"), F.col("z.id").alias("z"),
+            F.ceil(F.col("size") / _TILE).cast("int").alias("blocks"),
+        )
+        mixed = written(mixed, "mixed-tiles")
+        used += [label, mixed]
+        if turn == _ROUNDS:
+            break
+        other = F.when(F.col("label") != F.col("a_label"), F.col("a")).otherwise(F.col("z"))
+        mates = named.join(mixed, ["h", "band"]).select(F.col("id").alias("u"), other.alias("v"))
+        found = written(_verified(_best_partner(mates), sets, percent).select("u", "v"), "links")
+        used.append(found)
+        if found.isEmpty():
+            break
+        edges = edges.union(found)
+    left = named.join(mixed.select("h", "band", "blocks"), ["h", "band"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     left = left.select("h", "band", "i", "j", "id", "n", "m", "label").join(_bitmaps(sets), "id")
@@ -202,8 +216,10 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         .select(F.col("u_id").alias("u"), F.col("v_id").alias("v"))
         .distinct()
     )
-    second = _verified(pairs, sets, percent)
-    return components(first.select("u", "v").union(second.select("u", "v")))
+    linked = components(edges.union(_verified(pairs, sets, percent).select("u", "v")))
+    # The components are in a table of their own by now.
+    discard(*used, grid)
+    return linked
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -219,6 +235,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, key: str
     first = able.groupBy("digest").agg(F.min("id").alias("id"))
     sets = written(able.join(first, ["digest", "id"], "left_semi"), "sets")
     linked = links(sets, percent)
+    discard(sets)
     classes = first.join(linked, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     rows = found.select("id", F.col("n").alias("n_shingles"), "digest").join(classes, "digest", "left")
     return rows.select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
