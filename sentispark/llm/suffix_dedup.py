@@ -33,7 +33,7 @@ from sentispark.llm.common import id_and_text, partitions, slices, written
 from sentispark.llm.repeated import _grouped_rows, _split, bucket_of, mix, part_of, repeated_keys
 
 _GRAM = 24
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _SEEN = 300_000
 _SHARDS = 8
 
@@ -104,7 +104,7 @@ def _candidates(batch: pa.RecordBatch) -> pa.RecordBatch:
 def _sender(span: int, parts: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         seen: dict[bytes, int] = {}
-        for piece in slices(map(_candidates, batches), "text", 4 << 20):
+        for piece in slices(map(_candidates, batches), "text", 2 << 20):
             ids = piece.column(0).to_numpy()
             repeated = np.unique(np.frombuffer(b"".join(piece.column(2).to_pylist()), np.uint64))
             data, owner, first, last, value, offsets = _segments(piece.column(1), span)
@@ -340,6 +340,8 @@ def remove_repeats(docs: DataFrame, span: int = 50, key: str = "doc_id", text: s
 
     digests = rows.where(F.octet_length("text") >= span).select("id", F.unhex(F.sha2("text", 256)).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    # From a table, so that adaptive execution can split the rows of a digest that very many share.
+    firsts = written(firsts, "first-copies")
     copies = written(digests.join(firsts, "digest").where("id > first").select("id").distinct(), "copies")
     other = [F.col(c) for c in docs.columns if c != text] or [F.lit(None).cast("string").alias("none")]
     whole = docs.select(
