@@ -18,6 +18,8 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     def register(build):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            # Rows with long texts: smaller batches keep the tasks' memory bounded.
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
             return build(use_utc(spark), folder)
 
         QUERIES[name] = run
@@ -57,13 +59,46 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumnRenamed("id", "doc_id")
 
 
-@query("op9_ngram_jaccard")
+@query(
+    "op9_ngram_jaccard",
+    """
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    o AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    e AS (SELECT u, v FROM o JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= 75 * (x.n + y.n - k)),
+    b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+    r AS (SELECT u AS id, u AS c FROM b UNION SELECT b.v, r.c FROM r JOIN b ON b.u = r.id)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id
+    FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT id, min(c) AS c FROM r GROUP BY 1) ON id = doc_id
+    """,
+)
 def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     found = jaccard_join.near_duplicates(_table(spark, folder, "documents"), words=5, percent=75)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
-@query("op8_suffix_array_dedup")
+@query(
+    "op8_suffix_array_dedup",
+    """
+    WITH t AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+    -- In pieces first, as a substring is sought from the start of its string.
+    q AS (SELECT doc_id, o, substr(h, 2 * o + 1, 2098) AS piece FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 1000)) AS o FROM t)),
+    g AS (SELECT doc_id, o + p AS p, substr(piece, 2 * p + 1, 100) AS s
+      FROM (SELECT *, unnest(range(0, least(1000, len(piece) // 2 - 49))) AS p FROM q)),
+    f AS (SELECT s, min(doc_id) AS d FROM g GROUP BY 1),
+    m AS (SELECT doc_id, p FROM g JOIN f USING (s) WHERE d < doc_id),
+    i AS (SELECT doc_id, p, CAST(p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -51) + 50 AS INT) AS b FROM m),
+    k AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM i) GROUP BY doc_id, r),
+    x AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y FROM k),
+    c AS (SELECT doc_id, sum(z - a) AS n, count(*) AS spans, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS left_over
+      FROM x JOIN t USING (doc_id) GROUP BY 1)
+    SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(left_over, h))) AS kept_sha256
+    FROM t LEFT JOIN c USING (doc_id)
+    """,
+)
 def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(_table(spark, folder, "documents"), span=50)
     return found.select(
