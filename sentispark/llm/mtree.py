@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sentispark.llm.common import written
 
 SHARD = 16384  # vectors of a shard, about
-_PAGE = 64  # entries of a page
+_PAGE = 256  # entries of a page
 _PAGES = pa.schema(
     [("shard", pa.int32()), ("size", pa.int32()), ("page", pa.int32()), ("leaf", pa.bool_()), ("radius", pa.float64()), ("norm", pa.float64())]
     + [(c, pa.binary()) for c in ("center", "entries", "distances", "vectors")]
@@ -109,11 +109,15 @@ class Tree:
             node = self.pages[number]
             if node["leaf"]:
                 able = np.flatnonzero(bound(node["norms"], np.abs(near - node["distances"])) >= worst)
-                scores = node["vectors"][able] @ query
+                # Copying most of a page would cost more than the few products it saves.
+                part = able if 2 * len(able) < len(node["entries"]) else slice(None)
+                scores, ids = node["vectors"][part] @ query, node["entries"][part]
                 self.computed += len(able)
-                for score, i in zip(scores.tolist(), node["entries"][able].tolist()):
-                    if i == name:
-                        continue
+                # The page's own best k at most, none below the worst so far.
+                fine = np.flatnonzero((scores >= worst) & (ids != name))
+                if len(fine) > k:
+                    fine = fine[np.lexsort((ids[fine], -scores[fine]))[:k]]
+                for score, i in zip(scores[fine].tolist(), ids[fine].tolist()):
                     if len(best) < k:
                         heapq.heappush(best, (score, -i))
                     elif (score, -i) > best[0]:
