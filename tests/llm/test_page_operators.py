@@ -5,6 +5,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sentispark.llm import chat_format, cotrain, html_text, mtree, warc
@@ -185,6 +186,21 @@ def test_cotraining_on_held_out_rows(corpus):
     assert found.columns[:6] == docs.columns
 
 
+def test_cotraining_learns_from_all_rows(spark, corpus):
+    docs, labels = corpus
+    # A word only in unlabelled rows late in the order of hashes, and one only in labelled rows beyond the sample.
+    more = docs.crossJoin(spark.range(4)).withColumn("doc_id", 10_000 + F.col("doc_id") * 20 + F.col("id") * 5).drop("id")
+    far = more.orderBy(F.xxhash64("doc_id", F.lit(1)).desc()).limit(2000).select("doc_id", F.lit("farword").alias("extra"))
+    bad = F.col("text").contains("!! |")
+    beyond = labels.orderBy(F.xxhash64("doc_id").desc()).limit(250).select("doc_id", F.lit("restword").alias("extra"))
+    rows = docs.union(more).join(far.union(beyond), "doc_id", "left")
+    marked = rows.withColumn("text", F.when(bad == (F.col("extra") == "restword"), F.concat_ws(" ", "text", "extra")).otherwise(F.col("text"))).select(*docs.columns)
+    model = cotrain.train(marked, labels, 500)
+    for word, sign in (("restword", -1), ("farword", 1)):
+        _, feature = cotrain.word_features(pa.array([word]))
+        assert (model.quality.words[feature] * sign).max() > 0, word
+
+
 def test_cotraining_odd_rows(spark, corpus):
     docs, labels = corpus
     model = cotrain.train(docs, labels, 700, 500)
