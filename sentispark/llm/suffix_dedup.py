@@ -9,6 +9,9 @@ Every byte covered by a ``span``-byte string that also starts in a document with
 2. Neighbouring strings with the same value form one segment of text. Segments go to the part of
    their value, so that equal strings meet; equal segments of one task are sent once, for their
    first document, hence a passage that a third of all documents share costs one row per task.
+   At the ends of such a passage segments reach into each document's own text, all different with one
+   value. A new segment whose value very many documents have is therefore sent as its single strings,
+   each to the part of its own hash: no part gets all segments of such a value.
 3. In a part, segments equal as a whole are settled by their first document. The rest, different
    segments with one value, are dealt into shards. Each shard sorts its own suffixes once and
    keeps its Burrows-Wheeler transform; the transforms are merged by refining their interleave a
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,8 @@ _GRAM = 24
 _CHUNK = 1 << 19
 _SEEN = 300_000
 _SHARDS = 8
+#: Documents with one value from which its segments are sent as single strings; hot keys are above it.
+_CROWD = 1000
 
 
 def _window_minima(data: np.ndarray, span: int) -> np.ndarray:
@@ -106,36 +112,47 @@ def _sender(span: int, parts: int):
         seen: dict[bytes, int] = {}
         for piece in slices(map(_candidates, batches), "text", 2 << 20):
             ids = piece.column(0).to_numpy()
-            repeated = np.unique(np.frombuffer(b"".join(piece.column(2).to_pylist()), np.uint64))
+            repeated, index = np.unique(np.frombuffer(b"".join(piece.column(2).to_pylist()), np.uint64), return_index=True)
+            crowded = np.frombuffer(b"".join(piece.column("classes").to_pylist()), np.uint16)[index] > _CROWD
             data, owner, first, last, value, offsets = _segments(piece.column(1), span)
             at = np.minimum(np.searchsorted(repeated, value), max(len(repeated) - 1, 0))
             held = np.flatnonzero(repeated[at] == value) if len(repeated) else np.empty(0, np.int64)
             letters = data.tobytes()
             gone: dict[int, list] = {}
-            kept = []
-            if len(seen) > _SEEN:
-                seen = {}
-            for k, o, b, e in zip(held.tolist(), owner[held].tolist(), first[held].tolist(), last[held].tolist()):
+            kept = []  # (text, begin, end, value) of what is sent
+            hot = crowded[at[held]] if len(repeated) else np.empty(0, bool)
+            for o, b, e, v, single in zip(*(x.tolist() for x in (owner[held], first[held], last[held], value[held], hot))):
+                if len(seen) > _SEEN:
+                    seen = {}
                 text = letters[b : e + span]
                 known = seen.setdefault(text, ids[o])
                 if known < ids[o]:
                     gone.setdefault(o, []).append((b - offsets[o], e + span - offsets[o]))
+                elif not single:
+                    kept.append((o, b, e + span, v))
                 else:
-                    kept.append(k)
+                    for w in range(b, e + 1):
+                        text = letters[w : w + span]
+                        known = seen.setdefault(text, ids[o])
+                        if known < ids[o]:
+                            gone.setdefault(o, []).append((w - offsets[o], w + span - offsets[o]))
+                        else:
+                            kept.append((o, w, w + span, xxhash.xxh3_64_intdigest(text)))
             for o, found in gone.items():
                 yield (int(bucket_of(ids[o : o + 1], parts)[0]), ids[o : o + 1].tobytes(), b"", _united(np.array(found, np.int64)).tobytes(), b"", b"")
-            kept = np.array(kept, np.int64)
-            sizes = last[kept] + span - first[kept]
-            begins = first[kept] - offsets[owner[kept]]
-            for p, some in _split(part_of(mix(value[kept]), parts), parts):
-                chosen = kept[some]
+            if not kept:
+                continue
+            owners, froms, ends = np.array([x[:3] for x in kept], np.int64).T
+            values = np.array([x[3] for x in kept], np.uint64)
+            del kept
+            for p, some in _split(part_of(mix(values), parts), parts):
                 yield (
                     p,
-                    ids[owner[chosen]].tobytes(),
-                    value[chosen].tobytes(),
-                    begins[some].tobytes(),
-                    sizes[some].tobytes(),
-                    b"".join(letters[b : e + span] for b, e in zip(first[chosen].tolist(), last[chosen].tolist())),
+                    ids[owners[some]].tobytes(),
+                    values[some].tobytes(),
+                    (froms - offsets[owners])[some].tobytes(),
+                    (ends - froms)[some].tobytes(),
+                    b"".join(letters[b:e] for b, e in zip(froms[some].tolist(), ends[some].tolist())),
                 )
 
     return lambda batches: _grouped_rows(rows(batches), _SENT)
@@ -349,8 +366,8 @@ def remove_repeats(docs: DataFrame, span: int = 50, key: str = "doc_id", text: s
     )
     # The texts are shuffled by id once; all three uses below read that exchange.
     base = whole.join(copies.withColumn("copy", F.lit(True)), "id", "left")
-    found = repeated_keys(base, keys_of, _no_meta, skip="copy").where(F.octet_length("keys") > 0).select("id", "keys")
-    sent = base.join(found, "id", "left").select("id", "text", "keys", "copy", "carried").mapInArrow(
+    found = repeated_keys(base, keys_of, _no_meta, skip="copy").where(F.octet_length("keys") > 0).select("id", "keys", "classes")
+    sent = base.join(found, "id", "left").select("id", "text", "keys", "copy", "carried", "classes").mapInArrow(
         _sender(span, parts), "part int, ids binary, values binary, begins binary, sizes binary, letters binary"
     )
     lost = sent.repartitionById(parts, "part").mapInArrow(_receiver(span), "id long, spans binary")

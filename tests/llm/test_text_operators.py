@@ -1,6 +1,7 @@
 """Operators on documents against brute force, and their defined results for odd input."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -190,6 +191,27 @@ def test_suffix_dedup_equals_brute_force(docs, prose):
     assert found[0]["carried"]["lang"] == "en"
 
 
+def test_suffix_dedup_spreads_ends_of_a_common_passage(docs, prose):
+    passage = prose(31, 30)
+    rows = [(k, prose(1000 + k, 8) + passage[k % 3 :] + prose(5000 + k, 8)) for k in range(300)]
+    found = suffix_dedup.remove_repeats(docs(rows)).collect()
+    assert {r["id"]: bytes(r["kept"]) for r in found} == {i: w[3] for i, w in cut_repeats(rows).items()}
+    # No value, hence no part, is sent a segment of every document.
+    texts = pa.array([t for _, t in rows])
+    _, owner, _, _, value, _ = suffix_dedup._segments(texts, 50)
+    held = Counter(v for _, v in set(zip(owner.tolist(), value.tolist())))
+    keys = [np.array(sorted({v for o, v in zip(owner.tolist(), value.tolist()) if o == k and held[v] > 1}), np.uint64) for k in range(len(rows))]
+    classes = [np.array([65535 if held[v] > 16 else held[v] for v in some.tolist()], np.uint16).tobytes() for some in keys]
+    batch = pa.RecordBatch.from_pydict({"id": [i for i, _ in rows], "text": texts, "keys": [k.tobytes() for k in keys], "classes": classes})
+    sent = Counter()
+    for out in suffix_dedup._sender(50, 24)(iter([batch])):
+        sent.update(np.frombuffer(b"".join(out.column("values").to_pylist()), np.uint64).tolist() if out.num_rows else [])
+        spans = [v for v, s in zip(out.column("values").to_pylist(), out.column("sizes").to_pylist()) if not s]
+        for v in spans:
+            sent.subtract(np.frombuffer(v, np.uint64).tolist())
+    assert sum(sent.values()) > len(rows) and max(sent.values()) <= 16
+
+
 def test_suffix_dedup_same_id_and_empty_table(docs, prose):
     twice = suffix_dedup.remove_repeats(docs([(1, prose(1, 40)), (1, prose(1, 40))])).collect()
     assert [r["n_removed"] for r in twice] == [0, 0]
