@@ -104,6 +104,9 @@ _WORDS = set(
     "sharing social related recommended recommendations trending popular search pagination pager copyright colophon disclaimer form hidden toc tags".split()
 )
 _COMMENTS = {"comment", "comments", "commentlist", "replies", "reply", "disqus", "respond"}
+#: A name with one of these says how its element is laid out ("has-comments", "with-sidebar"), not what it is.
+_MODIFIERS = {"has", "with", "no", "without", "open", "closed", "enabled", "disabled"}
+_CONTENT = {"post", "entry", "hentry", "article", "story", "content", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
@@ -113,12 +116,15 @@ def _place(tag: str, attributes: str, above: int) -> int:
     if above == -2:
         return -2
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
-    named = set()
+    names: list[set[str]] = []
     if tag not in ("html", "body"):
-        names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}")
-        named = {w for w in re.split(r"[^a-z]+", names.lower()) if w}
+        given = re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{found.get('class', '')} {found.get('id', '')}").lower()
+        names = [{w for w in re.split(r"[^a-z]+", name) if w} for name in given.split()]
+        names = [name for name in names if not name & _MODIFIERS]
+    named = set().union(*names)
     role = found.get("role", "").lower()
-    if named & _COMMENTS:
+    # An element that is also named as content is no list of comments.
+    if named & _COMMENTS and not any(name & _CONTENT and not name & _COMMENTS for name in names):
         return -2
     if tag in ("article", "main") or role in ("article", "main"):
         return 1

@@ -32,6 +32,24 @@ def test_html_without_article_element(prose):
     assert html_text.main_text(page, tree).split("\n\n") == ["A heading", a, b]
 
 
+@pytest.mark.parametrize(
+    "opened, closed",
+    [
+        ('<article class="post has-comments">', "</article>"),
+        ('<article class="post comments" id="post-7">', "</article>"),
+        ('<div class="content comments-open"><article>', "</article></div>"),
+        ('<div class="main-content with-sidebar">', "</div>"),
+        ('<div class="page hasComments"><main>', "</main></div>"),
+    ],
+)
+def test_html_layout_names_are_no_evidence(opened, closed, prose):
+    tree = html_text.train_tree(*html_text.labelled_table())
+    body, more = prose(1, 60), prose(2, 50)
+    comment = f'<section class="comments"><article class="comment"><p>{prose(3, 40)}</p></article></section>'
+    page = f"<html><body>{opened}<p>{body}</p><p>{more}</p>{closed}{comment}</body></html>"
+    assert html_text.main_text(page, tree) == f"{body}\n\n{more}"
+
+
 def test_tree_learns_its_table():
     rows, labels = html_text.labelled_table()
     assert (html_text.classify(html_text.train_tree(rows, labels), rows) == labels).mean() > 0.97
