@@ -26,6 +26,11 @@ FEATURES = ["words", "links", "words_before", "links_before", "words_after", "li
 LABELLED = """
 12 0.0 6 1.0 40 0.0  1 1 1 1
  1 0.0 0 0.0  5 0.0  1 1 0 1
+ 1 1.0 0 0.0 60 0.0  1 1 1 1
+ 3 1.0 1 1.0 40 0.0  1 1 1 1
+ 6 1.0 0 0.0 90 0.0  1 1 1 1
+ 9 1.0 80 0.0 80 0.0  1 1 1 1
+20 1.0 30 0.0 30 0.0  1 1 0 1
  3 0.0 12 0.0 90 0.0  1 1 0 1
 90 0.0 3 0.0  2 0.0  1 1 0 1
  2 0.0 90 0.0 8 0.2  1 1 0 1
@@ -266,6 +271,9 @@ def labelled_table(text: str = LABELLED) -> tuple[np.ndarray, np.ndarray]:
     for words, before, after in itertools.product((20, 45, 130), (0, 20, 80), (0, 20, 80)):
         rows += [
             [words, 0, before, 0, after, 0, 1, 1, 0, 1],
+            [words, 1, before, 0, after, 0, 1, 1, 0, 1],
+            [words // 20, 1, before, 0, after, 0, 1, 1, 1, 1],
+            [words // 20, 1, before, 0, after, 0, 1, 1, 0, 0],
             [words, 0, before, 0, after, 0, -1, 1, 0, 0],
             [words, 0, before, 0, after, 0, -1, 0, 0, 0],
             [words, 0, before, 0, after, 0, 0, 1, 0, 0],

@@ -50,6 +50,13 @@ def test_html_layout_names_are_no_evidence(opened, closed, prose):
     assert html_text.main_text(page, tree) == f"{body}\n\n{more}"
 
 
+def test_html_linked_article_blocks_stay(prose):
+    tree = html_text.train_tree(*html_text.labelled_table())
+    title, linked, body = prose(4, 5), prose(5, 40), prose(6, 60)
+    page = f'<article><h1><a href="x">{title}</a></h1><p>{body}</p><p><a href="y">{linked}</a></p><p>{body}</p><p><a href="z">more here</a></p></article>'
+    assert html_text.main_text(page, tree) == "\n\n".join([title, body, linked, body])
+
+
 def test_tree_learns_its_table():
     rows, labels = html_text.labelled_table()
     assert (html_text.classify(html_text.train_tree(rows, labels), rows) == labels).mean() > 0.97
