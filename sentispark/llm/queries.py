@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentispark.llm import byte_bpe, chat_format, cotrain, decontaminate, html_text, jaccard_join, mtree, suffix_dedup, token_counts, warc
+from sentispark.llm import byte_bpe, chat_format, cotrain, decontaminate, html_text, jaccard_join, mtree, prefix_trie, sharding, suffix_dedup, token_counts, walsh, warc
+from sentispark.llm.common import written
 from sentispark.session import fresh_dir, use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +206,103 @@ def op4_cotraining(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     scored = cotrain.score(docs, cotrain.train(docs, _table(spark, folder, "labels")))
     return scored.select("doc_id", "quality_p", "toxic_p", "score", cotrain.accepted().alias("keep"))
+
+
+def _centroid_rounds(rounds: int) -> str:
+    """CTEs of the rounds: a<k> assigns every vector to the centroids c<k>, which move to make c<k + 1>."""
+    parts = []
+    for k in range(rounds + 1):
+        parts.append(
+            f"""a{k} AS MATERIALIZED (SELECT rn, cluster, d FROM (SELECT rn, number AS cluster, d, row_number() OVER (PARTITION BY rn ORDER BY d, number) AS best
+              FROM (SELECT rn, number, CAST(list_inner_product(e, e) - 2 * list_inner_product(e, c) + list_inner_product(c, c) AS BIGINT) AS d FROM v, c{k}))
+              WHERE best = 1)"""
+        )
+        if k < rounds:
+            parts.append(
+                f"""m{k} AS (SELECT cluster, list(m ORDER BY i) AS c FROM (SELECT cluster, i, floor(sum(e[i]) / count(*)) AS m
+                  FROM a{k} JOIN v USING (rn), (SELECT unnest(range(1, 65)) AS i) GROUP BY cluster, i) GROUP BY cluster),
+                c{k + 1} AS MATERIALIZED (SELECT number, coalesce(m.c, o.c) AS c FROM c{k} o LEFT JOIN m{k} m ON cluster = number)"""
+            )
+    return ",\n".join(parts)
+
+
+@query(
+    "op11_walsh_clusters",
+    f"""
+    WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, e) - 1 AS number, e AS c FROM v
+      QUALIFY number < 16),
+    {_centroid_rounds(3)},
+    s AS (SELECT number, sha256(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ',')) AS digest FROM c3)
+    SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+      CAST(sum(d) OVER () AS BIGINT) AS inertia, digest AS centroid_sha256
+    FROM a3 JOIN v USING (rn) JOIN s ON number = cluster
+    """,
+)
+def op11_walsh_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    found, centroids = walsh.cluster(_table(spark, folder, "embeddings"), clusters=16, rounds=3, size=64, scale=64, seed=1)
+    return walsh.with_inertia(found, centroids).withColumnRenamed("id", "vec_id")
+
+
+#: CRC-32 of a short ASCII string, a bit at a time.
+_CRC_OF_DIGITS = """xor(4294967295, list_reduce(list_transform(range(1, len({0}) + 1), lambda i: CAST(ascii({0}[i]) AS BIGINT)),
+      lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295))"""
+
+
+@query(
+    "op12_prefix_trie",
+    f"""
+    WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, s, {_CRC_OF_DIGITS.format('s')} % 6 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t)),
+    r AS (SELECT c.conv_id, p, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND p < h
+      UNION ALL SELECT conv_id, p, role, text FROM c JOIN t USING (conv_id) WHERE p >= h),
+    q AS (SELECT conv_id, list(sha256(sha256(role) || text) ORDER BY p) AS turns, list(len(text) ORDER BY p) AS sizes FROM r GROUP BY conv_id
+      UNION ALL SELECT conv_id, [], [] FROM c WHERE conv_id NOT IN (SELECT conv_id FROM r)),
+    n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(turns) = d), '')) AS ends
+      FROM (SELECT *, array_to_string(turns[:d], ',') AS node, coalesce(sizes[d], 0) AS size
+        FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM q)) GROUP BY node, d),
+    k AS (SELECT n.*, CASE WHEN d > 0 THEN substr(node, 1, 65 * d - 66) END AS above FROM n),
+    f AS (SELECT above AS node, count(*) AS n_children FROM k WHERE d > 0 GROUP BY above),
+    a AS (SELECT k.*, coalesce(n_children, 0) AS n_children FROM k LEFT JOIN f USING (node)),
+    u AS (SELECT *, CASE WHEN o = 0 THEN '' ELSE substr(node, 1, 65 * o - 1) END AS top FROM (SELECT *, unnest(range(0, d + 1)) AS o FROM a)),
+    z AS (SELECT top AS node, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * size) AS BIGINT) AS saved_tokens FROM u GROUP BY top)
+    SELECT a.conv_id, a.d AS depth, p.conv_id AS parent_conv_id, a.n_convs, a.n_children, n_leaves, saved_tokens, a.ends AS ends_sha256
+    FROM a JOIN z USING (node) LEFT JOIN k p ON p.node = a.above
+    """,
+)
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    said = written(prefix_trie.sequences(_table(spark, folder, "conversations")), "conversations")
+    return prefix_trie.build_trie(prefix_trie.grafted(said, group=100, most=6))
+
+
+@query(
+    "op13_sharding",
+    """
+    WITH d AS (SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size, hex(coalesce(text, '')) AS h,
+        md5('shards:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw FROM documents),
+    -- CRC-32 half a byte at a time, the low half first.
+    c AS (SELECT * EXCLUDE (h), xor(4294967295, list_reduce(
+        list_transform(range(0, len(h)), lambda i: strpos('123456789ABCDEF', h[xor(i, 1) + 1])),
+        lambda c, b: xor(c >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+          3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][(xor(c, b) & 15) + 1]), 4294967295)) AS text_crc32 FROM d),
+    r AS (SELECT *, (2 * row_number() OVER s - 1) / (2 * count(*) OVER (PARTITION BY source)) AS share, row_number() OVER s AS rank FROM c
+      WINDOW s AS (PARTITION BY source ORDER BY draw, text_crc32, size)),
+    p AS (SELECT *, row_number() OVER (ORDER BY share, source NULLS FIRST, rank) - 1 AS place, count(*) OVER () AS n FROM r),
+    x AS (SELECT *, CAST(place * 16 // n AS INTEGER) AS shard FROM p)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, shard, CAST(place - (shard * n + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM x
+    """,
+)
+def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    dealt = sharding.interleave(_table(spark, folder, "documents"), shards=16)
+    return dealt.select(
+        F.col("id").alias("doc_id"),
+        "size",
+        F.col("checksum").alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
