@@ -1,4 +1,3 @@
-import datetime as dt
 import sys
 from pathlib import Path
 
@@ -8,9 +7,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from sentispark.session import build_session  # noqa: E402
 
-FOLDER = "/root/testdata/sf0.001"
-T0 = dt.datetime(2024, 1, 1)
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -38,7 +34,3 @@ def value(spark):
         return spark.createDataFrame([row], schema).select(column.alias("v")).first()["v"]
 
     return evaluate
-
-
-def seconds(n):
-    return T0 + dt.timedelta(seconds=n)

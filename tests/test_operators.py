@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from conftest import FOLDER, seconds
+from fixture_values import FOLDER, seconds
 from pyspark.sql import functions as F
 
 from sentispark import scale

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from conftest import FOLDER
+from fixture_values import FOLDER
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 

@@ -1,5 +1,5 @@
 import pytest
-from conftest import seconds
+from fixture_values import seconds
 from pyspark.sql import functions as F
 
 from sentispark.session import fresh_dir
