@@ -65,7 +65,7 @@ def stored_inserts(spark, folder):
     store.insert_if_absent(addressed, path, _arrival())
     # Rows without address never conflict, so only the second batch brings them.
     store.insert_if_absent(rows, path, _arrival())
-    return spark.read.parquet(path).groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    return store.scan_rows(spark, path).groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -153,7 +153,7 @@ def stored_after_delete_and_retention(spark, folder):
     store.write_rows(events_as_scored(spark, folder, "user_id"), path)
     store.delete_jobs(spark, path, _deleted(spark, folder))
     store.drop_expired(spark, path, _ntz("2024-04-14"))
-    return spark.read.parquet(path).groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    return store.scan_rows(spark, path).groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- jobs ------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from sentispark.plans import ingest, matching, store as stored
 from sentispark.plans.registry import BY_TYPE, BY_USER, query
 from sentispark.plans.results import _CHART, HOUR_MS, _bucket_sql
 from sentispark.session import ROCKSDB, fresh_dir, materialize
-from sentispark.sources.events import read_lines
+from sentispark.sources import store
 from sentispark.sources.tables import events_as_scored, orders_as_jobs, prompts_as_jobs, table
 from sentispark.streaming import live, pipeline, position, tracking
 from sentispark.streaming.sinks import batch_folder, latest_state, per_row, read_batches, start
@@ -17,11 +17,11 @@ from sentispark.streaming.sinks import batch_folder, latest_state, per_row, read
 BATCHES = 4
 
 
-def as_stream(df, name, at=None):
-    """Write a table in several steps and read it back as a stream, a step per micro-batch.
+def fed(df, name, run, at=None, picks=None):
+    """Feed a table to a stream in several steps, a micro-batch each; ``run`` starts the stream, with one checkpoint for all steps.
 
-    Rows come in any order, so copies lie in different batches; with ``at`` each batch holds a
-    stretch of that time, rows inside it in any order.
+    Rows come in any order, so copies lie in different batches; with ``at`` each batch holds a stretch of that time, rows
+    inside it in any order. ``picks`` gives the steps a row comes in. Every step is written by the tasks that hold its rows.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, name)
@@ -32,8 +32,9 @@ def as_stream(df, name, at=None):
         ends = df.select(F.unix_micros(at)).approxQuantile(f"unix_micros({at})", [k / BATCHES for k in range(1, BATCHES)], 0.01)
         step = sum((F.when(F.unix_micros(at) > end, 1).otherwise(0) for end in ends), F.lit(0))
     for k in range(BATCHES):
-        df.filter(step == k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        chosen = step == k if picks is None else picks(step, k)
+        df.filter(chosen).write.mode("append").parquet(path)
+        finish(run(spark.readStream.schema(df.schema).parquet(path)))
 
 
 def finish(query):
@@ -42,11 +43,11 @@ def finish(query):
         raise query.exception()
 
 
-def _collected(stream, name, mode="append"):
-    """Run a stream into batch folders and return the rows it wrote."""
-    spark = stream.sparkSession
-    out = fresh_dir(spark, name)
-    finish(start(stream, batch_folder(out), fresh_dir(spark, "checkpoint"), mode))
+def _collected(df, name, transform, at=None):
+    """Feed a table to a stream and return the rows it wrote."""
+    spark = df.sparkSession
+    out, checkpoint = fresh_dir(spark, name), fresh_dir(spark, "checkpoint")
+    fed(df, "input", lambda stream: start(transform(stream), batch_folder(out), checkpoint), at)
     return read_batches(spark, out).drop("batch_id")
 
 
@@ -68,10 +69,8 @@ def stream_live_series(spark, folder):
     rows = events_as_scored(spark, folder, "user_id").select(
         "job_id", "sentiment_score", F.col("analyzed_at").cast("timestamp").alias("received_at")
     )
-    out = fresh_dir(spark, "series")
-    finish(
-        live.run_live_series(as_stream(rows, "rows"), out, fresh_dir(spark, "checkpoint"), HOUR_MS, every=None)
-    )
+    out, checkpoint = fresh_dir(spark, "series"), fresh_dir(spark, "checkpoint")
+    fed(rows, "rows", lambda stream: live.run_live_series(stream, out, checkpoint, HOUR_MS, every=None))
     return live.read_live_series(spark, out, HOUR_MS)
 
 
@@ -83,8 +82,8 @@ def stream_dedupe(spark, folder):
     rows = stored._repeated(spark, folder).select(
         "id", "job_id", "source_url", "published_at", F.col("collected_at").cast("timestamp").alias("received_at")
     )
-    out = fresh_dir(spark, "kept")
-    finish(live.run_dedupe(as_stream(rows, "rows"), out, fresh_dir(spark, "checkpoint")))
+    out, checkpoint = fresh_dir(spark, "kept"), fresh_dir(spark, "checkpoint")
+    fed(rows, "rows", lambda stream: live.run_dedupe(stream, out, checkpoint))
     return read_batches(spark, out).select(
         "job_id", "source_url", F.unix_micros(F.col("published_at").cast("timestamp")).alias("day_us")
     )
@@ -97,16 +96,15 @@ def stream_dedupe_by_id(spark, folder):
     )
     # After a reconnect everything arrives a second time.
     twice = rows.unionByName(rows.withColumn("received_at", F.col("received_at") + F.expr("INTERVAL 1 HOUR")))
-    out = fresh_dir(spark, "kept")
-    finish(live.run_dedupe(as_stream(twice, "rows"), out, fresh_dir(spark, "checkpoint"), ("id",), ("received_at", "job_id"), None))
+    out, checkpoint = fresh_dir(spark, "kept"), fresh_dir(spark, "checkpoint")
+    fed(twice, "rows", lambda stream: live.run_dedupe(stream, out, checkpoint, ("id",), ("received_at", "job_id"), None))
     return read_batches(spark, out).select("id", "job_id")
 
 
 @query("stream_lifecycle", stored.LIFECYCLE_SQL)
 def stream_lifecycle(spark, folder):
-    out = fresh_dir(spark, "lifecycle")
-    events = as_stream(stored.lifecycle_events(spark, folder), "events")
-    finish(live.run_lifecycle(events, out, fresh_dir(spark, "checkpoint")))
+    out, checkpoint = fresh_dir(spark, "lifecycle"), fresh_dir(spark, "checkpoint")
+    fed(stored.lifecycle_events(spark, folder), "events", lambda stream: live.run_lifecycle(stream, out, checkpoint))
     jobs = apply_lifecycle(orders_as_jobs(spark, folder), latest_state(spark, out, ["job_id"]))
     return jobs.select(
         "job_id",
@@ -157,7 +155,7 @@ def stream_completion(spark, folder):
     activity = activity.unionByName(clock.withColumn("ts", F.col("ts").cast("timestamp")))
     return _with_rocksdb(
         spark,
-        lambda: _collected(tracking.completion(as_stream(activity, "activity", "ts"), "0 seconds"), "decisions"),
+        lambda: _collected(activity, "decisions", lambda stream: tracking.completion(stream, "0 seconds"), "ts"),
     )
 
 
@@ -197,7 +195,7 @@ def stream_job_expiry(spark, folder):
     activity = starts.unionByName(cancels).unionByName(matches).unionByName(clock)
     activity = activity.withColumn("ts", F.col("ts").cast("timestamp"))
     return _with_rocksdb(
-        spark, lambda: _collected(tracking.job_expiry(as_stream(activity, "activity", "ts"), "0 seconds"), "expired")
+        spark, lambda: _collected(activity, "expired", lambda stream: tracking.job_expiry(stream, "0 seconds"), "ts")
     )
 
 
@@ -210,8 +208,8 @@ def stream_retries(spark, folder):
     failures = table(spark, folder, "events").select(
         F.col("props").alias("content"), (F.col("event_type") == "error").alias("permanent")
     )
-    out = fresh_dir(spark, "routing")
-    finish(live.run_retries(as_stream(failures, "failures"), out, fresh_dir(spark, "checkpoint")))
+    out, checkpoint = fresh_dir(spark, "routing"), fresh_dir(spark, "checkpoint")
+    fed(failures, "failures", lambda stream: live.run_retries(stream, out, checkpoint))
     routed = read_batches(spark, out).groupBy("content")
     return routed.agg(
         F.sum("retried").alias("retried"),
@@ -228,14 +226,9 @@ def stream_retries(spark, folder):
     FROM posts JOIN pairs ON post_id = doc_id JOIN sentiment ON k = doc_id LEFT JOIN supplier ON s_suppkey = user_id""",
 )
 def stream_match(spark, folder):
-    """Event lines as a text stream, matched, scored and stored; the stored rows come back."""
-    source = fresh_dir(spark, "lines")
-    lines = materialize(ingest.raw_lines(spark, folder).select("value"))
-    for k in range(BATCHES):
-        # A step per micro-batch; every line comes again in the next one.
-        mine = F.pmod(F.xxhash64("value"), F.lit(BATCHES))
-        lines.filter(mine.isin(k, (k + 1) % BATCHES)).coalesce(1).write.mode("append").text(source)
-    rows_path, progress_path = fresh_dir(spark, "scored"), fresh_dir(spark, "progress")
+    """Event lines as a stream, matched, scored and stored; every line comes again one batch later. The stored rows come back."""
+    lines = ingest.raw_lines(spark, folder).select("value")
+    rows_path, progress_path, checkpoint = (fresh_dir(spark, n) for n in ("scored", "progress", "checkpoint"))
 
     def jobs(session):
         return match.active_jobs(prompts_as_jobs(session, folder))
@@ -248,19 +241,20 @@ def stream_match(spark, folder):
     def score(rows):
         return pipeline.score_with_lexicon(rows, weights=matching.SAMPLE_WEIGHTS)
 
-    finish(
-        pipeline.run_match_pipeline(
-            read_lines(spark, source, streaming=True, files_per_batch=1),
+    def run(stream):
+        return pipeline.run_match_pipeline(
+            stream,
             jobs,
             handles,
             rows_path,
             progress_path,
-            fresh_dir(spark, "checkpoint"),
+            checkpoint,
             collected_at=F.lit("2024-02-01").cast("timestamp"),
             score=score,
         )
-    )
-    return spark.read.parquet(rows_path).select(
+
+    fed(lines, "lines", run, picks=lambda step, k: step.isin(k, (k + 1) % BATCHES))
+    return store.scan_rows(spark, rows_path).select(
         "job_id",
         "source_url",
         "author_name",
@@ -292,7 +286,7 @@ def resumed_events(spark, folder):
 def stream_per_batch(spark, folder):
     """A function of one's own over every micro-batch, its result in a folder per batch."""
     rows = events_as_scored(spark, folder).select("id", "job_id", "sentiment_label")
-    out = fresh_dir(spark, "handled")
+    out, checkpoint = fresh_dir(spark, "handled"), fresh_dir(spark, "checkpoint")
     handled = per_row(lambda batch: batch.filter("sentiment_label <> 'neutral'"), batch_folder(out))
-    finish(start(as_stream(rows, "rows"), handled, fresh_dir(spark, "checkpoint")))
+    fed(rows, "rows", lambda stream: start(stream, handled, checkpoint))
     return read_batches(spark, out).drop("batch_id")

@@ -1,4 +1,8 @@
-"""Stored scored rows: Parquet, one folder per 7-day chunk of ``published_at``."""
+"""Stored scored rows: a chunked table (``chunks``) with a chunk per 7 days of ``published_at``.
+
+Rows lie sorted by job and time inside a chunk, with a bloom filter on the job, also after deletions and compaction, so
+readers of one job pass over the row groups of others. Read with ``scan_rows``, which follows the manifest.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +11,12 @@ from pyspark.sql import functions as F
 
 from sentispark.scale import fits_broadcast, join_per_key, keep_first
 from sentispark.session import materialize
+from sentispark.sources import chunks
 
 CHUNK_DAYS = 7
 RETENTION_DAYS = 90
 _KEY = ("job_id", "source_url", "published_at")
+LAYOUT = chunks.Layout("chunk_start", ("job_id", "published_at"), _KEY, ("job_id",))
 
 
 def chunk_start(published_at: Column | str = "published_at") -> Column:
@@ -39,7 +45,10 @@ def row_id() -> Column:
 
 
 def scan_rows(spark: SparkSession, path: str, job_id: str | None = None) -> DataFrame:
-    rows = spark.read.parquet(path)
+    """Stored rows, of one job if named; a table that was never written is an error."""
+    rows = chunks.read_table(spark, path)
+    if rows is None:
+        raise ValueError(f"no rows are stored at {path}")
     return rows if job_id is None else rows.filter(F.col("job_id") == job_id)
 
 
@@ -53,22 +62,13 @@ def duplicate_keys(rows: DataFrame) -> DataFrame:
     )
 
 
-def write_rows(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Write rows chunk by chunk.
+def write_rows(rows: DataFrame, path: str) -> None:
+    """Add rows, chunk by chunk.
 
     Every task sorts by chunk, job and time and keeps one file open; a chunk holding most rows
-    stays spread over all tasks, as no shuffle brings a chunk together. Row groups thus hold
-    narrow ranges of jobs, and a bloom filter on the job lets readers of one job pass over others.
+    stays spread over all tasks, as no shuffle brings a chunk together.
     """
-    (
-        with_chunk(rows)
-        .sortWithinPartitions("chunk_start", "job_id", "published_at")
-        .write.mode(mode)
-        .option("maxRecordsPerFile", 5_000_000)
-        .option("parquet.bloom.filter.enabled#job_id", "true")
-        .partitionBy("chunk_start")
-        .parquet(path)
-    )
+    chunks.append(with_chunk(rows), path, LAYOUT)
 
 
 def append_rows(rows: DataFrame, path: str) -> int:
@@ -80,8 +80,8 @@ def append_rows(rows: DataFrame, path: str) -> int:
         return 0
     if not duplicate_keys(batch).isEmpty():
         raise ValueError("duplicate key within the batch")
-    stored = stored_rows(spark, path)
-    if stored is not None and not matching_keys(batch, stored).isEmpty():
+    known = chunks.known_keys(with_chunk(batch), path, LAYOUT)
+    if known is not None and not known.isEmpty():
         raise ValueError("duplicate key: row already stored")
     write_rows(batch, path)
     return size
@@ -97,24 +97,6 @@ def stored_rows(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def in_range_of(stored: DataFrame, batch: DataFrame, at: str = "published_at") -> DataFrame:
-    """Stored rows from the batch's first to its last time, which prunes chunks and row groups.
-
-    The time is part of the key, so all rows that can equal one of the batch are among them.
-    """
-    span = batch.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
-    found = stored.filter(F.col(at).between(F.lit(span["low"]), F.lit(span["high"])))
-    if "chunk_start" in stored.columns:
-        found = found.filter(F.col("chunk_start").between(chunk_start(F.lit(span["low"])), chunk_start(F.lit(span["high"]))))
-    return found
-
-
-def matching_keys(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Batch keys present in the store, reading only the time range the batch touches."""
-    keys = batch.select(*_KEY).filter(F.col("source_url").isNotNull())
-    return keys.join(in_range_of(stored, batch).select(*_KEY), list(_KEY), "left_semi")
-
-
 def first_arrivals(batch: DataFrame, arrival: list[Column]) -> DataFrame:
     """First row per key of a batch; a row without address never conflicts."""
     no_url = F.when(F.col("source_url").isNull(), F.struct(*arrival))
@@ -138,10 +120,10 @@ def not_stored(rows: DataFrame, stored: DataFrame | None, keys: tuple[str, ...]
     return rows.join(known, list(keys), "left_anti").select(*rows.columns)
 
 
-def _stored_near(batch: DataFrame, path: str) -> DataFrame | None:
-    """Stored rows of the time range of a batch, or None before the first write."""
-    stored = stored_rows(batch.sparkSession, path)
-    return None if stored is None else in_range_of(stored, batch)
+def _new_rows(rows: DataFrame, path: str) -> DataFrame:
+    """Rows whose key is not stored. Chunks the rows do not touch are not looked at, nor folders whose filter has none of their keys."""
+    known = chunks.known_keys(with_chunk(rows), path, LAYOUT)
+    return rows if known is None else rows.join(known, list(_KEY), "left_anti").select(*rows.columns)
 
 
 def insert_if_absent(batch: DataFrame, path: str, arrival: list[Column] | None = None) -> DataFrame:
@@ -151,7 +133,8 @@ def insert_if_absent(batch: DataFrame, path: str, arrival: list[Column] | None =
     the same batch twice stores nothing more.
     """
     order = arrival or [F.col("collected_at"), F.col("id")]
-    inserted = materialize(absent_rows(batch, _stored_near(batch, path), order))
+    # Written before they are looked up, as the chunks, the keys and the rows are read from it.
+    inserted = materialize(_new_rows(materialize(first_arrivals(batch, order)), path))
     if not inserted.isEmpty():
         write_rows(inserted, path)
     return inserted
@@ -159,9 +142,8 @@ def insert_if_absent(batch: DataFrame, path: str, arrival: list[Column] | None =
 
 def store_absent(rows: DataFrame, path: str) -> None:
     """``insert_if_absent`` for rows whose keys are known to differ, without returning them."""
-    # Written once, as the range, the keys and the rows are read from it: a model runs once a row.
-    rows = materialize(rows)
-    write_rows(not_stored(rows, _stored_near(rows, path)), path)
+    # Written once, as the chunks, the keys and the rows are read from it: a model runs once a row.
+    write_rows(_new_rows(materialize(rows), path), path)
 
 
 def without_jobs(rows: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -181,41 +163,30 @@ def deleted_counts(rows: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def delete_jobs(spark: SparkSession, path: str, jobs: DataFrame) -> int:
-    """Delete the rows of ``jobs`` in place, rewriting only the chunks that hold any."""
-    stored = spark.read.parquet(path)
-    doomed = jobs.select("job_id").distinct()
-    per_chunk = (
-        join_per_key(stored, doomed, "job_id", "left_semi")
-        .groupBy("chunk_start")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
-    )
-    if not per_chunk:
+    """Delete the rows of ``jobs``; returns how many there were.
+
+    Only folders that hold any are rewritten, in the same order and with the same filters; readers see the deletion in
+    all chunks or in none.
+    """
+    now = chunks.manifest_of(spark, path)
+    if now is None:
         return 0
-    touched = [r["chunk_start"] for r in per_chunk]
-    kept = materialize(
-        join_per_key(
-            stored.filter(F.col("chunk_start").isin(touched)), doomed, "job_id", "left_anti"
-        )
-    )
-    left = {r[0] for r in kept.select("chunk_start").distinct().collect()}
-    if left:
-        (
-            kept.sortWithinPartitions("chunk_start")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("chunk_start")
-            .parquet(path)
-        )
-    _empty_chunks(spark, path, [c for c in touched if c not in left], stored)
-    return sum(r["n"] for r in per_chunk)
-
-
-def _empty_chunks(spark: SparkSession, path: str, chunks: list, like: DataFrame) -> None:
-    """Replace whole chunks by empty ones: no row is read or rewritten."""
-    schema = like.drop("chunk_start").schema
-    for chunk in chunks:
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/chunk_start={chunk}")
+    doomed = materialize(jobs.select("job_id").distinct())
+    hit = join_per_key(chunks.with_write(spark, path, now), doomed, "job_id", "left_semi")
+    # A row per folder of the manifest, which is on the driver anyway.
+    found = hit.groupBy("write", F.col("chunk_start").cast("string").alias("chunk")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = {(r["write"], r["chunk"] or chunks.NULL_CHUNK): r["n"] for r in found}
+    if not counts:
+        return 0
+    touched = [e for e in now.entries if (e.write, e.chunk) in counts]
+    kept = join_per_key(chunks.read_entries(spark, path, now, touched), doomed, "job_id", "left_anti")
+    chunks.swap(spark, path, LAYOUT, now, touched, kept)
+    return sum(counts.values())
+
+
+def compact_rows(spark: SparkSession, path: str, target: int = chunks.TARGET_BYTES, least: int = 2) -> int:
+    """Pack the small files that many inserts leave in a chunk into sorted ones; returns the number of folders replaced."""
+    return chunks.compact(spark, path, LAYOUT, target, least)
 
 
 def expired(as_of: Column, days: int = RETENTION_DAYS) -> Column:
@@ -238,10 +209,13 @@ def within_retention(rows: DataFrame, as_of: Column, days: int = RETENTION_DAYS)
 
 
 def drop_expired(spark: SparkSession, path: str, as_of: Column, days: int = RETENTION_DAYS) -> list:
-    """Empty the expired chunks of a stored table; returns them."""
-    stored = spark.read.parquet(path)
-    chunks = [
-        r[0] for r in stored.filter(expired(as_of, days)).select("chunk_start").distinct().collect()
-    ]
-    _empty_chunks(spark, path, chunks, stored)
-    return chunks
+    """Take the expired chunks out of a stored table, without reading or writing a row; returns their first days."""
+    now = chunks.manifest_of(spark, path)
+    if now is None:
+        return []
+    days_stored = spark.createDataFrame([(e.chunk,) for e in now.entries if e.chunk != chunks.NULL_CHUNK], "chunk string")
+    over = days_stored.distinct().withColumn("chunk_start", F.col("chunk").cast("date")).filter(expired(as_of, days))
+    gone = {r["chunk"]: r["chunk_start"] for r in over.collect()}
+    if gone:
+        chunks.swap(spark, path, LAYOUT, now, [e for e in now.entries if e.chunk in gone], None)
+    return sorted(gone.values())

@@ -10,10 +10,18 @@ from sentispark.operators.lifecycle import MAX_RETRIES, fold_events, route_failu
 from sentispark.operators.series import BUCKET_MS, accumulate
 from sentispark.scale import keep_first
 from sentispark.session import materialize
-from sentispark.sources import store
-from sentispark.streaming.sinks import batch_folder, latest_state, start
+from sentispark.sources import chunks, store
+from sentispark.streaming.sinks import BUCKETS, MERGE_EVERY, batch_folder, keep_state, latest_state, start
 
 REFRESH = "250 milliseconds"
+_BUCKET_KEYS = ["job_id", "bucket_ms"]
+
+
+def kept_layout(keys: tuple[str, ...], within: str | None) -> chunks.Layout:
+    """How the first rows per key lie: by 7-day chunk of a time among the keys, else by bucket of the keys."""
+    if within is not None:
+        return chunks.Layout("chunk_start", (within,), keys)
+    return chunks.Layout("bucket", keys, keys)
 
 
 def run_dedupe(
@@ -24,26 +32,28 @@ def run_dedupe(
     order: tuple[str, ...] = ("received_at", "id"),
     within: str | None = "published_at",
     every: str | None = None,
+    merge_every: int = MERGE_EVERY,
 ):
-    """Store the first row per key, however late it comes; a row with a null key always counts as new.
+    """Store the first row per key, however late it comes; a row with a null key always counts as new. Read with ``read_batches``.
 
     Every batch keeps its first arrivals (an aggregate that combines before the shuffle, so copies
-    that make up a third of the stream cost a row per task), drops those of earlier batches and
-    writes the rest to a folder of its own. ``within`` names a time among the keys, which bounds
-    what is read of earlier batches; without one (None) only the keys are read.
+    that make up a third of the stream cost a row per task) and drops those of earlier batches. Which of these to look at
+    is told by the filters of their keys: a batch of new keys reads filter words of its own chunks and no rows.
+    ``within`` names a time among the keys to lay the rows out by; without one (None) they lie in buckets of the keys.
     """
+    layout = kept_layout(keys, within)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         missing = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
         alone = F.when(missing, F.struct(*order))
-        first = materialize(keep_first(batch, [*[F.col(k) for k in keys], alone], [F.col(c) for c in order]))
-        stored = store.stored_rows(spark, path)
-        if stored is not None:
-            stored = stored.filter(F.col("batch_id") < batch_id)
-            if within is not None:
-                stored = store.in_range_of(stored, first, within)
-        store.not_stored(first, stored, keys).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        first = keep_first(batch, [*[F.col(k) for k in keys], alone], [F.col(c) for c in order])
+        place = store.chunk_start(within) if within is not None else F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+        first = materialize(first.withColumns({layout.chunk: place, "batch_id": F.lit(batch_id).cast("long")}))
+        known = chunks.known_keys(first, path, layout, before=batch_id)
+        fresh = first if known is None else first.join(known, list(keys), "left_anti").select(*first.columns)
+        chunks.append(fresh, path, layout, batch_id)
+        if (batch_id + 1) % merge_every == 0:
+            chunks.compact(batch.sparkSession, path, layout)
 
     return start(rows, write, checkpoint, every=every)
 
@@ -61,17 +71,17 @@ def run_live_series(
     rows: DataFrame, path: str, checkpoint: str, bucket_ms: int = BUCKET_MS, every: str | None = REFRESH
 ):
     """Store changed buckets, at most every 250 ms."""
-    return start(live_buckets(rows, bucket_ms), batch_folder(path), checkpoint, "update", every)
+    return start(live_buckets(rows, bucket_ms), keep_state(path, _BUCKET_KEYS), checkpoint, "update", every)
 
 
 def read_live_series(spark: SparkSession, path: str, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Chart rows from the stored buckets; running values are added at read time."""
-    return accumulate(latest_state(spark, path, ["job_id", "bucket_ms"]), bucket_ms)
+    return accumulate(latest_state(spark, path, _BUCKET_KEYS), bucket_ms)
 
 
 def run_lifecycle(events: DataFrame, path: str, checkpoint: str, every: str | None = None):
     """Keep the folded events of every job up to date; read with ``latest_state``."""
-    return start(fold_events(events), batch_folder(path), checkpoint, "update", every)
+    return start(fold_events(events), keep_state(path, ["job_id"]), checkpoint, "update", every)
 
 
 def run_retries(
@@ -83,18 +93,21 @@ def run_retries(
 ):
     """Route failed messages batch by batch against the retries on record.
 
-    Every batch writes its routing to a folder of its own and looks only at earlier folders, so
-    a repeated batch routes the same way. Rows with ``discarded`` > 0 are the dead letters.
+    What a batch routes is written with its ``batch_id`` (``read_batches``); rows with ``discarded`` > 0 are the dead letters.
+    The retries on record lie beside it as a state of one row per message, reduced as it grows. A batch
+    looks at what earlier ones recorded only, so a repeated batch routes the same way.
     """
+    record = f"{path}/_retries"
+    route, remember = batch_folder(path), keep_state(record, ["message_key"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch_id == 0:
+        known = latest_state(spark, record, ["message_key"], before=batch_id)
+        if known is None:
             known = spark.createDataFrame([], "message_key string, retries long")
-        else:
-            earlier = spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
-            known = earlier.groupBy("message_key").agg(F.max_by("retries", "batch_id").alias("retries"))
         routed = materialize(route_failures(batch, known, max_retries))
-        routed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        # The routing counts once it is written; a batch that stopped in between runs again and replaces both.
+        remember(routed.select("message_key", "retries"), batch_id)
+        route(routed, batch_id)
 
     return start(failures, write, checkpoint, every=every)

@@ -13,7 +13,7 @@ from sentispark.scale import keep_first
 from sentispark.session import materialize
 from sentispark.sources import store
 from sentispark.sources.events import parse_events, quarantined
-from sentispark.streaming.sinks import start
+from sentispark.streaming.sinks import batch_folder, start
 
 Score = Callable[[DataFrame], DataFrame]
 
@@ -101,9 +101,7 @@ def run_match_pipeline(
         )
         store.store_absent(scored_rows(posts, pairs, read_handles(spark), now, score), rows_path)
         if rejected_path is not None:
-            rejected_lines(batch, now).write.mode("overwrite").parquet(f"{rejected_path}/batch_id={batch_id}")
-        processed_counts(posts, pairs, now).write.mode("overwrite").parquet(
-            f"{progress_path}/batch_id={batch_id}"
-        )
+            batch_folder(rejected_path)(rejected_lines(batch, now), batch_id)
+        batch_folder(progress_path)(processed_counts(posts, pairs, now), batch_id)
 
     return start(lines, write, checkpoint, every=every)
