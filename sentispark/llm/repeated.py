@@ -29,6 +29,8 @@ _ENTRY = "part int, kind byte, ids binary, docs binary, keys binary"
 _MARK = np.uint16(65535)
 _META, _LISTED, _SPREAD = 0, 1, 2
 
+#: From keys to numbers from 0 to 1, never descending, that lie evenly however the keys do.
+Spread = Callable[[np.ndarray], np.ndarray]
 #: From texts to a (text index, key) pair per occurrence, in the order of the texts.
 KeysOf = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 #: From the distinct pairs of a block and its number of texts to a value for each text.
@@ -48,6 +50,11 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
 
 
+def part_by(spread: Spread | None, keys: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each key: by its leading bits, or by ``spread`` where keys crowd. Parts are ranges, so sorted keys stay sorted in them."""
+    return part_of(keys, parts) if spread is None else np.minimum((spread(keys) * parts).astype(np.int64), parts - 1)
+
+
 def bucket_of(ids: np.ndarray, parts: int) -> np.ndarray:
     return part_of(mix(ids.astype(np.uint64)), parts)
 
@@ -58,7 +65,7 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins, np.diff(np.append(begins, len(ordered)))
 
 
-def _block(ids: np.ndarray, docs: np.ndarray, keys: np.ndarray, meta_of: MetaOf, parts: int, salt: int) -> Iterator[tuple]:
+def _block(ids: np.ndarray, docs: np.ndarray, keys: np.ndarray, meta_of: MetaOf, parts: int, salt: int, spread: Spread | None = None) -> Iterator[tuple]:
     """Packed rows of one block. ``docs`` are indices into ``ids``; a (document, key) pair may repeat."""
     order = np.argsort(keys, kind="stable")
     keys, docs = keys[order], docs[order]
@@ -73,9 +80,8 @@ def _block(ids: np.ndarray, docs: np.ndarray, keys: np.ndarray, meta_of: MetaOf,
     hot = np.repeat(sizes > HOT, sizes)
     marks = keys[begins[sizes > HOT]]
     listed, owners = np.concatenate([keys[~hot], marks]), np.concatenate([docs[~hot], np.full(len(marks), _MARK)]).astype(np.uint16)
-    yield from _packed(part_of(listed, parts), parts, _LISTED, ids, owners, listed)
-    spread = part_of(mix(keys[hot] + np.uint64(salt)), parts)
-    yield from _packed(spread, parts, _SPREAD, ids, docs[hot].astype(np.uint16), keys[hot])
+    yield from _packed(part_by(spread, listed, parts), parts, _LISTED, ids, owners, listed)
+    yield from _packed(part_of(mix(keys[hot] + np.uint64(salt)), parts), parts, _SPREAD, ids, docs[hot].astype(np.uint16), keys[hot])
 
 
 def _split(where: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -125,13 +131,13 @@ def _grouped_rows(rows: Iterator[tuple], schema: pa.Schema, limit: int = 8 << 20
         yield _record(held, schema)
 
 
-def _sender(keys_of: KeysOf, meta_of: MetaOf, parts: int, wanted):
+def _sender(keys_of: KeysOf, meta_of: MetaOf, parts: int, wanted, spread: Spread | None):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         ids, docs, keys, count = [], [], [], 0
 
         def flushed() -> Iterator[tuple]:
             salt = int(mix(ids[0][:1].astype(np.uint64))[0]) >> 1
-            yield from _block(np.concatenate(ids), np.concatenate(docs), np.concatenate(keys), meta_of, parts, salt)
+            yield from _block(np.concatenate(ids), np.concatenate(docs), np.concatenate(keys), meta_of, parts, salt, spread)
 
         for piece in slices((b.filter(wanted(b)).select(["id", "text"]) for b in batches), "text", 4 << 20):
             for begin in range(0, piece.num_rows, _BLOCK_DOCS):
@@ -230,12 +236,13 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _grouped_rows(rows(), schema)
 
 
-def repeated_keys(rows: DataFrame, keys_of: KeysOf, meta_of: MetaOf, skip: str | None = None) -> DataFrame:
+def repeated_keys(rows: DataFrame, keys_of: KeysOf, meta_of: MetaOf, skip: str | None = None, spread: Spread | None = None) -> DataFrame:
     """(id, meta, keys, classes) of every id of ``rows`` (id long, text string).
 
     ``keys``: the keys of the row that another row has too, packed and ascending; ``classes``: for
     each, its number of rows up to 65534, or 65535 for a hot key, the same wherever the key occurs.
     Rows without an id, and rows that have a value in the column ``skip``, are left out; rows that repeat an id make one row.
+    ``spread`` is needed where keys are not uniform 64-bit hashes: it keeps the parts of the exchange even.
     """
     parts = 2 * partitions(rows.sparkSession)
 
@@ -244,6 +251,6 @@ def repeated_keys(rows: DataFrame, keys_of: KeysOf, meta_of: MetaOf, skip: str |
         valid = pc.is_valid(batch.column("id"))
         return pc.and_(valid, pc.is_null(batch.column(skip))) if skip else valid
 
-    sent = rows.mapInArrow(_sender(keys_of, meta_of, parts, wanted), _ENTRY).repartitionById(parts, "part")
+    sent = rows.mapInArrow(_sender(keys_of, meta_of, parts, wanted, spread), _ENTRY).repartitionById(parts, "part")
     met = sent.sortWithinPartitions("part").mapInArrow(_receiver(parts), "bucket int, kind byte, ids binary, sizes binary, keys binary")
     return met.repartitionById(parts, "bucket").mapInArrow(_assemble, "id long, meta binary, keys binary, classes binary")

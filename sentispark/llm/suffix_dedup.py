@@ -40,6 +40,8 @@ _GRAM = 24
 _CHUNK = 1 << 19
 _SEEN = 300_000
 _SHARDS = 8
+#: Letters from which on the values gathered so far are merged.
+_MERGED = 1 << 20
 #: Documents with one value from which its segments are sent as single strings; hot keys are above it.
 _CROWD = 1000
 
@@ -59,6 +61,21 @@ def _window_minima(data: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(least[: len(least) - (width - reach)], least[width - reach :])
 
 
+def minima_spread(span: int):
+    """The distribution of segment values, which makes them uniform.
+
+    A hash x (as a part of the range) is the least of some window of w if the hashes beside it leave it w - 1 larger ones in a row:
+    with q = 1 - x that has the probability q^(w-1) * (1 + (w-1) * x), whose integral, normalised, is this.
+    """
+    w = span - _GRAM + 1
+
+    def spread(values: np.ndarray) -> np.ndarray:
+        q = 1.0 - values / 2.0**64
+        return np.clip(1.0 - (w + 1) / 2 * q**w + (w - 1) / 2 * q ** (w + 1), 0.0, 1.0)
+
+    return spread
+
+
 def _segments(texts: pa.Array, span: int) -> tuple[np.ndarray, ...]:
     """Bytes of all texts; per segment its text, first and last start of a string, value; offsets of the texts."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -275,10 +292,23 @@ def _resolve(rows: list[tuple], span: int) -> Iterator[tuple]:
     mixed = np.flatnonzero(members[group] > 1)
     if len(mixed):
         mixed = mixed[_sharing([segments[i] for i in mixed], first[mixed], span)]
-    if len(mixed):
-        which, offset = later_starts([segments[i] for i in mixed], first[mixed], span)
+    found = []
+    # Equal strings have one value, so values are merged a few at a time.
+    mixed = mixed[np.argsort(group[mixed], kind="stable")]
+    letters = np.cumsum([len(segments[i]) for i in mixed], dtype=np.int64)
+    new_value = np.flatnonzero(np.diff(group[mixed])) + 1
+    begin = 0
+    for end in [*new_value.tolist(), len(mixed)]:
+        if end == len(mixed) or letters[end - 1] - (letters[begin - 1] if begin else 0) >= _MERGED:
+            some = mixed[begin:end]
+            if len(some):
+                which, offset = later_starts([segments[i] for i in some], first[some], span)
+                found.append((some[which], offset))
+            begin = end
+    if found:
+        which, offset = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(which, kind="stable")
-        which, offset = mixed[which[order]], offset[order]
+        which, offset = which[order], offset[order]
         owners = np.flatnonzero(~whole)
         low, high = np.searchsorted(which, number[owners]), np.searchsorted(which, number[owners], "right")
         counts = high - low
@@ -366,7 +396,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, key: str = "doc_id", text: s
     )
     # The texts are shuffled by id once; all three uses below read that exchange.
     base = whole.join(copies.withColumn("copy", F.lit(True)), "id", "left")
-    found = repeated_keys(base, keys_of, _no_meta, skip="copy").where(F.octet_length("keys") > 0).select("id", "keys", "classes")
+    found = repeated_keys(base, keys_of, _no_meta, skip="copy", spread=minima_spread(span)).where(F.octet_length("keys") > 0).select("id", "keys", "classes")
     sent = base.join(found, "id", "left").select("id", "text", "keys", "copy", "carried", "classes").mapInArrow(
         _sender(span, parts), "part int, ids binary, values binary, begins binary, sizes binary, letters binary"
     )

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from sentispark.llm import byte_bpe, decontaminate, jaccard_join, suffix_dedup, token_counts
+from sentispark.llm import byte_bpe, decontaminate, jaccard_join, repeated, suffix_dedup, token_counts
 from sentispark.llm.components import components
 
 ODD = ["", None, " ", "a", "x y", "  two  spaces \n and lines\n\n", "tab\tand nbsp", "😀 日本 é́", "<|endoftext|> in text", "don't we'll 12 345"]
@@ -218,6 +218,25 @@ def test_suffix_dedup_same_id_and_empty_table(docs, prose):
     assert suffix_dedup.remove_repeats(docs([])).count() == 0
 
 
+def test_parts_of_window_minima_are_even(prose):
+    """Minima crowd at zero; dealt by their distribution no part is much larger than the mean."""
+    texts = pa.array([prose(k, 400) for k in range(300)])
+    for span in (50, 80):
+        values = np.unique(suffix_dedup._segments(texts, span)[4])
+        for parts in (16, 102):
+            sizes = np.bincount(repeated.part_by(suffix_dedup.minima_spread(span), values, parts), minlength=parts)
+            assert sizes.max() < 2 * sizes.mean() and sizes.min() > 0
+            assert (np.diff(repeated.part_by(suffix_dedup.minima_spread(span), values, parts)) >= 0).all()
+
+
+def test_values_merged_a_few_at_a_time(docs, prose, monkeypatch):
+    shared = prose(5, 40)
+    rows = [(k, f"{prose(100 + k, 30)} {shared[k % 7 :]} {prose(200 + k, 30)}") for k in range(40)]
+    want = sorted(tuple(r) for r in suffix_dedup.remove_repeats(docs(rows)).select("id", "n_removed", "spans", "kept").collect())
+    monkeypatch.setattr(suffix_dedup, "_MERGED", 100)
+    assert sorted(tuple(r) for r in suffix_dedup.remove_repeats(docs(rows)).select("id", "n_removed", "spans", "kept").collect()) == want
+
+
 def test_merged_transforms_give_order_and_prefixes():
     rng = random.Random(3)
     segments = [bytes(rng.choices(b"ab", k=rng.randint(1, 30))) for _ in range(40)]
