@@ -24,7 +24,7 @@ All comparisons are between the input texts, not what is left of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -117,7 +117,8 @@ def _united(spans: np.ndarray) -> np.ndarray:
 _SENT = pa.schema(
     [("part", pa.int32()), ("ids", pa.binary()), ("values", pa.binary()), ("begins", pa.binary()), ("sizes", pa.binary()), ("letters", pa.binary())]
 )
-_SPANS = pa.schema([("id", pa.int64()), ("spans", pa.binary())])
+_PACKED = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("spans", pa.binary())])
+_SPANS = pa.schema([("id", pa.int64()), ("found", pa.binary())])
 
 
 def _candidates(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -155,8 +156,8 @@ def _sender(span: int, parts: int):
                             gone.setdefault(o, []).append((w - offsets[o], w + span - offsets[o]))
                         else:
                             kept.append((o, w, w + span, xxhash.xxh3_64_intdigest(text)))
-            for o, found in gone.items():
-                yield (int(bucket_of(ids[o : o + 1], parts)[0]), ids[o : o + 1].tobytes(), b"", _united(np.array(found, np.int64)).tobytes(), b"", b"")
+            for bucket, *packed in _packed_spans(((ids[o], _united(np.array(found, np.int64))) for o, found in gone.items()), parts):
+                yield bucket, packed[0], b"", packed[2], packed[1], b""
             if not kept:
                 continue
             owners, froms, ends = np.array([x[:3] for x in kept], np.int64).T
@@ -320,31 +321,55 @@ def _resolve(rows: list[tuple], span: int) -> Iterator[tuple]:
     cut = np.flatnonzero(np.diff(lost[:, 0])) + 1
     for some in np.split(lost, cut):
         if len(some):
-            yield int(some[0, 0]), _united(some[:, 1:]).tobytes()
+            yield int(some[0, 0]), _united(some[:, 1:])
 
 
-def _receiver(span: int):
+def _packed_spans(found: Iterable[tuple[int, np.ndarray]], parts: int) -> Iterator[tuple]:
+    """(bucket, ids, numbers of spans, spans): a row per bucket of documents instead of one per document."""
+    found = list(found)
+    ids = np.array([i for i, _ in found], np.int64)
+    for bucket, at in _split(bucket_of(ids, parts), parts):
+        spans = [found[i][1] for i in at.tolist()]
+        yield bucket, ids[at].tobytes(), np.array([len(s) for s in spans], np.int64).tobytes(), b"".join(s.tobytes() for s in spans)
+
+
+def _receiver(span: int, parts: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held = []
         for batch in batches:
-            for _, ids, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                if rest[0]:
-                    held.append((ids, *rest))
+            for part, ids, values, begins, sizes, letters in zip(*(c.to_pylist() for c in batch.columns)):
+                if values:
+                    held.append((ids, values, begins, sizes, letters))
                 else:
-                    yield int(np.frombuffer(ids, np.int64)[0]), rest[1]
+                    yield part, ids, sizes, begins
         if held:
-            yield from _resolve(held, span)
+            yield from _packed_spans(_resolve(held, span), parts)
+
+    return lambda batches: _grouped_rows(rows(batches), _PACKED)
+
 
-    return lambda batches: _grouped_rows(rows(batches), _SPANS)
+def _unite_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document of a bucket with all its spans."""
+    owners, spans = [np.empty(0, np.int64)], [np.empty((0, 2), np.int64)]
+    for batch in batches:
+        for _, ids, sizes, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            owners.append(np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)))
+            spans.append(np.frombuffer(packed, np.int64).reshape(-1, 2))
+    owners, spans = np.concatenate(owners), np.concatenate(spans)
+    order = np.argsort(owners, kind="stable")
+    owners, spans = owners[order], spans[order]
+    cuts = np.flatnonzero(np.diff(owners)) + 1
+    rows = ((int(o[0]), _united(s).tobytes()) for o, s in zip(np.split(owners, cuts), np.split(spans, cuts)) if len(o))
+    yield from _grouped_rows(rows, _SPANS)
 
 
 def _cut(as_text: bool):
-    def cut(text: str, copy: bool | None, found: list[bytes] | None) -> tuple[int, int, bytes, bytes]:
+    def cut(text: str, copy: bool | None, found: bytes | None) -> tuple[int, int, bytes, bytes]:
         data = text.encode()
         if copy:
             spans = np.array([[0, len(data)]], np.int64)
         elif found:
-            spans = _united(np.frombuffer(b"".join(found), np.int64).reshape(-1, 2))
+            spans = np.frombuffer(found, np.int64).reshape(-1, 2)
         else:
             return len(data), 0, b"", data
         edges = [0, *spans.ravel().tolist(), len(data)]
@@ -400,8 +425,8 @@ def remove_repeats(docs: DataFrame, span: int = 50, key: str = "doc_id", text: s
     sent = base.join(found, "id", "left").select("id", "text", "keys", "copy", "carried", "classes").mapInArrow(
         _sender(span, parts), "part int, ids binary, values binary, begins binary, sizes binary, letters binary"
     )
-    lost = sent.repartitionById(parts, "part").mapInArrow(_receiver(span), "id long, spans binary")
-    lost = lost.groupBy("id").agg(F.collect_list("spans").alias("found"))
+    lost = sent.repartitionById(parts, "part").mapInArrow(_receiver(span, parts), "bucket int, ids binary, sizes binary, spans binary")
+    lost = lost.repartitionById(parts, "bucket").mapInArrow(_unite_bucket, "id long, found binary")
     marked = base.join(lost, "id", "left")
     rows = marked.select("id", "text", "carried", "copy", "found")
     schema = rows.select("id").schema.add("n_bytes", "long").add("n_removed", "long").add("spans", "binary").add("kept", "string" if as_text else "binary")
