@@ -10,8 +10,8 @@ Every byte covered by a ``span``-byte string that also starts in a document with
    their value, so that equal strings meet; equal segments of one task are sent once, for their
    first document, hence a passage that a third of all documents share costs one row per task.
    At the ends of such a passage segments reach into each document's own text, all different with one
-   value. A new segment whose value very many documents have is therefore sent as its single strings,
-   each to the part of its own hash: no part gets all segments of such a value.
+   value. A new segment whose value very many documents have is therefore sent as its single strings, by their
+   128-bit digests, each to the part of its own: no part gets all segments of such a value.
 3. In a part, segments equal as a whole are settled by their first document. The rest, different
    segments with one value, are dealt into shards. Each shard sorts its own suffixes once and
    keeps its Burrows-Wheeler transform; the transforms are merged by refining their interleave a
@@ -42,6 +42,8 @@ _SEEN = 300_000
 _SHARDS = 8
 #: Letters from which on the values gathered so far are merged.
 _MERGED = 1 << 20
+#: Bytes of the digest by which single strings of crowded values are compared (shorter than any segment).
+_DIGEST = 16
 #: Documents with one value from which its segments are sent as single strings; hot keys are above it.
 _CROWD = 1000
 
@@ -137,7 +139,7 @@ def _sender(span: int, parts: int):
             held = np.flatnonzero(repeated[at] == value) if len(repeated) else np.empty(0, np.int64)
             letters = data.tobytes()
             gone: dict[int, list] = {}
-            kept = []  # (text, begin, end, value) of what is sent
+            kept = []  # (text, begin, end, value, digest if it stands for the string) of what is sent
             hot = crowded[at[held]] if len(repeated) else np.empty(0, bool)
             for o, b, e, v, single in zip(*(x.tolist() for x in (owner[held], first[held], last[held], value[held], hot))):
                 if len(seen) > _SEEN:
@@ -147,7 +149,7 @@ def _sender(span: int, parts: int):
                 if known < ids[o]:
                     gone.setdefault(o, []).append((b - offsets[o], e + span - offsets[o]))
                 elif not single:
-                    kept.append((o, b, e + span, v))
+                    kept.append((o, b, e + span, v, None))
                 else:
                     for w in range(b, e + 1):
                         text = letters[w : w + span]
@@ -155,13 +157,16 @@ def _sender(span: int, parts: int):
                         if known < ids[o]:
                             gone.setdefault(o, []).append((w - offsets[o], w + span - offsets[o]))
                         else:
-                            kept.append((o, w, w + span, xxhash.xxh3_64_intdigest(text)))
+                            digest = xxhash.xxh3_128_digest(text)
+                            kept.append((o, w, w + span, int.from_bytes(digest[:8], "little"), digest))
             for bucket, *packed in _packed_spans(((ids[o], _united(np.array(found, np.int64))) for o, found in gone.items()), parts):
                 yield bucket, packed[0], b"", packed[2], packed[1], b""
             if not kept:
                 continue
             owners, froms, ends = np.array([x[:3] for x in kept], np.int64).T
             values = np.array([x[3] for x in kept], np.uint64)
+            digests = [x[4] for x in kept]
+            sizes = np.where([d is None for d in digests], ends - froms, -span)
             del kept
             for p, some in _split(part_of(mix(values), parts), parts):
                 yield (
@@ -169,8 +174,8 @@ def _sender(span: int, parts: int):
                     ids[owners[some]].tobytes(),
                     values[some].tobytes(),
                     (froms - offsets[owners])[some].tobytes(),
-                    (ends - froms)[some].tobytes(),
-                    b"".join(letters[b:e] for b, e in zip(froms[some].tolist(), ends[some].tolist())),
+                    sizes[some].tobytes(),
+                    b"".join(digests[i] or letters[froms[i] : ends[i]] for i in some.tolist()),
                 )
 
     return lambda batches: _grouped_rows(rows(batches), _SENT)
@@ -277,11 +282,11 @@ def _resolve(rows: list[tuple], span: int) -> Iterator[tuple]:
     k = 0
     for r, size in zip(rows, sizes):
         end = 0
-        for n in size.tolist():
+        for n in np.where(size > 0, size, _DIGEST).tolist():
             number[k] = numbers.setdefault(r[4][end : end + n], len(numbers))
             end += n
             k += 1
-    sizes = np.concatenate(sizes)
+    sizes = np.abs(np.concatenate(sizes))
     segments = list(numbers)
     first = np.full(len(segments), np.iinfo(np.int64).max)
     np.minimum.at(first, number, ids)
@@ -290,7 +295,9 @@ def _resolve(rows: list[tuple], span: int) -> Iterator[tuple]:
     value = np.empty(len(segments), np.uint64)
     value[number] = values
     _, group, members = np.unique(value, return_inverse=True, return_counts=True)
-    mixed = np.flatnonzero(members[group] > 1)
+    # A digest stands for a whole string; there is nothing to merge.
+    strings = np.array([len(x) != _DIGEST for x in segments], bool)
+    mixed = np.flatnonzero((members[group] > 1) & strings)
     if len(mixed):
         mixed = mixed[_sharing([segments[i] for i in mixed], first[mixed], span)]
     found = []
