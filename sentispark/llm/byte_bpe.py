@@ -25,9 +25,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentispark.llm.common import id_and_text, slices
+from sentispark.llm.common import give_back, id_and_text, slices
 
-_MEMO = 1_000_000  # remembered pieces of a task; then it starts afresh
+_MEMO = 250_000  # remembered pieces of a task; then it starts afresh
 _JOINED = 40  # pieces given to the library as one string
 _SLICE = 8 << 20  # bytes of text encoded at a time
 _SPACE_BEFORE_SPACE = re.compile(r" (?=\s|\Z)")
@@ -184,6 +184,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
         for part in slices(batches, "text", _SLICE):
             ids, ends = encoder.encode(part.column(1))
             yield pa.RecordBatch.from_arrays([part.column(0), _binary(ids, 4 * ends)], ["id", "ids"])
+        del encoder
+        give_back()
 
     return id_and_text(docs, key, text).mapInArrow(run, "id long, ids binary")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -35,6 +37,16 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20)
             yield batch.slice(begin)
 
 
+def give_back() -> None:
+    """At the end of a task: return freed memory to the system, as its Python worker lives on for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -23,8 +23,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from sentispark.llm.common import discard, slices, written
+from sentispark.llm.common import discard, give_back, slices, written
 from sentispark.scale import join_per_key
 
 _BITS = 17
@@ -51,21 +52,28 @@ class Target:
     mix: tuple[float, float, float]
 
 
+def _slots(words: pa.Array, size: int) -> np.ndarray:
+    """Feature of each word."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, size) & ((1 << _BITS) - 1) for w in words.to_pylist()), np.int64, len(words))
+
+
 def word_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text index, feature): the distinct hashed words of each text and their beginnings."""
     lists = pc.ascii_split_whitespace(pc.utf8_lower(texts))
     coded = lists.flatten().dictionary_encode()
-    names = [w.strip(_STRIP) for w in coded.dictionary.to_pylist()]
+    names = pc.utf8_trim(coded.dictionary, characters=_STRIP)
+    lengths = np.asarray(pc.utf8_length(names), np.int64)
     index = np.asarray(coded.indices, np.int64)
     owner = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets, np.int64)))
     pairs = []
     for size in (0, *_STEMS):
-        table = np.fromiter(
-            (xxhash.xxh3_64_intdigest(w[:size] if size else w, size) & ((1 << _BITS) - 1) if len(w) > size else -1 for w in names), np.int64, len(names)
-        )
+        # Few beginnings stand for many words.
+        parts = (pc.utf8_slice_codeunits(names, 0, size) if size else names).dictionary_encode()
+        table = np.where(lengths > size, _slots(parts.dictionary, size)[np.asarray(parts.indices)], -1) if len(names) else np.empty(0, np.int64)
         feature = table[index]
-        pairs.append(np.unique((owner << _BITS | feature)[feature >= 0]))
-    pairs = np.unique(np.concatenate(pairs))
+        pairs.append((owner << _BITS | feature)[feature >= 0])
+    pairs = np.sort(np.concatenate(pairs))
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
     return pairs >> _BITS, pairs & ((1 << _BITS) - 1)
 
 
@@ -112,6 +120,7 @@ def _featured(rows: DataFrame) -> DataFrame:
             meta = meta_features(*(piece.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")))
             columns = [[x.tobytes() for x in np.split(feature.astype(np.uint16), cuts)], low.astype(np.int32), [m.tobytes() for m in meta]]
             yield pa.RecordBatch.from_arrays([piece.column("id"), *map(pa.array, columns)], schema=schema)
+        give_back()
 
     return rows.mapInArrow(run, "id long, words binary, low int, meta binary")
 
@@ -447,31 +456,48 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 12000, unlabelled:
     return Model(scale, *(x.target() for x in learners))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with quality_p, toxic_p and score = quality_p * (1 - toxic_p), from the whole texts.
-
-    A null text is an empty one, null metadata are values of their own. Columns of ``docs`` stay; those three names must be free.
-    """
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, quality_p, toxic_p): every row of ``docs`` as a struct, its text in there only."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    have = set(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for piece in slices(batches, "text", 4 << 20):
-            n = piece.num_rows
+
+        def with_text(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column(0), pc.fill_null(batch.column(0).field("text"), "")], ["row", "text"])
+
+        for piece in slices(map(with_text, batches), "text", 4 << 20):
+            n, row = piece.num_rows, piece.column("row")
+            given = lambda c, kind: row.field(c).cast(kind).to_pylist() if c in have else [None] * n
             owner, feature = word_features(piece.column("text"))
-            meta = meta_features(*(piece.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")))
+            meta = meta_features(piece.column("text").to_pylist(), given("lang", pa.string()), given("source", pa.string()), given("n_chars", pa.int64()))
             found = []
             for t in (model.quality, model.toxic):
                 a = _word_logits(owner, feature, t.words, t.word_bias, n)
                 b = _meta_logits(meta, t.meta, t.meta_bias, model.scale)
                 found.append(_sigmoid(t.mix[0] * np.clip(a, -15, 15) + t.mix[1] * np.clip(b, -15, 15) + t.mix[2]))
-            yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(found[0]), pa.array(found[1])], ["row", "quality_p", "toxic_p"])
+            yield pa.RecordBatch.from_arrays([row, pa.array(found[0]), pa.array(found[1])], ["row", "quality_p", "toxic_p"])
+        give_back()
+
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(run, StructType(list(rows.schema.fields)).add("quality_p", "double").add("toxic_p", "double"))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with quality_p, toxic_p and score = quality_p * (1 - toxic_p), from the whole texts.
+
+    A null text is an empty one, null metadata are values of their own. Columns of ``docs`` stay, but for those that have one of
+    the three names, which give way.
+    """
+    new = ("quality_p", "toxic_p", "score")
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in new]
+    return _scored(docs, model).select(*own, "quality_p", "toxic_p", (F.col("quality_p") * (1 - F.col("toxic_p"))).alias("score"))
+
 
-    kept = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    rows = docs.select(kept, F.coalesce(F.col("text"), F.lit("")).alias("text"), *_columns(docs))
-    schema = rows.select("row").schema.add("quality_p", "double").add("toxic_p", "double")
-    scored = rows.mapInArrow(run, schema)
-    return scored.select("row.*", "quality_p", "toxic_p", (F.col("quality_p") * (1 - F.col("toxic_p"))).alias("score"))
+def kept(docs: DataFrame, model: Model) -> DataFrame:
+    """The accepted rows of ``docs``, with just their own columns, whatever these are called."""
+    return _scored(docs, model).where(accepted()).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def accepted(quality: float = 0.4, toxic: float = 0.3):

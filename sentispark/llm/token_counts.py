@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentispark.llm.byte_bpe import PieceEncoder
-from sentispark.llm.common import id_and_text, slices
+from sentispark.llm.common import give_back, id_and_text, slices
 
 CACHE_SCHEMA = "tokenizer string, content binary, n_tokens long"
 
@@ -81,6 +81,8 @@ def _missing_counts(texts: DataFrame, kind: str, data: bytes) -> DataFrame:
             count = count or _counter(kind, shared.value)
             n = pa.array(count(part.column(1)), pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), n], ["content", "n_tokens"])
+        del count
+        give_back()
 
     return texts.mapInArrow(run, "content binary, n_tokens long")
 
