@@ -5,7 +5,11 @@
 3. repeats: byte strings of 50 bytes or more that an earlier document holds are cut out of the texts; a
    document of which nothing is left goes.
 4. decontamination: documents that hold a benchmark item, up to the edit budget, go.
-5. tokens: the texts as token ids, with a check that they decode to the same bytes.
+5. tokens: the texts as token ids, with the digest of the bytes these decode to.
+
+Every stage keeps all columns of its input, whatever these are called, and works on empty tables. A null text is an
+empty one. Rows without an id are scored and encoded like others; the stages that find documents by their ids leave them as
+they are. Rows that repeat an id are one document to those stages and go or stay together.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ def _prepared(spark: SparkSession) -> None:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _prepared(spark)
     model = cotrain.train(docs, _table(spark, sf_dir, "labels"))
-    return cotrain.score(docs, model).where(cotrain.accepted()).select(*docs.columns)
+    return cotrain.kept(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +48,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _prepared(spark)
     found = suffix_dedup.remove_repeats(docs, span=50, as_text=True)
-    left = found.where((F.col("n_removed") == 0) | (F.trim("kept") != "")).select("n_removed", "kept", "carried.*")
     # Texts that lost nothing stay as they are, null ones and their counts included.
     shorter = F.col("n_removed") > 0
-    count = F.when(shorter, F.length("kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return left.withColumns({"text": F.col("kept"), "n_chars": count}).select(*docs.columns)
+    own = {c: F.col("carried")[c] for c in docs.columns if c != "text"} | {"text": F.col("kept")}
+    own["n_chars"] = F.when(shorter, F.length("kept")).otherwise(own["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    left = found.where(~shorter | (F.trim("kept") != ""))
+    return left.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
