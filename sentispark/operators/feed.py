@@ -22,7 +22,11 @@ def update_feed(processed: DataFrame, order: list[str]) -> DataFrame:
     ``processed`` also holds the duplicates (``is_duplicate``): they advance the counter but
     emit nothing.
     """
-    numbered = running_count(processed, order)
+    return update_messages(running_count(processed, order))
+
+
+def update_messages(numbered: DataFrame) -> DataFrame:
+    """The messages of rows that carry ``total_processed`` and ``is_duplicate``."""
     point = F.struct(
         F.col("id"),
         F.col("text_content").alias("textContent"),

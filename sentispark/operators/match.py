@@ -12,10 +12,13 @@ from sentispark.functions.keywords import (
     is_plain,
     keyword_pattern,
     token_set,
+    word_list,
 )
 from sentispark.scale import BROADCAST_BYTES, SALTS, fits_broadcast
 
 DEFAULT_DURATION_MS = 120_000
+#: Distinct keywords up to which they are part of the plan; bins up to which an interval is cut.
+VOCABULARY, MOST_BINS = 10_000, 64
 
 
 def active_jobs(
@@ -55,6 +58,37 @@ def keyword_index(jobs: DataFrame, columns: list[str]) -> DataFrame:
     ).filter(F.col("_keyword").isNotNull())
 
 
+def vocabulary(index: DataFrame, limit: int = VOCABULARY) -> list[str] | None:
+    """The distinct keywords, if there are at most ``limit``."""
+    words = index.select("_keyword").distinct().limit(limit + 1).collect()
+    return sorted(r["_keyword"] for r in words) if len(words) <= limit else None
+
+
+def bin_width(jobs: DataFrame) -> int | None:
+    """Microseconds of a time bin: the mean length of the bounded intervals, so that an interval lies in about two bins.
+
+    None if no interval is bounded.
+    """
+    length = F.unix_micros(F.col("ends_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))
+    mean = jobs.agg(F.avg(F.when(length > 0, length)).alias("mean")).first()["mean"]
+    return None if mean is None else max(int(mean), 1)
+
+
+def binned_index(index: DataFrame, width: int | None) -> DataFrame:
+    """The index with ``_bin``: a row per time bin that an interval meets, or one without a bin.
+
+    Without a bin are intervals that never end and those of more than ``MOST_BINS`` bins, so the index grows with the number of
+    jobs only. An empty interval matches nothing and has no row.
+    """
+    begin, end = (F.unix_micros(F.col(c).cast("timestamp")) for c in ("started_at", "ends_at"))
+    some = index.filter(F.col("started_at").isNotNull() & (F.col("ends_at").isNull() | (F.col("ends_at") > F.col("started_at"))))
+    if width is None:
+        return some.withColumn("_bin", F.lit(None).cast("long"))
+    first, last = F.floor(begin / F.lit(width)), F.floor((end - F.lit(1)) / F.lit(width))
+    bins = F.when(F.col("ends_at").isNull() | (last - first >= MOST_BINS), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(first, last))
+    return some.withColumn("_bin", F.explode(bins))
+
+
 def match_pairs(
     posts: DataFrame,
     jobs: DataFrame,
@@ -73,9 +107,13 @@ def match_pairs(
     posts. Every post is cut into its distinct tokens, which meet the keywords in an equi-join.
     The text itself is never shuffled. ``words`` names a ready ``word_list`` column, if any.
 
+    With ``event_time`` the join is on keyword and time bin, so a post meets the jobs of its own time and not all that
+    ever had its word; jobs without end are met by the keyword alone.
+
     * ``broadcast``: the measured keyword table goes to the tasks, so tokens never leave the task
       that read the post; all keywords of a pair meet there too, so the distinct step has
-      removed the repeats before its shuffle.
+      removed the repeats before its shuffle. Tokens that are no keyword are dropped inside the row, if the
+      keywords are few enough to be part of the plan.
     * ``shuffle``: (key, token) rows are shuffled, salted so that a word found in a third of the
       posts is spread over many tasks.
     """
@@ -84,17 +122,32 @@ def match_pairs(
     if strategy == "auto":
         strategy = "broadcast" if fits_broadcast(index, broadcast_bytes) else "shuffle"
     at = [event_time] if event_time and event_time not in keep else []
-    distinct_words = F.array_distinct(words) if words else token_set(text)
-    tokens = posts.select(key, *keep, *at, F.explode_outer(distinct_words).alias("_token"))
-    on = F.col("_token") == F.col("_keyword")
+    known = vocabulary(index) if strategy == "broadcast" else None
+    found = F.col(words) if words else word_list(text)
+    if known:
+        found = F.filter(found, lambda w: w.isin(*known))
+    tokens = posts.select(key, *keep, *at, F.explode_outer(F.array_distinct(found)).alias("_token"))
+    same = F.col("_token") == F.col("_keyword")
+    if not event_time:
+        return _joined(tokens, index, same, strategy, key).select(key, *keep, "job_id").distinct()
+    width = bin_width(jobs)
+    binned = binned_index(index, width)
+    here = _in_interval(F.col(event_time))
+    pairs = _joined(tokens, binned.filter(F.col("_bin").isNull()).drop("_bin"), same & here, strategy, key).select(key, *keep, "job_id")
+    if width is not None:
+        time = F.unix_micros(F.col(event_time).cast("timestamp"))
+        timed = tokens.withColumn("_time_bin", F.floor(time / F.lit(width)))
+        on = same & (F.col("_time_bin") == F.col("_bin")) & here
+        near = _joined(timed, binned.filter(F.col("_bin").isNotNull()), on, strategy, key)
+        pairs = pairs.unionByName(near.select(key, *keep, "job_id"))
+    return pairs.distinct()
+
+
+def _joined(tokens: DataFrame, index: DataFrame, on: Column, strategy: str, key: str) -> DataFrame:
     if strategy == "broadcast":
-        index = F.broadcast(index)
-    else:
-        tokens, index, same_salt = _salted(tokens, index, key)
-        on = on & same_salt
-    if event_time:
-        on = on & _in_interval(F.col(event_time))
-    return tokens.join(index, on).select(key, *keep, "job_id").distinct()
+        return tokens.join(F.broadcast(index), on)
+    tokens, index, same_salt = _salted(tokens, index, key)
+    return tokens.join(index, on & same_salt)
 
 
 def _salted(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame, Column]:

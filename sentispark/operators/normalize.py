@@ -6,34 +6,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentispark.functions.text import post_url
-from sentispark.sources.events import post_creations
+from sentispark.sources.events import is_post_creation
 
 
 def _present(column: Column) -> Column:
     return F.length(column) > 0
 
 
+def is_post() -> Column:
+    """Whether an event is a post creation with the key and content id it needs."""
+    commit = F.col("commit")
+    return F.coalesce(is_post_creation() & _present(commit["rkey"]) & _present(commit["cid"]), F.lit(False))
+
+
+def post_columns() -> dict[str, Column]:
+    """The columns of a flat post, from those of an event."""
+    commit = F.col("commit")
+    return {
+        "did": F.col("did"),
+        "handle": F.lit(None).cast("string"),
+        "rkey": commit["rkey"],
+        "text": commit["record"]["text"],
+        "created_at": F.try_to_timestamp(commit["record"]["createdAt"]),
+        "uri": F.concat(F.lit("at://"), F.col("did"), F.lit("/"), commit["collection"], F.lit("/"), commit["rkey"]),
+        "cid": commit["cid"],
+        "time_us": F.col("time_us"),
+        "langs": commit["record"]["langs"],
+        "is_reply": commit["record"]["reply"].isNotNull(),
+    }
+
+
 def normalize_posts(events: DataFrame) -> DataFrame:
     """Flat posts from creation events; an event without key or content id is left out."""
-    commit = F.col("commit")
-    return (
-        post_creations(events)
-        .filter(_present(commit["rkey"]) & _present(commit["cid"]))
-        .select(
-            "did",
-            F.lit(None).cast("string").alias("handle"),
-            commit["rkey"].alias("rkey"),
-            commit["record"]["text"].alias("text"),
-            F.try_to_timestamp(commit["record"]["createdAt"]).alias("created_at"),
-            F.concat(
-                F.lit("at://"), F.col("did"), F.lit("/"), commit["collection"], F.lit("/"), commit["rkey"]
-            ).alias("uri"),
-            commit["cid"].alias("cid"),
-            F.col("time_us"),
-            commit["record"]["langs"].alias("langs"),
-            commit["record"]["reply"].isNotNull().alias("is_reply"),
-        )
-    )
+    posts = events.filter(~F.col("corrupt") & is_post())
+    return posts.select(*[c.alias(name) for name, c in post_columns().items()])
 
 
 def author_or_did() -> Column:

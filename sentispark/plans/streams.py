@@ -10,14 +10,14 @@ from sentispark.plans.results import _CHART, HOUR_MS, _bucket_sql
 from sentispark.session import ROCKSDB, fresh_dir, materialize
 from sentispark.sources import store
 from sentispark.sources.tables import events_as_scored, orders_as_jobs, prompts_as_jobs, table
-from sentispark.streaming import live, pipeline, position, tracking
+from sentispark.streaming import feed, live, metrics, pipeline, position, tracking
 from sentispark.streaming.sinks import batch_folder, latest_state, per_row, read_batches, start
 
 
 BATCHES = 4
 
 
-def fed(df, name, run, at=None, picks=None):
+def fed(df, name, run, at=None, picks=None, after=None):
     """Feed a table to a stream in several steps, a micro-batch each; ``run`` starts the stream, with one checkpoint for all steps.
 
     Rows come in any order, so copies lie in different batches; with ``at`` each batch holds a stretch of that time, rows
@@ -35,6 +35,8 @@ def fed(df, name, run, at=None, picks=None):
         chosen = step == k if picks is None else picks(step, k)
         df.filter(chosen).write.mode("append").parquet(path)
         finish(run(spark.readStream.schema(df.schema).parquet(path)))
+        if after is not None:
+            after()
 
 
 def finish(query):
@@ -101,6 +103,71 @@ def stream_dedupe_by_id(spark, folder):
     return read_batches(spark, out).select("id", "job_id")
 
 
+@query(
+    "stream_update_feed",
+    f"""WITH {BY_TYPE}, n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY analyzed_at, id) AS total_processed FROM scored_t)
+    SELECT job_id, id, total_processed, id AS message_id, text_content AS message_text FROM n WHERE user_id % 10 <> 0""",
+)
+def stream_update_feed(spark, folder):
+    """The numbered feed over batches of passing time; one batch runs twice, as after a crash before it was committed."""
+    rows = events_as_scored(spark, folder).withColumns(
+        {"is_duplicate": F.col("user_id") % 10 == 0, "analyzed_at": F.col("analyzed_at").cast("timestamp")}
+    )
+    out, checkpoint = fresh_dir(spark, "feed"), fresh_dir(spark, "checkpoint")
+    write = feed.feed_writer(out, ["analyzed_at", "id"])
+
+    def repeated(batch, batch_id):
+        for _ in range(2 if batch_id == 2 else 1):
+            write(batch, batch_id)
+
+    fed(rows, "processed", lambda stream: start(stream, repeated, checkpoint), "analyzed_at")
+    return read_batches(spark, out).select(
+        "job_id",
+        "id",
+        "total_processed",
+        F.get_json_object("message", "$.dataPoint.id").alias("message_id"),
+        F.get_json_object("message", "$.dataPoint.textContent").alias("message_text"),
+    )
+
+
+@query(
+    "stream_stored_feed",
+    f"""WITH {stored._REPEATED}, n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY collected_at, id) AS total_processed FROM repeated)
+    SELECT n.job_id, n.id, total_processed FROM n JOIN firsts USING (id)""",
+)
+def stream_stored_feed(spark, folder):
+    """Rows stored as they come, copies of stored ones only counted, in the feed of what was stored."""
+    rows = stored._repeated(spark, folder).withColumn("collected_at", F.col("collected_at").cast("timestamp"))
+    rows_path, out, checkpoint = (fresh_dir(spark, n) for n in ("scored", "feed", "checkpoint"))
+    fed(rows, "processed", lambda stream: feed.run_stored_feed(stream, rows_path, out, checkpoint, ("collected_at", "id")), "collected_at")
+    return read_batches(spark, out).select("job_id", "id", "total_processed")
+
+
+@query(
+    "stream_throughput",
+    """SELECT count(*) AS messages_received, count(*) FILTER (event_type <> 'error') AS posts_processed,
+      count(*) FILTER (event_type = 'purchase') AS total_matched FROM events""",
+)
+def stream_throughput(spark, folder):
+    """What passes through a stream, counted on the way and stored per window of the clock, added up over all windows."""
+    rows = events_as_scored(spark, folder).select("id", "event_type")
+    out, seen, checkpoint = (fresh_dir(spark, n) for n in ("windows", "seen", "checkpoint"))
+    listener = metrics.ThroughputListener(spark, out)
+    kind = F.col("event_type")
+
+    def run(stream):
+        return start(metrics.observed(stream, kind != "error", kind == "purchase"), batch_folder(seen), checkpoint)
+
+    spark.streams.addListener(listener)
+    try:
+        fed(rows, "rows", run, after=lambda: listener.ended.wait(60))
+    finally:
+        spark.streams.removeListener(listener)
+    return metrics.read_throughput(spark, out).agg(
+        *[F.sum(c).alias(c) for c in ("messages_received", "posts_processed", "total_matched")]
+    )
+
+
 @query("stream_lifecycle", stored.LIFECYCLE_SQL)
 def stream_lifecycle(spark, folder):
     out, checkpoint = fresh_dir(spark, "lifecycle"), fresh_dir(spark, "checkpoint")

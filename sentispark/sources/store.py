@@ -62,13 +62,13 @@ def duplicate_keys(rows: DataFrame) -> DataFrame:
     )
 
 
-def write_rows(rows: DataFrame, path: str) -> None:
-    """Add rows, chunk by chunk.
+def write_rows(rows: DataFrame, path: str, batch: int | None = None) -> None:
+    """Add rows, chunk by chunk. A micro-batch that names itself replaces what it has written before.
 
     Every task sorts by chunk, job and time and keeps one file open; a chunk holding most rows
     stays spread over all tasks, as no shuffle brings a chunk together.
     """
-    chunks.append(with_chunk(rows), path, LAYOUT)
+    chunks.append(with_chunk(rows), path, LAYOUT, batch)
 
 
 def append_rows(rows: DataFrame, path: str) -> int:
@@ -146,6 +146,25 @@ def store_absent(rows: DataFrame, path: str) -> None:
     write_rows(_new_rows(materialize(rows), path), path)
 
 
+def mark_copies(rows: DataFrame, path: str, arrival: list[str], before: int | None = None) -> DataFrame:
+    """Add ``is_duplicate``: a row of the same key came earlier in ``rows`` or is stored (by a micro-batch before ``before``).
+
+    ``arrival`` is total. The first row per key is found by an aggregate and joined without gathering a key, so copies
+    that make up a third of the rows stay where they are. A row with a null in its key is no copy.
+    """
+    whole = F.greatest(*[F.col(k).isNull() for k in _KEY], F.lit(False)) == F.lit(False)
+    keyed = rows.withColumns({"_key": F.struct(*_KEY), "_arrival": F.struct(*arrival)})
+    firsts = materialize(keyed.filter(whole).groupBy("_key").agg(F.min("_arrival").alias("_first")))
+    known = chunks.known_keys(with_chunk(firsts.select("_key.*")), path, LAYOUT, before)
+    if known is not None:
+        stored = known.select(F.struct(*_KEY).alias("_key"), F.lit(True).alias("_stored"))
+        firsts = materialize(firsts.join(stored, "_key", "left"))
+    else:
+        firsts = firsts.withColumn("_stored", F.lit(False))
+    copy = F.coalesce(F.col("_stored") | (F.col("_arrival") != F.col("_first")), F.col("_arrival") != F.col("_first"), F.lit(False))
+    return join_per_key(keyed, firsts, "_key", "left").select(*rows.columns, (whole & copy).alias("is_duplicate"))
+
+
 def without_jobs(rows: DataFrame, jobs: DataFrame) -> DataFrame:
     """Rows left after deleting ``jobs`` (and, by cascade, their rows)."""
     return join_per_key(rows, jobs.select("job_id").distinct(), "job_id", "left_anti")

@@ -8,31 +8,43 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentispark.operators import enrich, match, normalize, validate
+from sentispark.operators.normalize import is_post, post_columns
 from sentispark.operators.score import score_with_lexicon
 from sentispark.scale import keep_first
 from sentispark.session import materialize
 from sentispark.sources import store
-from sentispark.sources.events import parse_events, quarantined
+from sentispark.sources.events import parse_events
 from sentispark.streaming.sinks import batch_folder, start
 
 Score = Callable[[DataFrame], DataFrame]
 
 
-def valid_posts(lines: DataFrame, as_of: Column) -> DataFrame:
-    """Posts with a usable date, and ``post_key``: equal for copies of one post only."""
-    posts = normalize.normalize_posts(parse_events(lines))
-    dated = validate.accepted(validate.check_dates(posts, as_of, columns=("created_at",)))
-    return dated.withColumn(
-        "post_key", F.sha1(F.concat_ws(" ", "uri", F.col("created_at").cast("string")))
+def checked_lines(lines: DataFrame, as_of: Column) -> DataFrame:
+    """Every line parsed once, as a flat post with ``kind``: ``post``, ``rejected`` (with ``reason``) or null for other events.
+
+    Rejected are unreadable lines (``raw`` is the line) and posts with an unusable date (``raw`` is the address).
+    ``post_key`` is equal for copies of one post only. There is no filter here, as one would parse the lines once more.
+    """
+    events = parse_events(lines)
+    here = ~F.col("corrupt") & is_post()
+    columns = [F.when(here, c).alias(name) for name, c in post_columns().items()]
+    raw = F.when(F.col("corrupt"), F.col("value")).alias("raw")
+    posts = validate.check_dates(events.select(*columns, raw, "corrupt", here.alias("_post")), as_of, columns=("created_at",))
+    return posts.select(
+        *[c for c in posts.columns if c not in ("raw", "corrupt", "_post", "reason")],
+        F.sha1(F.concat_ws(" ", "uri", F.col("created_at").cast("string"))).alias("post_key"),
+        F.when(F.col("corrupt") | (F.col("_post") & F.col("reason").isNotNull()), "rejected").when(F.col("_post"), "post").alias("kind"),
+        F.when(F.col("corrupt"), F.lit("malformed json")).when(F.col("_post"), F.col("reason")).alias("reason"),
+        F.coalesce("raw", "uri").alias("raw"),
     )
 
 
-def rejected_lines(lines: DataFrame, as_of: Column) -> DataFrame:
-    """(raw, reason) of every line that ``valid_posts`` leaves out though it should have been a post."""
-    events = parse_events(lines)
-    posts = normalize.normalize_posts(events.filter(~F.col("corrupt")))
-    dated = validate.check_dates(posts, as_of, columns=("created_at",)).filter(F.col("reason").isNotNull())
-    return quarantined(events).unionByName(dated.select(F.col("uri").alias("raw"), "reason"))
+def posts_among(checked: DataFrame) -> DataFrame:
+    return checked.filter("kind = 'post'").drop("kind", "reason", "raw")
+
+
+def rejects_among(checked: DataFrame) -> DataFrame:
+    return checked.filter("kind = 'rejected'").select("raw", "reason")
 
 
 def scored_rows(
@@ -90,18 +102,21 @@ def run_match_pipeline(
     texts are written only to the store. Per batch and job, one progress row counts what was
     processed, duplicates included; the completion tracker reads those instead of single rows.
     With ``rejected_path`` unreadable lines and posts with unusable dates are stored with their reason.
+
+    A batch is parsed once: pairs, rows, counts and rejects are read from the parsed lines, written for the time of the batch.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         now = collected_at if collected_at is not None else F.current_timestamp()
-        posts = valid_posts(batch, now)
+        checked = materialize(checked_lines(batch, now))
+        posts = posts_among(checked)
         pairs = materialize(
             match.match_pairs(posts, read_jobs(spark), key="post_key", event_time=event_time)
         )
         store.store_absent(scored_rows(posts, pairs, read_handles(spark), now, score), rows_path)
         if rejected_path is not None:
-            batch_folder(rejected_path)(rejected_lines(batch, now), batch_id)
+            batch_folder(rejected_path)(rejects_among(checked), batch_id)
         batch_folder(progress_path)(processed_counts(posts, pairs, now), batch_id)
 
     return start(lines, write, checkpoint, every=every)
