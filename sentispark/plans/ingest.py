@@ -6,7 +6,9 @@ from sentispark.operators import explore, normalize, validate
 from sentispark.plans.registry import BY_TYPE, query
 from sentispark.schemas import POST_COLLECTION
 from sentispark.sources import events as E
+from sentispark.session import fresh_dir
 from sentispark.sources import search as S
+from sentispark.sources import search_index
 from sentispark.sources.tables import events_as_scored, table, text_table
 
 
@@ -332,6 +334,44 @@ def search_since(spark, folder):
     return found.select("uri", "sort_key")
 
 
+def _indexed(spark, folder):
+    """The posts in an index, added in two batches."""
+    path = fresh_dir(spark, "search-index")
+    posts = _search_posts(spark, folder)
+    early = F.col("created_at") < F.lit("2024-01-01 06:00:00").cast("timestamp_ntz")
+    for batch, part in enumerate((early, ~early)):
+        search_index.index_posts(posts.filter(part), path, batch)
+    return path
+
+
+@query("search_top_indexed", f"WITH {_FOUND} SELECT uri, score AS sort_key FROM found ORDER BY score DESC, uri LIMIT 25")
+def search_top_indexed(spark, folder):
+    return search_index.search_pages(spark, _indexed(spark, folder), SEARCH)
+
+
+@query(
+    "search_latest_next_page_indexed",
+    f"""WITH {_FOUND}, ranked AS (SELECT uri, us AS sort_key, row_number() OVER (ORDER BY us DESC, uri) AS rn
+      FROM found WHERE lang = 'en') SELECT uri, sort_key FROM ranked WHERE rn BETWEEN 11 AND 20""",
+)
+def search_latest_next_page_indexed(spark, folder):
+    path = _indexed(spark, folder)
+    first = search_index.search_pages(spark, path, SEARCH, 10, sort="latest", lang="en")
+    end = first.agg(F.min(F.struct(F.col("sort_key"), F.col("uri")))).first()[0]
+    cursor = (end["sort_key"], end["uri"]) if end else None
+    return search_index.search_pages(spark, path, SEARCH, 10, cursor, "latest", lang="en")
+
+
+@query(
+    "search_since_indexed",
+    f"""WITH {_FOUND} SELECT uri, us AS sort_key FROM found
+      WHERE ts >= TIMESTAMP '2024-01-01 12:00:00' AND ts < TIMESTAMP '2024-01-02' ORDER BY us DESC, uri LIMIT 25""",
+)
+def search_since_indexed(spark, folder):
+    since, until = (F.lit(t).cast("timestamp_ntz") for t in ("2024-01-01 12:00:00", "2024-01-02"))
+    return search_index.search_pages(spark, _indexed(spark, folder), SEARCH, sort="latest", since=since, until=until)
+
+
 @query(
     "search_validation",
     """SELECT doc_id, CASE WHEN lang = 'es' THEN 'record absent' WHEN lang = 'de' THEN 'createdAt missing'

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from sentispark.functions.keywords import MAX_KEYWORDS, STOP_WORDS, extract_keywords, keyword_pattern, word_list
 from sentispark.functions.lexicon import WEIGHTS
-from sentispark.operators import enrich, match, score
+from sentispark.operators import enrich, learn, match, score
 from sentispark.operators import results as R
 from sentispark.plans.registry import query
+from sentispark.scale import join_per_key
+from sentispark.session import fresh_dir
 from sentispark.sources.tables import documents_as_posts, events_as_scored, prompts_as_jobs, table
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
@@ -218,6 +220,50 @@ def lexicon_score_custom(spark, folder):
     return scored.select("post_id", "sentiment_score", "sentiment_label", "confidence")
 
 
+def _labelled_posts(spark, folder):
+    """Documents with a label: positive unless toxic."""
+    labels = table(spark, folder, "labels").groupBy(F.col("doc_id").alias("post_id")).agg((1 - F.max("toxic")).alias("positive"))
+    return join_per_key(documents_as_posts(spark, folder), labels, "post_id")
+
+
+_LEARNED = """l AS (SELECT doc_id, 1 - max(toxic) AS positive FROM labels GROUP BY 1),
+    words AS (SELECT DISTINCT doc_id, lower(unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+'))) AS token FROM documents),
+    total AS (SELECT count(*) FILTER (positive > 0.5) AS up, count(*) FILTER (positive <= 0.5) AS down FROM l JOIN documents USING (doc_id) WHERE text IS NOT NULL),
+    counted AS (SELECT token, count(*) FILTER (positive > 0.5) AS ups, count(*) AS texts FROM words JOIN l USING (doc_id)
+      WHERE positive IS NOT NULL AND token <> '' GROUP BY token HAVING count(*) >= 5),
+    weights AS (SELECT token, CAST(round((ln((ups + 1.0::DOUBLE) / (up + 2.0::DOUBLE)) - ln((texts - ups + 1.0::DOUBLE) / (down + 2.0::DOUBLE))) / 1e-6::DOUBLE) AS BIGINT) AS weight, texts
+      FROM counted, total)"""
+
+
+@query("learned_weights", f"WITH {_LEARNED} SELECT token, weight, texts FROM weights")
+def learned_weights(spark, folder):
+    return learn.learn_weights(_labelled_posts(spark, folder))
+
+
+@query(
+    "learned_evidence",
+    f"WITH {_LEARNED} SELECT doc_id AS post_id, CAST(sum(weight) AS BIGINT) AS evidence, count(*) AS known FROM words JOIN weights USING (token) GROUP BY doc_id",
+)
+def learned_evidence(spark, folder):
+    """The evidence of all documents by weights stored as a table."""
+    path = fresh_dir(spark, "weights")
+    learn.learn_weights(_labelled_posts(spark, folder)).write.parquet(path)
+    return learn.evidence(documents_as_posts(spark, folder), spark.read.parquet(path))
+
+
+@query("learned_score")
+def learned_score(spark, folder):
+    """Scores of all documents by learned weights; the curve is fitted to labelled documents that taught no word."""
+    labelled = _labelled_posts(spark, folder)
+    apart = F.pmod(F.xxhash64("post_id"), F.lit(4)) == 0
+    path = fresh_dir(spark, "weights")
+    learn.learn_weights(labelled.filter(~apart)).write.parquet(path)
+    weights = spark.read.parquet(path)
+    held = labelled.filter(apart)
+    curve = learn.fit_curve(learn.evidence(held, weights).join(held.select("post_id", "positive"), "post_id"))
+    return learn.score_with_weights(documents_as_posts(spark, folder), weights, curve)
+
+
 def lexicon_model(weights: str):
     """A batch scorer as a user would plug in: loads its weights once, scores lists of texts."""
     import re
