@@ -8,7 +8,7 @@ from sentispark.plans import ingest, matching, store as stored
 from sentispark.plans.registry import BY_TYPE, BY_USER, query
 from sentispark.plans.results import _CHART, HOUR_MS, _bucket_sql
 from sentispark.session import ROCKSDB, fresh_dir, materialize
-from sentispark.sources import store
+from sentispark.sources import event_log, store
 from sentispark.sources.tables import events_as_scored, orders_as_jobs, prompts_as_jobs, table
 from sentispark.streaming import feed, live, metrics, pipeline, position, tracking
 from sentispark.streaming.sinks import batch_folder, latest_state, per_row, read_batches, start
@@ -346,6 +346,33 @@ def resumed_events(spark, folder):
     return fresh.select("event_id", "time_us")
 
 
+_AFTER = "WHERE lang <> 'es' AND us > epoch_us(TIMESTAMP '2024-01-01 12:00:00')"
+_CURSOR = 1_704_110_400_000_000  # 2024-01-01 12:00
+
+
+@query("event_log_replay", f"WITH {ingest._RAW} SELECT us AS time_us FROM raw {_AFTER}")
+def event_log_replay(spark, folder):
+    """What comes after a cursor in the log of all event lines, read through the data source."""
+    path = fresh_dir(spark, "log")
+    event_log.register(spark)
+    event_log.write_log(ingest.raw_lines(spark, folder).select("value"), path)
+    return spark.read.format("event_log").option("path", path).option("cursor", _CURSOR).load().select("time_us")
+
+
+@query("stream_event_log", f"WITH {ingest._RAW} SELECT us AS time_us FROM raw {_AFTER}")
+def stream_event_log(spark, folder):
+    """A stream from a cursor over a log that grows, stopped and started again."""
+    path, out, checkpoint = (fresh_dir(spark, n) for n in ("log", "seen", "checkpoint"))
+    event_log.register(spark)
+    lines = materialize(ingest.raw_lines(spark, folder).select("value"))
+    first_day = F.get_json_object("value", "$.time_us").cast("long") < 1_704_153_600_000_000  # 2024-01-02
+    for batch, part in enumerate((first_day, ~first_day)):
+        event_log.write_log(lines.filter(F.coalesce(part, F.lit(False))), path, batch)
+        stream = spark.readStream.format("event_log").option("path", path).option("cursor", _CURSOR).load()
+        finish(start(stream, batch_folder(out), checkpoint))
+    return read_batches(spark, out).select("time_us")
+
+
 @query(
     "stream_per_batch",
     f"WITH {BY_TYPE} SELECT id, job_id, label AS sentiment_label FROM scored_t WHERE label <> 'neutral'",

@@ -253,7 +253,7 @@ def compact(
     """Pack the small files of every chunk into sorted ones of about ``target`` bytes; returns the number of folders replaced.
 
     Folders whose files hold half of ``target`` on average are left alone; so is a chunk with fewer than ``least`` small files.
-    With ``merge`` (such as newest row per key) every chunk of several folders is read whole and replaced by what it returns.
+    With ``merge`` (such as newest row per key) every chunk of ``least`` folders or more is read whole and replaced by what it returns.
     Folders of the newest micro-batch stay, as that batch may run again.
     """
     now = manifest_of(spark, path)
@@ -267,7 +267,7 @@ def compact(
     if merge is None:
         chosen = {c: some for c, some in small.items() if sum(e.files for e in some) >= least}
     else:
-        chosen = {c: some for c, some in small.items() if len(some) > 1}
+        chosen = {c: some for c, some in small.items() if len(some) >= least}
     old = [e for some in chosen.values() for e in some]
     if not old:
         return 0

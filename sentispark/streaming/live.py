@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentispark.functions.numeric import clamp, epoch_ms, score_units
@@ -90,24 +90,34 @@ def run_retries(
     checkpoint: str,
     max_retries: int = MAX_RETRIES,
     every: str | None = None,
+    ttl_s: int | None = None,
+    now: Column | None = None,
+    merge_every: int = MERGE_EVERY,
 ):
     """Route failed messages batch by batch against the retries on record.
 
     What a batch routes is written with its ``batch_id`` (``read_batches``); rows with ``discarded`` > 0 are the dead letters.
-    The retries on record lie beside it as a state of one row per message, reduced as it grows. A batch
-    looks at what earlier ones recorded only, so a repeated batch routes the same way.
+    The retries on record lie beside it as a state of one row per message. A batch looks at what earlier ones recorded
+    only, so a repeated batch routes the same way. A record that is used up is dropped, and with ``ttl_s`` so is one that
+    no failure has touched for so many seconds: the message starts over. ``now`` is the time of a batch.
     """
     record = f"{path}/_retries"
-    route, remember = batch_folder(path), keep_state(record, ["message_key"])
+    clock = (now if now is not None else F.current_timestamp()).cast("timestamp")
+    live = F.col("retries") > 0
+    if ttl_s is not None:
+        live = live & (F.col("at") > clock - F.make_dt_interval(secs=F.lit(ttl_s)))
+    route, remember = batch_folder(path, merge_every), keep_state(record, ["message_key"], merge_every, live)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         known = latest_state(spark, record, ["message_key"], before=batch_id)
         if known is None:
             known = spark.createDataFrame([], "message_key string, retries long")
+        else:
+            known = known.filter(live)
         routed = materialize(route_failures(batch, known, max_retries))
         # The routing counts once it is written; a batch that stopped in between runs again and replaces both.
-        remember(routed.select("message_key", "retries"), batch_id)
+        remember(routed.select("message_key", "retries", clock.alias("at")), batch_id)
         route(routed, batch_id)
 
     return start(failures, write, checkpoint, every=every)

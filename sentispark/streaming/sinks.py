@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -62,19 +62,27 @@ def _newest(keys: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
     return merge
 
 
-def keep_state(path: str, keys: Sequence[str], merge_every: int = MERGE_EVERY) -> Callable[[DataFrame, int], None]:
+def keep_state(
+    path: str, keys: Sequence[str], merge_every: int = MERGE_EVERY, wanted: Column | None = None
+) -> Callable[[DataFrame, int], None]:
     """Store the changed rows of an update-mode stream, one per key and batch; read with ``latest_state``.
 
     Every ``merge_every`` batches the versions of a key are reduced to the newest, so a read goes over the state
-    and a few batches, not over all that was ever written.
+    and a few batches, not over all that was ever written. Keys whose newest row is not ``wanted`` (finished, or too old) are
+    dropped then, so the state is bounded by what is still wanted.
     """
 
+    def merge(rows: DataFrame) -> DataFrame:
+        newest = _newest(keys)(rows)
+        return newest if wanted is None else newest.filter(wanted)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
         rows = batch.withColumns({"batch_id": F.lit(batch_id).cast("long"), "bucket": bucket})
         chunks.append(rows, path, _STATE, batch_id)
         if (batch_id + 1) % merge_every == 0:
-            chunks.compact(batch.sparkSession, path, _STATE, merge=_newest(keys))
+            # Rows become unwanted with time, so a chunk may shrink though nothing has been added to it.
+            chunks.compact(batch.sparkSession, path, _STATE, least=2 if wanted is None else 1, merge=merge)
 
     return write
 

@@ -134,6 +134,25 @@ def test_retries_over_batches(spark):
     assert [(r["retried"], r["discarded"]) for r in got] == [(1, 0), (1, 0), (1, 0), (0, 1), (1, 0)]
 
 
+def test_retry_records_end(spark):
+    """Used up or untouched for longer than the limit, a record goes; the state holds what is still open."""
+    schema = "content string, permanent boolean"
+    src, out, ckpt = (fresh_dir(spark, n) for n in ("src", "out", "ckpt"))
+
+    def go(at, *messages):
+        feed(spark, src, [(m, False) for m in messages], schema)
+        now = F.lit(str(seconds(at))).cast("timestamp")
+        run(live.run_retries(source(spark, src, schema), out, ckpt, ttl_s=100, now=now, merge_every=2))
+
+    for k in range(10):
+        go(60 * k, "slow", f"once{k}", *["used up"] * 4)
+    kept = {r["message_key"] for r in latest_state(spark, f"{out}/_retries", ["message_key"]).collect()}
+    assert len(kept) <= 6  # of twelve messages
+    go(1000, "slow", "once9")
+    slow = [r["retried"] for r in read_batches(spark, out).filter("content = 'slow'").orderBy("batch_id").collect()]
+    assert slow == [1, 1, 1, 0] * 2 + [1, 1, 1]  # after the limit it starts over
+
+
 def test_lifecycle_state_is_updated(spark):
     schema = "job_id string, type string, ts timestamp, seq long, error_message string"
     src, out, ckpt = (fresh_dir(spark, n) for n in ("src", "out", "ckpt"))
