@@ -1,6 +1,6 @@
 """Near-duplicate join: documents whose word-shingle sets have a Jaccard index of at least a threshold.
 
-1. Every document becomes a set of 64-bit shingle hashes; ``repeated_keys`` tells which of them
+1. Every document becomes a set of 56-bit shingle hashes; ``repeated_keys`` tells which of them
    other documents have too. Only those can be shared, and a document with too few of them can
    have no partner.
 2. Equal sets are one class with one representative.
@@ -64,7 +64,8 @@ def shingles_of(size: int):
             n = int(counts[i])
             docs.append(np.array([i]))
             keys.append(np.array([(hashed[begins[i] : begins[i] + n] * weights[:n]).sum() + np.uint64(n)], np.uint64))
-        docs, keys = np.concatenate(docs), mix(np.concatenate(keys))
+        # The last byte is left out: sorted and byte by byte, it would cost the exchange as much as all others but one.
+        docs, keys = np.concatenate(docs), mix(np.concatenate(keys)) & ~np.uint64(255)
         if len(short):
             order = np.argsort(docs, kind="stable")
             docs, keys = docs[order], keys[order]
@@ -128,7 +129,7 @@ def _bitmaps(sets: DataFrame) -> DataFrame:
         for batch in batches:
             bits = np.zeros((batch.num_rows, _WORDS), np.uint64)
             for row, packed in enumerate(batch.column("keys").to_pylist()):
-                at = np.frombuffer(packed, np.uint64) % np.uint64(64 * _WORDS)
+                at = (np.frombuffer(packed, np.uint64) >> np.uint64(8)) % np.uint64(64 * _WORDS)
                 np.bitwise_or.at(bits[row], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
             columns = [batch.column("id"), *(pa.array(c.view(np.int64).copy()) for c in bits.T.copy())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
@@ -171,17 +172,29 @@ def _best_partner(pairs: DataFrame) -> DataFrame:
     return met.groupBy("u").agg(F.max_by("v", F.struct("times", F.negative("v"))).alias("v"))
 
 
+def _contracted(label: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels after the links ``found`` (u, v) between sets: only links between different labels are looked at."""
+    name = lambda x: label.select(F.col("id").alias(x), F.col("component").alias(f"{x}_label"))
+    between = found.join(name("u"), "u", "left").join(name("v"), "v", "left")
+    ends = between.select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v"))
+    merged = components(ends)
+    # Sets that had no link before are their own label.
+    rest = merged.join(label.select("id"), "id", "left_anti").select("id", "component")
+    moved = label.join(merged.select(F.col("id").alias("old"), F.col("component").alias("new")), F.col("component") == F.col("old"), "left")
+    # A component without new links keeps its label; one with links has the smallest of them.
+    return moved.select("id", F.coalesce("new", "component").alias("component")).union(rest)
+
+
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """(id, component) of the distinct ``sets`` that have partners."""
     tiles_of = written(_entries(sets, percent), "tiles")
     # The member with the fewest shingles of its own is most like what the others were copied from.
     heads = tiles_of.groupBy("h", "band").agg(F.min(F.struct(F.col("n") - F.col("m"), "id")).alias("head"), F.count("*").alias("size"))
-    heads = written(heads.where("size > 1").select("h", "band", F.col("head.id").alias("v")), "tile-heads")
+    heads = heads.where("size > 1").select("h", "band", F.col("head.id").alias("v"))
     mates = tiles_of.join(heads, ["h", "band"]).where(F.col("id") != F.col("v")).select(F.col("id").alias("u"), "v")
-    edges = written(_verified(_best_partner(mates), sets, percent).select("u", "v"), "links")
-    used = [tiles_of, heads, edges]
+    label = written(components(_verified(_best_partner(mates), sets, percent).select("u", "v")), "labels")
+    used = [tiles_of, label]
     for turn in range(_ROUNDS + 1):
-        label = written(components(edges), "labels")
         named = tiles_of.join(label, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
         # A member of the first and of the last component of a tile, others in each round.
         member = F.struct("label", F.xxhash64("id", F.lit(turn)).alias("rank"), "id")
@@ -191,7 +204,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
             F.ceil(F.col("size") / _TILE).cast("int").alias("blocks"),
         )
         mixed = written(mixed, "mixed-tiles")
-        used += [label, mixed]
+        used.append(mixed)
         if turn == _ROUNDS:
             break
         other = F.when(F.col("label") != F.col("a_label"), F.col("a")).otherwise(F.col("z"))
@@ -200,7 +213,8 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         used.append(found)
         if found.isEmpty():
             break
-        edges = edges.union(found)
+        label = written(_contracted(label, found), "labels")
+        used.append(label)
     left = named.join(mixed.select("h", "band", "blocks"), ["h", "band"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
@@ -216,8 +230,8 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         .select(F.col("u_id").alias("u"), F.col("v_id").alias("v"))
         .distinct()
     )
-    linked = components(edges.union(_verified(pairs, sets, percent).select("u", "v")))
-    # The components are in a table of their own by now.
+    # Written before what it is made from goes.
+    linked = written(_contracted(label, _verified(pairs, sets, percent).select("u", "v")), "components")
     discard(*used, grid)
     return linked
 
@@ -228,7 +242,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, key: str
     Words are separated by ASCII white space, A-Z count as a-z. A text of fewer than ``words`` words is
     one shingle; a text without words (or null) has none and is linked with nothing. Rows without
     an id are left out; rows that repeat an id count as one document. Two sets are partners when
-    100 * overlap >= ``percent`` * union. Hashes of 64 bits stand for shingles.
+    100 * overlap >= ``percent`` * union. Hashes of 56 bits stand for shingles.
     """
     found = written(profiles(docs, words, percent, key, text), "profiles")
     able = found.where("keys IS NOT NULL")

@@ -8,6 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from sentispark.llm import byte_bpe, decontaminate, jaccard_join, repeated, suffix_dedup, token_counts
+from sentispark.llm import components as graph
 from sentispark.llm.components import components
 
 ODD = ["", None, " ", "a", "x y", "  two  spaces \n and lines\n\n", "tab\tand nbsp", "😀 日本 é́", "<|endoftext|> in text", "don't we'll 12 345"]
@@ -130,7 +131,9 @@ def linked(sets):
     return {i: top(i) for i in sets}
 
 
-def test_jaccard_join_equals_brute_force(docs, prose):
+@pytest.mark.parametrize("rounds", [6, 1])
+def test_jaccard_join_equals_brute_force(docs, prose, rounds, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "_ROUNDS", rounds)
     rng = random.Random(7)
     rows = list(enumerate(ODD))
     base = prose(11, 120).split()
@@ -156,7 +159,10 @@ def test_jaccard_join_without_rows(docs):
     assert [tuple(r) for r in jaccard_join.near_duplicates(docs([(3, None)])).collect()] == [(3, 0, 3)]
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("one_task, held", [(1 << 20, 1 << 20), (0, 8), (0, 1 << 20), (10, 4)])
+def test_components_of_chains_and_stars(spark, monkeypatch, one_task, held):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+    monkeypatch.setattr(graph, "_HELD", held)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 199), (199, 200), (None, 1)]
     found = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
     assert found == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 140)}, 199: 199, 200: 199}
