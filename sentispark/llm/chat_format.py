@@ -74,9 +74,9 @@ def format_chats(
     ``segments``: array of (text, loss) whose texts, joined, are ``formatted``; loss is true for the escaped
     text of a turn by a learned role and false for marks and other turns. Null texts and roles are
     empty. Turns are ordered by number (null first), then role, then text; repeated rows stay. Rows without
-    a conversation form one of their own. A conversation is one row, so it has to fit a task.
+    a conversation are left out. A conversation is one row, so it has to fit a task.
     """
-    rows = turns.select(
+    rows = turns.where(F.col(conversation).isNotNull()).select(
         F.col(conversation).alias("id"),
         F.struct(
             F.col(turn).alias("turn"),

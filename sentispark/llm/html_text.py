@@ -3,13 +3,13 @@
 A page becomes a flat list of text blocks. Each block is described by its word count and link density, those of the
 blocks before and after it, and where it stands (in an article, in a part such as a menu, footer, advert,
 form or comment list, or in neither). A decision tree trained on the small labelled table below
-decides which blocks are article text.
+decides which blocks are article text: where the page marks its article, mostly by that; elsewhere by the counts and
+densities of a block and its neighbours.
 """
 
 from __future__ import annotations
 
 import html
-import itertools
 import re
 from collections.abc import Iterator
 
@@ -22,67 +22,67 @@ from sentispark.llm.common import slices
 
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "place", "page_has_article", "heading"]
 
-#: Labelled blocks: the features above (place: 1 article, -1 surroundings, 0 neither), then 1 for article text.
+#: Labelled pages, one per line: their blocks in order. A block is the letter of where it stands (A article, S surroundings,
+#: N neither), its words, "/" and how many of them are links, "h" for a heading, and "+" if it is article text, else "-".
 LABELLED = """
-12 0.0 6 1.0 40 0.0  1 1 1 1
- 1 0.0 0 0.0  5 0.0  1 1 0 1
- 1 1.0 0 0.0 60 0.0  1 1 1 1
- 3 1.0 1 1.0 40 0.0  1 1 1 1
- 6 1.0 0 0.0 90 0.0  1 1 1 1
- 9 1.0 80 0.0 80 0.0  1 1 1 1
-20 1.0 30 0.0 30 0.0  1 1 0 1
- 3 0.0 12 0.0 90 0.0  1 1 0 1
-90 0.0 3 0.0  2 0.0  1 1 0 1
- 2 0.0 90 0.0 8 0.2  1 1 0 1
-60 0.1 60 0.0 60 0.0  1 1 0 1
-40 0.3 9 0.0 200 0.0  1 1 0 1
- 8 0.2 30 0.0 4 0.0  1 1 0 1
-250 0.0 40 0.0 9 0.3  1 1 0 1
-10 0.5 80 0.0 80 0.0  1 1 0 1
- 5 0.0 1 1.0 1 1.0  1 1 1 1
- 4 0.0 0 0.0 0 0.0  1 1 0 1
- 1 1.0 1 1.0 1 1.0  1 1 0 0
- 3 1.0 50 0.0 3 1.0  1 1 0 0
- 4 1.0 4 1.0 0 0.0  1 1 0 0
- 6 0.9 2 1.0 70 0.0  1 1 0 0
- 1 1.0 0 0.0 1 1.0 -1 1 0 0
- 4 1.0 1 1.0 9 0.0 -1 1 0 0
- 9 0.0 4 1.0 12 0.0 -1 1 0 0
-30 0.0 200 0.0 0 0.0 -1 1 0 0
-80 0.0 60 0.0 20 0.0 -1 1 0 0
-15 0.2 90 0.0 3 0.0 -1 1 1 0
-200 0.0 90 0.0 40 0.0 -1 1 0 0
- 6 0.0 100 0.0 6 0.0 -1 1 0 0
- 9 0.0 1 1.0 60 0.0 -1 0 0 0
-70 0.0 90 0.0 70 0.0 -1 0 0 0
- 5 0.0 70 0.0 0 0.0 -1 0 1 0
-120 0.0 8 0.0 5 1.0 -1 0 0 0
- 7 0.0 1 1.0 12 0.0  0 1 0 0
-60 0.0 7 0.0 12 0.0  0 1 0 0
- 3 1.0 0 0.0 7 0.0  0 1 0 0
- 9 0.0 200 0.0 0 0.0  0 1 1 0
-150 0.1 30 0.0 30 0.0  0 1 0 0
-20 0.0 300 0.0 5 0.0  0 1 0 0
-80 0.0 9 0.0 60 0.0  0 0 0 1
-60 0.1 80 0.0 40 0.0  0 0 0 1
-25 0.0 60 0.0 4 1.0  0 0 0 1
-18 0.0 2 1.0 50 0.0  0 0 0 1
-200 0.0 0 0.0 0 0.0  0 0 0 1
- 4 0.0 60 0.0 70 0.0  0 0 0 1
- 9 0.0 40 0.0 90 0.0  0 0 0 1
- 8 0.0 1 1.0 60 0.0  0 0 1 1
- 6 0.0 70 0.0 45 0.0  0 0 1 1
-10 0.0 2 1.0 30 0.0  0 0 1 1
- 2 1.0 0 0.0 2 1.0  0 0 0 0
- 5 0.0 2 1.0 3 1.0  0 0 0 0
- 8 0.0 3 1.0 6 0.0  0 0 0 0
-12 0.8 2 1.0 50 0.0  0 0 0 0
-40 0.9 60 0.0 2 1.0  0 0 0 0
-30 0.6 5 1.0 5 1.0  0 0 0 0
- 4 0.0 90 0.0 2 1.0  0 0 0 0
- 6 0.0 80 0.0 0 0.0  0 0 0 0
- 3 1.0 60 0.0 60 0.0  0 0 0 0
- 3 0.0 3 1.0 3 1.0  0 0 1 0
+S1/1- S1/1- S2/2- A7h+ A80+ A45+ A60/4+ S8- S3/3- S12-
+S2- S3/3- S1/1- A12h+ A2+ A120+ A1+ A90+ A4+ S40- S2/2- S2/2- S20-
+S20- S1/1- S1/1- A6h+ A30+ A4h+ A55/8+ A3+ A2+ A5+ A70+ S15/2- S80- S60- S9-
+S1/1- A5/5h+ A60+ A40/40+ A50+ A30/30+ A80+ S6-
+S1/1- A3h+ A20+ A1/1+ A2/2+ A2/2+ A1/1+ A3/3+ A30+ A2h+ A45+ S5-
+A4h+ A60/2+ A3/3+ A2/2+ A4/4+ A70+ A25+ S3/3- S90- S200- S30-
+A1/1h+ A25+ A9/9h+ A40+ A130+ A6/1+ A12/6+ A20/5+ S70- S3- S2/2-
+A8h+ A90+ A110+ A2/2-
+A9h+ A50+ A3/3- S5- S1/1-
+A60+ A1/1- S2/2-
+A25+ A40+ A4/4-
+A70+ A20+ A2/2- S3/3- S12-
+A5/5h+ A60+ A70+ A2/2- S3-
+A2/2h+ A30+ A90+ A1/1h+ A60+ A12+
+A8/8h+ A4+ A40+
+A3/3h+ A9/9+ A80+ A3/3+ A70+ A15/15+ A25+
+S4/4- A10/10+ A60+ A2/2+ A90+ A1/1+ A50+
+A5h+ A4+
+A3+
+A1+ S2-
+A2h+ A3h+ A8+ A200/12+ A9+ A150+ A2+ S12- S60- S45- S100-
+S4- S130- S90- A11h+ A14+ A22+ A18+ A16+ S18/2- S20/20- S7/7-
+N3/3- N5- A10h+ A100+ A1+ A90+ N9- N40- N2/2- N2/2-
+N20- N2- A6h+ A60+ A70/3+ N60- N150- N12- S5-
+N1/1- N1/1- A8h+ A25+ A3+ A80+ N6h- N30- N45- N80-
+N130- A4h+ A20+ A20+ N9/9- N70/2- N110- S30-
+N1/1- N1/1- N1/1- N1/1- N8h+ N60+ N75/6+ N40+ N3-
+N4- N1/1- N1/1- N2/2- N9h+ N45+ N3+ N80+ N60+ N10/9- N2/2- N2/2- N5-
+N2/2- N3/3- N6h+ N4+ N70+ N2+ N50+ N30+ N3/3- N2/2- N7-
+N1/1- N2/2- N1/1- N40+ N50+ N2/2- N3/3- N1/1- N12-
+N18- N1/1- N1/1- N2/2- N10h+ N25+ N90+ N6+ N45+ N4-
+N22- N2/2- N2/2- N1/1- N30+ N80/5+ N60+ N1/1- N2/2- N9-
+N8h+ N1+ N90+ N70+ N2-
+N6h+ N20+ N8+ N15+ N12+ N30+
+N5h+ N60+ N50/6+ N4h+ N45+ N3h+ N80+ N70+ N2-
+N200+
+N45+
+N9+
+N14+
+N6+
+N3+
+N1+
+N5h+ N3+
+N7h+ N40+
+N4h+ N12+ N9+
+N3h- N2/2- N2/2- N3/3- N90+ N60+ N2h- N3/3- N2/2- N3/3-
+N12/12- N8/8- N10/9- N9h+ N35+ N50/3+ N65+ N12/12- N30/25- N14/14-
+N2/2- N20/18- N2/2- N7h+ N55+ N40/40- N60+ N4- N2/2- N2/2-
+N5/5- N1/1- N11h+ N100+ N15+ N120+ N9/9- N8/8-
+N2- N1/1- N1/1- N5h+ N6+ N7+ N5+ N8+ N2/2- N2/2- N4-
+S2/2- S3/3- N10h+ N60+ N4+ N75+ N2- S9-
+S1/1- S2/2- N5h+ N20+ N30/2+ N9+ N40+ S50- S80- S3/3-
+S30- N6h+ N45+ N70+ S6h- S25- S40- S60- N3-
+S1/1- N4+ N3+ S2/2-
+S2/2- N50+ S90- N60+ S20/4- N8+ N45+ S12-
+N1/1- N2/2- N1/1- N3/3- N2/2-
+N3- N2/2- N3/3- N2/2- N4-
+S12- S3/3- S40- S5-
 """
 
 # A quoted value may hold a ">" but no "<"; a tag for which that fails ends at the next ">".
@@ -112,6 +112,11 @@ _COMMENTS = {"comment", "comments", "commentlist", "replies", "reply", "disqus",
 #: A name with one of these says how its element is laid out ("has-comments", "with-sidebar"), not what it is.
 _MODIFIERS = {"has", "with", "no", "without", "open", "closed", "enabled", "disabled"}
 _CONTENT = {"post", "entry", "hentry", "article", "story", "content", "main"}
+#: Words of a name that only frame what the others say.
+_FRAMES = set(
+    "box block area bar list lists item items link links button buttons container wrapper wrap inner outer section panel unit slot group module row col column "
+    "posts post articles article stories news bottom top left right small large icon icons text field input the site page main js".split()
+)
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
@@ -137,7 +142,10 @@ def _place(tag: str, attributes: str, above: int) -> int:
         return -1
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
         return -1
-    if tag not in _HEADINGS and tag != "p" and named & _WORDS:
+    if above == 1 and any(name & _WORDS and name <= _WORDS | _FRAMES for name in names):
+        # Inside an article only a whole name says so: "related-posts" does, "related-work" does not.
+        return -1
+    if above != 1 and tag not in _HEADINGS and tag != "p" and named & _WORDS:
         return -1
     # A paragraph or heading is surroundings only if its whole name says so.
     if named and named <= _WORDS:
@@ -236,7 +244,7 @@ def features(blocks: list[tuple[str, int, int, int, bool]]) -> np.ndarray:
     )
 
 
-def train_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 8) -> dict:
+def train_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 12) -> dict:
     """A binary tree by Gini impurity: {feature, cut, low, high} or {label}."""
     share = labels.mean()
     if depth == 0 or share in (0, 1):
@@ -265,23 +273,18 @@ def classify(tree: dict, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled_table(text: str = LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """The table above, and blocks between long or missing neighbours, where the place alone decides."""
-    rows = [line.split() for line in text.strip().splitlines()]
-    for words, before, after in itertools.product((20, 45, 130), (0, 20, 80), (0, 20, 80)):
-        rows += [
-            [words, 0, before, 0, after, 0, 1, 1, 0, 1],
-            [words, 1, before, 0, after, 0, 1, 1, 0, 1],
-            [words // 20, 1, before, 0, after, 0, 1, 1, 1, 1],
-            [words // 20, 1, before, 0, after, 0, 1, 1, 0, 0],
-            [words, 0, before, 0, after, 0, -1, 1, 0, 0],
-            [words, 0, before, 0, after, 0, -1, 0, 0, 0],
-            [words, 0, before, 0, after, 0, 0, 1, 0, 0],
-            [words, 0, before, 0, after, 0, 0, 0, 0, 1],
-            [words, 0.9, before, 0, after, 0, 0, 0, 0, 0],
-        ]
-    table = np.array(rows, float)
-    return table[:, :-1], table[:, -1]
+_BLOCK = re.compile(r"([ASN])(\d+)(?:/(\d+))?(h?)([+-])")
+
+
+def labelled_table(pages: str = LABELLED) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of all blocks of the labelled pages; neighbours are those of the page."""
+    rows, labels = [], []
+    for line in pages.strip().splitlines():
+        found = [_BLOCK.fullmatch(b).groups() for b in line.split()]
+        blocks = [("", int(words), int(linked or 0), {"A": 1, "S": -1, "N": 0}[place], bool(heading)) for place, words, linked, heading, _ in found]
+        rows.append(features(blocks))
+        labels += [label == "+" for *_, label in found]
+    return np.concatenate(rows), np.array(labels, float)
 
 
 def main_text(page: str, tree: dict) -> str:

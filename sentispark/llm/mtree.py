@@ -1,6 +1,7 @@
 """Exact top-k inner-product search with an M-tree, best first.
 
-Vectors are dealt into shards of bounded size. Each shard is one M-tree stored as pages: a page has
+Vectors are dealt by the nearest of a bounded sample of pivots, so a shard is a region of space; a region of too many vectors
+is several shards. Each shard is one M-tree stored as pages: a page has
 a routing vector, a covering radius, its distance to the routing vector of the page above, and
 either child pages or vectors with their stored distances to the page's routing vector.
 
@@ -9,22 +10,27 @@ A query visits pages in the order of the best score they can hold. With d(q, x)
 through the page above before anything is computed. A page or vector is passed over only when its
 bound is below the k-th score found so far, so ties are complete.
 
-Queries are searched in blocks against every shard, then the best of the shards are merged.
+A query is first searched in the shard whose routing vector is nearest. Its k-th score there passes over all shards whose root
+cannot hold a better one; the others are searched in blocks of queries per shard, and the best are merged.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentispark.llm.common import written
+from sentispark.llm.common import discard, partitions, written
 
 SHARD = 16384  # vectors of a shard, about
+PIVOTS = 1024  # at most so many sampled vectors divide space
+QUERY_BLOCK = 1024  # queries that meet a shard in one task, about
+ROOT_BYTES = 64 << 20  # roots of shards sent to the tasks at once; more are taken in turns
 _PAGE = 256  # entries of a page
 _PAGES = pa.schema(
     [("shard", pa.int32()), ("size", pa.int32()), ("page", pa.int32()), ("leaf", pa.bool_()), ("radius", pa.float64()), ("norm", pa.float64())]
@@ -91,8 +97,8 @@ class Tree:
             else:
                 node["norms"] = (node["vectors"] * node["vectors"]).sum(axis=1)
 
-    def search(self, name: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), ties to the smaller id; ``name`` itself is no candidate."""
+    def search(self, name: int, query: np.ndarray, k: int, floor: float = -np.inf) -> list[tuple[int, int]]:
+        """The k best (score, id) of at least ``floor``, ties to the smaller id; ``name`` itself is no candidate."""
         own = float(query @ query)
         best: list[tuple[float, int]] = []  # a heap, worst first: (score, -id)
         root = self.pages[0]
@@ -103,7 +109,7 @@ class Tree:
         waiting = [(-float(bound(root["norm"], near - root["radius"])), 0, near)]
         while waiting:
             top, number, near = heapq.heappop(waiting)
-            worst = best[0][0] if len(best) == k else -np.inf
+            worst = max(best[0][0], floor) if len(best) == k else floor
             if -top < worst:
                 break
             node = self.pages[number]
@@ -169,19 +175,94 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=_PAGES)
 
 
+def _nearest_pivot(pivots: dict[int, np.ndarray]):
+    schema = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("vector", pa.list_(pa.float64())), ("cell", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = np.zeros(batch.num_rows, np.int32)
+            sizes = batch.column("size").to_numpy()
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                if size in pivots:
+                    vectors = _vectors_of(batch.take(pa.array(at)), "vector").reshape(len(at), size)
+                    square = (pivots[size] ** 2).sum(axis=1)[None, :] - 2 * vectors @ pivots[size].T
+                    cells[at] = np.argmin(square, axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], schema=schema)
+
+    return run
+
+
 def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", shard: int = SHARD) -> DataFrame:
     """Pages of the M-trees over all usable rows of ``vectors``, written to the shared folder.
 
-    Rows without an id and vectors that are null or hold null or non-finite components take no part. Vectors of different lengths
-    are in different trees.
+    Rows without an id and vectors that are null or hold null or non-finite components take no part; rows that repeat an id are
+    candidates of their own. Vectors of different lengths are in different trees. At most ``PIVOTS`` vectors, the first by
+    hash of their ids, are taken to the driver as pivots.
     """
     rows = vectors.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias("id"), F.size(vector).alias("size"), quantized(F.col(vector)).alias("vector")
     )
     count = max(1, -(-vectors.count() // shard))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
-    sorted_rows = dealt.repartitionById(count, "shard").sortWithinPartitions("shard", "size")
-    return written(sorted_rows.mapInArrow(_build, _PAGES_DDL), "m-tree")
+    pivots: dict[int, list] = {}
+    for r in rows.orderBy(F.xxhash64("id"), "vector").limit(min(count, PIVOTS)).collect():
+        if r["vector"] not in pivots.setdefault(r["size"], []):
+            pivots[r["size"]].append(r["vector"])
+    found = {size: np.array(some) for size, some in pivots.items()}
+    dealt = written(rows.mapInArrow(_nearest_pivot(found), "id long, size int, vector array<double>, cell int"), "m-tree-cells")
+    # A row per pivot; a crowded cell becomes several shards, which the hash of the id tells apart.
+    cells = dealt.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(shard)).cast("int").alias("parts")).orderBy("cell").collect()
+    first = np.cumsum([0, *(r["parts"] for r in cells)]).tolist()
+    place = dealt.sparkSession.createDataFrame([(r["cell"], r["parts"], f) for r, f in zip(cells, first)], "cell int, parts int, first int")
+    numbered = dealt.join(F.broadcast(place), "cell").select(
+        (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("shard"), "size", "id", "vector"
+    )
+    sorted_rows = numbered.repartitionById(max(first[-1], 1), "shard").sortWithinPartitions("shard", "size")
+    pages = written(sorted_rows.mapInArrow(_build, _PAGES_DDL), "m-tree")
+    discard(dealt)
+    return pages
+
+
+def _bounds(query: np.ndarray, roots: list[dict], centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance to the root of each shard, and the best score that the shard can hold."""
+    own = float(query @ query)
+    near = np.sqrt(np.maximum(((centers - query) ** 2).sum(axis=1), 0))
+    norm = np.array([r["norm"] for r in roots])
+    slack = 1e-9 * (own + norm) + 1e-6
+    return near, (own + norm - np.maximum(near - [r["radius"] for r in roots], 0) ** 2) / 2 + slack
+
+
+def _chosen(asked: DataFrame, roots: list[dict], first: bool) -> DataFrame:
+    """(query_id, size, query, floor, shard): the nearest shard of each query, or all others that can reach its ``floor``."""
+    by_size: dict[int, tuple[list[dict], np.ndarray]] = {}
+    for size in {r["size"] for r in roots}:
+        some = [r for r in roots if r["size"] == size]
+        by_size[size] = some, np.array([np.frombuffer(r["center"]) for r in some])
+    schema = pa.schema([("query_id", pa.int64()), ("size", pa.int32()), ("query", pa.list_(pa.float64())), ("floor", pa.float64()), ("shard", pa.int32())])
+    shared = asked.sparkSession.sparkContext.broadcast(by_size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, shards = [], []
+            columns = (batch.column(c).to_pylist() for c in ("size", "query", "floor", "home"))
+            for i, (size, query, floor, home) in enumerate(zip(*columns)):
+                if size not in shared.value:
+                    continue
+                some, centers = shared.value[size]
+                near, most = _bounds(np.array(query), some, centers)
+                if first:
+                    picked = [int(np.argmin(near))]
+                else:
+                    able = most >= (-np.inf if floor is None else floor)
+                    picked = [j for j in np.flatnonzero(able).tolist() if some[j]["shard"] != home]
+                rows += [i] * len(picked)
+                shards += [some[j]["shard"] for j in picked]
+            taken = batch.select(["query_id", "size", "query", "floor"]).take(pa.array(rows, pa.int64()))
+            for begin in range(0, taken.num_rows, 4096):
+                part = taken.slice(begin, 4096)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shards[begin : begin + 4096], pa.int32())], schema=schema)
+
+    return asked.select("query_id", "size", "query", "floor", "home").mapInArrow(run, "query_id long, size int, query array<double>, floor double, shard int")
 
 
 def _search(k: int):
@@ -199,9 +280,9 @@ def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now, tree = [], None, None
         for batch in batches:
-            for (shard, size, asked), parts in _same_size([batch], "shard", "size", "asked"):
-                if (shard, size) != now:
-                    held, now, tree = [], (shard, size), None
+            for (shard, block, size, asked), parts in _same_size([batch], "shard", "block", "size", "asked"):
+                if (shard, block, size) != now:
+                    held, now, tree = [], (shard, block, size), None
                 if not asked:
                     held += parts
                     continue
@@ -212,31 +293,58 @@ def _search(k: int):
                 found = []
                 for part in parts:
                     queries = _vectors_of(part, "query").reshape(part.num_rows, size)
-                    for name, q in zip(part.column("query_id").to_pylist(), queries):
-                        found += [(name, i, s) for s, i in tree.search(name, q, k)]
+                    for name, q, floor in zip(part.column("query_id").to_pylist(), queries, part.column("floor").to_pylist()):
+                        found += [(name, i, s) for s, i in tree.search(name, q, k, -np.inf if floor is None else floor)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
 
     return run
 
 
+def _searched(pages: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score) of (query, shard) rows: the best k of the shard from the query's floor up.
+
+    A shard that many queries chose is searched by several tasks, each with a block of them.
+    """
+    blocks = chosen.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("blocks"))
+    copies = pages.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asked", F.lit(False))
+    dealt = chosen.join(blocks, "shard").withColumns({"block": F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"), "asked": F.lit(True)})
+    both = copies.drop("blocks").unionByName(dealt.drop("blocks"), allowMissingColumns=True)
+    met = both.repartition(partitions(pages.sparkSession), "shard", "block").sortWithinPartitions("shard", "block", "size", "asked")
+    return met.mapInArrow(_search(k), "query_id long, id long, score long")
+
+
 def top_k(pages: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the k highest inner products of each usable query, ties to the smaller id.
 
-    A candidate with the query's id is passed over; with fewer than k candidates all are returned. Scores must
+    Rows that repeat a query id are one query, with the smallest of their vectors. A candidate with the query's id is
+    passed over; with fewer than k candidates all are returned. Candidates that repeat an id are ranked each. Scores must
     stay below 2^53.
     """
+    spark = pages.sparkSession
     asked = queries.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(
-        F.col(key).cast("long").alias("query_id"), F.size(vector).alias("size"), quantized(F.col(vector)).alias("query")
-    )
-    count = pages.agg(F.coalesce(F.max("shard"), F.lit(-1))).first()[0] + 1
-    # Every query meets every shard: a stated query set against all rows.
-    dealt = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(count - 1, 0)))))
-    both = pages.withColumn("asked", F.lit(False)).unionByName(
-        dealt.withColumn("asked", F.lit(True)), allowMissingColumns=True
+        F.col(key).cast("long").alias("query_id"), quantized(F.col(vector)).alias("query")
     )
-    met = both.repartitionById(max(count, 1), "shard").sortWithinPartitions("shard", "size", "asked")
-    found = met.mapInArrow(_search(k), "query_id long, id long, score long")
+    asked = asked.groupBy("query_id").agg(F.min("query").alias("query")).withColumn("size", F.size("query"))
+    asked = written(asked.withColumns({"floor": F.lit(None).cast("double"), "home": F.lit(-1)}), "queries")
+    root = pages.where("page = 0").select("shard", "size", "radius", "norm", "center")
+    total = root.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("center") + 64), F.lit(0))).first()
+    turns = max(1, -(-int(total[1]) // ROOT_BYTES))
+    # At most about ROOT_BYTES of roots are on the driver at a time.
+    some_roots = lambda t: root.where(F.pmod("shard", F.lit(turns)) == t).collect()
+    homes = reduce(DataFrame.unionAll, [_chosen(asked, some_roots(t), True) for t in range(turns)])
+    homes = written(homes, "home-shards")
+    near = written(_searched(pages, homes, k), "near")
+    worst = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
+    known = asked.drop("floor", "home").join(worst, "query_id", "left")
+    # With several turns of roots a query has been in several shards; it is passed over again for the first only.
+    known = known.join(homes.groupBy("query_id").agg(F.min("shard").alias("home")), "query_id", "left")
+    known = written(known.select("query_id", "size", "query", "floor", "home"), "floors")
+    others = reduce(DataFrame.unionAll, [_chosen(known, some_roots(t), False) for t in range(turns)])
+    if turns > 1:
+        others = others.join(homes.select("query_id", "shard"), ["query_id", "shard"], "left_anti").select(*others.columns)
+    others = written(others, "other-shards")
+    found = near.unionAll(_searched(pages, others, k))
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")

@@ -143,11 +143,16 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     e AS (SELECT *, replace(replace(replace(replace(text, '\\', '\\b'), '#', '\\h'), '<', '\\l'), ':', '\\c') AS escaped,
           replace(replace(replace(replace(role, '\\', '\\b'), '#', '\\h'), '<', '\\l'), ':', '\\c') AS name FROM t)
     SELECT conv_id, count(*) AS n_turns,
-           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
            CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-           CAST(sum(length('### ' || name || ': ' || escaped || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
-    FROM e GROUP BY conv_id
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(length('### ' || name || ': ' || escaped || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars,
+           -- The roles drive the automaton; a role it does not expect leads nowhere.
+           coalesce(list_reduce(list(role ORDER BY turn NULLS FIRST, role, text), lambda state, role: CASE
+             WHEN state IN ('start', 'system', 'assistant') AND role = 'user' THEN 'user'
+             WHEN state = 'start' AND role = 'system' THEN 'system'
+             WHEN state = 'user' AND role = 'assistant' THEN 'assistant' END, 'start') IN ('assistant', 'user'), false) AS valid
+    FROM e WHERE conv_id IS NOT NULL GROUP BY conv_id
     """,
 )
 def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,6 +171,7 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         F.length("learned").cast("long").alias("loss_chars"),
         F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
     )
 
 
@@ -176,9 +182,11 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
       SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
       WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    -- Rows that repeat a query's id are one query, with the smallest of their vectors.
+    q AS (SELECT vec_id, min(e) AS e FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id),
     s AS (
       SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+      FROM q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,

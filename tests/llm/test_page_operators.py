@@ -62,6 +62,63 @@ def test_tree_learns_its_table():
     assert (html_text.classify(html_text.train_tree(rows, labels), rows) == labels).mean() > 0.97
 
 
+#: Pages the tree has not seen, in the notation of its table.
+HELD_OUT = """
+S2/2- S1/1- A9h+ A70+ A30/2+ A6+ A110+ S10- S4/4- S25-
+N2/2- N1/1- N3/3- N7h+ N65+ N90/4+ N3+ N55+ N2/2- N1/1- N6-
+N5h+ N30+ N42+ N7+ N38+
+N24- N1/1- N2/2- N1/1- N50+ N85+ N70/3+ N2/2- N3/3-
+A4h+ A15+ A2+ A2+ A33/5+ S60- S70- S9-
+N3/3- N8- A6h+ A95+ A12+ N50- N9- N2/2-
+S1/1- A7h+ A44+ A3/3+ A1/1+ A2/2+ A61+ S30-
+N1/1- N1/1- N6h+ N28+ N77+ N31/30- N12/12- N5/5-
+S12- S2/2- N9h+ N52+ N5+ N66+ S8- S44-
+N60+
+N4h+ N8+
+"""
+
+
+def test_tree_on_held_out_pages():
+    tree = html_text.train_tree(*html_text.labelled_table())
+    rows, labels = html_text.labelled_table(HELD_OUT)
+    assert (html_text.classify(tree, rows) == labels).mean() > 0.93
+
+
+def test_tree_decides_by_counts_and_densities_of_neighbours():
+    def used(tree):
+        return set() if "label" in tree else {html_text.FEATURES[tree["feature"]]} | used(tree["low"]) | used(tree["high"])
+
+    found = used(html_text.train_tree(*html_text.labelled_table()))
+    assert {"words", "links", "words_before", "words_after", "links_before", "links_after"} <= found
+
+
+@pytest.mark.parametrize(
+    "part", ['<section id="related-work">', '<section id="social-impact">', '<div class="section search-engines">', '<div class="tag-theory">']
+)
+def test_html_article_sections_named_like_surroundings_stay(part, prose):
+    tree = html_text.train_tree(*html_text.labelled_table())
+    a, b = prose(1, 40), prose(2, 30)
+    page = f"<nav><a href=1>x</a></nav><article><p>{a}</p>{part}<h2>Title here</h2><p>{b}</p></section></div></article>"
+    assert html_text.main_text(page, tree) == f"{a}\n\nTitle here\n\n{b}"
+
+
+@pytest.mark.parametrize("part", ['<div class="related-posts">', '<div id="share-buttons">', '<section class="comment-list">', '<div class="ad-slot box">', '<div class="newsletter-signup-form">'])
+def test_html_whole_names_inside_an_article_go(part, prose):
+    tree = html_text.train_tree(*html_text.labelled_table())
+    a, b = prose(1, 40), prose(2, 30)
+    page = f"<article><p>{a}</p>{part}<p>{prose(3, 25)}</p></div></section><p>{b}</p></article>"
+    assert html_text.main_text(page, tree) == f"{a}\n\n{b}"
+
+
+def test_html_linked_names_and_short_pages_stay(prose):
+    tree = html_text.train_tree(*html_text.labelled_table())
+    a, b = prose(1, 40), prose(2, 30)
+    names = '<ul><li><a href="1">Ann</a><li><a href="2">Bob Lee</a><li><a href="3">Cy</a></ul>'
+    assert html_text.main_text(f"<article><h1>Names</h1><p>{a}</p>{names}<p>{b}</p></article>", tree).split("\n\n") == ["Names", a, "Ann", "Bob Lee", "Cy", b]
+    assert html_text.main_text("<body><p>One short paragraph.</p>", tree) == "One short paragraph."
+    assert html_text.main_text("<body><h1>A heading</h1><p>Short.</p>", tree).split("\n\n")[-1] == "Short."
+
+
 def test_html_odd_pages(spark, prose):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "<p>" * 3000), (4, "u", '<a b="' * 2000), (None, "u", "<!-- open"), (5, "u", "<article>" + prose(3, 20_000)), (6, "u", "<article><p>a<script>x"), (6, "u", "<article><p>a<script>x")]
     frame = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, source string")
@@ -125,8 +182,9 @@ def test_chat_round_trip(spark, prose):
         roles = ["system"] * (c % 2) + ["user", "assistant"] * (1 + c % 3)
         rows += [(c, t, r, tricky[(c + t) % 6], "x") for t, r in enumerate(roles)]
     rows += [(50, 0, "assistant", "first", "x"), (51, 0, "user", "a", "x"), (51, 1, "user", "b", "x"), (52, 0, None, None, "x"), (53, 0, "odd: </turn>", "c", "x")]
-    rows += [(None, 0, "user", "no id", "x"), (60, None, "user", "q", "x"), (60, 0, "assistant", "a", "x"), (60, 0, "assistant", "a", "x"), (70, 0, "user", prose(1, 50_000), "x")]
-    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, id string")
+    rows += [(60, None, "user", "q", "x"), (60, 0, "assistant", "a", "x"), (60, 0, "assistant", "a", "x"), (70, 0, "user", prose(1, 50_000), "x")]
+    # Rows without a conversation are left out.
+    frame = spark.createDataFrame([*rows, (None, 0, "user", "no id", "x")], "conv_id long, turn long, role string, text string, id string")
     template = chat_format.Template()
     done = chat_format.read_back(chat_format.format_chats(frame, template), template).collect()
     by = {}
@@ -156,7 +214,10 @@ def brute(rows, k, every):
     return sorted(out)
 
 
-def test_mtree_equals_brute_force(spark):
+@pytest.mark.parametrize("root_bytes", [mtree.ROOT_BYTES, 300])
+def test_mtree_equals_brute_force(spark, root_bytes, monkeypatch):
+    monkeypatch.setattr(mtree, "ROOT_BYTES", root_bytes)
+    monkeypatch.setattr(mtree, "QUERY_BLOCK", 16)
     rng = random.Random(4)
     rows = [(i, [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(900)]
     rows += [(1000 + i, [0.5] * 8) for i in range(200)]  # equal vectors: ties
@@ -171,6 +232,30 @@ def test_mtree_equals_brute_force(spark):
     assert mtree.top_k(pages, none, 5).count() == 0
 
 
+def test_mtree_repeated_rows(spark):
+    """A query id that comes twice is one query; a candidate id that comes twice is ranked twice."""
+    rows = [(10, [1.0, 0.0]), (10, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.5, 0.5]), (4, [2.0, 1.0]), (4, [2.0, 1.0]), (5, [1.0, 3.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = sorted(map(tuple, mtree.top_k(mtree.build_index(frame), frame.where("vec_id % 10 = 0"), 3).collect()))
+    unit = 256 * 256
+    assert found == [(10, 1, 4, 2 * unit), (10, 2, 4, 2 * unit), (10, 3, 5, unit), (20, 1, 5, 3 * unit), (20, 2, 4, unit), (20, 3, 4, unit)]
+
+
+def test_mtree_shards_are_regions_and_far_ones_are_passed_over(spark, monkeypatch):
+    rng = random.Random(6)
+    centers = [[10.0 * (k == d) for d in range(8)] for k in range(8)]
+    rows = [(i, [x + rng.gauss(0, 0.05) for x in centers[i % 8]]) for i in range(1600)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    pages = mtree.build_index(frame, shard=100)
+    chosen = []
+    original = mtree._searched
+    monkeypatch.setattr(mtree, "_searched", lambda pages, rows, k: chosen.append(rows.count()) or original(pages, rows, k))
+    found = mtree.top_k(pages, frame.where("vec_id % 50 = 0"), 5).collect()
+    assert len(found) == 32 * 5
+    shards = pages.agg(F.max("shard")).first()[0] + 1
+    assert shards >= 8 and sum(chosen) < 0.5 * 32 * shards
+
+
 def test_mtree_passes_over_far_pages():
     rng = np.random.default_rng(1)
     vectors = np.concatenate([np.floor(rng.normal(c, 2, (500, 4))) for c in (0, 200, 400, 600)])
