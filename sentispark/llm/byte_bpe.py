@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentispark.llm.common import give_back, id_and_text, slices
+from sentispark.llm.common import give_back, giving_back, id_and_text, slices
 
 _MEMO = 250_000  # remembered pieces of a task; then it starts afresh
 _JOINED = 40  # pieces given to the library as one string
@@ -216,7 +216,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], key: str = "id", ids: st
             yield pa.RecordBatch.from_arrays([*part.columns, texts], ["id", "ids", "decoded"])
 
     rows = encoded.select(F.col(key).cast("long").alias("id"), F.col(ids).alias("ids"))
-    return rows.mapInArrow(run, "id long, ids binary, decoded binary")
+    return rows.mapInArrow(giving_back(run), "id long, ids binary, decoded binary")
 
 
 def decoded_text(decoded: str):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentispark.llm.common import discard, written
+from sentispark.llm.common import discard, giving_back, written
 
 #: Edges that one task may finish (16 bytes each), and edges a task holds before it reduces them.
 ONE_TASK, _HELD = 1 << 20, 1 << 20
@@ -52,7 +52,7 @@ def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _forests(edges: DataFrame) -> DataFrame:
-    return edges.mapInArrow(_reduced, "u long, v long")
+    return edges.mapInArrow(giving_back(_reduced), "u long, v long")
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:

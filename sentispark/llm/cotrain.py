@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sentispark.llm.common import discard, give_back, slices, written
+from sentispark.llm.common import discard, give_back, giving_back, slices, written
 from sentispark.scale import join_per_key
 
 _BITS = 17
@@ -344,7 +344,7 @@ def _learned(stored: DataFrame, views: list, limits: list, scale: np.ndarray, la
         for slot, some in found.items():
             yield pa.RecordBatch.from_pydict({"slot": pa.array([slot], pa.int32()), "sums": [some.tobytes()]})
 
-    slots = stored.mapInArrow(sums, "slot int, sums binary").repartitionById(_RANGES + len(_TARGETS), "slot")
+    slots = stored.mapInArrow(giving_back(sums), "slot int, sums binary").repartitionById(_RANGES + len(_TARGETS), "slot")
     found = {r["slot"]: np.frombuffer(r["sums"]) for r in slots.mapInArrow(total, "slot int, sums binary").collect()}
     shared.destroy()
     words = np.concatenate([found[r].reshape(len(_TARGETS), 2, -1) for r in range(_RANGES)], axis=2)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentispark.llm.common import id_and_text, slices
+from sentispark.llm.common import giving_back, id_and_text, slices
 
 ITEM_BYTES = 32 << 20  # items of a block
 _GRAM = 5
@@ -154,7 +154,7 @@ def _search(rows: DataFrame, items: list[tuple[int, str]], share: float) -> Data
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
 
-    return rows.mapInArrow(run, _FOUND)
+    return rows.mapInArrow(giving_back(run), _FOUND)
 
 
 def find_leaks(
@@ -162,11 +162,13 @@ def find_leaks(
 ) -> DataFrame:
     """(id, item, distance, begin, end) for each document and item that it holds within the budget.
 
-    ``share``: edits allowed per character of the item; items under 40 characters must occur unchanged, as
+    ``share``: edits allowed per character of the item, half of them at most; items under 40 characters must occur unchanged, as
     whole words. begin and end are character places in the normalised text (begin: the item's length before end). Null or
     empty texts and items match nothing; rows with a null id are matched all the same; repeated rows
     repeat their matches.
     """
+    if not 0 <= share <= 0.5:
+        raise ValueError("an item must keep half of its characters at least")
     rows = id_and_text(docs, key, text)
     tests = benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text")).where("text IS NOT NULL")
     total = tests.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0

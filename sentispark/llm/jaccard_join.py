@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentispark.llm.common import discard, id_and_text, written
+from sentispark.llm.common import discard, giving_back, id_and_text, written
 from sentispark.llm.components import components
 from sentispark.llm.repeated import mix, repeated_keys
 
@@ -118,7 +118,7 @@ def _entries(sets: DataFrame, percent: int) -> DataFrame:
                 table = np.concatenate(out, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(table, schema)], schema=schema)
 
-    return sets.mapInArrow(run, "h long, band int, id long, n long, m long")
+    return sets.mapInArrow(giving_back(run), "h long, band int, id long, n long, m long")
 
 
 def _bitmaps(sets: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def _bitmaps(sets: DataFrame) -> DataFrame:
             columns = [batch.column("id"), *(pa.array(c.view(np.int64).copy()) for c in bits.T.copy())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return sets.mapInArrow(run, ", ".join(["id long", *(f"b{k} long" for k in range(_WORDS))]))
+    return sets.mapInArrow(giving_back(run), ", ".join(["id long", *(f"b{k} long" for k in range(_WORDS))]))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -153,7 +153,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
 
     joined = pairs.join(side("u"), "u").join(side("v"), "v")
-    return joined.select("u", "v", "nu", "nv", "ku", "kv").mapInArrow(run, "u long, v long, overlap long")
+    return joined.select("u", "v", "nu", "nv", "ku", "kv").mapInArrow(giving_back(run), "u long, v long, overlap long")
 
 
 def _may_link(percent: int, a: str, b: str, bits: bool):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentispark.llm.common import discard, partitions, written
+from sentispark.llm.common import discard, giving_back, partitions, written
 
 SHARD = 16384  # vectors of a shard, about
 PIVOTS = 1024  # at most so many sampled vectors divide space
@@ -218,7 +218,7 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
         (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("shard"), "size", "id", "vector"
     )
     sorted_rows = numbered.repartitionById(max(first[-1], 1), "shard").sortWithinPartitions("shard", "size")
-    pages = written(sorted_rows.mapInArrow(_build, _PAGES_DDL), "m-tree")
+    pages = written(sorted_rows.mapInArrow(giving_back(_build), _PAGES_DDL), "m-tree")
     discard(dealt)
     return pages
 
@@ -311,7 +311,7 @@ def _searched(pages: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     dealt = chosen.join(blocks, "shard").withColumns({"block": F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"), "asked": F.lit(True)})
     both = copies.drop("blocks").unionByName(dealt.drop("blocks"), allowMissingColumns=True)
     met = both.repartition(partitions(pages.sparkSession), "shard", "block").sortWithinPartitions("shard", "block", "size", "asked")
-    return met.mapInArrow(_search(k), "query_id long, id long, score long")
+    return met.mapInArrow(giving_back(_search(k)), "query_id long, id long, score long")
 
 
 def top_k(pages: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

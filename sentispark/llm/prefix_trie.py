@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentispark.llm.common import partitions, written
+from sentispark.llm.common import giving_back, partitions, written
 from sentispark.scale import join_per_key
 
 TOKEN = 20
@@ -313,7 +313,7 @@ def build_trie(conversations: DataFrame) -> DataFrame:
     """
     parts = partitions(conversations.sparkSession)
     sorted_rows = conversations.repartitionByRange(parts, "tokens", "id").sortWithinPartitions("tokens", "id")
-    found = written(sorted_rows.select("id", "tokens").mapInArrow(_blocks, _OUT_DDL), "trie")
+    found = written(sorted_rows.select("id", "tokens").mapInArrow(giving_back(_blocks), _OUT_DDL), "trie")
     paths = found.where(F.col("kind") == _PATH)
     summed = written(
         paths.groupBy("node").agg(

@@ -19,11 +19,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from sentispark.llm.common import partitions, slices
+from sentispark.llm.common import giving_back, partitions, slices
 
 HOT = 16
 HOT_CLASS = np.uint16(65535)
-_BLOCK_KEYS = 1_500_000
+_BLOCK_KEYS = 1_000_000
 _BLOCK_DOCS = 60_000
 _ENTRY = "part int, kind byte, ids binary, docs binary, keys binary"
 _MARK = np.uint16(65535)
@@ -251,6 +251,6 @@ def repeated_keys(rows: DataFrame, keys_of: KeysOf, meta_of: MetaOf, skip: str |
         valid = pc.is_valid(batch.column("id"))
         return pc.and_(valid, pc.is_null(batch.column(skip))) if skip else valid
 
-    sent = rows.mapInArrow(_sender(keys_of, meta_of, parts, wanted, spread), _ENTRY).repartitionById(parts, "part")
-    met = sent.sortWithinPartitions("part").mapInArrow(_receiver(parts), "bucket int, kind byte, ids binary, sizes binary, keys binary")
-    return met.repartitionById(parts, "bucket").mapInArrow(_assemble, "id long, meta binary, keys binary, classes binary")
+    sent = rows.mapInArrow(giving_back(_sender(keys_of, meta_of, parts, wanted, spread)), _ENTRY).repartitionById(parts, "part")
+    met = sent.sortWithinPartitions("part").mapInArrow(giving_back(_receiver(parts)), "bucket int, kind byte, ids binary, sizes binary, keys binary")
+    return met.repartitionById(parts, "bucket").mapInArrow(giving_back(_assemble), "id long, meta binary, keys binary, classes binary")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentispark.llm.common import id_and_text, partitions, slices, written
+from sentispark.llm.common import giving_back, id_and_text, partitions, slices, written
 from sentispark.llm.repeated import _grouped_rows, _split, bucket_of, mix, part_of, repeated_keys
 
 _GRAM = 24
@@ -125,7 +125,9 @@ _SPANS = pa.schema([("id", pa.int64()), ("found", pa.binary())])
 
 
 def _candidates(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return batch.filter(pc.is_valid(batch.column("keys")))
+    # Rows set apart have keys if their id has them; here and not as a filter of the plan, for the sake of the shuffle below.
+    taken = pc.is_valid(batch.column("keys"))
+    return batch.filter(pc.and_(taken, pc.is_null(batch.column("copy"))) if "copy" in batch.schema.names else taken)
 
 
 def _sender(span: int, parts: int):
@@ -377,7 +379,7 @@ def _cut(as_text: bool):
         data = text.encode()
         if copy:
             spans = np.array([[0, len(data)]], np.int64)
-        elif found:
+        elif found and copy is None:
             spans = np.frombuffer(found, np.int64).reshape(-1, 2)
         else:
             return len(data), 0, b"", data
@@ -407,8 +409,9 @@ def remove_repeats(docs: DataFrame, span: int = 50, key: str = "doc_id", text: s
     ``spans``: packed pairs (begin, end) of the maximal removed runs; ``kept``: the remaining bytes, or as text
     without the parts of cut characters; ``carried``: the other columns of ``docs``, as a struct. A null
     text is empty; texts under ``span`` bytes lose nothing. Rows without an id lose nothing and
-    are never a source. Rows that repeat an id are one document: they remove nothing from each other
-    when their texts are equal. ``span`` is at least 40.
+    are never a source. Rows that repeat an id are one document, whose text is the one with the smallest digest: rows with
+    that text lose the same and nothing to one another; rows of the id with another text stay whole and are no source.
+    ``span`` is at least 40.
     """
     if span < 40:
         raise ValueError("span must be at least 40 bytes")
@@ -419,7 +422,11 @@ def remove_repeats(docs: DataFrame, span: int = 50, key: str = "doc_id", text: s
         _, owner, _, _, value, _ = _segments(texts, span)
         return owner, value
 
-    digests = rows.where(F.octet_length("text") >= span).select("id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    digest = F.unhex(F.sha2("text", 256))
+    every = rows.where("id IS NOT NULL").select("id", F.octet_length("text").alias("size"), digest.alias("digest"))
+    several = every.groupBy("id").agg(F.min("digest").alias("main"), F.max("digest").alias("other")).where("main <> other").select("id", "main")
+    several = written(several, "ids-of-several-texts")
+    digests = every.where(F.col("size") >= span).join(several, "id", "left").where("main IS NULL OR digest = main").select("id", "digest")
     firsts = digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     # From a table, so that adaptive execution can split the rows of a digest that very many share.
     firsts = written(firsts, "first-copies")
@@ -430,13 +437,17 @@ def remove_repeats(docs: DataFrame, span: int = 50, key: str = "doc_id", text: s
     )
     # The texts are shuffled by id once; all three uses below read that exchange.
     base = whole.join(copies.withColumn("copy", F.lit(True)), "id", "left")
+    if not several.isEmpty():
+        # False: neither a copy nor compared.
+        aside = F.col("main").isNotNull() & (digest != F.col("main"))
+        base = base.join(several, "id", "left").withColumn("copy", F.when(aside, F.lit(False)).otherwise(F.col("copy"))).drop("main")
     found = repeated_keys(base, keys_of, _no_meta, skip="copy", spread=minima_spread(span)).where(F.octet_length("keys") > 0).select("id", "keys", "classes")
     sent = base.join(found, "id", "left").select("id", "text", "keys", "copy", "carried", "classes").mapInArrow(
-        _sender(span, parts), "part int, ids binary, values binary, begins binary, sizes binary, letters binary"
+        giving_back(_sender(span, parts)), "part int, ids binary, values binary, begins binary, sizes binary, letters binary"
     )
-    lost = sent.repartitionById(parts, "part").mapInArrow(_receiver(span, parts), "bucket int, ids binary, sizes binary, spans binary")
-    lost = lost.repartitionById(parts, "bucket").mapInArrow(_unite_bucket, "id long, found binary")
+    lost = sent.repartitionById(parts, "part").mapInArrow(giving_back(_receiver(span, parts)), "bucket int, ids binary, sizes binary, spans binary")
+    lost = lost.repartitionById(parts, "bucket").mapInArrow(giving_back(_unite_bucket), "id long, found binary")
     marked = base.join(lost, "id", "left")
     rows = marked.select("id", "text", "carried", "copy", "found")
     schema = rows.select("id").schema.add("n_bytes", "long").add("n_removed", "long").add("spans", "binary").add("kept", "string" if as_text else "binary")
-    return rows.mapInArrow(_cut(as_text), schema.add(rows.schema["carried"]))
+    return rows.mapInArrow(giving_back(_cut(as_text)), schema.add(rows.schema["carried"]))

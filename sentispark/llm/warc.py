@@ -36,6 +36,8 @@ _INDEX = "id long, bundle string, frame int, frame_begin long, frame_size long,
 
 
 def _file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """A path without scheme is local or mounted; ``file``, ``hdfs``, ``s3`` (also as ``s3a`` and ``s3n``) and ``gs`` are opened by pyarrow."""
+    path = path.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1)
     if "://" in path or path.startswith("file:"):
         return pyarrow.fs.FileSystem.from_uri(path)
     return pyarrow.fs.LocalFileSystem(), path

@@ -1,5 +1,6 @@
 """Operators on documents against brute force, and their defined results for odd input."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -224,6 +225,17 @@ def test_suffix_dedup_same_id_and_empty_table(docs, prose):
     assert suffix_dedup.remove_repeats(docs([])).count() == 0
 
 
+def test_suffix_dedup_one_id_with_two_texts(docs, prose):
+    """The text with the smaller digest stands for the id; the other stays whole, whatever the first loses."""
+    a, b = sorted((prose(1, 40), prose(2, 40)), key=lambda t: hashlib.sha256(t.encode()).digest())
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, b), (7, "start " + a), (8, prose(3, 20) + b), (9, a[10:]), (9, "short")]
+    found = {(r["id"], r["kept"].decode(), r["n_removed"] > 0) for r in suffix_dedup.remove_repeats(docs(rows)).collect()}
+    small = min((a[10:], "short"), key=lambda t: hashlib.sha256(t.encode()).digest())
+    want = {(3, a, False), (5, "", True), (5, b, False), (6, b, False), (7, "start ", True), (8, prose(3, 20), True)}
+    want |= {(9, "", True), (9, "short", False)} if small != "short" else {(9, a[10:], False), (9, "short", False)}
+    assert found == want
+
+
 def test_parts_of_window_minima_are_even(prose):
     """Minima crowd at zero; dealt by their distribution no part is much larger than the mean."""
     texts = pa.array([prose(k, 400) for k in range(300)])
