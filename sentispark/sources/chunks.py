@@ -1,10 +1,10 @@
 """Chunked Parquet tables whose content is named by one small file.
 
-Every write puts its rows into folders of its own, ``write=<n>/<chunk column>=<value>``, sorted, and then publishes
+Every write puts its rows into folders of its own, ``write=<random number>/<chunk column>=<value>``, sorted, and then publishes
 the next manifest: a JSON file that lists the (write, chunk) folders that count. Readers follow the newest manifest, so a
-change of many chunks is seen whole or not at all, and whatever a crash leaves behind is read by nobody and
-written over by the next change. Folders that neither the newest manifest nor the one before names are deleted.
-One writer at a time; the rename that publishes fails if another was faster.
+change of many chunks is seen whole or not at all, and what a crash leaves behind is read by nobody.
+Folders that neither the newest manifest nor the one before names are deleted by the next change.
+One writer at a time: of two that change the same manifest the second fails and leaves the table as the first made it.
 
 Beside the rows lies a filter of their keys per folder: 64-bit words, a few bits of one word per key, made by a grouped
 aggregate. It tells a batch which folders may hold its keys; those folders decide.
@@ -22,7 +22,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, IntegralType, StringType, StructType
+from pyspark.sql.types import IntegralType, LongType, StringType, StructType
 
 from sentispark.scale import fits_broadcast
 from sentispark.session import materialize
@@ -64,7 +64,6 @@ class Manifest:
     #: The chunk column and, as JSON, all columns.
     chunk: str | None = None
     schema: str | None = None
-    writes: int = 0
     entries: tuple[Entry, ...] = field(default=())
     #: Micro-batches up to this one have been merged and cannot be written again.
     merged: int = -1
@@ -139,14 +138,18 @@ def _publish(spark: SparkSession, path: str, now: Manifest) -> None:
     raw = {**vars(now), "entries": [vars(e) for e in now.entries]}
     files.publish(f"{_MANIFESTS}/{now.version:012d}.json", json.dumps(raw))
     older = [v for v in _versions(files) if v < now.version]
-    kept = set(now.entries) | (set(_load(files, older[-1]).entries) if older else set())
+    before = _load(files, older[-1]).entries if older else ()
+    kept = {now.folder(e) for e in (*now.entries, *before)}
+    writes = {folder.partition("/")[0] for folder in kept}
     for v in older[:-1]:
-        for gone in set(_load(files, v).entries) - kept:
-            files.delete(now.folder(gone))
-            if gone.write not in {e.write for e in kept}:
-                files.delete(f"write={gone.write}")
-                files.delete(f"_filter/write={gone.write}")
+        for gone in {now.folder(e) for e in _load(files, v).entries} - kept:
+            files.delete(gone)
         files.delete(f"{_MANIFESTS}/{v:012d}.json")
+    # Whole writes that no manifest names any more, or that no manifest ever named.
+    for folder in ("", "_filter"):
+        for name in files.names(folder):
+            if name.startswith("write=") and name not in writes:
+                files.delete(f"{folder}/{name}" if folder else name)
 
 
 def read_entries(spark: SparkSession, path: str, now: Manifest, entries: Iterable[Entry] | None = None) -> DataFrame:
@@ -156,7 +159,7 @@ def read_entries(spark: SparkSession, path: str, now: Manifest, entries: Iterabl
 
 def with_write(spark: SparkSession, path: str, now: Manifest, entries: Iterable[Entry] | None = None) -> DataFrame:
     """``read_entries`` with the number of the write each row came with, as ``write``."""
-    schema = StructType.fromJson(json.loads(now.schema)).add("write", IntegerType())
+    schema = StructType.fromJson(json.loads(now.schema)).add("write", LongType())
     chosen = now.entries if entries is None else tuple(entries)
     if not chosen:
         return spark.createDataFrame([], schema)
@@ -193,7 +196,9 @@ def _word_and_mask(words: str) -> list[Column]:
 
 def _stage(rows: DataFrame, path: str, layout: Layout, now: Manifest, batch: int | None) -> tuple[Manifest, list[Entry]]:
     """Write rows and their filter as the next write; nobody reads them until a manifest names them."""
-    spark, files, number = rows.sparkSession, Files(rows.sparkSession, path), now.writes
+    spark, files = rows.sparkSession, Files(rows.sparkSession, path)
+    # A name no other writer can have taken.
+    number = uuid.uuid4().int >> 66
     folder = f"{path.rstrip('/')}/write={number}"
     writer = rows.sortWithinPartitions(layout.chunk, *layout.sort).write.mode("overwrite").option("maxRecordsPerFile", 5_000_000)
     for c in layout.bloom:
@@ -202,7 +207,6 @@ def _stage(rows: DataFrame, path: str, layout: Layout, now: Manifest, batch: int
     if now.schema is None:
         bare = StructType([f for f in rows.schema if f.name != layout.chunk]).add(rows.schema[layout.chunk])
         now = replace(now, chunk=layout.chunk, schema=bare.json())
-    now = replace(now, writes=number + 1)
     found = [n.partition("=")[2] for n in files.names(f"write={number}") if "=" in n]
     draft = [Entry(number, c, *files.size(f"write={number}/{layout.chunk}={c}"), 0, 0, batch) for c in found]
     draft = [e for e in draft if e.files]
@@ -216,7 +220,7 @@ def _stage(rows: DataFrame, path: str, layout: Layout, now: Manifest, batch: int
     # A row per chunk of the write.
     sizes = spark.createDataFrame([(e.chunk, e.words) for e in entries if e.words], "_chunk string, _words long")
     words = keyed.join(F.broadcast(sizes), "_chunk").select("_chunk", *_word_and_mask("_words"))
-    packed = words.groupBy("_chunk", "_word").agg(F.bit_or("_mask").alias("_bits")).withColumn("_write", F.lit(number))
+    packed = words.groupBy("_chunk", "_word").agg(F.bit_or("_mask").alias("_bits")).withColumn("_write", F.lit(number).cast("long"))
     packed.sortWithinPartitions("_chunk", "_word").write.mode("overwrite").parquet(f"{path.rstrip('/')}/_filter/write={number}")
     return now, entries
 
@@ -295,14 +299,14 @@ def holders(batch: DataFrame, path: str, layout: Layout, now: Manifest, before:
     able = [e for e in now.entries if e.chunk in touched and e.words and (before is None or e.batch is None or e.batch < before)]
     if not able:
         return keys.limit(0), []
-    sizes = spark.createDataFrame([(e.write, e.chunk, e.words) for e in able], "_write int, _chunk string, _words long")
+    sizes = spark.createDataFrame([(e.write, e.chunk, e.words) for e in able], "_write long, _chunk string, _words long")
     probes = (
         keys.withColumns({"_hash": _key_hash(layout), "_chunk": chunk})
         .join(F.broadcast(sizes), "_chunk")
         .select(*keys.columns, "_chunk", "_write", *_word_and_mask("_words"))
     )
     folders = [f"{path.rstrip('/')}/_filter/write={w}" for w in sorted({e.write for e in able})]
-    filters = spark.read.schema("_chunk string, _word long, _bits long, _write int").parquet(*folders).where(F.col("_chunk").isin(*touched))
+    filters = spark.read.schema("_chunk string, _word long, _bits long, _write long").parquet(*folders).where(F.col("_chunk").isin(*touched))
     if fits_broadcast(keys):
         probes = F.broadcast(probes)
     hits = materialize(

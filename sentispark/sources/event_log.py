@@ -68,6 +68,8 @@ class _Log:
     def __init__(self, path: str):
         from pyarrow import fs
 
+        # Spark's names of object stores are those of Hadoop's connectors.
+        path = path.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1)
         if urlparse(path).scheme:
             self.files, self.root = fs.FileSystem.from_uri(path)
         else:
