@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from sentispark.llm.common import give_back, giving_back, id_and_text, slices
 
-_MEMO = 250_000  # remembered pieces of a task; then it starts afresh
+_MEMO = 150_000  # remembered pieces of a task; then it starts afresh
 _JOINED = 40  # pieces given to the library as one string
-_SLICE = 8 << 20  # bytes of text encoded at a time
+_SLICE = 4 << 20  # bytes of text encoded at a time
 _SPACE_BEFORE_SPACE = re.compile(r" (?=\s|\Z)")
 
 

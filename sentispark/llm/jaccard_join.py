@@ -245,11 +245,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, key: str
     100 * overlap >= ``percent`` * union. Hashes of 56 bits stand for shingles.
     """
     found = written(profiles(docs, words, percent, key, text), "profiles")
-    able = found.where("keys IS NOT NULL")
-    first = able.groupBy("digest").agg(F.min("id").alias("id"))
-    sets = written(able.join(first, ["digest", "id"], "left_semi"), "sets")
+    sized = written(found.select("id", "n", "digest", F.col("keys").isNotNull().alias("able")), "set-sizes")
+    first = sized.where("able").groupBy("digest").agg(F.min("id").alias("id"))
+    sets = written(found.where("keys IS NOT NULL").join(first, ["digest", "id"], "left_semi"), "sets")
+    discard(found)  # the keys are needed once per distinct set only
     linked = links(sets, percent)
     discard(sets)
     classes = first.join(linked, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    rows = found.select("id", F.col("n").alias("n_shingles"), "digest").join(classes, "digest", "left")
+    rows = sized.select("id", F.col("n").alias("n_shingles"), "digest").join(classes, "digest", "left")
     return rows.select("id", "n_shingles", F.coalesce("component", "id").alias("component"))

@@ -77,7 +77,7 @@ def _missing_counts(texts: DataFrame, kind: str, data: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = None
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 4 << 20):
             count = count or _counter(kind, shared.value)
             n = pa.array(count(part.column(1)), pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), n], ["content", "n_tokens"])
