@@ -12,13 +12,12 @@ from sentispark.functions.keywords import (
     is_plain,
     keyword_pattern,
     token_set,
-    word_list,
 )
 from sentispark.scale import BROADCAST_BYTES, SALTS, fits_broadcast
 
 DEFAULT_DURATION_MS = 120_000
-#: Distinct keywords up to which they are part of the plan; bins up to which an interval is cut.
-VOCABULARY, MOST_BINS = 10_000, 64
+#: Bins up to which an interval is cut.
+MOST_BINS = 64
 
 
 def active_jobs(
@@ -58,12 +57,6 @@ def keyword_index(jobs: DataFrame, columns: list[str]) -> DataFrame:
     ).filter(F.col("_keyword").isNotNull())
 
 
-def vocabulary(index: DataFrame, limit: int = VOCABULARY) -> list[str] | None:
-    """The distinct keywords, if there are at most ``limit``."""
-    words = index.select("_keyword").distinct().limit(limit + 1).collect()
-    return sorted(r["_keyword"] for r in words) if len(words) <= limit else None
-
-
 def bin_width(jobs: DataFrame) -> int | None:
     """Microseconds of a time bin: the mean length of the bounded intervals, so that an interval lies in about two bins.
 
@@ -112,8 +105,7 @@ def match_pairs(
 
     * ``broadcast``: the measured keyword table goes to the tasks, so tokens never leave the task
       that read the post; all keywords of a pair meet there too, so the distinct step has
-      removed the repeats before its shuffle. Tokens that are no keyword are dropped inside the row, if the
-      keywords are few enough to be part of the plan.
+      removed the repeats before its shuffle.
     * ``shuffle``: (key, token) rows are shuffled, salted so that a word found in a third of the
       posts is spread over many tasks.
     """
@@ -122,11 +114,8 @@ def match_pairs(
     if strategy == "auto":
         strategy = "broadcast" if fits_broadcast(index, broadcast_bytes) else "shuffle"
     at = [event_time] if event_time and event_time not in keep else []
-    known = vocabulary(index) if strategy == "broadcast" else None
-    found = F.col(words) if words else word_list(text)
-    if known:
-        found = F.filter(found, lambda w: w.isin(*known))
-    tokens = posts.select(key, *keep, *at, F.explode_outer(F.array_distinct(found)).alias("_token"))
+    distinct_words = F.array_distinct(words) if words else token_set(text)
+    tokens = posts.select(key, *keep, *at, F.explode_outer(distinct_words).alias("_token"))
     same = F.col("_token") == F.col("_keyword")
     if not event_time:
         return _joined(tokens, index, same, strategy, key).select(key, *keep, "job_id").distinct()

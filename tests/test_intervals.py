@@ -22,10 +22,7 @@ def brute(posts, jobs):
 
 
 @pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
-@pytest.mark.parametrize("few", [True, False])
-def test_interval_join_equals_brute_force(spark, strategy, few, monkeypatch):
-    if not few:
-        monkeypatch.setattr(match, "VOCABULARY", 2)
+def test_interval_join_equals_brute_force(spark, strategy):
     rng = random.Random(3)
     words = ["tea", "coffee", "milk", "water", "wine"]
     posts = [(k, " ".join(rng.choices(words, k=3)), seconds(rng.randint(-50, 1000))) for k in range(150)] + [(999, "tea", None)]
