@@ -251,17 +251,19 @@ def learned_evidence(spark, folder):
     return learn.evidence(documents_as_posts(spark, folder), spark.read.parquet(path))
 
 
-@query("learned_score")
+@query(
+    "learned_score",
+    f"""WITH {_LEARNED}, ev AS (SELECT doc_id, 1.0::DOUBLE / (1.0::DOUBLE + exp(-(sum(weight) * 1e-6::DOUBLE))) AS p FROM words JOIN weights USING (token) GROUP BY doc_id)
+    SELECT doc_id AS post_id, coalesce(CAST(round(CASE WHEN p >= 0.5 THEN p ELSE p - 1 END * 1e6) AS BIGINT), 0) AS score_millionths,
+      CASE WHEN p >= 0.6 THEN 'positive' WHEN p <= 0.4 THEN 'negative' ELSE 'neutral' END AS sentiment_label
+    FROM documents LEFT JOIN ev USING (doc_id)""",
+)
 def learned_score(spark, folder):
-    """Scores of all documents by learned weights; the curve is fitted to labelled documents that taught no word."""
-    labelled = _labelled_posts(spark, folder)
-    apart = F.pmod(F.xxhash64("post_id"), F.lit(4)) == 0
+    """Scores of all documents by learned weights, with the curve as it is before it is fitted."""
     path = fresh_dir(spark, "weights")
-    learn.learn_weights(labelled.filter(~apart)).write.parquet(path)
-    weights = spark.read.parquet(path)
-    held = labelled.filter(apart)
-    curve = learn.fit_curve(learn.evidence(held, weights).join(held.select("post_id", "positive"), "post_id"))
-    return learn.score_with_weights(documents_as_posts(spark, folder), weights, curve)
+    learn.learn_weights(_labelled_posts(spark, folder)).write.parquet(path)
+    scored = learn.score_with_weights(documents_as_posts(spark, folder), spark.read.parquet(path), learn.Curve())
+    return scored.select("post_id", F.round(F.col("sentiment_score") * 1e6).cast("long").alias("score_millionths"), "sentiment_label")
 
 
 def lexicon_model(weights: str):
