@@ -41,7 +41,7 @@ _CHUNK = 1 << 19
 _SEEN = 300_000
 _SHARDS = 8
 #: Letters from which on the values gathered so far are merged.
-_MERGED = 1 << 20
+_MERGED = 1 << 17
 #: Bytes of the digest by which single strings of crowded values are compared (shorter than any segment).
 _DIGEST = 16
 #: Documents with one value from which its segments are sent as single strings; hot keys are above it.
@@ -424,6 +424,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, key: str = "doc_id", text: s
 
     digest = F.unhex(F.sha2("text", 256))
     every = rows.where("id IS NOT NULL").select("id", F.octet_length("text").alias("size"), digest.alias("digest"))
+    every = written(every, "digests")
     several = every.groupBy("id").agg(F.min("digest").alias("main"), F.max("digest").alias("other")).where("main <> other").select("id", "main")
     several = written(several, "ids-of-several-texts")
     digests = every.where(F.col("size") >= span).join(several, "id", "left").where("main IS NULL OR digest = main").select("id", "digest")
