@@ -5,24 +5,32 @@ of many posts have many blocks and no group larger than one. A page needs the bl
 enter it: they are read from the best down, a few and then four times as many, until the last row of the page is no worse
 than the best of all that is unread. Matching, filters and order are those of ``search.search_posts``.
 
-The index is a chunked table: posts are added batch by batch, each with blocks of its own.
+The index is a chunked table: posts are added batch by batch, each with blocks of its own. Posts go to ranges of a sort key
+with all their words, once per sort key, and the tasks of the ranges make the blocks: postings are never shuffled, and those of a
+file come from few posts, so addresses and times are small in it.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentispark.functions.keywords import token_set
-from sentispark.scale import number_rows
+from sentispark.session import materialize
 from sentispark.sources import chunks
 from sentispark.sources.search import engagement
 
 BLOCK = 1024
 SORTS = ("top", "latest")
-_LAYOUT = chunks.Layout("sort", ("token", "block"))
+POSTINGS = 1 << 20  # postings of a task
+_LAYOUT = chunks.Layout("sort", ("token", "best"))
+_POST = "struct<key: bigint, uri: string, created: bigint, langs: array<string>>"
 _FIRST = 4  # blocks of a word that are read at first
 
 
@@ -30,33 +38,73 @@ def _sort_key(sort: str) -> Column:
     return engagement().cast("long") if sort == "top" else F.unix_micros(F.col("created_at").cast("timestamp"))
 
 
+def _blocks_of(block: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of up to ``block`` posts per word from posts in order; posts of an Arrow batch of some ``POSTINGS`` share blocks."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pc.sum(pc.count_substring(batch["words"], " ")).as_py() + batch.num_rows
+            step = max(1, batch.num_rows * most // words)
+            for start in range(0, batch.num_rows, step):
+                yield batch.slice(start, step)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batch for batch in batches if batch.num_rows):
+            lists = pc.split_pattern(batch["words"], " ")
+            posts, words = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).dictionary_encode()
+            sorts = batch["sort"].dictionary_encode()
+            group = sorts.indices.to_numpy()[posts].astype("int64") * len(words.dictionary) + words.indices.to_numpy()
+            order = np.argsort(group, kind="stable")
+            group = group[order]
+            at = np.arange(len(group))
+            first = np.r_[True, group[1:] != group[:-1]]
+            starts = np.flatnonzero((at - np.maximum.accumulate(np.where(first, at, 0))) % block == 0)
+            rows = batch.select(["key", "uri", "created", "langs"]).take(pa.array(posts[order]))
+            postings = pa.StructArray.from_arrays(rows.columns, rows.schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    sorts.dictionary.take(pa.array(group[starts] // len(words.dictionary))),
+                    words.dictionary.take(pa.array(group[starts] % len(words.dictionary))),
+                    pa.ListArray.from_arrays(pa.array(np.r_[starts, len(group)], pa.int32()), postings),
+                ],
+                ["sort", "token", "postings"],
+            )
+
+    return run
+
+
 def index_posts(posts: DataFrame, path: str, batch: int | None = None, block: int = BLOCK) -> None:
     """Add posts (uri, text, created_at, langs, like_count, repost_count, reply_count) to the index at ``path``.
 
-    Every post counts once per word, with both sort keys as they are now. Only words, keys and addresses are shuffled. A
-    post without a sort key comes last, as in a scan.
+    Every post counts once per word, with both sort keys as they are now. The distinct words of a post are shuffled, as one
+    string, once per sort key. A post without a sort key comes last, as in a scan.
     """
-    words = posts.select(
-        "uri",
-        F.unix_micros(F.col("created_at").cast("timestamp")).alias("created"),
-        "langs",
-        *[_sort_key(s).alias(s) for s in SORTS],
-        F.explode(token_set("text")).alias("token"),
+    # Written once: texts are cut once, for the size, the bounds of the ranges and the rows.
+    cut = materialize(
+        posts.select(
+            "uri",
+            F.unix_micros(F.col("created_at").cast("timestamp")).alias("created"),
+            "langs",
+            *[_sort_key(s).alias(s) for s in SORTS],
+            F.array_join(token_set("text"), " ").alias("words"),
+        ).filter("words <> ''")
     )
+    held = cut.agg(F.sum(F.regexp_count("words", F.lit(" ")) + F.lit(1)).alias("n")).first()["n"] or 0
     keys = F.explode(F.array(*[F.struct(F.lit(s).alias("sort"), F.col(s).alias("key")) for s in SORTS]))
-    rows = words.withColumn("_sorted", keys).select("token", "_sorted.sort", "_sorted.key", "uri", "created", "langs")
-    placed = number_rows(rows, ["sort", "token"], [F.col("key").desc_nulls_last(), F.col("uri")], "place")
-    posting = F.struct("place", "key", "uri", "created", "langs")
-    blocks = placed.groupBy("sort", "token", F.floor((F.col("place") - 1) / F.lit(block)).alias("block")).agg(
-        F.max("key").alias("best"),
-        F.min("key").alias("worst"),
-        F.max("created").alias("newest"),
-        F.min("created").alias("oldest"),
-        F.count(F.lit(1)).alias("size"),
-        # At most ``block`` postings.
-        F.array_sort(F.collect_list(posting)).alias("postings"),
+    rows = cut.withColumn("_sorted", keys).select("_sorted.sort", "_sorted.key", "uri", "created", "langs", "words")
+    order = ["sort", F.col("key").desc_nulls_last(), "uri"]
+    ranged = rows.repartitionByRange(1 + len(SORTS) * held // POSTINGS, *order).sortWithinPartitions(*order)
+    blocks = ranged.mapInArrow(_blocks_of(block, POSTINGS), f"sort string, token string, postings array<{_POST}>").select(
+        "sort",
+        "token",
+        F.array_max("postings.key").alias("best"),
+        F.array_min("postings.key").alias("worst"),
+        F.array_max("postings.created").alias("newest"),
+        F.array_min("postings.created").alias("oldest"),
+        F.size("postings").cast("long").alias("size"),
+        "postings",
     )
-    chunks.append(blocks.repartitionByRange("sort", "token", "block"), path, _LAYOUT, batch)
+    chunks.append(blocks, path, _LAYOUT, batch)
 
 
 def _micros(time: Column) -> Column:

@@ -78,3 +78,27 @@ def test_no_index_and_no_posts(spark, posts):
         search_index.search_pages(spark, path, "tea")
     search_index.index_posts(posts.limit(0), path)
     assert search_index.search_pages(spark, path, "tea").count() == 0
+
+
+def test_blocks_are_full_ordered_and_never_shuffled(spark, monkeypatch):
+    """Posts go to ranges with their words; what is written are blocks made in these tasks."""
+    rows = [(f"at://{k:04d}", "the tea" if k % 2 else "the x_1 the", ["en"], seconds(k % 7), k % 5, None, None) for k in range(300)]
+    rows += [rows[0], ("at://null", "tea", None, None, None, None, None), (None, "tea the", [None], seconds(1), 2, None, None)]
+    written = []
+    original = search_index.chunks.append
+    monkeypatch.setattr(search_index.chunks, "append", lambda blocks, *a: written.append(blocks) or original(blocks, *a))
+    monkeypatch.setattr(search_index, "POSTINGS", 100)
+    path = fresh_dir(spark, "index")
+    search_index.index_posts(spark.createDataFrame(rows, SCHEMA), path, 0, block=32)
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning(sort" in plan
+    stored = search_index.chunks.read_table(spark, path).collect()
+    for sort in search_index.SORTS:
+        for word, n in (("the", 302), ("tea", 152), ("x_1", 151)):
+            blocks = [r for r in stored if (r["sort"], r["token"]) == (sort, word)]
+            assert sum(r["size"] for r in blocks) == n == sum(len(r["postings"]) for r in blocks)
+            for r in blocks:
+                keys = [p["key"] for p in r["postings"]]
+                known = [k for k in keys if k is not None]
+                assert len(keys) <= 32 and keys == sorted(known, reverse=True) + [None] * (len(keys) - len(known))
+                assert (r["best"], r["worst"]) == ((known[0], known[-1]) if known else (None, None))
