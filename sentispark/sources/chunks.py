@@ -28,6 +28,7 @@ from sentispark.scale import fits_broadcast
 from sentispark.session import materialize
 
 TARGET_BYTES = 128 << 20
+DICTIONARY_BYTES = 64 << 20
 #: How a folder names the chunk of rows whose chunk column is null.
 NULL_CHUNK = "__HIVE_DEFAULT_PARTITION__"
 #: Bits of the key filter per key, and values up to which a scan gets the keys themselves as a filter.
@@ -36,12 +37,16 @@ BITS, LISTED = 16, 500
 
 @dataclass(frozen=True)
 class Layout:
-    """How a table lies: the chunk column of its rows, their order in files, the columns that make a key."""
+    """How a table lies: the chunk column of its rows, their order in files, the columns that make a key.
+
+    With ``repeats`` long values that come again in a file, far from each other, are kept once in its dictionary.
+    """
 
     chunk: str
     sort: tuple[str, ...]
     keys: tuple[str, ...] = ()
     bloom: tuple[str, ...] = ()
+    repeats: bool = False
 
 
 @dataclass(frozen=True)
@@ -203,6 +208,9 @@ def _stage(rows: DataFrame, path: str, layout: Layout, now: Manifest, batch: int
     writer = rows.sortWithinPartitions(layout.chunk, *layout.sort).write.mode("overwrite").option("maxRecordsPerFile", 5_000_000)
     for c in layout.bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    if layout.repeats:
+        # The first page decides on the dictionary, so it has to reach the first repeats.
+        writer = writer.option("parquet.dictionary.page.size", DICTIONARY_BYTES).option("parquet.page.size", DICTIONARY_BYTES // 2)
     writer.partitionBy(layout.chunk).parquet(folder)
     if now.schema is None:
         bare = StructType([f for f in rows.schema if f.name != layout.chunk]).add(rows.schema[layout.chunk])

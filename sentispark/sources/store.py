@@ -16,7 +16,8 @@ from sentispark.sources import chunks
 CHUNK_DAYS = 7
 RETENTION_DAYS = 90
 _KEY = ("job_id", "source_url", "published_at")
-LAYOUT = chunks.Layout("chunk_start", ("job_id", "published_at"), _KEY, ("job_id",))
+# Rows of the jobs that matched a post repeat its text.
+LAYOUT = chunks.Layout("chunk_start", ("job_id", "published_at"), _KEY, ("job_id",), repeats=True)
 
 
 def chunk_start(published_at: Column | str = "published_at") -> Column:
@@ -120,6 +121,11 @@ def not_stored(rows: DataFrame, stored: DataFrame | None, keys: tuple[str, ...]
     return rows.join(known, list(keys), "left_anti").select(*rows.columns)
 
 
+def absent_keys(rows: DataFrame, path: str) -> DataFrame:
+    """Rows whose key is not stored; ``rows`` need no more than the columns of the key, and are read several times."""
+    return _new_rows(rows, path)
+
+
 def _new_rows(rows: DataFrame, path: str) -> DataFrame:
     """Rows whose key is not stored. Chunks the rows do not touch are not looked at, nor folders whose filter has none of their keys."""
     known = chunks.known_keys(with_chunk(rows), path, LAYOUT)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from sentispark.sources.events import parse_events
 from sentispark.streaming.sinks import batch_folder, start
 
 Score = Callable[[DataFrame], DataFrame]
+#: Bytes of texts, repeated per job, that a task writes.
+TASK_BYTES = 64 << 20
 
 
 def checked_lines(lines: DataFrame, as_of: Column) -> DataFrame:
@@ -47,20 +49,17 @@ def rejects_among(checked: DataFrame) -> DataFrame:
     return checked.filter("kind = 'rejected'").select("raw", "reason")
 
 
-def scored_rows(
-    posts: DataFrame, pairs: DataFrame, handles: DataFrame, collected_at: Column, score: Score
-) -> DataFrame:
-    """Storable rows of the matched posts, one per (post, job).
-
-    Copies of a post are dropped, its author looked up and its text scored before the post is
-    repeated for every job that matched it.
-    """
+def scored_posts(posts: DataFrame, pairs: DataFrame, handles: DataFrame, score: Score) -> DataFrame:
+    """The matched posts: copies of a post are dropped, its author looked up and its text scored."""
     found = posts.join(pairs.select("post_key").distinct(), "post_key", "left_semi")
     first = keep_first(found, [F.col("post_key")], [F.col("time_us"), F.col("text")])
-    scored = score(enrich.attach_handles(first, handles).withColumnRenamed("text", "text_content"))
+    return score(enrich.attach_handles(first, handles).withColumnRenamed("text", "text_content"))
+
+
+def storable_rows(per_job: DataFrame, collected_at: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """Storable rows of scored posts that are repeated for every job that matched them."""
     sentiment = ["sentiment_score", "sentiment_label", "confidence"]
-    per_job = scored.join(pairs, "post_key").withColumnRenamed("text_content", "text")
-    records = normalize.raw_records(per_job, collected_at, keep=sentiment)
+    records = normalize.raw_records(per_job.withColumnRenamed("text_content", "text"), collected_at, keep=[*sentiment, *keep])
     return normalize.fill_defaults(records).withColumns(
         {
             "id": store.row_id(),
@@ -70,6 +69,20 @@ def scored_rows(
     )
 
 
+def store_matches(scored: DataFrame, pairs: DataFrame, collected_at: Column, path: str) -> None:
+    """Store a row per new (post, job); ``scored`` and ``pairs`` are written already.
+
+    What is stored is looked up with the keys alone. Then every text meets its new jobs in the task that writes them, where it is
+    repeated: texts are neither shuffled nor sorted out once per job, and a file holds each of its texts once.
+    """
+    keys = storable_rows(scored.join(pairs, "post_key"), collected_at, ["post_key"]).select("post_key", "job_id", "source_url", "published_at")
+    new = materialize(store.absent_keys(materialize(keys), path).select("post_key", "job_id"))
+    size = scored.agg(F.avg(F.octet_length("text_content") + F.lit(256)).alias("row")).first()["row"] or 0
+    parts = 1 + int(size * new.count()) // TASK_BYTES
+    per_job = scored.repartition(parts, "post_key").join(new.repartition(parts, "post_key"), "post_key")
+    store.write_rows(storable_rows(per_job, collected_at), path)
+
+
 def processed_counts(posts: DataFrame, pairs: DataFrame, at: Column) -> DataFrame:
     """One progress row per job; copies of a post count every time they arrive."""
     arrivals = posts.groupBy("post_key").agg(F.count(F.lit(1)).alias("copies"))
@@ -98,8 +111,7 @@ def run_match_pipeline(
 
     Job and handle tables are read again for every batch, so new and cancelled jobs take effect
     at the next one. Rows are stored once however often a batch runs, whatever their age: late
-    posts land in their own time chunk. The narrow (post, job) pairs are written once per batch;
-    texts are written only to the store. Per batch and job, one progress row counts what was
+    posts land in their own time chunk. The narrow (post, job) pairs and the scored posts are written once per batch. Per batch and job, one progress row counts what was
     processed, duplicates included; the completion tracker reads those instead of single rows.
     With ``rejected_path`` unreadable lines and posts with unusable dates are stored with their reason.
 
@@ -114,7 +126,8 @@ def run_match_pipeline(
         pairs = materialize(
             match.match_pairs(posts, read_jobs(spark), key="post_key", event_time=event_time)
         )
-        store.store_absent(scored_rows(posts, pairs, read_handles(spark), now, score), rows_path)
+        scored = materialize(scored_posts(posts, pairs, read_handles(spark), score))
+        store_matches(scored, pairs, now, rows_path)
         if rejected_path is not None:
             batch_folder(rejected_path)(rejects_among(checked), batch_id)
         batch_folder(progress_path)(processed_counts(posts, pairs, now), batch_id)

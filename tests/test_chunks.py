@@ -1,5 +1,7 @@
 """Chunked tables: all-or-nothing changes, key filters, compaction."""
 
+import random
+
 import pytest
 from fixture_values import seconds
 from pyspark.sql import functions as F
@@ -195,3 +197,17 @@ def test_dedupe_by_id_reads_filters_not_keys(spark, monkeypatch):
         go(("7", "j", seconds(70 + k)), (f"n{k}", "j", seconds(70)))
     got = sorted(r["id"] for r in read_batches(spark, out).collect())
     assert got == sorted([str(k) for k in range(50)] + ["1000", "1001"] + [f"n{k}" for k in range(4)])
+
+
+def test_a_text_of_many_jobs_is_kept_once_in_a_file(spark):
+    """Rows lie by job, so the copies of a text are far from each other; its file grows with the texts, not with the jobs."""
+    rng = random.Random(8)
+    spec = [(f"{k}", f"u{k}", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=5000))) for k in range(400)]
+    posts = spark.createDataFrame(spec, "id string, source_url string, text_content string").coalesce(1)
+    jobs = spark.range(40).select(F.col("id").cast("string").alias("job_id"))
+    path = fresh_dir(spark, "rows")
+    when = F.lit(seconds(DAY)).cast("timestamp_ntz")
+    store.write_rows(posts.crossJoin(F.broadcast(jobs)).withColumns({"published_at": when, "raw_content": F.col("text_content")}), path)
+    assert store.scan_rows(spark, path).agg(F.sum(F.length("text_content"))).first()[0] == 40 * 400 * 5000
+    # Two columns of 2 MB of texts.
+    assert sum(e.size for e in chunks.manifest_of(spark, path).entries) < 3 * 2 * 2_000_000
