@@ -336,9 +336,12 @@ def stream_match(spark, folder):
     SELECT doc_id AS event_id, us AS time_us FROM raw, c WHERE lang <> 'es' AND us > c""",
 )
 def resumed_events(spark, folder):
-    """A first run reads the events of the first day and saves its position; a second resumes."""
+    """A first run reads the events of the first day and saves its position; a second resumes.
+
+    The lines are decoded once: a position and the events after it are three readings.
+    """
     path = fresh_dir(spark, "position")
-    events = ingest._parsed(spark, folder)
+    events = materialize(ingest._parsed(spark, folder).select("event_id", "time_us", "corrupt"))
     first_day = F.col("time_us") < 1_704_153_600_000_000  # 2024-01-02
     _, latest = position.next_events(events.filter(first_day), path)
     position.save_position(spark, path, latest)

@@ -173,6 +173,11 @@ def test_position(spark):
     assert position.load_position(spark, path) is None
 
 
+def test_resumed_events_decode_their_lines_once(spark):
+    plan = catalog.QUERIES["resumed_events"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "from_json" not in plan
+
+
 def test_pipeline_run_twice_stores_once(spark):
     first = catalog.QUERIES["stream_match"](spark, FOLDER)
     assert first.count() == first.select("job_id", "source_url").distinct().count() > 0
