@@ -1,6 +1,7 @@
 """The streaming operators run over the tables as file streams, until all input is read."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentispark.operators import match
 from sentispark.operators.lifecycle import apply_lifecycle
@@ -15,25 +16,28 @@ from sentispark.streaming.sinks import batch_folder, latest_state, per_row, read
 
 
 BATCHES = 4
+#: Rows of a file of the input, so that the rows of a step, which a few tasks may have held, are read by many.
+FILE_ROWS = 100_000
 
 
 def fed(df, name, run, at=None, picks=None, after=None):
     """Feed a table to a stream in several steps, a micro-batch each; ``run`` starts the stream, with one checkpoint for all steps.
 
     Rows come in any order, so copies lie in different batches; with ``at`` each batch holds a stretch of that time, rows
-    inside it in any order. ``picks`` gives the steps a row comes in. Every step is written by the tasks that hold its rows.
+    inside it in any order. ``picks`` gives the steps a row comes in. Rows are written once by step, so a step reads its own only.
     """
     spark = df.sparkSession
-    path = fresh_dir(spark, name)
-    df = materialize(df)
+    path, staged = fresh_dir(spark, name), fresh_dir(spark, f"{name}-steps")
     if at is None:
         step = F.pmod(F.xxhash64(*df.columns, F.spark_partition_id()), F.lit(BATCHES))
     else:
         ends = df.select(F.unix_micros(at)).approxQuantile(f"unix_micros({at})", [k / BATCHES for k in range(1, BATCHES)], 0.01)
         step = sum((F.when(F.unix_micros(at) > end, 1).otherwise(0) for end in ends), F.lit(0))
+    df.withColumn("_step", step.cast("int")).write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("_step").parquet(staged)
+    rows, step = spark.read.schema(T.StructType([*df.schema, T.StructField("_step", T.IntegerType())])).parquet(staged), F.col("_step")
     for k in range(BATCHES):
         chosen = step == k if picks is None else picks(step, k)
-        df.filter(chosen).write.mode("append").parquet(path)
+        rows.filter(chosen).drop("_step").write.mode("append").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
         finish(run(spark.readStream.schema(df.schema).parquet(path)))
         if after is not None:
             after()

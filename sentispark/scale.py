@@ -62,23 +62,34 @@ def number_rows(
     slices before it. The slices are written once, since the boundaries come from a sample and
     must be the same for the numbering and for the sizes. ``order`` has to be total per key.
     """
+    return number_and_count(df, keys, order, out)[0]
+
+
+def number_and_count(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str
+) -> tuple[DataFrame, DataFrame]:
+    """``number_rows``, and a row per key with the number of its rows as ``out``.
+
+    Rows are shuffled and sorted once: a row's place in its slice is its running id there less the
+    first one of its key, so the sizes and first ids, a row per key and slice, are all that is joined.
+    """
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     # As one struct the key is never null, so rows without a key are numbered and joined too.
     keyed = df.withColumn("_key", F.struct(*keys))
-    sliced = materialize(
-        keyed.repartitionByRange(F.col("_key"), *order_cols).withColumn("_slice", F.spark_partition_id())
+    ranged = keyed.repartitionByRange(F.col("_key"), *order_cols).sortWithinPartitions(F.col("_key"), *order_cols)
+    sliced = materialize(ranged.withColumns({"_slice": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    parts = materialize(
+        sliced.groupBy("_key", "_slice").agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_least"))
     )
     before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.groupBy("_key", "_slice")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .select("_key", "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    )
-    within = Window.partitionBy("_key", "_slice").orderBy(*order_cols)
-    numbered = sliced.withColumn("_position", F.row_number().over(within))
-    return numbered.join(offsets, ["_key", "_slice"]).select(
-        *df.columns, (F.col("_offset") + F.col("_position")).cast("long").alias(out)
+    shift = F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_least") + F.lit(1)
+    shifts = parts.select("_key", "_slice", shift.alias("_shift"))
+    if fits_broadcast(shifts):
+        shifts = F.broadcast(shifts)
+    numbered = sliced.join(shifts, ["_key", "_slice"]).select(
+        *df.columns, (F.col("_at") + F.col("_shift")).cast("long").alias(out)
     )
+    return numbered, parts.groupBy("_key").agg(F.sum("_size").alias(out)).select("_key.*", out)
 
 
 def running_totals(

@@ -155,20 +155,19 @@ def store_absent(rows: DataFrame, path: str) -> None:
 def mark_copies(rows: DataFrame, path: str, arrival: list[str], before: int | None = None) -> DataFrame:
     """Add ``is_duplicate``: a row of the same key came earlier in ``rows`` or is stored (by a micro-batch before ``before``).
 
-    ``arrival`` is total. The first row per key is found by an aggregate and joined without gathering a key, so copies
-    that make up a third of the rows stay where they are. A row with a null in its key is no copy.
+    ``arrival`` is total. The first row per key is found by an aggregate and met on key and arrival together, so copies
+    that make up a third of the rows meet nothing and no key is gathered. A row with a null in its key is no copy.
     """
     whole = F.greatest(*[F.col(k).isNull() for k in _KEY], F.lit(False)) == F.lit(False)
     keyed = rows.withColumns({"_key": F.struct(*_KEY), "_arrival": F.struct(*arrival)})
-    firsts = materialize(keyed.filter(whole).groupBy("_key").agg(F.min("_arrival").alias("_first")))
+    firsts = materialize(keyed.filter(whole).groupBy("_key").agg(F.min("_arrival").alias("_arrival")))
     known = chunks.known_keys(with_chunk(firsts.select("_key.*")), path, LAYOUT, before)
     if known is not None:
-        stored = known.select(F.struct(*_KEY).alias("_key"), F.lit(True).alias("_stored"))
-        firsts = materialize(firsts.join(stored, "_key", "left"))
-    else:
-        firsts = firsts.withColumn("_stored", F.lit(False))
-    copy = F.coalesce(F.col("_stored") | (F.col("_arrival") != F.col("_first")), F.col("_arrival") != F.col("_first"), F.lit(False))
-    return join_per_key(keyed, firsts, "_key", "left").select(*rows.columns, (whole & copy).alias("is_duplicate"))
+        firsts = materialize(firsts.join(known.select(F.struct(*_KEY).alias("_key")), "_key", "left_anti"))
+    new = firsts.withColumn("_new", F.lit(True))
+    if fits_broadcast(firsts):
+        new = F.broadcast(new)
+    return keyed.join(new, ["_key", "_arrival"], "left").select(*rows.columns, (whole & F.col("_new").isNull()).alias("is_duplicate"))
 
 
 def without_jobs(rows: DataFrame, jobs: DataFrame) -> DataFrame:

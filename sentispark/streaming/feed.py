@@ -12,36 +12,40 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentispark.operators.feed import running_count, update_messages
-from sentispark.scale import join_per_key
+from sentispark.operators.feed import update_messages
+from sentispark.scale import join_per_key, number_and_count
 from sentispark.session import materialize
 from sentispark.sources import store
 from sentispark.streaming.sinks import batch_folder, keep_state, latest_state, start
 
 
+def _numbering(path: str, order: Sequence[str]):
+    """Two functions: the rows of a batch with their numbers and the counts after it, and one that stores these counts at the batch's end."""
+    record = f"{path}/_counts"
+
+    def number(batch: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
+        numbered, here = number_and_count(batch, ["job_id"], list(order), "total_processed")
+        before = latest_state(batch.sparkSession, record, ["job_id"], before=batch_id)
+        if before is None:
+            return numbered, here.withColumnRenamed("total_processed", "processed")
+        offsets = materialize(before.select("job_id", F.col("processed").alias("_before")))
+        total = F.col("total_processed") + F.coalesce("_before", F.lit(0))
+        numbered = join_per_key(numbered, offsets, "job_id", "left").withColumn("total_processed", total).drop("_before")
+        return numbered, here.join(offsets, "job_id", "left").select("job_id", total.alias("processed"))
+
+    return number, keep_state(record, ["job_id"])
+
+
 def feed_writer(path: str, order: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that writes the messages of processed rows; ``read_batches`` gives them back.
 
     The rows have ``is_duplicate``: copies advance their job's count and emit nothing. ``order`` is total within a
     job and a batch; earlier batches come first.
     """
-    record = f"{path}/_counts"
-    emit, remember = batch_folder(path), keep_state(record, ["job_id"])
+    emit, (number, remember) = batch_folder(path), _numbering(path, order)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        numbered = materialize(running_count(batch, list(order)))
-        here = numbered.groupBy("job_id").agg(F.count(F.lit(1)).alias("_here"))
-        before = latest_state(batch.sparkSession, record, ["job_id"], before=batch_id)
-        if before is None:
-            total = here.select("job_id", F.col("_here").alias("processed"))
-        else:
-            offsets = materialize(before.select("job_id", F.col("processed").alias("_before")))
-            numbered = join_per_key(numbered, offsets, "job_id", "left").withColumn(
-                "total_processed", F.col("total_processed") + F.coalesce("_before", F.lit(0))
-            )
-            total = here.join(offsets, "job_id", "left").select(
-                "job_id", (F.col("_here") + F.coalesce("_before", F.lit(0))).alias("processed")
-            )
+        numbered, total = number(batch, batch_id)
         emit(update_messages(numbered), batch_id)
         remember(total, batch_id)
 
@@ -60,11 +64,14 @@ def run_stored_feed(
 
     What a batch itself has stored does not make its rows copies when it runs again.
     """
-    feed = feed_writer(feed_path, order)
+    emit, (number, remember) = batch_folder(feed_path), _numbering(feed_path, order)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        marked = materialize(store.mark_copies(batch, rows_path, list(order), before=batch_id))
-        store.write_rows(marked.filter(~F.col("is_duplicate")).drop("is_duplicate"), rows_path, batch_id)
-        feed(marked, batch_id)
+        # Copies count, and that is all they do: past their numbers only new rows are kept.
+        numbered, total = number(batch, batch_id)
+        new = materialize(store.mark_copies(numbered, rows_path, list(order), before=batch_id).filter(~F.col("is_duplicate")))
+        store.write_rows(new.drop("is_duplicate", "total_processed"), rows_path, batch_id)
+        emit(update_messages(new), batch_id)
+        remember(total, batch_id)
 
     return start(rows, write, checkpoint, every=every)

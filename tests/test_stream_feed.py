@@ -4,6 +4,8 @@ import pytest
 from fixture_values import seconds
 from pyspark.sql import functions as F
 
+from sentispark import scale
+from sentispark.plans import streams
 from sentispark.session import fresh_dir
 from sentispark.sources import store
 from sentispark.streaming import feed, metrics, pipeline
@@ -66,6 +68,54 @@ def test_a_batch_that_dies_before_its_end_counts_once(spark, monkeypatch):
     assert sorted(r["id"] for r in store.scan_rows(spark, rows_path).collect()) == ["1", "3", "4", "6", "7"]
 
 
+def test_rows_are_numbered_without_a_second_shuffle(spark):
+    """Keys and orders with nulls, a key over many slices, two rows alike."""
+    spec = [(None if k % 10 == 0 else "hot" if k % 3 else f"k{k % 7}", None if k == 5 else k * 37 % 1000) for k in range(600)] + [("hot", 37)]
+    df = spark.createDataFrame(spec, "k string, at int").repartition(4)
+    numbered, counts = scale.number_and_count(df, ["k"], ["at"], "n")
+    per_key = {}
+    for k, at in spec:
+        per_key.setdefault(k, []).append(-1 if at is None else at)
+    want = sorted((str(k), n, at) for k, ats in per_key.items() for n, at in enumerate(sorted(ats), 1))
+    assert sorted((str(r["k"]), r["n"], -1 if r["at"] is None else r["at"]) for r in numbered.collect()) == want
+    assert {r["k"]: r["n"] for r in counts.collect()} == {k: len(ats) for k, ats in per_key.items()}
+    # A window is over the sizes only, which are broadcast: the rows stay where they have been sorted.
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_copies_are_marked_without_repeating_keys(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(store, "fits_broadcast", lambda df: False)
+        monkeypatch.setattr(scale, "fits_broadcast", lambda df: False)
+    path = fresh_dir(spark, "rows")
+    store.write_rows(rows(spark, [("90", "j", "u")]), path, 0)
+    batch = rows(spark, [("1", "j", "u"), ("2", "j", "v"), ("3", "j", "v"), ("4", "j", None), ("5", "j", None), ("6", "k", "v"), ("6", "k", "v"), ("7", "k", "v")])
+    batch = batch.withColumn("analyzed_at", F.when(F.col("id") != "2", F.col("analyzed_at")))
+    marked = store.mark_copies(batch, path, ["analyzed_at", "id"], before=1)
+    assert "Generate" not in marked._jdf.queryExecution().optimizedPlan().toString()
+    want = [("1", True), ("2", False), ("3", True), ("4", False), ("5", False), ("6", False), ("6", False), ("7", True)]
+    assert sorted((r["id"], r["is_duplicate"]) for r in marked.collect()) == want
+    again = store.mark_copies(batch, path, ["analyzed_at", "id"], before=0)
+    assert sorted((r["id"], r["is_duplicate"]) for r in again.collect())[0] == ("1", False)
+
+
+def test_a_step_that_one_task_held_is_read_by_many(spark, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 50)
+    seen, ckpt = fresh_dir(spark, "seen"), fresh_dir(spark, "ckpt")
+    tasks = []
+
+    def write(batch, batch_id):
+        tasks.append(batch.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0])
+        batch_folder(seen)(batch, batch_id)
+
+    df = spark.range(0, 1000, 1, 1).withColumn("at", F.timestamp_seconds("id"))
+    streams.fed(df, "input", lambda stream: start(stream, write, ckpt), "at")
+    assert len(tasks) == streams.BATCHES and max(tasks) <= 50
+    assert sorted(r["id"] for r in read_batches(spark, seen).collect()) == [*range(1000)]
+
+
 def test_windows_of_the_listener(spark):
     path = fresh_dir(spark, "windows")
     listener = metrics.ThroughputListener(spark, path)
