@@ -40,6 +40,7 @@ class Layout:
     """How a table lies: the chunk column of its rows, their order in files, the columns that make a key.
 
     With ``repeats`` long values that come again in a file, far from each other, are kept once in its dictionary.
+    ``probe`` names the columns of the key that its filters are made of, where many keys agree in these; all of them without it.
     """
 
     chunk: str
@@ -47,11 +48,19 @@ class Layout:
     keys: tuple[str, ...] = ()
     bloom: tuple[str, ...] = ()
     repeats: bool = False
+    probe: tuple[str, ...] = ()
+
+    @property
+    def probed(self) -> tuple[str, ...]:
+        return self.probe or self.keys
 
 
 @dataclass(frozen=True)
 class Entry:
-    """A folder: rows of one chunk from one write. ``batch`` is the micro-batch that wrote it, if any."""
+    """A folder: rows of one chunk from one write. ``batch`` is the micro-batch that wrote it, if any.
+
+    ``rows`` counts what its filter holds, ``probe`` names the columns it is made of if these are not the whole key.
+    """
 
     write: int
     chunk: str
@@ -60,7 +69,7 @@ class Entry:
     rows: int
     words: int
     batch: int | None = None
-
+    probe: str = ""
 
 
 @dataclass(frozen=True)
@@ -179,13 +188,17 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def _key_hash(layout: Layout) -> Column:
-    return F.xxhash64(*layout.keys)
+    return F.xxhash64(*layout.probed)
 
 
-def _whole_key(layout: Layout) -> Column:
+def _probe_name(layout: Layout) -> str:
+    return ",".join(layout.probe)
+
+
+def _whole(keys: Iterable[str]) -> Column:
     """A null is equal to nothing, so rows with one are in no filter."""
     found = F.lit(True)
-    for k in layout.keys:
+    for k in keys:
         found = found & F.col(k).isNotNull()
     return found
 
@@ -222,9 +235,12 @@ def _stage(rows: DataFrame, path: str, layout: Layout, now: Manifest, batch: int
         return now, draft
     written = read_entries(spark, path, now, draft)
     chunk = F.col(layout.chunk).cast("string")
-    keyed = written.where(_whole_key(layout)).select(chunk.alias("_chunk"), _key_hash(layout).alias("_hash"))
+    keyed = written.where(_whole(layout.keys)).select(chunk.alias("_chunk"), _key_hash(layout).alias("_hash"))
+    if layout.probe:
+        keyed = materialize(keyed.distinct())
     counts = {r["_chunk"]: r["n"] for r in keyed.groupBy("_chunk").agg(F.count(F.lit(1)).alias("n")).collect()}
-    entries = [replace(e, rows=counts.get(e.chunk, 0), words=-(-counts.get(e.chunk, 0) * BITS // 64)) for e in draft]
+    sized = {c: (n, -(-n * BITS // 64)) for c, n in counts.items()}
+    entries = [replace(e, rows=n, words=w, probe=_probe_name(layout)) for e in draft for n, w in (sized.get(e.chunk, (0, 0)),)]
     # A row per chunk of the write.
     sizes = spark.createDataFrame([(e.chunk, e.words) for e in entries if e.words], "_chunk string, _words long")
     words = keyed.join(F.broadcast(sizes), "_chunk").select("_chunk", *_word_and_mask("_words"))
@@ -295,40 +311,50 @@ def compact(
 
 
 def holders(batch: DataFrame, path: str, layout: Layout, now: Manifest, before: int | None = None) -> tuple[DataFrame, list[Entry]]:
-    """Keys of ``batch`` that stored folders may hold, by their filters, and these folders.
+    """Keys of ``batch``, as far as they are probed, that stored folders may hold, by their filters, and these folders.
 
     Only filters of the chunks that the batch touches are read. ``before`` leaves out folders of that and later micro-batches.
+    A folder whose filter is made of other columns may hold any key of its chunk.
     """
     spark = batch.sparkSession
     chunk = F.col(layout.chunk).cast("string")
-    keys = batch.where(_whole_key(layout)).select(*{c: None for c in (layout.chunk, *layout.keys)}).distinct()
+    keys = batch.where(_whole(layout.probed)).select(*{c: None for c in (layout.chunk, *layout.probed)}).distinct()
+    if layout.probe:
+        keys = materialize(keys)
     # A chunk is a week or a bucket: few.
     touched = {r["c"] for r in keys.select(chunk.alias("c")).distinct().collect()}
     able = [e for e in now.entries if e.chunk in touched and e.words and (before is None or e.batch is None or e.batch < before)]
-    if not able:
-        return keys.limit(0), []
-    sizes = spark.createDataFrame([(e.write, e.chunk, e.words) for e in able], "_write long, _chunk string, _words long")
-    probes = (
-        keys.withColumns({"_hash": _key_hash(layout), "_chunk": chunk})
-        .join(F.broadcast(sizes), "_chunk")
-        .select(*keys.columns, "_chunk", "_write", *_word_and_mask("_words"))
-    )
-    folders = [f"{path.rstrip('/')}/_filter/write={w}" for w in sorted({e.write for e in able})]
-    filters = spark.read.schema("_chunk string, _word long, _bits long, _write long").parquet(*folders).where(F.col("_chunk").isin(*touched))
-    if fits_broadcast(keys):
-        probes = F.broadcast(probes)
-    hits = materialize(
-        filters.join(probes, ["_write", "_chunk", "_word"])
-        .where(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"))
-        .select("_write", "_chunk", *[c for c in keys.columns])
-    )
-    places = {(r["_write"], r["_chunk"]) for r in hits.select("_write", "_chunk").distinct().collect()}
-    return hits.select(*keys.columns).distinct(), [e for e in able if (e.write, e.chunk) in places]
-
-
-def known_keys(batch: DataFrame, path: str, layout: Layout, before: int | None = None) -> DataFrame | None:
-    """The keys of ``batch`` that are stored; None if no folder may hold any, in which case no row is read.
-
+    told = [e for e in able if e.probe == _probe_name(layout)]
+    untold = [e for e in able if e.probe != _probe_name(layout)]
+    wanted, entries = keys.where(chunk.isin(*{e.chunk for e in untold})), untold
+    if told:
+        sizes = spark.createDataFrame([(e.write, e.chunk, e.words) for e in told], "_write long, _chunk string, _words long")
+        probes = (
+            keys.withColumns({"_hash": _key_hash(layout), "_chunk": chunk})
+            .join(F.broadcast(sizes), "_chunk")
+            .select(*keys.columns, "_chunk", "_write", *_word_and_mask("_words"))
+        )
+        folders = [f"{path.rstrip('/')}/_filter/write={w}" for w in sorted({e.write for e in told})]
+        filters = spark.read.schema("_chunk string, _word long, _bits long, _write long").parquet(*folders).where(F.col("_chunk").isin(*touched))
+        if fits_broadcast(keys):
+            probes = F.broadcast(probes)
+        hits = materialize(
+            filters.join(probes, ["_write", "_chunk", "_word"])
+            .where(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"))
+            .select("_write", "_chunk", *[c for c in keys.columns])
+        )
+        places = {(r["_write"], r["_chunk"]) for r in hits.select("_write", "_chunk").distinct().collect()}
+        hits = hits.select(*keys.columns)
+        wanted = (hits.unionByName(wanted) if untold else hits).distinct()
+        entries = [e for e in told if (e.write, e.chunk) in places] + untold
+    return wanted, entries
+
+
+def near_keys(batch: DataFrame, path: str, layout: Layout, before: int | None = None) -> tuple[DataFrame, DataFrame, bool] | None:
+    """Keys in the folders that may hold rows that agree with one of ``batch`` in the probed columns, a row per stored row; the
+    values of ``batch`` in these columns that the filters do not rule out; whether these are few enough to be broadcast.
+
+    None if no folder may hold any, in which case no row is read. ``batch`` needs no other columns of the key.
     A filter is wrong for about one key in a few hundred, so the rows of the folders it names decide; of these only the
     key columns are read, and with few candidates only the row groups that can hold them.
     """
@@ -342,11 +368,25 @@ def known_keys(batch: DataFrame, path: str, layout: Layout, before: int | None =
     stored = read_entries(spark, path, now, entries).select(*layout.keys)
     few = wanted.limit(LISTED + 1).collect()
     if len(few) <= LISTED:
-        for k in layout.keys:
+        for k in layout.probed:
             # Times are left to the chunk and the join: as Python values they depend on the driver's time zone.
             if isinstance(stored.schema[k].dataType, (StringType, IntegralType)):
                 stored = stored.where(F.col(k).isin(*{r[k] for r in few}))
-    wanted = wanted.select(*layout.keys)
-    if fits_broadcast(wanted):
-        wanted = F.broadcast(wanted)
-    return stored.join(wanted, list(layout.keys), "left_semi").distinct()
+    wanted = wanted.select(*layout.probed)
+    small = fits_broadcast(wanted)
+    return stored, F.broadcast(wanted) if small else wanted, small
+
+
+def known_keys(batch: DataFrame, path: str, layout: Layout, before: int | None = None) -> DataFrame | None:
+    """The keys of ``batch`` that are stored; None if no folder may hold any, in which case no row is read."""
+    near = near_keys(batch, path, layout, before)
+    if near is None:
+        return None
+    stored, wanted, _ = near
+    known = stored.join(wanted, list(layout.probed), "left_semi")
+    if layout.probe:
+        keys = batch.where(_whole(layout.keys)).select(*layout.keys)
+        if fits_broadcast(keys):
+            keys = F.broadcast(keys)
+        known = known.join(keys, list(layout.keys), "left_semi")
+    return known.distinct()

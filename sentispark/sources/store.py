@@ -16,8 +16,9 @@ from sentispark.sources import chunks
 CHUNK_DAYS = 7
 RETENTION_DAYS = 90
 _KEY = ("job_id", "source_url", "published_at")
-# Rows of the jobs that matched a post repeat its text.
-LAYOUT = chunks.Layout("chunk_start", ("job_id", "published_at"), _KEY, ("job_id",), repeats=True)
+#: What the rows of the jobs that matched a post agree in, beside its text.
+_ADDRESS = ("source_url", "published_at")
+LAYOUT = chunks.Layout("chunk_start", ("job_id", "published_at"), _KEY, ("job_id",), repeats=True, probe=_ADDRESS)
 
 
 def chunk_start(published_at: Column | str = "published_at") -> Column:
@@ -31,18 +32,15 @@ def with_chunk(rows: DataFrame) -> DataFrame:
     return rows.withColumn("chunk_start", chunk_start())
 
 
-def row_id() -> Column:
-    """Id that stays the same when a task or a batch runs again."""
-    return F.sha2(
-        F.concat_ws(
-            "\u0001",
-            F.col("job_id"),
-            F.coalesce(F.col("source_url"), F.lit("")),
-            F.col("published_at").cast("string"),
-            F.col("text_content"),
-        ),
-        256,
-    )
+def id_address() -> Column:
+    """What the ids of all rows of a post have in common before its text."""
+    return F.concat_ws("\u0001", F.coalesce(F.col("source_url"), F.lit("")), F.col("published_at").cast("string"))
+
+
+def row_id(address: Column | None = None) -> Column:
+    """Id that stays the same when a task or a batch runs again; ``address`` is a ready ``id_address``, if there is one."""
+    address = id_address() if address is None else address
+    return F.sha2(F.concat_ws("\u0001", F.col("job_id"), address, F.col("text_content")), 256)
 
 
 def scan_rows(spark: SparkSession, path: str, job_id: str | None = None) -> DataFrame:
@@ -67,9 +65,9 @@ def write_rows(rows: DataFrame, path: str, batch: int | None = None) -> None:
     """Add rows, chunk by chunk. A micro-batch that names itself replaces what it has written before.
 
     Every task sorts by chunk, job and time and keeps one file open; a chunk holding most rows
-    stays spread over all tasks, as no shuffle brings a chunk together.
+    stays spread over all tasks, as no shuffle brings a chunk together. Rows that have their chunk may come sorted already.
     """
-    chunks.append(with_chunk(rows), path, LAYOUT, batch)
+    chunks.append(rows if "chunk_start" in rows.columns else with_chunk(rows), path, LAYOUT, batch)
 
 
 def append_rows(rows: DataFrame, path: str) -> int:
@@ -121,9 +119,19 @@ def not_stored(rows: DataFrame, stored: DataFrame | None, keys: tuple[str, ...]
     return rows.join(known, list(keys), "left_anti").select(*rows.columns)
 
 
-def absent_keys(rows: DataFrame, path: str) -> DataFrame:
-    """Rows whose key is not stored; ``rows`` need no more than the columns of the key, and are read several times."""
-    return _new_rows(rows, path)
+def stored_jobs(addresses: DataFrame, path: str) -> DataFrame | None:
+    """The addresses (``source_url``, ``published_at``) among those given that are stored, a row each with the jobs they are
+    stored for, as ``known``; None if there are none. An address is looked up once for all jobs."""
+    near = chunks.near_keys(with_chunk(addresses.select(*_ADDRESS)), path, LAYOUT)
+    if near is None:
+        return None
+    stored, wanted, small = near
+    if small:
+        stored = stored.join(wanted, list(_ADDRESS), "left_semi")
+    # By time first: the addresses begin alike.
+    known = stored.groupBy("published_at", "source_url").agg(F.collect_set("job_id").alias("known"))
+    # Many addresses are met when the tasks that read the store have put together the jobs of each.
+    return known if small else known.join(wanted, list(_ADDRESS), "left_semi")
 
 
 def _new_rows(rows: DataFrame, path: str) -> DataFrame:

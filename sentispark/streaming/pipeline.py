@@ -17,8 +17,8 @@ from sentispark.sources.events import parse_events
 from sentispark.streaming.sinks import batch_folder, start
 
 Score = Callable[[DataFrame], DataFrame]
-#: Bytes of texts, repeated per job, that a task writes.
-TASK_BYTES = 64 << 20
+#: Rows that a task writes, and bytes of their texts, which it holds once.
+TASK_ROWS, TASK_BYTES = 100_000, 64 << 20
 
 
 def checked_lines(lines: DataFrame, as_of: Column) -> DataFrame:
@@ -49,45 +49,73 @@ def rejects_among(checked: DataFrame) -> DataFrame:
     return checked.filter("kind = 'rejected'").select("raw", "reason")
 
 
-def scored_posts(posts: DataFrame, pairs: DataFrame, handles: DataFrame, score: Score) -> DataFrame:
-    """The matched posts: copies of a post are dropped, its author looked up and its text scored."""
-    found = posts.join(pairs.select("post_key").distinct(), "post_key", "left_semi")
+def jobs_by_post(pairs: DataFrame) -> DataFrame:
+    """The matches as a row per post with all its ``jobs``: a post is matched by many."""
+    # As structs, since a list leaves out nulls.
+    jobs = F.transform(F.collect_list(F.struct("job_id")), lambda pair: pair["job_id"])
+    return pairs.groupBy("post_key").agg(jobs.alias("jobs"))
+
+
+def matched_posts(posts: DataFrame, matched: DataFrame, handles: DataFrame) -> DataFrame:
+    """The matched posts: copies of a post are dropped and its author looked up."""
+    found = posts.join(matched.select("post_key"), "post_key", "left_semi")
     first = keep_first(found, [F.col("post_key")], [F.col("time_us"), F.col("text")])
-    return score(enrich.attach_handles(first, handles).withColumnRenamed("text", "text_content"))
+    return enrich.attach_handles(first, handles)
 
 
-def storable_rows(per_job: DataFrame, collected_at: Column, keep: Sequence[str] = ()) -> DataFrame:
-    """Storable rows of scored posts that are repeated for every job that matched them."""
-    sentiment = ["sentiment_score", "sentiment_label", "confidence"]
-    records = normalize.raw_records(per_job.withColumnRenamed("text_content", "text"), collected_at, keep=[*sentiment, *keep])
-    return normalize.fill_defaults(records).withColumns(
-        {
-            "id": store.row_id(),
-            "collected_at": F.col("collected_at").cast("timestamp_ntz"),
-            "analyzed_at": F.col("collected_at").cast("timestamp_ntz"),
-        }
-    )
+def post_records(posts: DataFrame, collected_at: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """Of a storable row what all jobs of a post have in common, a row per post."""
+    at = F.col("collected_at").cast("timestamp_ntz")
+    nameless = posts.withColumn("job_id", F.lit(None).cast("string"))
+    records = normalize.raw_records(nameless, collected_at, keep=["post_key", *keep]).drop("job_id")
+    return records.withColumns({"collected_at": at, "analyzed_at": at})
 
 
-def store_matches(scored: DataFrame, pairs: DataFrame, collected_at: Column, path: str) -> None:
-    """Store a row per new (post, job); ``scored`` and ``pairs`` are written already.
+def storable_rows(per_job: DataFrame) -> DataFrame:
+    """Storable rows of post records that are repeated for every job that matched them."""
+    rows = normalize.fill_defaults(per_job).withColumn("id", store.row_id(F.col("_address")))
+    first, last = ["raw_content", "id", "analyzed_at"], ["post_key", "_address", "chunk_start"]
+    common = [c for c in rows.columns if c not in (*first, *last, "job_id")]
+    return rows.select("job_id", *common, *first, "chunk_start")
 
-    What is stored is looked up with the keys alone. Then every text meets its new jobs in the task that writes them, where it is
-    repeated: texts are neither shuffled nor sorted out once per job, and a file holds each of its texts once.
+
+def store_matches(found: DataFrame, matched: DataFrame, score: Score, collected_at: Column, path: str) -> None:
+    """Store a row per new (post, job); ``found`` and ``matched`` are written already.
+
+    What is stored is looked up by the addresses of the posts, with all jobs of an address at once, so up to there a post is one
+    row. The posts with new jobs are scored. Then a task puts the keys of its rows in order and looks up the text of each, in
+    a table with a row per post: texts are neither shuffled nor sorted once per job, and a file holds each of its texts once.
     """
-    keys = storable_rows(scored.join(pairs, "post_key"), collected_at, ["post_key"]).select("post_key", "job_id", "source_url", "published_at")
-    new = materialize(store.absent_keys(materialize(keys), path).select("post_key", "job_id"))
-    size = scored.agg(F.avg(F.octet_length("text_content") + F.lit(256)).alias("row")).first()["row"] or 0
-    parts = 1 + int(size * new.count()) // TASK_BYTES
-    per_job = scored.repartition(parts, "post_key").join(new.repartition(parts, "post_key"), "post_key")
-    store.write_rows(storable_rows(per_job, collected_at), path)
+    size = F.octet_length("text").alias("size")
+    keys = materialize(
+        post_records(found.withColumn("size", size), collected_at, ["size"]).select("post_key", "source_url", "published_at", "size")
+    )
+    known = store.stored_jobs(keys, path)
+    new = keys.join(matched, "post_key")
+    if known is not None:
+        left = F.when(F.col("known").isNull(), F.col("jobs")).otherwise(F.array_except("jobs", "known"))
+        new = new.join(known, ["source_url", "published_at"], "left").withColumn("jobs", left)
+    new = materialize(new.filter(F.size("jobs") > 0).select("post_key", "published_at", "size", "jobs"))
+    total = new.agg(F.sum(F.size("jobs")).alias("rows"), F.sum("size").alias("bytes")).first()
+    # More than one, as a single part counts as dealt out otherwise and the rows would be dealt and sorted again.
+    parts = 2 + max((total["rows"] or 0) // TASK_ROWS, (total["bytes"] or 0) // TASK_BYTES)
+    scored = score(found.join(new.select("post_key"), "post_key", "left_semi").withColumnRenamed("text", "text_content"))
+    sentiment = ["sentiment_score", "sentiment_label", "confidence"]
+    records = post_records(scored.withColumnRenamed("text_content", "text"), collected_at, sentiment)
+    texts = records.withColumn("_address", store.id_address()).drop("published_at").repartition(parts, "post_key").hint("shuffle_hash")
+    dealt = store.with_chunk(new.repartition(parts, "post_key").select("post_key", "published_at", F.explode("jobs").alias("job_id")))
+    # The condition holds for every row. Without it the optimizer leaves out the sort, as rows of a join need no order; here the
+    # order of the keys is that of the rows, and these are not sorted once more.
+    ordered = dealt.sortWithinPartitions("chunk_start", "job_id", "published_at").filter(F.spark_partition_id() >= 0)
+    store.write_rows(storable_rows(ordered.join(texts, "post_key")), path)
 
 
-def processed_counts(posts: DataFrame, pairs: DataFrame, at: Column) -> DataFrame:
+def processed_counts(posts: DataFrame, matched: DataFrame, at: Column) -> DataFrame:
     """One progress row per job; copies of a post count every time they arrive."""
     arrivals = posts.groupBy("post_key").agg(F.count(F.lit(1)).alias("copies"))
     return (
-        pairs.join(arrivals, "post_key")
+        matched.join(arrivals, "post_key")
+        .select("copies", F.explode("jobs").alias("job_id"))
         .groupBy("job_id")
         .agg(F.sum("copies").alias("amount"))
         .withColumns({"ts": at, "kind": F.lit("processed")})
@@ -111,7 +139,7 @@ def run_match_pipeline(
 
     Job and handle tables are read again for every batch, so new and cancelled jobs take effect
     at the next one. Rows are stored once however often a batch runs, whatever their age: late
-    posts land in their own time chunk. The narrow (post, job) pairs and the scored posts are written once per batch. Per batch and job, one progress row counts what was
+    posts land in their own time chunk. The posts, each with all its jobs, and their texts are written once per batch; a post is scored in the batch that stores rows of it. Per batch and job, one progress row counts what was
     processed, duplicates included; the completion tracker reads those instead of single rows.
     With ``rejected_path`` unreadable lines and posts with unusable dates are stored with their reason.
 
@@ -123,13 +151,12 @@ def run_match_pipeline(
         now = collected_at if collected_at is not None else F.current_timestamp()
         checked = materialize(checked_lines(batch, now))
         posts = posts_among(checked)
-        pairs = materialize(
-            match.match_pairs(posts, read_jobs(spark), key="post_key", event_time=event_time)
-        )
-        scored = materialize(scored_posts(posts, pairs, read_handles(spark), score))
-        store_matches(scored, pairs, now, rows_path)
+        pairs = match.match_pairs(posts, read_jobs(spark), key="post_key", event_time=event_time)
+        matched = materialize(jobs_by_post(pairs))
+        found = materialize(matched_posts(posts, matched, read_handles(spark)))
+        store_matches(found, matched, score, now, rows_path)
         if rejected_path is not None:
             batch_folder(rejected_path)(rejects_among(checked), batch_id)
-        batch_folder(progress_path)(processed_counts(posts, pairs, now), batch_id)
+        batch_folder(progress_path)(processed_counts(posts, matched, now), batch_id)
 
     return start(lines, write, checkpoint, every=every)

@@ -211,3 +211,37 @@ def test_a_text_of_many_jobs_is_kept_once_in_a_file(spark):
     assert store.scan_rows(spark, path).agg(F.sum(F.length("text_content"))).first()[0] == 40 * 400 * 5000
     # Two columns of 2 MB of texts.
     assert sum(e.size for e in chunks.manifest_of(spark, path).entries) < 3 * 2 * 2_000_000
+
+
+def test_the_filter_of_the_store_holds_an_address_once_for_all_jobs(spark):
+    path = fresh_dir(spark, "rows")
+    store.write_rows(rows(spark, [(f"{k}", f"j{k}", f"u{k % 2}", 0) for k in range(40)]), path)
+    assert [e.rows for e in chunks.manifest_of(spark, path).entries] == [2]
+    batch = rows(spark, [("a", "j0", "u0", 0), ("b", "j1", "u0", 0), ("c", "new", "u1", 0), ("d", "j0", "u9", 0), ("e", "j0", "u0", 9)])
+    known = chunks.known_keys(store.with_chunk(batch), path, store.LAYOUT)
+    assert [(r["job_id"], r["source_url"]) for r in known.collect()] == [("j0", "u0")]
+    assert ids(store.insert_if_absent(batch, path)) == ["b", "c", "d", "e"]
+
+
+def test_jobs_stored_for_an_address(spark, monkeypatch):
+    path = fresh_dir(spark, "rows")
+    given = [("1", "a", "u", 0), ("2", "b", "u", 0), ("3", "b", "u", 9), ("4", "c", "v", 0), ("5", "d", None, 0), ("6", None, "u", 0)]
+    addresses = rows(spark, [("x", "-", "u", 0), ("y", "-", "u", 0), ("z", "-", None, 0), ("w", "-", "new", 0)])
+    assert store.stored_jobs(addresses, path) is None
+    store.write_rows(rows(spark, given), path)
+
+    def found():
+        return [(r["source_url"], sorted(r["known"])) for r in store.stored_jobs(addresses, path).collect()]
+
+    assert found() == [("u", ["a", "b"])]
+    monkeypatch.setattr(chunks, "fits_broadcast", lambda df: False)
+    assert found() == [("u", ["a", "b"])]
+
+
+def test_folders_with_filters_of_whole_keys_are_found_by_address(spark):
+    path = fresh_dir(spark, "rows")
+    older = chunks.Layout("chunk_start", ("job_id", "published_at"), store.LAYOUT.keys)
+    chunks.append(store.with_chunk(rows(spark, [("1", "a", "u", 0), ("2", "a", "v", 7)])), path, older)
+    store.write_rows(rows(spark, [("3", "b", "u", 0)]), path)
+    again = rows(spark, [("4", "a", "u", 0), ("5", "b", "u", 0), ("6", "a", "v", 7), ("7", "b", "v", 7)])
+    assert ids(store.insert_if_absent(again, path)) == ["7"]
