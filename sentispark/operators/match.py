@@ -92,9 +92,13 @@ def match_pairs(
     strategy: str = "auto",
     broadcast_bytes: int = BROADCAST_BYTES,
     words: str | None = None,
+    listed: bool = False,
 ) -> DataFrame:
     """One (key, *keep, job_id) row per post and job where any keyword is a whole word of the post.
 
+    With ``listed`` one row per post, with all its jobs in ``jobs`` in the place of ``job_id``. By broadcast and without intervals
+    a token then meets one row with all jobs of its keyword, and a post puts together a list per keyword, however often it comes.
+
     ``jobs`` has ``job_id`` and ``keywords`` ([a-z0-9_] only, as ``extract_keywords`` yields),
     plus the interval columns when ``event_time`` is given. ``keep`` names narrow columns of the
     posts. Every post is cut into its distinct tokens, which meet the keywords in an equi-join.
@@ -117,6 +121,13 @@ def match_pairs(
     distinct_words = F.array_distinct(words) if words else token_set(text)
     tokens = posts.select(key, *keep, *at, F.explode_outer(distinct_words).alias("_token"))
     same = F.col("_token") == F.col("_keyword")
+    if listed and not event_time and strategy == "broadcast":
+        by_keyword = index.groupBy("_keyword").agg(_listed("job_id").alias("_jobs"))
+        lists = _joined(tokens, by_keyword, same, strategy, key).groupBy(key, *keep).agg(F.collect_set("_jobs").alias("_lists"))
+        return lists.select(key, *keep, F.array_distinct(F.flatten("_lists")).alias("jobs"))
+    if listed:
+        pairs = match_pairs(posts, jobs, key, text, event_time, keep, strategy, broadcast_bytes, words)
+        return pairs.groupBy(key, *keep).agg(_listed("job_id").alias("jobs"))
     if not event_time:
         return _joined(tokens, index, same, strategy, key).select(key, *keep, "job_id").distinct()
     width = bin_width(jobs)
@@ -132,6 +143,11 @@ def match_pairs(
     return pairs.distinct()
 
 
+def _listed(column: str) -> Column:
+    """All values of a group, nulls too, which a list leaves out."""
+    return F.transform(F.collect_list(F.struct(column)), lambda one: one[column])
+
+
 def _joined(tokens: DataFrame, index: DataFrame, on: Column, strategy: str, key: str) -> DataFrame:
     if strategy == "broadcast":
         return tokens.join(F.broadcast(index), on)

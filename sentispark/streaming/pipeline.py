@@ -49,13 +49,6 @@ def rejects_among(checked: DataFrame) -> DataFrame:
     return checked.filter("kind = 'rejected'").select("raw", "reason")
 
 
-def jobs_by_post(pairs: DataFrame) -> DataFrame:
-    """The matches as a row per post with all its ``jobs``: a post is matched by many."""
-    # As structs, since a list leaves out nulls.
-    jobs = F.transform(F.collect_list(F.struct("job_id")), lambda pair: pair["job_id"])
-    return pairs.groupBy("post_key").agg(jobs.alias("jobs"))
-
-
 def matched_posts(posts: DataFrame, matched: DataFrame, handles: DataFrame) -> DataFrame:
     """The matched posts: copies of a post are dropped and its author looked up."""
     found = posts.join(matched.select("post_key"), "post_key", "left_semi")
@@ -151,8 +144,9 @@ def run_match_pipeline(
         now = collected_at if collected_at is not None else F.current_timestamp()
         checked = materialize(checked_lines(batch, now))
         posts = posts_among(checked)
-        pairs = match.match_pairs(posts, read_jobs(spark), key="post_key", event_time=event_time)
-        matched = materialize(jobs_by_post(pairs))
+        matched = materialize(
+            match.match_pairs(posts, read_jobs(spark), key="post_key", event_time=event_time, listed=True)
+        )
         found = materialize(matched_posts(posts, matched, read_handles(spark)))
         store_matches(found, matched, score, now, rows_path)
         if rejected_path is not None:

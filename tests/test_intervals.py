@@ -63,3 +63,18 @@ def test_long_intervals_do_not_multiply_the_index(spark):
     index = match.keyword_index(jobs, ["started_at", "ends_at"])
     assert match.binned_index(index, match.bin_width(jobs)).count() <= 2 * len(spans)
     assert match.binned_index(index, 1_000_000).filter("_bin IS NULL").count() == 1
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
+def test_listed_matches_are_those_of_the_pairs(spark, strategy):
+    posts = [("a", "tea milk", 0), ("a", "tea milk", 0), ("b", "Wine, tea", 5), ("c", "", 5), ("d", None, 5), ("e", "milk", None)]
+    jobs = [("x", ["tea", "milk"], 0, 3), ("y", ["tea"], 0, None), (None, ["milk", "wine"], 0, 99), ("z", [], 0, None), ("w", None, 0, None)]
+    table = spark.createDataFrame([(j, k, seconds(b), None if e is None else seconds(e)) for j, k, b, e in jobs], JOBS)
+    texts = spark.createDataFrame([(p, t, None if at is None else seconds(at)) for p, t, at in posts], "post_id string, text string, ts timestamp")
+    for at in (None, "ts"):
+        pairs = match.match_pairs(texts, table, event_time=at, strategy=strategy).collect()
+        lists = match.match_pairs(texts, table, event_time=at, strategy=strategy, listed=True).collect()
+        assert len({r["post_id"] for r in lists}) == len(lists) > 0
+        order = lambda pair: (pair[0], pair[1] or "")
+        assert sorted([(r["post_id"], j) for r in lists for j in r["jobs"]], key=order) == sorted([(r["post_id"], r["job_id"]) for r in pairs], key=order)
+    assert {r["post_id"] for r in lists} == {"a", "b"}
