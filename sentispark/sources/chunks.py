@@ -377,8 +377,11 @@ def near_keys(batch: DataFrame, path: str, layout: Layout, before: int | None =
     return stored, F.broadcast(wanted) if small else wanted, small
 
 
-def known_keys(batch: DataFrame, path: str, layout: Layout, before: int | None = None) -> DataFrame | None:
-    """The keys of ``batch`` that are stored; None if no folder may hold any, in which case no row is read."""
+def known_keys(batch: DataFrame, path: str, layout: Layout, before: int | None = None, exact: bool = True) -> DataFrame | None:
+    """The keys of ``batch`` that are stored; None if no folder may hold any, in which case no row is read.
+
+    Unless ``exact`` there may be others that agree with one of ``batch`` in the probed columns, for a join that is to follow.
+    """
     near = near_keys(batch, path, layout, before)
     if near is None:
         return None
@@ -387,6 +390,7 @@ def known_keys(batch: DataFrame, path: str, layout: Layout, before: int | None =
     if layout.probe:
         keys = batch.where(_whole(layout.keys)).select(*layout.keys)
         if fits_broadcast(keys):
-            keys = F.broadcast(keys)
-        known = known.join(keys, list(layout.keys), "left_semi")
+            known = known.join(F.broadcast(keys), list(layout.keys), "left_semi")
+        elif exact:
+            known = known.join(keys, list(layout.keys), "left_semi")
     return known.distinct()

@@ -136,7 +136,7 @@ def stored_jobs(addresses: DataFrame, path: str) -> DataFrame | None:
 
 def _new_rows(rows: DataFrame, path: str) -> DataFrame:
     """Rows whose key is not stored. Chunks the rows do not touch are not looked at, nor folders whose filter has none of their keys."""
-    known = chunks.known_keys(with_chunk(rows), path, LAYOUT)
+    known = chunks.known_keys(with_chunk(rows), path, LAYOUT, exact=False)
     return rows if known is None else rows.join(known, list(_KEY), "left_anti").select(*rows.columns)
 
 
@@ -169,7 +169,7 @@ def mark_copies(rows: DataFrame, path: str, arrival: list[str], before: int | No
     whole = F.greatest(*[F.col(k).isNull() for k in _KEY], F.lit(False)) == F.lit(False)
     keyed = rows.withColumns({"_key": F.struct(*_KEY), "_arrival": F.struct(*arrival)})
     firsts = materialize(keyed.filter(whole).groupBy("_key").agg(F.min("_arrival").alias("_arrival")))
-    known = chunks.known_keys(with_chunk(firsts.select("_key.*")), path, LAYOUT, before)
+    known = chunks.known_keys(with_chunk(firsts.select("_key.*")), path, LAYOUT, before, exact=False)
     if known is not None:
         firsts = materialize(firsts.join(known.select(F.struct(*_KEY).alias("_key")), "_key", "left_anti"))
     new = firsts.withColumn("_new", F.lit(True))

@@ -17,6 +17,7 @@ from sentispark.sources.events import parse_events
 from sentispark.streaming.sinks import batch_folder, start
 
 Score = Callable[[DataFrame], DataFrame]
+SENTIMENT = ("sentiment_score", "sentiment_label", "confidence")
 #: Rows that a task writes, and bytes of their texts, which it holds once.
 TASK_ROWS, TASK_BYTES = 100_000, 64 << 20
 
@@ -67,9 +68,10 @@ def post_records(posts: DataFrame, collected_at: Column, keep: Sequence[str] = (
 def storable_rows(per_job: DataFrame) -> DataFrame:
     """Storable rows of post records that are repeated for every job that matched them."""
     rows = normalize.fill_defaults(per_job).withColumn("id", store.row_id(F.col("_address")))
-    first, last = ["raw_content", "id", "analyzed_at"], ["post_key", "_address", "chunk_start"]
-    common = [c for c in rows.columns if c not in (*first, *last, "job_id")]
-    return rows.select("job_id", *common, *first, "chunk_start")
+    return rows.select(
+        *("job_id", "text_content", "source", "source_url", "author_name", "upvotes", "comment_count", "published_at"),
+        *("collected_at", *SENTIMENT, "raw_content", "id", "analyzed_at", "chunk_start"),
+    )
 
 
 def store_matches(found: DataFrame, matched: DataFrame, score: Score, collected_at: Column, path: str) -> None:
@@ -93,8 +95,7 @@ def store_matches(found: DataFrame, matched: DataFrame, score: Score, collected_
     # More than one, as a single part counts as dealt out otherwise and the rows would be dealt and sorted again.
     parts = 2 + max((total["rows"] or 0) // TASK_ROWS, (total["bytes"] or 0) // TASK_BYTES)
     scored = score(found.join(new.select("post_key"), "post_key", "left_semi").withColumnRenamed("text", "text_content"))
-    sentiment = ["sentiment_score", "sentiment_label", "confidence"]
-    records = post_records(scored.withColumnRenamed("text_content", "text"), collected_at, sentiment)
+    records = post_records(scored.withColumnRenamed("text_content", "text"), collected_at, SENTIMENT)
     texts = records.withColumn("_address", store.id_address()).drop("published_at").repartition(parts, "post_key").hint("shuffle_hash")
     dealt = store.with_chunk(new.repartition(parts, "post_key").select("post_key", "published_at", F.explode("jobs").alias("job_id")))
     # The condition holds for every row. Without it the optimizer leaves out the sort, as rows of a join need no order; here the
